@@ -1,8 +1,8 @@
 """Quality rules with an isolation forest over their statistics.
 
 One pass computes rule statistics of every text. Trees split a bounded, hash-chosen sample of the rows at random; documents that random splits
-isolate after a short path are anomalies. The score at which a document is refused is calibrated on all rows with a quality label: the lowest cut
-above which labelled rows are nearly all bad.
+isolate after a short path are anomalies. An anomaly's profile is the statistic that lies farthest from its middle, and on which side. For each profile
+the score from which documents are refused is calibrated on all rows with a quality label: the lowest cut above which labelled rows are nearly all bad.
 
 Trees see TREES * PSI rows at most (that is what an isolation forest is); scoring and calibration cover all rows.
 
@@ -19,8 +19,8 @@ from . import vectext as vt
 from .shared import materialize, table
 
 TREES, PSI, SEED = 100, 256, 23
-#: A cut is taken where this share of the labelled rows above it is bad; bins of the calibration.
-PRECISION, BINS = 0.95, 1000
+#: A cut is taken where this share of the labelled rows above it is bad; bins of the calibration; labelled rows above a cut at least.
+PRECISION, BINS, LEAST = 0.95, 1000, 10
 FEWEST_WORDS, REPEATED_PERCENT = 50, 50
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -124,24 +124,29 @@ def anomaly(trees, x: np.ndarray, psi: int) -> np.ndarray:
     return 2.0 ** (-total / len(trees) / max(1e-9, _depth(psi)))
 
 
-def _anomalies(trees, psi: int):
+def _anomalies(trees, psi: int, middle: np.ndarray, spread: np.ndarray):
     def run(batches):
         for batch in batches:
             x = np.asarray(batch.column(6).flatten()).reshape(-1, FEATURES)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(anomaly(trees, x, psi))], ["doc_id", *STATS, "anomaly"])
+            z = (x - middle) / spread
+            far = np.abs(z).argmax(1) if len(z) else np.zeros(0, np.int64)
+            profile = 2 * far + (z[np.arange(len(z)), far] > 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(anomaly(trees, x, psi)), pa.array(profile.astype(np.int32))], ["doc_id", *STATS, "anomaly", "profile"])
     return run
 
 
-def calibrate(scored: DataFrame, labels: DataFrame) -> float:
-    """The lowest cut above which labelled rows are bad to PRECISION, from a histogram of BINS bins; 1 if there is none."""
+def calibrate(scored: DataFrame, labels: DataFrame) -> list[float]:
+    """For each profile the lowest cut above which labelled rows are bad to PRECISION, from a histogram of BINS bins; 2 if there is none."""
     bin_ = F.floor(F.col("anomaly") * BINS).cast("int").alias("bin")
-    rows = scored.join(labels, "doc_id").groupBy(bin_).agg(F.count_if(F.col("quality") == 0).alias("bad"), F.count("*").alias("n")).collect()  # BINS rows at most
-    bad, n, cut = 0, 0, 1.0
-    for r in sorted(rows, key=lambda r: -r.bin):
-        bad, n = bad + r.bad, n + r.n
-        if bad >= PRECISION * n:
-            cut = r.bin / BINS
-    return cut
+    rows = scored.join(labels, "doc_id").groupBy("profile", bin_).agg(F.count_if(F.col("quality") == 0).alias("bad"), F.count("*").alias("n")).collect()  # 2 * FEATURES * BINS rows at most
+    cuts = [2.0] * (2 * FEATURES)
+    for profile in range(2 * FEATURES):
+        bad = n = 0
+        for r in sorted((r for r in rows if r.profile == profile), key=lambda r: -r.bin):
+            bad, n = bad + r.bad, n + r.n
+            if n >= LEAST and bad >= PRECISION * n:
+                cuts[profile] = r.bin / BINS
+    return cuts
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -149,18 +154,20 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     stats = materialize(statistics(docs), "stats")
     fair = stats.where((F.col("n_words") >= FEWEST_WORDS) & (100 * F.col("n_repeat_words") <= REPEATED_PERCENT * F.col("n_words")))
     sample = fair.select("features").orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "n_words", "word_chars").limit(TREES * PSI).collect()
-    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, anomaly double"
+    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, anomaly double, profile int"
     if sample:
         x = np.array([r.features for r in sample])
         psi = min(PSI, max(2, len(x) // TREES))
         trees = grow(x)
-        scored = materialize(stats.mapInArrow(_anomalies(trees, psi), schema), "anomalies")
+        low, middle, high = np.quantile(x, [0.1, 0.5, 0.9], axis=0)
+        scored = materialize(stats.mapInArrow(_anomalies(trees, psi, middle, np.maximum(high - low, 1e-3)), schema), "anomalies")
         labels = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).where("doc_id is not null and quality in (0, 1)").distinct()
         failed = (F.col("n_words") < FEWEST_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_PERCENT * F.col("n_words"))
-        cut = calibrate(scored.where(~failed), labels)
+        cuts = calibrate(scored.where(~failed), labels)
     else:
-        scored, cut = stats.select("doc_id", *STATS, F.lit(0.0).alias("anomaly")), 1.0
+        scored, cuts = stats.select("doc_id", *STATS, F.lit(0.0).alias("anomaly"), F.lit(0).alias("profile")), [2.0]
     failed = (F.col("n_words") < FEWEST_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_PERCENT * F.col("n_words"))
+    cut = F.element_at(F.array(*map(F.lit, cuts)), F.col("profile") + 1)
     return scored.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") < cut))
 
 
