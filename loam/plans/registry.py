@@ -1,13 +1,13 @@
 """Queries on the fixture tables and their SQL."""
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from .queries import ORACLE, QUERIES, rrf_fusion
+
+__all__ = ["ORACLE", "QUERIES", "entry"]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    """Flagship: hybrid retrieval, two routes fused by rank."""
+    return rrf_fusion(spark, sf_dir)
