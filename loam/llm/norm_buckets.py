@@ -8,7 +8,7 @@ in the interval that the cosine allows), a low one by length alone; what is left
 Blocks are rows, so nothing is paired vector by vector, and every block is bounded. Each query block meets each candidate block once: that is
 the stated query set against all rows.
 
-Defined cases: vectors that are null or hold null, NaN or infinite components take no part, nor does a null vec_id; vectors of another number of components than a query's are no candidates of it;
+Defined cases: vectors that are null, empty or hold null, NaN or infinite components take no part, nor does a null vec_id; vectors of another number of components than a query's are no candidates of it;
 ties go to the smaller vec_id; a repeated vec_id is a candidate once for each row, but not for its own id; other columns are ignored.
 """
 from __future__ import annotations
@@ -29,7 +29,7 @@ HIGH = 0.8
 def quantized(vectors: DataFrame, scale: int = 256) -> DataFrame:
     """(vec_id, v, dims, bucket) of the valid vectors; bucket is larger for shorter vectors."""
     x = F.transform(F.col("embedding"), lambda c: c.cast("double"))
-    bad = F.exists("x", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
+    bad = (F.size("x") == 0) | F.exists("x", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     rows = vectors.select(F.col("vec_id").cast("long"), x.alias("x")).where(F.col("vec_id").isNotNull() & F.col("x").isNotNull()).where(~bad)
     v = F.transform("x", lambda c: F.floor(c * scale).cast("long"))
     square = F.aggregate(v, F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double"))
