@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, LongType
 
 
 def content_hash(c: Column) -> Column:
@@ -23,7 +24,7 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def simhash64(texts: pd.Series) -> pd.Series:
     """64-bit SimHash over BLAKE2b of each token occurrence, as a signed integer; 0 without tokens."""
     def one(value: str | None) -> int:
@@ -48,7 +49,7 @@ def python_hash_tokens(value: str | None) -> list[str]:
 
 def hash_embedding(c: Column, dim: int = 512) -> Column:
     """Signed token counts in dim places, by BLAKE2b, at unit length; zeros without tokens."""
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(ArrayType(FloatType()))
     def embed(texts: pd.Series) -> pd.Series:
         def one(value) -> list[float]:
             v = [0.0] * dim

@@ -65,7 +65,7 @@ def vuln_key(c: Column, prefix: str = "SRC") -> Column:
     """CVE ids in upper case; other identifiers of up to 32 characters as they are; else a slug with ten digits of the hash."""
     c = F.trim(c)
     slug = F.substring(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), 1, 12)
-    return F.when(is_cve(c), F.upper(c)).when((F.length(c) <= 32) & F.regexp_like(c, F.lit(r"^[A-Za-z0-9._:-]+$")), c).otherwise(F.substring(F.concat_ws("-", F.lit(prefix), slug, F.substring(F.sha2(c, 256), 1, 10)), 1, 32))
+    return F.when(c.isNull() | (c == ""), F.lit(None).cast("string")).when(is_cve(c), F.upper(c)).when((F.length(c) <= 32) & F.regexp_like(c, F.lit(r"^[A-Za-z0-9._:-]+$")), c).otherwise(F.substring(F.concat_ws("-", F.lit(prefix), slug, F.substring(F.sha2(c, 256), 1, 10)), 1, 32))
 
 
 def html_text(c: Column, most: int = 2000) -> Column:
