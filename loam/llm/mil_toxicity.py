@@ -20,7 +20,7 @@ from . import vectext as vt
 from .shared import table
 
 #: Labelled documents of each class that the fit reads at most.
-SAMPLE = 2000
+SAMPLE = 1500
 #: Hash space of words and as much of word beginnings; bytes in a beginning.
 SPACE, HEAD = 1 << 18, 4
 #: Documents that must hold a feature before it gets a weight.
@@ -60,16 +60,22 @@ def fit_weights(texts: list[str | None], labels: np.ndarray, rounds: int = 100)
     weights[-1] = -30.0
     if len(set(labels.tolist())) < 2:
         return weights
-    data, offs = vt.buffers(pa.array(texts, pa.string()))
-    feats, sentence, doc, _ = features(data, offs)
     n = len(texts)
+    seen = np.zeros(2 * SPACE, np.int32)
+    parts, docs, sentences = [], [], 0
+    for lo, _, data, offs in vt.slices(pa.array(texts, pa.string())):
+        feats, sentence, of_text, _ = features(data, offs)
+        flat, of = feats.ravel(), np.concatenate([sentence, sentence])
+        seen += np.bincount(np.unique(of_text[of] * (2 * SPACE) + flat) % (2 * SPACE), minlength=2 * SPACE).astype(np.int32)
+        parts.append((flat.astype(np.int32), (of + sentences).astype(np.int32)))
+        docs.append((of_text + lo).astype(np.int32))
+        sentences += len(of_text)
+    doc = np.concatenate(docs) if docs else np.zeros(0, np.int32)
+    parts = [(flat[keep], of[keep]) for flat, of in parts for keep in [seen[flat] >= SEEN]]
+    flat, of = (np.concatenate(x) for x in zip(*parts, strict=True))
     spans = vt.text_spans(doc, n)
-    flat, of = feats.ravel(), np.concatenate([sentence, sentence])
-    pairs = np.unique(doc[of].astype(np.int64) * (2 * SPACE) + flat)
-    seen = np.bincount(pairs % (2 * SPACE), minlength=2 * SPACE)
-    used = seen[flat] >= SEEN
-    names, flat = np.unique(flat[used], return_inverse=True)
-    of = of[used]
+    names = np.unique(flat)
+    flat = np.searchsorted(names, flat).astype(np.int32)
     w, b = np.zeros(len(names)), BIAS
     m, v = np.zeros(len(names)), np.zeros(len(names))
     weight = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum()))
