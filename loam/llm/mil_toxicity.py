@@ -1,10 +1,10 @@
 """Toxicity by multiple-instance learning.
 
-Only documents carry labels. Each sentence gets a logistic score from hashed word and word-beginning features, and a
+Only documents carry labels. Each sentence gets a logistic score from words and word beginnings, known by 64-bit hashes, and a
 document's score is the noisy-or of its sentences, 1 - prod(1 - p). Weights are trained on the document likelihood,
 so the sentences that explain a label are found on the way and are located in the result.
 
-Labels are learned from a bounded sample: SAMPLE labelled documents of each class, those with the least hash of doc_id.
+Labels are learned from a bounded sample: at most SAMPLE labelled documents of the two classes, those with the least hash of doc_id.
 Scoring covers every text.
 
 Defined cases: a null or empty text scores 0; without labels of both classes every text scores 0; rows may repeat; other columns are ignored.
@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 from . import vectext as vt
 from .shared import table
 
-#: Labelled documents of each class that the fit reads at most.
-SAMPLE = 1500
-#: Hash space of words and as much of word beginnings; bytes in a beginning.
-SPACE, HEAD = 1 << 18, 4
+#: Labelled documents that the fit reads at most: clean and toxic.
+SAMPLE = (3000, 1500)
+#: Bytes in the beginnings of a word.
+HEADS = (4, 5)
 #: Documents that must hold a feature before it gets a weight.
 SEEN = 8
 CUT = 0.7
@@ -35,17 +35,16 @@ _END[[ord(c) for c in ".!?\n"]] = True
 
 
 def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Two feature numbers and the sentence of each word, and the text of each sentence. Sentences without words don't count."""
+    """The feature hashes and the sentence of each word, and the text of each sentence. Sentences without words don't count."""
     low = vt.LOWER[data]
     starts, ends, doc = vt.words(low, offs, vt.NON_LETTER)
     whole = vt.hashes(low, starts, ends)
-    head = vt.hashes(low, starts, np.minimum(ends, starts + HEAD))
     stops = np.zeros(len(data) + 1, np.int64)
     np.cumsum(_END[data], out=stops[1:])
     new = np.ones(len(starts), bool)
     new[1:] = (stops[starts[1:]] != stops[starts[:-1]]) | (doc[1:] != doc[:-1])
     sentence = np.cumsum(new) - 1
-    feats = np.stack([(whole & np.uint64(SPACE - 1)).astype(np.int64), SPACE + (head & np.uint64(SPACE - 1)).astype(np.int64)])
+    feats = np.stack([whole, *(vt.hashes(low, starts, np.minimum(ends, starts + k)) ^ np.uint64(k << 56) for k in HEADS)])
     first = np.flatnonzero(new)
     return feats, sentence, doc[first] if len(first) else np.zeros(0, np.int64), starts[first] if len(first) else np.zeros(0, np.int64)
 
@@ -54,28 +53,36 @@ def _noisy_or(p: np.ndarray, spans: np.ndarray) -> np.ndarray:
     return -np.expm1(vt.sums_by(np.log1p(-np.minimum(p, 1 - 1e-12)), spans))
 
 
-def fit_weights(texts: list[str | None], labels: np.ndarray, rounds: int = 100) -> np.ndarray:
-    """Weights and, last, the bias, by full-batch Adam with shrinkage on the noisy-or likelihood."""
-    weights = np.zeros(2 * SPACE + 1)
-    weights[-1] = -30.0
-    if len(set(labels.tolist())) < 2:
-        return weights
+Model = tuple[np.ndarray, np.ndarray]
+
+
+def fit_weights(texts: list[str | None], labels: np.ndarray, rounds: int = 80) -> Model:
+    """Sorted hashes of the features that matter and their weights, by full-batch Adam with shrinkage on the noisy-or likelihood."""
     n = len(texts)
-    seen = np.zeros(2 * SPACE, np.int32)
-    parts, docs, sentences = [], [], 0
+    none = np.zeros(0, np.uint64), np.zeros(0)
+    if len(set(labels.tolist())) < 2:
+        return none
+    parts, docs, sentences, seen = [], [], 0, []
     for lo, _, data, offs in vt.slices(pa.array(texts, pa.string())):
         feats, sentence, of_text, _ = features(data, offs)
-        flat, of = feats.ravel(), np.concatenate([sentence, sentence])
-        seen += np.bincount(np.unique(of_text[of] * (2 * SPACE) + flat) % (2 * SPACE), minlength=2 * SPACE).astype(np.int32)
-        parts.append((flat.astype(np.int32), (of + sentences).astype(np.int32)))
+        flat, of = feats.ravel(), np.tile(sentence, len(feats))
+        order = np.lexsort((of_text[of], flat))
+        key, text = flat[order], of_text[of][order]
+        first = np.ones(len(key), bool)
+        first[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
+        seen.append(key[first])
+        parts.append((flat, (of + sentences).astype(np.int32)))
         docs.append((of_text + lo).astype(np.int32))
         sentences += len(of_text)
-    doc = np.concatenate(docs) if docs else np.zeros(0, np.int32)
-    parts = [(flat[keep], of[keep]) for flat, of in parts for keep in [seen[flat] >= SEEN]]
+    names, times = np.unique(np.concatenate(seen), return_counts=True)
+    names = names[times >= SEEN]
+    if not len(names):
+        return none
+    doc = np.concatenate(docs)
+    known = lambda flat: names[np.minimum(np.searchsorted(names, flat), len(names) - 1)] == flat
+    parts = [(np.searchsorted(names, flat[keep]).astype(np.int32), of[keep]) for flat, of in parts for keep in [known(flat)]]
     flat, of = (np.concatenate(x) for x in zip(*parts, strict=True))
     spans = vt.text_spans(doc, n)
-    names = np.unique(flat)
-    flat = np.searchsorted(names, flat).astype(np.int32)
     w, b = np.zeros(len(names)), BIAS
     m, v = np.zeros(len(names)), np.zeros(len(names))
     weight = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum()))
@@ -91,28 +98,39 @@ def fit_weights(texts: list[str | None], labels: np.ndarray, rounds: int = 100)
         w -= scale * m / (1 - 0.9 ** i)
         w = np.sign(w) * np.maximum(0, np.abs(w) - np.minimum(scale * 5e-4, 0.5))
     w[np.abs(w) < LIGHT] = 0  # else very long sentences add up what common words got by chance
-    weights[names], weights[-1] = w, b
-    return weights
+    return names[w != 0], w[w != 0]
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
-    """Weights from docs (doc_id, text) and labels (doc_id, toxic)."""
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """The model from docs (doc_id, text) and labels (doc_id, toxic)."""
     labels = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where("doc_id is not null and toxic in (0, 1)").distinct()
-    picked = [labels.where(f"toxic = {k}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE) for k in (0, 1)]
-    sample = F.broadcast(picked[0].union(picked[1]))  # at most 2 * SAMPLE rows
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(sample, "doc_id").orderBy("doc_id", "toxic").limit(2 * SAMPLE).collect()
+    picked = [labels.where(f"toxic = {k}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE[k]) for k in (0, 1)]
+    sample = F.broadcast(picked[0].union(picked[1]))  # at most sum(SAMPLE) rows
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(sample, "doc_id").orderBy("doc_id", "toxic").limit(sum(SAMPLE)).collect()
     return fit_weights([r.text for r in rows], np.array([r.toxic for r in rows], np.int64))
 
 
-def _score(weights: np.ndarray):
-    weights = weights.astype(np.float32)
+def _weights(model: Model, hashes: np.ndarray) -> np.ndarray:
+    """The weight of each feature; few match the small table of low bits and are looked up."""
+    names, w = model
+    out = np.zeros(len(hashes))
+    if len(names):
+        maybe = np.zeros(1 << 16, bool)
+        maybe[(names & np.uint64(0xFFFF)).astype(np.int64)] = True
+        at = np.flatnonzero(maybe[(hashes & np.uint64(0xFFFF)).astype(np.int64)])
+        place = np.minimum(np.searchsorted(names, hashes[at]), len(names) - 1)
+        out[at] = np.where(names[place] == hashes[at], w[place], 0)
+    return out
+
+
+def _score(model: Model):
 
     def run(batches):
         for batch in batches:
             for lo, hi, data, offs in vt.slices(batch.column(1)):
                 feats, sentence, doc, at = features(data, offs)
-                both = (weights[feats[0]] + weights[feats[1]]).astype(float)
-                z = np.clip(float(weights[-1]) + np.bincount(sentence, both, minlength=len(doc)), -30, 30)
+                both = sum(_weights(model, x) for x in feats)
+                z = np.clip(BIAS + np.bincount(sentence, both, minlength=len(doc)), -30, 30)
                 p = 1 / (1 + np.exp(-z)) if len(doc) else np.zeros(0)
                 score = np.clip(_noisy_or(p, vt.text_spans(doc, hi - lo)), 0, 1)
                 chars = np.zeros(len(data) + 1, np.int64)
@@ -125,13 +143,13 @@ def _score(weights: np.ndarray):
     return run
 
 
-def score(docs: DataFrame, weights: np.ndarray, held_out: Column) -> DataFrame:
+def score(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
     """(doc_id, held_out, score, predicted, sentences): sentences holds the first character of each offending sentence."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), held_out.alias("held_out")).mapInArrow(_score(weights), "doc_id long, held_out boolean, score double, predicted int, sentences array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), held_out.alias("held_out")).mapInArrow(_score(model), "doc_id long, held_out boolean, score double, predicted int, sentences array<long>")
 
 
-def _clean(weights: np.ndarray):
-    run_score = _score(weights)
+def _clean(model: Model):
+    run_score = _score(model)
 
     def run(batches):
         for batch in batches:
@@ -141,9 +159,9 @@ def _clean(weights: np.ndarray):
     return run
 
 
-def keep_clean(docs: DataFrame, weights: np.ndarray) -> DataFrame:
+def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs whose text isn't predicted toxic, in one pass without a join."""
-    return docs.mapInArrow(_clean(weights), docs.schema)
+    return docs.mapInArrow(_clean(model), docs.schema)
 
 
 def held_out_third() -> Column:
