@@ -20,7 +20,7 @@ from . import vectext as vt
 from .shared import table
 
 #: Labelled documents that the fit reads at most: clean and toxic.
-SAMPLE = (3000, 1500)
+SAMPLE = (2000, 1000)
 #: Bytes in the beginnings of a word.
 HEADS = (4, 5)
 #: Documents that must hold a feature before it gets a weight.
@@ -62,25 +62,32 @@ def fit_weights(texts: list[str | None], labels: np.ndarray, rounds: int = 80) -
     none = np.zeros(0, np.uint64), np.zeros(0)
     if len(set(labels.tolist())) < 2:
         return none
-    parts, docs, sentences, seen = [], [], 0, []
-    for lo, _, data, offs in vt.slices(pa.array(texts, pa.string())):
+    every = pa.array(texts, pa.string())
+    seen = []
+    for _, _, data, offs in vt.slices(every):
         feats, sentence, of_text, _ = features(data, offs)
-        flat, of = feats.ravel(), np.tile(sentence, len(feats))
-        order = np.lexsort((of_text[of], flat))
-        key, text = flat[order], of_text[of][order]
+        key, text = feats.ravel(), np.tile(of_text[sentence], len(feats))
+        order = np.lexsort((text, key))
+        key, text = key[order], text[order]
         first = np.ones(len(key), bool)
         first[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
         seen.append(key[first])
-        parts.append((flat, (of + sentences).astype(np.int32)))
-        docs.append((of_text + lo).astype(np.int32))
-        sentences += len(of_text)
     names, times = np.unique(np.concatenate(seen), return_counts=True)
     names = names[times >= SEEN]
+    del seen
     if not len(names):
         return none
+    # a second pass over the texts costs less memory than all features of the first
+    parts, docs, sentences = [], [], 0
+    for lo, _, data, offs in vt.slices(every):
+        feats, sentence, of_text, _ = features(data, offs)
+        flat, of = feats.ravel(), np.tile(sentence, len(feats))
+        place = np.minimum(np.searchsorted(names, flat), len(names) - 1)
+        keep = names[place] == flat
+        parts.append((place[keep].astype(np.int32), (of[keep] + sentences).astype(np.int32)))
+        docs.append((of_text + lo).astype(np.int32))
+        sentences += len(of_text)
     doc = np.concatenate(docs)
-    known = lambda flat: names[np.minimum(np.searchsorted(names, flat), len(names) - 1)] == flat
-    parts = [(np.searchsorted(names, flat[keep]).astype(np.int32), of[keep]) for flat, of in parts for keep in [known(flat)]]
     flat, of = (np.concatenate(x) for x in zip(*parts, strict=True))
     spans = vt.text_spans(doc, n)
     w, b = np.zeros(len(names)), BIAS
