@@ -11,11 +11,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model doesn't predict toxic; a document labelled toxic goes as well."""
-    labels = table(spark, sf_dir, "labels")
-    kept = mil_toxicity.keep_clean(docs, mil_toxicity.fit(docs, labels))
-    marked = labels.where("toxic = 1").select(F.col("doc_id").cast("long")).distinct()
-    return kept.join(marked, "doc_id", "left_anti").select(*COLUMNS)
+    """Documents that the model doesn't predict toxic."""
+    return mil_toxicity.keep_clean(docs, mil_toxicity.fit(docs, table(spark, sf_dir, "labels"))).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,11 +28,11 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: each whole pass is a row, and a part of at least half the document one more."""
-    mixed = apportion.mix(docs, [1, 2, 3]).where("taken > 0")
-    times = F.greatest(F.floor(F.col("taken") / F.col("size") + 0.5).cast("int"), F.lit(0))
-    mixed = mixed.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), times.alias("times")).where("times > 0").groupBy("d", "k").agg(F.sum("times").cast("int").alias("times"))
-    rows = docs.withColumn("k_", F.xxhash64(F.col("text").cast("string"))).dropDuplicates(["doc_id", "k_"])
+    """Documents as often as the mix takes them: each whole pass is a row, and a part of at least half the document one more. Rows that agree in doc_id and text share what they got evenly."""
+    mixed = apportion.mix(docs, [1, 2, 3])
+    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(F.lit(0))
+    mixed = mixed.groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).agg(F.floor(F.avg(times) + 0.5).cast("int").alias("times")).where("times > 0")
+    rows = docs.withColumn("k_", F.xxhash64(F.col("text").cast("string")))
     rows = rows.join(mixed, rows.doc_id.eqNullSafe(mixed.d) & (rows.k_ == mixed.k))
     return rows.withColumn("i", F.explode(F.sequence(F.lit(1), "times"))).select(*COLUMNS)
 
