@@ -153,7 +153,11 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per row of docs (doc_id, text): statistics, anomaly, base_failed, kept. labels: (doc_id, quality)."""
     stats = materialize(statistics(docs), "stats")
     fair = stats.where((F.col("n_words") >= FEWEST_WORDS) & (100 * F.col("n_repeat_words") <= REPEATED_PERCENT * F.col("n_words")))
-    sample = fair.select("features").orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "n_words", "word_chars").limit(TREES * PSI).collect()
+    # rows with low hashes, half more than needed, so that no task sends a full sample of its own to the driver
+    rank = F.xxhash64(F.lit(SEED), "doc_id", "n_words", "word_chars")
+    share = min(1.0, 1.5 * TREES * PSI / max(1, fair.count()))
+    low = fair.where(F.pmod(rank, F.lit(1 << 30)) < int(share * (1 << 30)))
+    sample = low.select("features").orderBy(F.pmod(rank, F.lit(1 << 30)), "doc_id", "n_words", "word_chars").limit(TREES * PSI).collect()
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, anomaly double, profile int"
     if sample:
         x = np.array([r.features for r in sample])
