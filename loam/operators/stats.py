@@ -15,7 +15,7 @@ def fixed_counts(df: DataFrame, label: Column, keys: list[str]) -> DataFrame:
 
 def exploded_counts(df: DataFrame, values: Column) -> DataFrame:
     """(label, n) over the elements of an array column; blanks go, repeats count."""
-    rows = df.select(F.lower(F.trim(F.explode(values))).alias("label"))
+    rows = df.select(F.explode(values).alias("label")).select(F.lower(F.trim("label")).alias("label"))
     return rows.where("label <> ''").groupBy("label").agg(F.count("*").alias("n"))
 
 
