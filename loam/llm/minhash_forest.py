@@ -5,9 +5,9 @@ one-permutation MinHash signature. Equal sets collapse to one class first, so gr
 row each. Every class then enters TREES sorted orders, each over its own order of signature values. A range
 partitioning by the whole sort key keeps any dense region spread over tasks. Within a sorted run that shares
 a prefix, small runs give all their pairs; larger ones are split by longer prefixes, and there each
-row also meets its longest-common-prefix neighbours. Candidates are verified on full sets, components are found by
-distributed label propagation, and pairs of large runs that lie in different components are visited
-again until none is left unverified.
+row also meets its longest-common-prefix neighbours. Candidates are verified on full sets and components are found by
+distributed label propagation. Runs that stay large at full depth are then joined with themselves, but only
+where they hold more than one component, so every pair in them that could still join two components is verified.
 
 Defined cases: a null or empty text, or one without words, has an empty set and is linked with nothing; rows that
 repeat a doc_id are one node; a null doc_id gets a null component and is kept; other columns are ignored.
@@ -105,11 +105,13 @@ def _pairs_of(run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _candidates(batches):
-    """Over one range of the sorted trees: pairs of small runs, and neighbours in large ones, going deeper where a region is dense."""
+    """Over one range of the sorted trees: pairs of small runs, and neighbours in large ones, going deeper where a region is dense.
+    Runs still large at full depth name their members as rows (id, null, run)."""
     rest: list[np.ndarray] = []
 
     def emit(rows: np.ndarray):
         out: list[tuple[np.ndarray, np.ndarray]] = []
+        dense: list[tuple[int, int]] = []
 
         def deeper(lo: int, hi: int, depth: int) -> None:
             if hi - lo <= RUN:
@@ -120,6 +122,8 @@ def _candidates(batches):
                 for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                     if b - a > 1:
                         deeper(a, b, depth + 1)
+            else:
+                dense.append((lo, hi))
 
         same = (rows[1:, 0] == rows[:-1, 0]) & (rows[1:, 1] == rows[:-1, 1])
         cuts = np.concatenate([[0], 1 + np.flatnonzero(~same), [len(rows)]])
@@ -135,7 +139,10 @@ def _candidates(batches):
             x, y = (np.concatenate(v) for v in zip(*out, strict=True))
             keep = x != y
             x, y = x[keep], y[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.nulls(len(x), pa.int64())], ["a", "b", "run"])
+        for lo, hi in dense:
+            run = int(vt.mix(vt.mix(vt.mix(rows[lo:lo + 1, 0].view(np.uint64)) ^ rows[lo:lo + 1, 1].view(np.uint64)) ^ rows[lo:lo + 1, 2].view(np.uint64)).view(np.int64)[0])
+            yield pa.RecordBatch.from_arrays([pa.array(rows[lo:hi, 4]), pa.nulls(hi - lo, pa.int64()), pa.array(np.full(hi - lo, run))], ["a", "b", "run"])
 
     for batch in batches:
         rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)], 1)
@@ -188,35 +195,17 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
-def _big_pairs(batches):
-    """Rows of large runs with their components, one run after another: pairs from different components, in blocks."""
-    rest: list[np.ndarray] = []
-
-    def emit(rows):
-        same = (rows[1:, 0] == rows[:-1, 0]) & (rows[1:, 1] == rows[:-1, 1])
-        cuts = [0, *(1 + np.flatnonzero(~same)).tolist(), len(rows)]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            run = rows[a:b]
-            run = run[np.argsort(run[:, 3], kind="stable")]
-            group = np.flatnonzero(np.diff(run[:, 3], prepend=run[0, 3] - 1))
-            for g, lo in enumerate(group.tolist()):
-                hi = int(group[g + 1]) if g + 1 < len(group) else len(run)
-                others = run[hi:, 2]
-                for i in range(lo, hi if len(others) else lo):
-                    x = np.full(len(others), run[i, 2])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, others)), pa.array(np.maximum(x, others))], ["a", "b"])
-
-    for batch in batches:
-        rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)], 1)
-        if len(rows):
-            rows = np.concatenate([*rest, rows])
-            last = np.flatnonzero((rows[:, 0] != rows[-1, 0]) | (rows[:, 1] != rows[-1, 1]))
-            cut = int(last[-1]) + 1 if len(last) else 0
-            if cut:
-                yield from emit(rows[:cut])
-            rest = [rows[cut:]]
-    if rest:
-        yield from emit(np.concatenate(rest))
+def dense_pairs(dense: DataFrame, found: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) inside the dense runs (run, id) that would still join two components, where the set sizes allow a link.
+    Most runs are one component by now and drop out; in the others, only rows outside the largest component look for partners."""
+    rows = dense.join(found, "id", "left").join(sizes, "id").select("run", "id", F.coalesce("component", "id").alias("component"), "n")
+    counts = rows.groupBy("run", "component").count()
+    mixed = counts.groupBy("run").agg(F.max_by("component", F.struct("count", "component")).alias("largest"), F.count("*").alias("parts")).where("parts > 1").select("run", "largest")
+    rows = rows.join(mixed, "run")
+    x = rows.where("component <> largest").select("run", F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"))
+    y = rows.select("run", F.col("id").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"))
+    met = x.join(y, "run").where(f"cx <> cy and 100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -224,13 +213,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     signed = materialize(docs.mapInArrow(_sign(width), "doc_id long, n_shingles long, k1 long, k2 long, sig binary"), "signed")
     some = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = some.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig"))
-    classes = materialize(classes.select("rep", "sig", "k1", "k2"), "classes")
+    classes = some.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig"), F.min("n_shingles").alias("n"))
+    classes = materialize(classes.select("rep", "sig", "k1", "k2", "n"), "classes")
     trees = classes.select("rep", "sig").mapInArrow(_grow, "tree byte, k1 long, k2 long, tie long, id long")
     shuffles = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = trees.repartitionByRange(shuffles, "tree", "k1", "k2", "tie").sortWithinPartitions("tree", "k1", "k2", "tie")
     # a pair of similarity 0.8 meets in at least two of the trees but once in about 10**6
-    pairs = materialize(ordered.mapInArrow(_candidates, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("trees")), "pairs")
+    met = materialize(ordered.mapInArrow(_candidates, "a long, b long, run long").groupBy("a", "b", "run").agg(F.count("*").alias("trees")), "pairs")
+    pairs = met.where("run is null").select("a", "b", "trees")
     best = Window.partitionBy("a").orderBy(F.desc("trees"), "b")
     ranked = pairs.withColumn("nth", F.row_number().over(best))
     first = materialize(links(docs, ranked.where("nth <= 3").select("a", "b"), width, percent), "links")
@@ -238,6 +228,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     # what the first round left: pairs that would join two components
     ca, cb = found.select(F.col("id").alias("a"), F.col("component").alias("ca")), found.select(F.col("id").alias("b"), F.col("component").alias("cb"))
     left = ranked.where("nth > 3").join(ca, "a", "left").join(cb, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+    dense = met.where("run is not null").select("run", F.col("a").alias("id"))
+    left = left.union(dense_pairs(dense, found, classes.select(F.col("rep").alias("id"), "n"), percent)).distinct()
     second = materialize(links(docs, left, width, percent), "links")
     edges = first.union(second)
     if second.limit(1).count():

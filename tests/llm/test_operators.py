@@ -80,6 +80,14 @@ def test_large_groups_of_near_copies(spark):
     assert {r.component_id for r in got} == {0}
 
 
+def test_dense_runs_join_what_is_apart(spark):
+    dense = spark.createDataFrame([(7, i) for i in range(1, 7)] + [(8, 1), (8, 2)], "run long, id long")
+    found = spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "id long, component long")
+    sizes = spark.createDataFrame([(1, 100), (2, 100), (3, 70), (4, 90), (5, 100), (6, 10)], "id long, n long")
+    got = {(r.a, r.b) for r in minhash_forest.dense_pairs(dense, found, sizes, 80).collect()}
+    assert got == {(1, 4), (2, 4), (1, 5), (2, 5), (4, 5)}
+
+
 def test_language(docs, empty):
     model = ngram_bloom.fit(docs.unionByName(docs).unionByName(docs).unionByName(docs).unionByName(docs).where("lang is not null"))
     got = ngram_bloom.predict(docs, model, F.lit(False))
