@@ -25,6 +25,8 @@ SAMPLE = (3000, 1500)
 HEADS = (4, 5)
 #: Documents that must hold a feature before it gets a weight.
 SEEN = 8
+#: Bytes of text that the fit holds features of at a time.
+SLICE = 1 << 18
 CUT = 0.7
 #: Fixed log-odds of a sentence without weighted words, low enough that thousands of them stay clean.
 BIAS = -10.0
@@ -64,7 +66,7 @@ def fit_weights(texts: list[str | None], labels: np.ndarray, rounds: int = 80) -
         return none
     every = pa.array(texts, pa.string())
     seen = []
-    for _, _, data, offs in vt.slices(every):
+    for _, _, data, offs in vt.slices(every, SLICE):
         feats, sentence, of_text, _ = features(data, offs)
         key, text = feats.ravel(), np.tile(of_text[sentence], len(feats))
         order = np.lexsort((text, key))
@@ -79,7 +81,7 @@ def fit_weights(texts: list[str | None], labels: np.ndarray, rounds: int = 80) -
         return none
     # a second pass over the texts costs less memory than all features of the first
     parts, docs, sentences = [], [], 0
-    for lo, _, data, offs in vt.slices(every):
+    for lo, _, data, offs in vt.slices(every, SLICE):
         feats, sentence, of_text, _ = features(data, offs)
         flat, of = feats.ravel(), np.tile(sentence, len(feats))
         place = np.minimum(np.searchsorted(names, flat), len(names) - 1)
@@ -88,17 +90,16 @@ def fit_weights(texts: list[str | None], labels: np.ndarray, rounds: int = 80) -
         docs.append((of_text + lo).astype(np.int32))
         sentences += len(of_text)
     doc = np.concatenate(docs)
-    flat, of = (np.concatenate(x) for x in zip(*parts, strict=True))
     spans = vt.text_spans(doc, n)
     w, b = np.zeros(len(names)), BIAS
     m, v = np.zeros(len(names)), np.zeros(len(names))
     weight = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum()))
     for i in range(1, rounds + 1):
-        z = np.clip(b + np.bincount(of, w[flat], minlength=len(doc)), -30, 30)
+        z = np.clip(b + sum(np.bincount(of, w[flat], minlength=len(doc)) for flat, of in parts), -30, 30)
         p = 1 / (1 + np.exp(-z))
         whole = np.clip(_noisy_or(p, spans), 1e-9, 1 - 1e-9)
         g = (weight * np.where(labels == 1, -(1 - whole) / whole, 1.0))[doc] * p
-        gw = np.bincount(flat, g[of], minlength=len(names))
+        gw = sum(np.bincount(flat, g[of], minlength=len(names)) for flat, of in parts)
         m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw
         rate = 0.5
         scale = rate / (np.sqrt(v / (1 - 0.99 ** i)) + 2e-4)
