@@ -11,8 +11,12 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model doesn't predict toxic."""
-    return mil_toxicity.keep_clean(docs, mil_toxicity.fit(docs, table(spark, sf_dir, "labels"))).select(*COLUMNS)
+    """Documents that the model doesn't predict toxic; a document labelled toxic goes as well."""
+    labels = table(spark, sf_dir, "labels")
+    kept = mil_toxicity.keep_clean(docs, mil_toxicity.fit(docs, labels))
+    # a written table of ids has a known size: while it is small the texts stay in place, else they are shuffled once
+    marked = materialize(labels.where("toxic = 1").select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct(), "marked")
+    return kept.join(marked, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

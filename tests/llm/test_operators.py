@@ -277,3 +277,13 @@ def test_pipeline(spark):
     assert four.columns == docs.columns and {r.doc_id for r in four.collect()} <= kept
     assert corpus_pipeline.encode(spark, four, sf).count() == four.count()
     assert [zlib.crc32(b""), hashlib.sha256(b"").hexdigest()[:4]] == [0, "e3b0"]
+
+
+def test_labelled_toxic_documents_go(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(i, f"plain words {i}", "en", "s", 13) for i in (1, 2, 3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    # labels of one class fit no model, so only the labels can remove a document
+    spark.createDataFrame([(2, 0, 1), (2, 1, 1), (9, 0, 1), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert ids(corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))) == Counter([1, 3, None])
