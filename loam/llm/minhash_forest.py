@@ -6,8 +6,8 @@ row each. Every class then enters TREES sorted orders, each over its own order o
 partitioning by the whole sort key keeps any dense region spread over tasks. Within a sorted run that shares
 a prefix, small runs give all their pairs; larger ones are split by longer prefixes, and there each
 row also meets its longest-common-prefix neighbours. Candidates are verified on full sets and components are found by
-distributed label propagation. Runs that stay large at full depth are then joined with themselves, but only
-where they hold more than one component, so every pair in them that could still join two components is verified.
+distributed label propagation. Every run that is large at four values, or may go on in another task, is then joined with
+itself, but only where it holds more than one component, so every pair in it that could still join two components is verified.
 
 Defined cases: a null or empty text, or one without words, has an empty set and is linked with nothing; rows that
 repeat a doc_id are one node; a null doc_id gets a null component and is kept; other columns are ignored.
@@ -27,8 +27,10 @@ from . import vectext as vt
 from .shared import materialize, table
 
 VALUES, TREES, DEPTH = 128, 32, 8
-#: Runs of so many rows give all their pairs; larger ones go deeper.
+#: Runs of so many rows give all their pairs at once; larger ones go deeper first, and give the rest once components are known.
 RUN = 48
+#: Rows of a large run that look for partners in one group.
+BLOCK = 256
 _STEPS = np.random.default_rng(11).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 #: For each value, the order in which filled values are looked for when it is empty.
 _FILL = np.stack([np.random.default_rng(100 + i).permutation(VALUES) for i in range(VALUES)])
@@ -106,12 +108,11 @@ def _pairs_of(run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _candidates(batches):
     """Over one range of the sorted trees: pairs of small runs, and neighbours in large ones, going deeper where a region is dense.
-    Runs still large at full depth name their members as rows (id, null, run)."""
+    Large runs, and those at either end of a piece, name their members as rows (id, null, run); pieces of a run share its name."""
     rest: list[np.ndarray] = []
 
-    def emit(rows: np.ndarray):
+    def emit(rows: np.ndarray, begins: bool, ends: bool):
         out: list[tuple[np.ndarray, np.ndarray]] = []
-        dense: list[tuple[int, int]] = []
 
         def deeper(lo: int, hi: int, depth: int) -> None:
             if hi - lo <= RUN:
@@ -122,8 +123,6 @@ def _candidates(batches):
                 for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                     if b - a > 1:
                         deeper(a, b, depth + 1)
-            else:
-                dense.append((lo, hi))
 
         same = (rows[1:, 0] == rows[:-1, 0]) & (rows[1:, 1] == rows[:-1, 1])
         cuts = np.concatenate([[0], 1 + np.flatnonzero(~same), [len(rows)]])
@@ -140,10 +139,15 @@ def _candidates(batches):
             keep = x != y
             x, y = x[keep], y[keep]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.nulls(len(x), pa.int64())], ["a", "b", "run"])
-        for lo, hi in dense:
-            run = int(vt.mix(vt.mix(vt.mix(rows[lo:lo + 1, 0].view(np.uint64)) ^ rows[lo:lo + 1, 1].view(np.uint64)) ^ rows[lo:lo + 1, 2].view(np.uint64)).view(np.int64)[0])
-            yield pa.RecordBatch.from_arrays([pa.array(rows[lo:hi, 4]), pa.nulls(hi - lo, pa.int64()), pa.array(np.full(hi - lo, run))], ["a", "b", "run"])
-
+        named = size > RUN
+        named[0] |= begins
+        named[-1] |= ends
+        rows = rows[np.repeat(named, size)]
+        if len(rows):
+            run = vt.mix(vt.mix(rows[:, 0].astype(np.uint64)) ^ rows[:, 1].astype(np.uint64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[:, 4]), pa.nulls(len(rows), pa.int64()), pa.array(run)], ["a", "b", "run"])
+
+    begins = True
     for batch in batches:
         rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)], 1)
         if not len(rows):
@@ -153,14 +157,15 @@ def _candidates(batches):
         cut = int(last[-1]) + 1 if len(last) else 0
         # an open run waits for its end; a dense one is handed on in pieces that overlap by a row
         if len(rows) - cut > 200_000:
-            yield from emit(rows)
-            rest = [rows[-1:]]
+            yield from emit(rows, begins, True)
+            rest, begins = [rows[-1:]], True
         else:
             if cut:
-                yield from emit(rows[:cut])
+                yield from emit(rows[:cut], begins, False)
+                begins = False
             rest = [rows[cut:]]
     if rest:
-        yield from emit(np.concatenate(rest))
+        yield from emit(np.concatenate(rest), begins, True)
 
 
 def _verify(width: int, percent: int):
@@ -195,16 +200,27 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
-def dense_pairs(dense: DataFrame, found: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (a, b) of two components."""
+    ca, cb = found.select(F.col("id").alias("a"), F.col("component").alias("ca")), found.select(F.col("id").alias("b"), F.col("component").alias("cb"))
+    return pairs.join(ca, "a", "left").join(cb, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+
+
+def dense_pairs(dense: DataFrame, found: DataFrame, sizes: DataFrame, percent: int, few: bool = False) -> DataFrame:
     """Pairs (a, b) inside the dense runs (run, id) that would still join two components, where the set sizes allow a link.
-    Most runs are one component by now and drop out; in the others, only rows outside the largest component look for partners."""
+    Most runs are one component by now and drop out; in the others, only rows outside the largest component look for partners, BLOCK of them in a group.
+    With few, they only meet two rows of the largest component, which joins most of what belongs together before all pairs are met."""
     rows = dense.join(found, "id", "left").join(sizes, "id").select("run", "id", F.coalesce("component", "id").alias("component"), "n")
     counts = rows.groupBy("run", "component").count()
-    mixed = counts.groupBy("run").agg(F.max_by("component", F.struct("count", "component")).alias("largest"), F.count("*").alias("parts")).where("parts > 1").select("run", "largest")
-    rows = rows.join(mixed, "run")
-    x = rows.where("component <> largest").select("run", F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"))
-    y = rows.select("run", F.col("id").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"))
-    met = x.join(y, "run").where(f"cx <> cy and 100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
+    mixed = counts.groupBy("run").agg(F.max_by("component", F.struct("count", "component")).alias("largest"), F.count("*").alias("parts"), (F.sum("count") - F.max("count")).alias("apart")).where("parts > 1")
+    if few:
+        ends = rows.join(mixed.select("run", "largest"), "run").where("component = largest").groupBy("run", "largest").agg(F.array_distinct(F.array(F.min_by("id", F.xxhash64("id")), F.max_by("id", F.xxhash64("id")))).alias("ids"))
+        met = rows.join(ends, "run").where("component <> largest").select("id", F.explode("ids").alias("y"))
+        return met.select(F.least("id", "y").alias("a"), F.greatest("id", "y").alias("b"))
+    rows = rows.join(mixed.select("run", "largest", F.ceil(F.col("apart") / BLOCK).cast("int").alias("blocks")), "run")
+    x = rows.where("component <> largest").select("run", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"))
+    y = rows.select("run", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("id").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), (F.col("component") == F.col("largest")).alias("most"))
+    met = x.join(y, ["run", "block"]).where(f"cx <> cy and (most or x < y) and 100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
@@ -223,17 +239,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     pairs = met.where("run is null").select("a", "b", "trees")
     best = Window.partitionBy("a").orderBy(F.desc("trees"), "b")
     ranked = pairs.withColumn("nth", F.row_number().over(best))
-    first = materialize(links(docs, ranked.where("nth <= 3").select("a", "b"), width, percent), "links")
-    found = components(first)
-    # what the first round left: pairs that would join two components
-    ca, cb = found.select(F.col("id").alias("a"), F.col("component").alias("ca")), found.select(F.col("id").alias("b"), F.col("component").alias("cb"))
-    left = ranked.where("nth > 3").join(ca, "a", "left").join(cb, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+    edges = materialize(links(docs, ranked.where("nth <= 3").select("a", "b"), width, percent), "links")
+    found = components(edges)
+    # what the first round left: pairs that would join two components; each round leaves fewer to the next, dearer one
+    sizes = classes.select(F.col("rep").alias("id"), "n")
     dense = met.where("run is not null").select("run", F.col("a").alias("id"))
-    left = left.union(dense_pairs(dense, found, classes.select(F.col("rep").alias("id"), "n"), percent)).distinct()
-    second = materialize(links(docs, left, width, percent), "links")
-    edges = first.union(second)
-    if second.limit(1).count():
-        found = components(edges)
+    rest = ranked.where("nth > 3").select("a", "b")
+    for pairs in (lambda: apart(rest, found), lambda: dense_pairs(dense, found, sizes, percent, few=True), lambda: dense_pairs(dense, found, sizes, percent)):
+        more = materialize(links(docs, pairs().distinct(), width, percent), "links")
+        if more.limit(1).count():
+            edges = edges.union(more)
+            found = components(edges)
     reps = classes.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
     out = signed.join(reps, ["k1", "k2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))

@@ -287,3 +287,18 @@ def test_labelled_toxic_documents_go(spark, tmp_path):
     # labels of one class fit no model, so only the labels can remove a document
     spark.createDataFrame([(2, 0, 1), (2, 1, 1), (9, 0, 1), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert ids(corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))) == Counter([1, 3, None])
+
+
+def test_forest_meets_every_pair_of_a_large_run():
+    import pyarrow as pa
+
+    # 120 rows agree in four values and part in the fifth; the run lies in two tasks
+    rows = [(0, 5, 0, 0, 900)] + [(3, 7, i << 48, i, i) for i in range(120)] + [(3, 8, 0, 0, 901), (3, 8, 0, 1, 902), (3, 9, 0, 0, 903)]
+    names = ["tree", "k1", "k2", "tie", "id"]
+    pieces = [rows[:60], rows[60:]]
+    met, runs = set(), {}
+    for piece in pieces:
+        for b in minhash_forest._candidates(iter([pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*piece, strict=True)], names)])):
+            for r in b.to_pylist():
+                met.add((r["a"], r["b"])) if r["b"] is not None else runs.setdefault(r["run"], set()).add(r["a"])
+    assert set(range(120)) in runs.values() and (901, 902) in met
