@@ -1,6 +1,10 @@
 """Entity resolution: keys, merges, first and last by key, near duplicates."""
 from __future__ import annotations
 
+import tempfile
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,3 +69,51 @@ def leader_clusters(prints: DataFrame, group: str, key: str, threshold: int) ->
             out.append(k if hit is None else hit)
         return rows[[key]].assign(leader=out)
     return prints.groupBy(group).applyInPandas(walk, f"{key} long, leader long")
+
+
+def _written(df: DataFrame) -> DataFrame:
+    """df written to the shared checkpoint folder and read back."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
+
+
+def _first_leader(prints: np.ndarray, leaders: np.ndarray, threshold: int) -> np.ndarray:
+    """For each fingerprint the number of the first leader within threshold bits, or -1."""
+    out, left = np.full(len(prints), -1, np.int64), np.arange(len(prints))
+    for lo in range(0, len(leaders), 64):
+        near = np.bitwise_count(prints[left, None] ^ leaders[None, lo:lo + 64]) <= threshold
+        hit = near.any(1)
+        out[left[hit]] = lo + near[hit].argmax(1)
+        left = left[~hit]
+    return out
+
+
+def leader_clusters_over_all(prints: DataFrame, key: str, threshold: int, step: int = 4096) -> DataFrame:
+    """(key, leader): in order of key, a row joins the first leader within threshold bits, else leads. Equal fingerprints share their first row's leader, so each is walked once.
+    A round walks the first `step` open fingerprints on the driver, then every other open one is held against the leaders that were found, in tasks of even size."""
+    rows = prints.select(F.col(key).cast("long").alias("k"), "fingerprint")
+    open_ = _written(rows.groupBy("fingerprint").agg(F.coalesce(F.min("k"), F.lit((1 << 63) - 1)).alias("at")))
+    done = None
+    while first := open_.orderBy("at", "fingerprint").limit(step).collect():  # at most step rows
+        found: list[tuple[int, int]] = []
+        values = np.zeros(len(first), np.uint64)
+        for r in first:
+            if not len(found) or not (np.bitwise_count(values[:len(found)] ^ np.uint64(r.fingerprint)) <= threshold).any():
+                values[len(found)] = r.fingerprint
+                found.append((r.fingerprint, r.at))
+        leaders, ats = values[:len(found)].copy(), np.array([at for _, at in found], np.int64)
+
+        def settle(batches, leaders=leaders, ats=ats):
+            for batch in batches:
+                hit = _first_leader(batch.column(0).to_numpy().astype(np.uint64), leaders, threshold)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ats[np.maximum(hit, 0)], mask=hit < 0)], ["fingerprint", "at", "leader"])
+
+        round_ = _written(open_.select("fingerprint", "at").mapInArrow(settle, "fingerprint long, at long, leader long"))
+        settled = round_.where("leader is not null").select("fingerprint", "leader")
+        done = settled if done is None else done.union(settled)
+        open_ = round_.where("leader is null").select("fingerprint", "at")
+    if done is None:
+        return rows.select(F.col("k").alias(key), F.col("k").alias("leader"))
+    return rows.join(done, "fingerprint").select(F.col("k").alias(key), F.nullif("leader", F.lit((1 << 63) - 1)).alias("leader"))

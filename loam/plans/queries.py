@@ -232,9 +232,7 @@ def near_dup_pairs(spark, d):
 
 @query()
 def leader_clusters(spark, d):
-    docs = t(spark, d, "documents")
-    prints = resolve.simhash60(docs, "doc_id", "text").join(docs.select("doc_id", "lang", F.pmod(F.xxhash64("source"), F.lit(64)).alias("part")), "doc_id")
-    return resolve.leader_clusters(prints.withColumn("group", F.concat_ws("/", "lang", "part")).select("group", "doc_id", "fingerprint"), "group", "doc_id", 15)
+    return resolve.leader_clusters_over_all(resolve.simhash60(t(spark, d, "documents"), "doc_id", "text"), "doc_id", 15)
 
 
 _WORDS = ["tion", "the", "quell", "ment"]

@@ -2,6 +2,7 @@
 import duckdb
 import pytest
 
+from loam.operators import resolve
 from loam.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -35,3 +36,16 @@ def test_entry_module(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+def test_leader_clusters_walk_all_rows(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = sorted((r.doc_id, r.fingerprint) for r in resolve.simhash60(docs, "doc_id", "text").collect())
+    want, leaders = {}, []
+    for k, f in rows:
+        want[k] = next((x for x, g in leaders if (f ^ g).bit_count() <= 15), k)
+        if want[k] == k:
+            leaders.append((k, f))
+    assert {r.doc_id: r.leader for r in registry.QUERIES["leader_clusters"](spark, SF).collect()} == want
+    got = resolve.leader_clusters_over_all(spark.createDataFrame(rows, "doc_id long, fingerprint long"), "doc_id", 15, step=3)
+    assert {r.doc_id: r.leader for r in got.collect()} == want
