@@ -42,6 +42,13 @@ def siblings(df: DataFrame, key: str, shared: str, most: int) -> DataFrame:
     return kept.select(shared, F.col(key).alias("a")).join(kept.select(shared, F.col(key).alias("b")), shared).where(F.col("a") != F.col("b"))
 
 
+def heavy(df: DataFrame, key: str, shared: str, most: int) -> DataFrame:
+    """(shared, key, n): the members of each value with more than `most` keys and their number, a row per key; any two of a value are siblings. With `siblings`, no link is lost."""
+    once = df.select(key, shared).distinct()
+    large = once.groupBy(shared).agg(F.count("*").alias("n")).where(F.col("n") > most)
+    return once.join(large, shared).select(shared, key, "n")
+
+
 def overview(node_rows: DataFrame, edge_rows: DataFrame, first: str, most: int) -> tuple[DataFrame, DataFrame]:
     """At most `most` nodes, those of one label first, and the edges between them."""
     kept = node_rows.orderBy(F.col("label") != first, "label", "key").limit(most)

@@ -322,6 +322,12 @@ def shared_technique_siblings(spark, d):
     return graph.siblings(t(spark, d, "supplier"), "s_suppkey", "s_nationkey", 200)
 
 
+@query("""select s_nationkey, s_suppkey, n from (select s_nationkey, s_suppkey, count(*) over (partition by s_nationkey) as n from (select distinct s_nationkey, s_suppkey from supplier where s_nationkey is not null)) where n > 200""")
+def shared_technique_heavy(spark, d):
+    """The links that shared_technique_siblings leaves out, as members of their groups."""
+    return graph.heavy(t(spark, d, "supplier"), "s_suppkey", "s_nationkey", 200)
+
+
 @query("""select l_orderkey, l_linenumber, rank from (select l_orderkey, l_linenumber, cast(row_number() over (partition by l_orderkey order by l_extendedprice desc, l_linenumber) as integer) as rank from lineitem) where rank <= 3""")
 def component_topn(spark, d):
     return graph.top_per_group(t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice"), "l_orderkey", [F.desc("l_extendedprice"), F.asc("l_linenumber")], 3).drop("l_extendedprice")

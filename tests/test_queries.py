@@ -2,7 +2,7 @@
 import duckdb
 import pytest
 
-from loam.operators import resolve
+from loam.operators import graph, resolve
 from loam.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -49,3 +49,13 @@ def test_leader_clusters_walk_all_rows(spark):
     assert {r.doc_id: r.leader for r in registry.QUERIES["leader_clusters"](spark, SF).collect()} == want
     got = resolve.leader_clusters_over_all(spark.createDataFrame(rows, "doc_id long, fingerprint long"), "doc_id", 15, step=3)
     assert {r.doc_id: r.leader for r in got.collect()} == want
+
+
+def test_siblings_and_heavy_lose_no_link(spark):
+    rows = [(i, 1) for i in range(5)] + [(i, 2) for i in range(3, 6)] + [(0, 1), (9, 3), (7, None)]
+    df = spark.createDataFrame(rows, "k long, v long")
+    got = {(r.v, r.a, r.b) for r in graph.siblings(df, "k", "v", 3).collect()}
+    members = [tuple(r) for r in graph.heavy(df, "k", "v", 3).collect()]
+    assert sorted(members) == [(1, i, 5) for i in range(5)]
+    got |= {(v, a, b) for v, a, _ in members for w, b, _ in members if v == w and a != b}
+    assert got == {(v, a, b) for a, v in rows for b, w in rows if v is not None and v == w and a != b}
