@@ -5,16 +5,17 @@ multi-byte characters are never cut.
 """
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_MULT = 0x9E3779B97F4A7C15 | 1
-_INV = pow(_MULT, -1, 1 << 64)
-_pow = np.ones(1, np.uint64)
-_ipow = np.ones(1, np.uint64)
+#: Masks of the first n bytes of a little-endian word of eight.
+_MASK = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
+#: Words longer than this are digested one by one.
+LONG_WORD = 64
 
 #: The white space that separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 WHITE = np.zeros(256, bool)
@@ -26,7 +27,6 @@ NON_LETTER[ord("A"):ord("Z") + 1] = False
 NON_LETTER[ord("a"):ord("z") + 1] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A"):ord("Z") + 1] += 32
-_BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -36,16 +36,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _pow, _ipow
-    if len(_pow) < n:
-        size = max(n, 1 << 20)
-        up, down = np.full(size, _MULT, np.uint64), np.full(size, _INV, np.uint64)
-        up[0] = down[0] = 1
-        _pow, _ipow = np.cumprod(up), np.cumprod(down)
-    return _pow[:n], _ipow
-
-
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts and the offsets of each; null is empty."""
     texts = pc.fill_null(texts, "")
@@ -88,12 +78,24 @@ def words(data: np.ndarray, offs: np.ndarray, sep: np.ndarray = WHITE) -> tuple[
     return starts, ends, np.searchsorted(offs, starts, "right") - 1
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of data[start:end] for each pair, in a few passes over the bytes."""
-    up, down = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[:len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
+    """64-bit hash of data[start:end] for each pair: a chain of bijective mixes over its pieces of eight bytes, begun with its length,
+    so words of one length up to eight never share a hash; longer ones do by chance alone. Very long words are digested with BLAKE2b. Lanes are independent: two of them are 128 bits."""
+    n = ends - starts
+    h = mix(n.astype(np.uint64) + np.uint64((lane + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+    if not len(n):
+        return h
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    pieces = np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))
+    h = mix(h ^ (pieces[starts] & _MASK[np.minimum(n, 8)]))
+    left, done = np.flatnonzero((n > 8) & (n <= LONG_WORD)), 8
+    while len(left):
+        h[left] = mix(h[left] ^ (pieces[starts[left] + done] & _MASK[np.minimum(n[left] - done, 8)]))
+        done += 8
+        left = left[n[left] > done]
+    for i in np.flatnonzero(n > LONG_WORD).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i]:ends[i]].tobytes(), digest_size=8, salt=bytes([lane])).digest(), "little")
+    return h
 
 
 def text_spans(texts_of: np.ndarray, n: int) -> np.ndarray:

@@ -80,12 +80,111 @@ def test_large_groups_of_near_copies(spark):
     assert {r.component_id for r in got} == {0}
 
 
-def test_dense_runs_join_what_is_apart(spark):
-    dense = spark.createDataFrame([(7, i) for i in range(1, 7)] + [(8, 1), (8, 2)], "run long, id long")
-    found = spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "id long, component long")
-    sizes = spark.createDataFrame([(1, 100), (2, 100), (3, 70), (4, 90), (5, 100), (6, 10)], "id long, n long")
-    got = {(r.a, r.b) for r in minhash_forest.dense_pairs(dense, found, sizes, 80).collect()}
-    assert got == {(1, 4), (2, 4), (1, 5), (2, 5), (4, 5)}
+def plain_components(texts, width=4, percent=80):
+    sets = []
+    for x in texts:
+        w = WORD.findall((x or "").translate({i: i + 32 for i in range(65, 91)}))
+        sets.append({tuple(w[i:i + width]) for i in range(len(w) - width + 1)} or ({tuple(w)} if w else set()))
+    by_shingle = {}
+    for i, s in enumerate(sets):
+        for g in s:
+            by_shingle.setdefault(g, []).append(i)
+    parent = list(range(len(texts)))
+    for j, s in enumerate(sets):
+        both = Counter(i for g in s for i in by_shingle[g] if i < j)
+        for i, k in both.items():
+            if 100 * k >= percent * (len(s) + len(sets[i]) - k):
+                a, b = parent[i], parent[j]
+                parent = [min(a, b) if p in (a, b) else p for p in parent]
+    return parent
+
+
+def near_copies(n, edits, seed=1, words=100):
+    """n texts, each the same passage with so many words of its own."""
+    rng = random.Random(seed)
+    base, out = [f"w{i}" for i in range(words)], []
+    for i in range(n):
+        text = list(base)
+        for k in rng.sample(range(words), edits):
+            text[k] = f"own{i}x{k}"
+        out.append(" ".join(text))
+    return out
+
+
+def sets_table(spark, texts, components=None):
+    import pyarrow as pa
+
+    found = minhash_forest.shingle_sets(pa.array(texts), 4)
+    return spark.createDataFrame([(i, components[i] if components else i, len(x), bytearray(x.tobytes())) for i, x in enumerate(found)], "id long, component long, n long, set binary")
+
+
+def test_completion_is_exact(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["a", "b", "c"]) + str(k) for k in range(rng.randint(4, 30))) for _ in range(150)] + near_copies(60, 2) + near_copies(60, 4, 2)
+    parent = plain_components(texts)
+    for in_memory in (0, 10 ** 6):
+        edges = {(r.a, r.b) for r in minhash_forest.links_of_sets(sets_table(spark, texts), 80, in_memory).collect()}
+        got = list(range(len(texts)))
+        for a, b in sorted(edges):
+            x, y = got[a], got[b]
+            got = [min(x, y) if p in (x, y) else p for p in got]
+        assert got == parent
+    # rows of one component don't meet
+    assert minhash_forest.links_of_sets(sets_table(spark, texts, [0] * len(texts)), 80).count() == 0
+
+
+def test_candidates_of_unlinked_copies_grow_in_proportion(spark):
+    # pairs share about two thirds of their shingles: a dense region without links
+    made = []
+    for n in (200, 400, 800):
+        entries = minhash_forest.prefixes(sets_table(spark, near_copies(n, 5)), 80)
+        made.append(minhash_forest.meet_by_rare(entries, 80).count())
+    assert made[2] <= 4.5 * max(made[0], 50) and made[2] < 4 * 800
+
+
+def test_components_of_documents_against_brute_force(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()
+    parent = plain_components([r.text for r in rows])
+    want = {r.doc_id: rows[p].doc_id for r, p in zip(rows, parent, strict=True)}
+    got = {r.doc_id: r.component_id for r in minhash_forest.op4_minhash_forest(spark, "/root/testdata/sf0.01").collect()}
+    assert got == want
+
+
+def test_rows_that_share_a_doc_id_are_nodes_by_text(spark):
+    a, b = BASE, " ".join(f"other{i}" for i in range(30))
+    got = minhash_forest.near_duplicates(spark.createDataFrame([(3, b), (5, b), (5, a), (5, a), (None, a)], "doc_id long, text string"), 4).collect()
+    assert Counter((r.doc_id, r.component_id, r.kept) for r in got) == Counter([(3, 3, True), (5, 3, False), (5, 5, True), (5, 5, True), (None, None, True)])
+
+
+def test_words_in_patterns_are_told_apart(spark):
+    import pyarrow as pa
+
+    from loam.llm import vectext as vt
+
+    # a Thue-Morse word and its complement, which polynomial hashes confuse
+    one = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    two = one.translate({97: 98, 98: 97})
+    for size in (1, 8, 9, 64, 65, 1024):
+        pair = np.frombuffer((one[:size] + two[:size]).encode(), np.uint8)
+        for lane in (0, 1):
+            x, y = vt.hashes(pair, np.array([0, size]), np.array([size, 2 * size]), lane)
+            assert x != y
+    texts = [f"{one} x y {one} x y", f"{one} x y {two} x y", f"{two} x y {two} x y"]
+    sets = [set(x.tolist()) for x in minhash_forest.shingle_sets(pa.array(texts), 4)]
+    assert not sets[0] & sets[2]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.component_id for r in minhash_forest.near_duplicates(docs, 4).collect()} == {0, 1, 2}
+    assert {r.doc_id: r.n_repeat_words for r in rule_forest.statistics(docs).collect()} == {0: 6, 1: 0, 2: 6}
+    assert {r.doc_id: r.n_known for r in pitman_yor.score(docs, F.col("doc_id") == 2).collect()}[2] == 7
+    assert {r.doc_id: r.n_known for r in pitman_yor.score(docs.where("doc_id <> 1"), F.col("doc_id") == 2).collect()}[2] == 5
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, known = Tokenizer.from_file(path), orc_tokens.Memory(path)
+    for data, offs in ([*vt.buffers(pa.array(texts))],) * 2:
+        ids, n = known.ids(data, offs, 2)
+        assert ids.tolist() == [i for x in texts for i in [*tok.encode(x, add_special_tokens=False).ids, 2]]
 
 
 def test_language(docs, empty):
@@ -289,16 +388,15 @@ def test_labelled_toxic_documents_go(spark, tmp_path):
     assert ids(corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))) == Counter([1, 3, None])
 
 
-def test_forest_meets_every_pair_of_a_large_run():
+def test_forest_names_every_row_of_a_large_run():
     import pyarrow as pa
 
     # 120 rows agree in four values and part in the fifth; the run lies in two tasks
-    rows = [(0, 5, 0, 0, 900)] + [(3, 7, i << 48, i, i) for i in range(120)] + [(3, 8, 0, 0, 901), (3, 8, 0, 1, 902), (3, 9, 0, 0, 903)]
-    names = ["tree", "k1", "k2", "tie", "id"]
-    pieces = [rows[:60], rows[60:]]
+    rows = [(0, 5, 0, 0, 0, 900)] + [(3, 7, i << 48, 0, i, i) for i in range(120)] + [(3, 8, 0, 0, 0, 901), (3, 8, 0, 0, 1, 902), (3, 9, 0, 0, 0, 903)]
+    names = ["tree", *minhash_forest.KEYS, "tie", "id"]
     met, runs = set(), {}
-    for piece in pieces:
+    for piece in (rows[:60], rows[60:]):
         for b in minhash_forest._candidates(iter([pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*piece, strict=True)], names)])):
             for r in b.to_pylist():
-                met.add((r["a"], r["b"])) if r["b"] is not None else runs.setdefault(r["run"], set()).add(r["a"])
-    assert set(range(120)) in runs.values() and (901, 902) in met
+                met.add((r["a"], r["b"], r["sure"])) if r["b"] is not None else runs.setdefault(r["run"], set()).add(r["a"])
+    assert set(range(120)) in runs.values() and (901, 902, True) in met and (3, 4, False) in met
