@@ -359,6 +359,23 @@ def links_of_sets(sets: DataFrame, percent: int, in_memory: int = FREQUENT) -> D
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(_verify_sets(percent), "a long, b long")
 
 
+def placed_by(classes: DataFrame, found: DataFrame) -> DataFrame:
+    """The classes with their components; one without links is its own."""
+    return classes.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
+def merged(found: DataFrame, more: DataFrame) -> DataFrame:
+    """Components (id, component) after further links (a, b): components of components."""
+    if not more.limit(1).count():
+        return found
+    a, b = found.select(F.col("id").alias("a"), F.col("component").alias("a_of")), found.select(F.col("id").alias("b"), F.col("component").alias("b_of"))
+    name = lambda c: F.coalesce(F.col(c + "_of"), F.col(c)).alias(c)
+    whole = components(more.join(a, "a", "left").join(b, "b", "left").select(name("a"), name("b")).where("a <> b")).select(F.col("id").alias("component"), F.col("component").alias("whole"))
+    # a component that was a single row so far has no row in found
+    every = found.join(whole, "component", "full")
+    return materialize(every.select(F.coalesce("id", "component").alias("id"), F.coalesce("whole", "component").alias("component")).distinct(), "components")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("text_key", F.xxhash64("text"))
@@ -380,24 +397,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     both = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "trees").union(pairs.select("b", "a", "trees"))
     first = both.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= FIRST).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     found = components(materialize(links(texts, first, width, percent), "links"))
-    # what the first round left: pairs of two components
-    placed = classes.select("id", "n", "sig").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    # what the first round left: pairs of two components. Sure pairs inside mixed runs are left to the completion, neighbours join most of what belongs together before it
+    placed = placed_by(classes, found)
     runs = dense.join(placed.select("id", "component"), "id")
     mixed = runs.groupBy("run").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("run")
     inside = materialize(runs.join(mixed, "run").select("id").distinct(), "mixed")
-    sets = materialize(inside.join(placed.select("id", "component", "n"), "id").join(texts, "id").select("id", "component", "n", "text").mapInArrow(_sets(width), "id long, component long, n long, set binary"), "sets")
     placed = placed.join(inside.withColumn("mixed", F.lit(True)), "id", "left").select("id", "n", "sig", "component", F.coalesce("mixed", F.lit(False)).alias("mixed"))
     side = lambda s: placed.select(*(F.col(c).alias(c + s) for c in placed.columns))
-    rest = pairs.where("sure").join(side("_a"), F.col("a") == F.col("id_a")).join(side("_b"), F.col("b") == F.col("id_b")).where("component_a <> component_b and not (mixed_a and mixed_b)")
+    rest = pairs.join(side("_a"), F.col("a") == F.col("id_a")).join(side("_b"), F.col("b") == F.col("id_b")).where("component_a <> component_b and not (sure and mixed_a and mixed_b)")
     rest = materialize(rest.select("a", "b", "sig_a", "sig_b", "n_a", "n_b").mapInArrow(_likely(percent), "a long, b long"), "rest")
-    more = materialize(links(texts, rest, width, percent).union(links_of_sets(sets, percent)), "links")
-    # components of components
-    of = found.select(F.col("id"), "component")
-    name = lambda c: F.coalesce(F.col(c + "_of"), F.col(c))
-    joins = more.join(of.select(F.col("id").alias("a"), F.col("component").alias("a_of")), "a", "left").join(of.select(F.col("id").alias("b"), F.col("component").alias("b_of")), "b", "left").select(name("a").alias("a"), name("b").alias("b"))
-    merged = components(joins.where("a <> b")).select(F.col("id").alias("component"), F.col("component").alias("whole"))
-    named = classes.select("id", "doc_id", "k1", "k2").join(found, "id", "left").withColumn("component", F.coalesce("component", "id")).join(merged, "component", "left").withColumn("whole", F.coalesce("whole", "component"))
-    named = materialize(named.select("doc_id", "k1", "k2", "whole"), "named")
+    found = merged(found, materialize(links(texts, rest, width, percent), "links"))
+    sets = inside.join(placed_by(classes, found).select("id", "component", "n"), "id").join(texts, "id").select("id", "component", "n", "text")
+    sets = materialize(sets.mapInArrow(_sets(width), "id long, component long, n long, set binary"), "sets")
+    found = merged(found, materialize(links_of_sets(sets, percent), "links"))
+    named = materialize(placed_by(classes, found).select("doc_id", "k1", "k2", F.col("component").alias("whole")), "named")
     named = named.join(named.groupBy("whole").agg(F.min("doc_id").alias("least")), "whole")
     out = signed.join(named.select("k1", "k2", "least"), ["k1", "k2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id"))
