@@ -50,8 +50,12 @@ def sainte_lague(rows: DataFrame, group: list[str], key: str, votes: str, seats:
     rows = rows.withColumn("_all", F.sum(F.col(votes).cast("double")).over(whole))
     share = F.when(F.col("_all") > 0, F.col(votes) / F.col("_all") * F.col(seats)).otherwise(F.lit(0.0))
     rows = rows.withColumn("_near", F.floor(share + 0.5).cast("long")).withColumn("_miss", F.col(seats) - F.sum("_near").over(whole))
-    # the quotients of the |miss| seats next to each allocation
-    seat = F.when(F.col("_miss") > 0, F.sequence(F.col("_near"), F.col("_near") + F.col("_miss") - 1)).when(F.col("_miss") < 0, F.sequence(F.greatest(F.col("_near") + F.col("_miss"), F.lit(0)), F.greatest(F.col("_near") - 1, F.lit(0))))
+    # the quotients of the seats next to each allocation: moving the divisor until |miss| seats more or less are given changes a key by its share of
+    # |miss| and of one seat for each key (what rounding can hide), and by one of its own
+    keys = F.count("*").over(whole)
+    reach = F.least(F.abs("_miss"), F.floor(F.try_divide(F.col(votes), F.col("_all")) * (F.abs("_miss") + F.col("_keys"))).cast("long") + 2)
+    rows = rows.withColumn("_keys", keys)
+    seat = F.when(F.col("_miss") > 0, F.sequence(F.col("_near"), F.col("_near") + reach - 1)).when(F.col("_miss") < 0, F.sequence(F.greatest(F.col("_near") - reach, F.lit(0)), F.greatest(F.col("_near") - 1, F.lit(0))))
     open_ = rows.where((F.col("_miss") != 0) & (F.col(votes) > 0) & ((F.col("_miss") > 0) | (F.col("_near") > 0))).select(*group, key, "_miss", votes, F.explode(seat).alias("_seat"))
     quotient = F.col(votes) / (2 * F.col("_seat") + 1)
     sign = F.signum("_miss")
@@ -63,7 +67,7 @@ def sainte_lague(rows: DataFrame, group: list[str], key: str, votes: str, seats:
     for x in same[1:]:
         on = on & x
     out = rows.join(settled, on, "left").withColumn("quota", F.col("_near") + F.coalesce("_more", F.lit(0)))
-    return out.drop("_all", "_near", "_miss", "_more", *(f"_{x}_" for x in [*group, key]))
+    return out.drop("_all", "_near", "_miss", "_more", "_keys", *(f"_{x}_" for x in [*group, key]))
 
 
 def n_words(text: Column) -> Column:

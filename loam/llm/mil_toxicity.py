@@ -4,10 +4,11 @@ Only documents carry labels. Each sentence gets a logistic score from words and
 document's score is the noisy-or of its sentences, 1 - prod(1 - p). Weights are trained on the document likelihood,
 so the sentences that explain a label are found on the way and are located in the result.
 
-Labels are learned from a bounded sample: at most SAMPLE labelled documents of the two classes, those with the least hash of doc_id.
-Scoring covers every text.
+Labels are learned from a bounded sample: at most SAMPLE labelled documents of the two classes, those with the least hash of doc_id, and FIT_BYTES of
+their text (in that order, those that still fit). Scoring covers every text.
 
-Defined cases: a null or empty text scores 0; without labels of both classes every text scores 0; rows may repeat; other columns are ignored.
+Defined cases: a null or empty text scores 0; without labels of both classes every text scores 0; repeated rows count once in the sample and each in the result;
+of several texts of one doc_id the sample takes the one with the least hash; a doc_id with both labels teaches nothing; a null doc_id is scored; other columns are ignored.
 """
 from __future__ import annotations
 
@@ -21,6 +22,8 @@ from .shared import table
 
 #: Labelled documents that the fit reads at most: clean and toxic.
 SAMPLE = (3000, 1500)
+#: Bytes of text that the fit collects at most.
+FIT_BYTES = 48 << 20
 #: Bytes in the beginnings of a word.
 HEADS = (4, 5)
 #: Documents that must hold a feature before it gets a weight.
@@ -28,7 +31,7 @@ SEEN = 8
 #: Bytes of text that the fit holds features of at a time.
 SLICE = 1 << 18
 CUT = 0.7
-#: Fixed log-odds of a sentence without weighted words, low enough that thousands of them stay clean.
+#: Log-odds of a sentence without weighted words before the fit, and at most after it: thousands of such sentences must stay clean.
 BIAS = -10.0
 #: Weights below this are dropped.
 LIGHT = 1.0
@@ -55,13 +58,13 @@ def _noisy_or(p: np.ndarray, spans: np.ndarray) -> np.ndarray:
     return -np.expm1(vt.sums_by(np.log1p(-np.minimum(p, 1 - 1e-12)), spans))
 
 
-Model = tuple[np.ndarray, np.ndarray]
+Model = tuple[np.ndarray, np.ndarray, float]
 
 
 def fit_weights(texts: list[str | None], labels: np.ndarray, rounds: int = 80) -> Model:
     """Sorted hashes of the features that matter and their weights, by full-batch Adam with shrinkage on the noisy-or likelihood."""
     n = len(texts)
-    none = np.zeros(0, np.uint64), np.zeros(0)
+    none = np.zeros(0, np.uint64), np.zeros(0), BIAS
     if len(set(labels.tolist())) < 2:
         return none
     every = pa.array(texts, pa.string())
@@ -92,7 +95,7 @@ def fit_weights(texts: list[str | None], labels: np.ndarray, rounds: int = 80) -
     doc = np.concatenate(docs)
     spans = vt.text_spans(doc, n)
     w, b = np.zeros(len(names)), BIAS
-    m, v = np.zeros(len(names)), np.zeros(len(names))
+    m, v, mb, vb = np.zeros(len(names)), np.zeros(len(names)), 0.0, 0.0
     weight = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum()))
     for i in range(1, rounds + 1):
         z = np.clip(b + sum(np.bincount(of, w[flat], minlength=len(doc)) for flat, of in parts), -30, 30)
@@ -105,22 +108,37 @@ def fit_weights(texts: list[str | None], labels: np.ndarray, rounds: int = 80) -
         scale = rate / (np.sqrt(v / (1 - 0.99 ** i)) + 2e-4)
         w -= scale * m / (1 - 0.9 ** i)
         w = np.sign(w) * np.maximum(0, np.abs(w) - np.minimum(scale * 5e-4, 0.5))
+        gb = float(g.sum())
+        mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
+        b = min(BIAS, b - 0.05 * mb / (1 - 0.9 ** i) / (np.sqrt(vb / (1 - 0.99 ** i)) + 1e-4))
     w[np.abs(w) < LIGHT] = 0  # else very long sentences add up what common words got by chance
-    return names[w != 0], w[w != 0]
+    return names[w != 0], w[w != 0], b
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """The model from docs (doc_id, text) and labels (doc_id, toxic)."""
-    labels = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where("doc_id is not null and toxic in (0, 1)").distinct()
+    labels = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where("doc_id is not null and toxic in (0, 1)")
+    labels = labels.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("high")).where("toxic = high").drop("high")
     picked = [labels.where(f"toxic = {k}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE[k]) for k in (0, 1)]
     sample = F.broadcast(picked[0].union(picked[1]))  # at most sum(SAMPLE) rows
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(sample, "doc_id").orderBy("doc_id", "toxic").limit(sum(SAMPLE)).collect()
-    return fit_weights([r.text for r in rows], np.array([r.toxic for r in rows], np.int64))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(sample, "doc_id").withColumns({"key": F.xxhash64("text"), "bytes": F.coalesce(F.octet_length("text"), F.lit(0))})
+    # one text a document, the sizes first: sum(SAMPLE) short rows at most
+    found = rows.groupBy("doc_id").agg(F.min("key").alias("key"), F.min_by("bytes", "key").alias("bytes"), F.first("toxic").alias("toxic")).select("doc_id", "key", "bytes", F.xxhash64("doc_id").alias("place")).collect()
+    kept, room = [], FIT_BYTES
+    for r in sorted(found, key=lambda r: (r.place, r.doc_id)):
+        if r.bytes <= room:
+            kept.append((r.doc_id, r.key))
+            room -= r.bytes
+    if not kept:
+        return fit_weights([], np.zeros(0, np.int64))
+    kept = F.broadcast(docs.sparkSession.createDataFrame(kept, "doc_id long, key long"))
+    got = sorted(rows.join(kept, ["doc_id", "key"]).dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic").collect())  # FIT_BYTES of text at most
+    return fit_weights([r.text for r in got], np.array([r.toxic for r in got], np.int64))
 
 
 def _weights(model: Model, hashes: np.ndarray) -> np.ndarray:
     """The weight of each feature; few match the small table of low bits and are looked up."""
-    names, w = model
+    names, w, _ = model
     out = np.zeros(len(hashes))
     if len(names):
         maybe = np.zeros(1 << 16, bool)
@@ -138,7 +156,7 @@ def _score(model: Model):
             for lo, hi, data, offs in vt.slices(batch.column(1)):
                 feats, sentence, doc, at = features(data, offs)
                 both = sum(_weights(model, x) for x in feats)
-                z = np.clip(BIAS + np.bincount(sentence, both, minlength=len(doc)), -30, 30)
+                z = np.clip(model[2] + np.bincount(sentence, both, minlength=len(doc)), -30, 30)
                 p = 1 / (1 + np.exp(-z)) if len(doc) else np.zeros(0)
                 score = np.clip(_noisy_or(p, vt.text_spans(doc, hi - lo)), 0, 1)
                 chars = np.zeros(len(data) + 1, np.int64)

@@ -1,12 +1,13 @@
 """Language identification with a bit-sliced Bloom filter of n-grams.
 
 One array of masks serves all languages: bit l of a slot belongs to the filter of language l, so and-ing the slots of an
-n-gram returns every language that holds it. A text gets the popcount of each language over its n-grams, corrected for the
+n-gram returns every language that holds it. A slot has as many 64-bit masks as the languages need. A text gets the popcount of each language over its n-grams, corrected for the
 filter's false-positive rate. Counts come from all training texts; the filter's size is a parameter and bounds what
 reaches the driver and the workers.
 
-Defined cases: a null text or one without letters is `und` with score 0; without any training row every text is `und`; a null doc_id is
-not held out and not learned from; other columns are ignored.
+Defined cases: a null text or one without letters is `und` with score 0; without any training row every text is `und`; a text without a known n-gram gets the first
+language by name, with score 0, and so do ties; a language without an n-gram of its own that occurs LEAST times is never predicted; a null doc_id is
+not held out and not learned from; repeated rows count each; other columns are ignored.
 """
 from __future__ import annotations
 
@@ -18,13 +19,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import vectext as vt
-from .shared import table
+from .shared import materialize, table
 
 #: Bytes in an n-gram, slots of the filter, and slots for each n-gram.
 GRAM, SLOTS, PROBES = 4, 1 << 20, 4
 #: An n-gram belongs to a language where it is seen so often, and at this share of its highest relative frequency.
 LEAST, SHARE = 5, 0.25
-MOST_LANGUAGES = 63
 
 
 def _grams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,40 +81,38 @@ def _place(batches):
 
 
 def fit(rows: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages and slots from rows (text, lang) with lang."""
-    spark = rows.sparkSession
+    """Languages and slots (a row of masks for each 64 of them) from rows (text, lang) with lang."""
     counts = rows.select(F.col("text").cast("string"), F.col("lang").cast("string")).where("text is not null").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counts = counts.persist()
-    totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()}
-    if len(totals) > MOST_LANGUAGES:
-        raise ValueError(f"a mask holds {MOST_LANGUAGES} languages")
-    names = sorted(totals)
-    slots = np.zeros(SLOTS, np.uint64)
+    counts = materialize(counts, "grams")
+    total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    rate = counts.where(F.col("n") >= LEAST).join(total, "lang").withColumn("rate", F.col("n") / F.col("total"))
+    own = rate.withColumn("top", F.max("rate").over(Window.partitionBy("gram"))).where(F.col("rate") >= SHARE * F.col("top"))
+    own = materialize(own.select("lang", "gram"), "own")
+    names = sorted(r.lang for r in own.select("lang").distinct().collect())
+    slots = np.zeros((max(1, -(-len(names) // 64)), SLOTS), np.uint64)
     if names:
-        info = F.broadcast(spark.createDataFrame([(x, i, float(totals[x])) for i, x in enumerate(names)], "lang string, bit int, total double"))
-        rate = counts.where(F.col("n") >= LEAST).join(info, "lang").withColumn("rate", F.col("n") / F.col("total"))
-        own = rate.withColumn("top", F.max("rate").over(Window.partitionBy("gram"))).where(F.col("rate") >= SHARE * F.col("top"))
-        filled = own.select("gram", F.col("bit").cast("long")).mapInArrow(_place, "slot long, bit long").groupBy("slot").agg(F.bit_or(F.expr("shiftleft(1L, cast(bit as int))")).alias("mask"))
-        got = filled.toArrow()  # at most SLOTS rows
-        slots[got["slot"].to_numpy()] = got["mask"].to_numpy().view(np.uint64)
-    counts.unpersist()
+        bit = F.array_position(F.array(*map(F.lit, names)), F.col("lang")) - 1
+        filled = own.select("gram", bit.cast("long").alias("bit")).mapInArrow(_place, "slot long, bit long").groupBy("slot", F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("mask"))
+        got = filled.toArrow()  # at most SLOTS rows for each 64 languages
+        slots[got["word"].to_numpy(), got["slot"].to_numpy()] = got["mask"].to_numpy().view(np.uint64)
     return names, slots
 
 
 def _predict(names: list[str], slots: np.ndarray):
-    wrong = [float(((slots >> np.uint64(i)) & np.uint64(1)).mean()) ** PROBES for i in range(len(names))]
+    wrong = [float(((slots[i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean()) ** PROBES for i in range(len(names))]
 
     def run(batches):
         for batch in batches:
             texts = _lower(batch.column(1))
             for lo, hi, data, offs in vt.slices(texts):
                 gram, doc = _grams(data, offs)
-                masks = reduce(np.bitwise_and, (slots[at] for at in _slots(gram)), np.full(len(gram), (1 << 64) - 1, np.uint64))
+                probes = _slots(gram)
+                masks = [reduce(np.bitwise_and, (word[at] for at in probes)) for word in slots]
                 spans = vt.text_spans(doc, hi - lo)
                 n = np.diff(spans)
                 hits = np.zeros((max(1, len(names)), hi - lo))
                 for i, fp in enumerate(wrong):
-                    found = vt.sums_by(((masks >> np.uint64(i)) & np.uint64(1)).astype(np.int64), spans)
+                    found = vt.sums_by(((masks[i // 64] >> np.uint64(i % 64)) & np.uint64(1)).astype(np.int64), spans)
                     hits[i] = np.maximum(0, (found - n * fp) / (1 - fp)) if fp < 1 else 0
                 best, total = hits.argmax(0), hits.sum(0)
                 has = np.array([x is not None and any(map(str.isalpha, x)) for x in texts.slice(lo, hi - lo).to_pylist()])

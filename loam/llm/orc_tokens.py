@@ -1,14 +1,14 @@
 """Token ids in ORC files that readers can split by stripe and prune by metadata.
 
-Documents are dealt out by ranges of doc_id and sorted, so each file holds one range, stripes have narrow
+Documents are dealt out by ranges of doc_id (and a hash of the text, where one doc_id has many rows) and sorted, so each file holds one range, stripes have narrow
 min/max statistics, and the row index and a Bloom filter on doc_id answer point reads. Ids are integer run-length
 encoded by the ORC writer. Offsets need no pass over the whole order: each file carries running sums of
 its own, and one row per file gives the base.
 
-The tokenizer drops white space, so words between ASCII white space are encoded one by one and remembered per worker.
+The tokenizer drops white space, so words between ASCII white space are encoded one by one and remembered per worker by 128 bits of hash.
 
-Defined cases: a null text is empty and gets the end id alone; rows with equal doc_id follow each other by
-text; a null doc_id sorts first; an empty table gives no rows; other columns are ignored.
+Defined cases: a null text is empty and gets the end id alone; rows with equal doc_id follow each other by a hash of their
+text, then the text, and may lie in several files; a null doc_id sorts first; an empty table gives no rows; other columns are ignored.
 """
 from __future__ import annotations
 
@@ -29,7 +29,7 @@ _memories: dict[str, Memory] = {}
 
 
 class Memory:
-    """Ids of the words seen so far, by word hash: a large sorted part and a small recent one."""
+    """Ids of the words seen so far, by two word hashes: a large sorted part and a small recent one."""
 
     def __init__(self, path: str):
         import os
@@ -41,20 +41,21 @@ class Memory:
         self.clear()
 
     def clear(self) -> None:
-        self.parts = [[np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)] for _ in range(2)]
+        self.parts = [[np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)] for _ in range(2)]
         self.flat, self.used = np.zeros(1 << 16, "<u4"), 0
 
-    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place and number of ids of each key; place -1 where it isn't known."""
-        place, count = np.full(len(keys), -1), np.zeros(len(keys), np.int64)
-        for known, start, n in self.parts:
+    def _find(self, keys: np.ndarray, seconds: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Place and number of ids of each key, place -1 where it isn't known; and whether any key is known with another second hash."""
+        place, count, odd = np.full(len(keys), -1), np.zeros(len(keys), np.int64), False
+        for known, second, start, n in self.parts:
             if len(known):
                 at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
                 hit = known[at] == keys
+                odd |= bool((second[at[hit]] != seconds[hit]).any())
                 place[hit], count[hit] = start[at[hit]], n[at[hit]]
-        return place, count
+        return place, count, odd
 
-    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+    def _learn(self, keys: np.ndarray, seconds: np.ndarray, words: list[str]) -> None:
         starts, counts = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
         for lo in range(0, len(words), 1000):
             part = words[lo:lo + 1000]
@@ -67,7 +68,7 @@ class Memory:
             self.flat[self.used:self.used + len(ids)] = ids
             counts[lo:lo + 1000], starts[lo:lo + 1000] = n, self.used + np.cumsum(n) - n
             self.used += len(ids)
-        recent = [np.concatenate(x) for x in zip(self.parts[1], (keys, starts, counts), strict=True)]
+        recent = [np.concatenate(x) for x in zip(self.parts[1], (keys, seconds, starts, counts), strict=True)]
         if len(recent[0]) > 150_000:
             recent = [np.concatenate(x) for x in zip(self.parts[0], recent, strict=True)]
             order = np.argsort(recent[0])
@@ -81,12 +82,16 @@ class Memory:
         if sum(len(x[0]) for x in self.parts) > REMEMBERED:
             self.clear()
         starts, ends, doc = vt.words(data, offs)
+        second = vt.hashes(data, starts, ends, 1)
         keys, first, of = np.unique(vt.hashes(data, starts, ends), return_index=True, return_inverse=True)
-        new = np.flatnonzero(self._find(keys)[0] < 0)
+        place, _, odd = self._find(keys, second[first])
+        if odd or (second[first][of] != second).any():
+            return self._plain(data, offs, end_id)
+        new = np.flatnonzero(place < 0)
         if len(new):
             raw = data.tobytes()
-            self._learn(keys[new], [raw[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
-        place, count = self._find(keys)
+            self._learn(keys[new], second[first[new]], [raw[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+        place, count, _ = self._find(keys, second[first])
         n = count[of]
         before = np.cumsum(n) - n
         total = int(n.sum())
@@ -95,6 +100,13 @@ class Memory:
         return out, np.bincount(doc, n, minlength=len(offs) - 1).astype(np.int64) + 1
 
 
+    def _plain(self, data: np.ndarray, offs: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same without the memory, for texts with words that share a hash."""
+        raw = data.tobytes()
+        out = [[*self.tokenizer.encode(raw[a:b].decode(), add_special_tokens=False).ids, end_id] for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+        return np.array([i for x in out for i in x], "<u4"), np.array([len(x) for x in out], np.int64)
+
+
 def memory(path: str) -> Memory:
     if path not in _memories:
         _memories[path] = Memory(path)
@@ -117,7 +129,9 @@ def _encode(path: str, end_id: int):
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, stripe_mb: int = 64) -> None:
     """Writes (doc_id, part, at, n_tokens, ids) of docs (doc_id, text) to ORC files at path, in ascending order of doc_id."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumns({"text_key": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    # rows that agree in doc_id and text may still go to several ranges, in any order
+    ordered = rows.repartitionByRange(parts, "doc_id", "text_key", "row").sortWithinPartitions("doc_id", "text_key", "text").select("doc_id", "text")
     rows = ordered.mapInArrow(_encode(vocabulary, end_id), "doc_id long, part long, at long, n_tokens long, ids array<int>")
     rows.write.options(**{
         "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01",

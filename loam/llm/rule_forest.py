@@ -4,9 +4,10 @@ One pass computes rule statistics of every text. Trees split a bounded, hash-cho
 isolate after a short path are anomalies. An anomaly's profile is the statistic that lies farthest from its middle, and on which side. For each profile
 the score from which documents are refused is calibrated on all rows with a quality label: the lowest cut above which labelled rows are nearly all bad.
 
-Trees see TREES * PSI rows at most (that is what an isolation forest is); scoring and calibration cover all rows.
+Trees see TREES * PSI rows at most (that is what an isolation forest is); the middles and spreads of the statistics, scoring and calibration cover all rows.
 
-Defined cases: a null or empty text has no words and fails; without labels no document is refused by the forest; rows may repeat; a null doc_id is passed on; other columns are ignored.
+Defined cases: a null or empty text has no words and fails; without labels no document is refused by the forest; repeated rows count each, as do the labels of
+a doc_id that has both; a null doc_id is passed on; a sample's ties go by doc_id, then by its counts; other columns are ignored.
 """
 from __future__ import annotations
 
@@ -56,8 +57,10 @@ def _stats(batches):
                 window = vt.mix(h[:-2] * _STEP[0] + h[1:-1] * _STEP[1] + h[2:] * _STEP[2])
                 inside = np.flatnonzero(doc[:-2] == doc[2:])
                 key = vt.mix(window[inside] + doc[inside].astype(np.uint64) * _STEP[0])
-                order = np.argsort(key)
-                same = key[order][1:] == key[order][:-1]
+                h2 = vt.hashes(data, starts, ends, 1)
+                check = vt.mix(h2[:-2] * _STEP[0] + h2[1:-1] * _STEP[1] + h2[2:] * _STEP[2])[inside]
+                order = np.lexsort((check, key))
+                same = (key[order][1:] == key[order][:-1]) & (check[order][1:] == check[order][:-1])
                 twice = np.zeros(len(inside), bool)
                 twice[order[1:][same]] = True
                 twice[order[:-1][same]] = True
@@ -163,7 +166,8 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
         x = np.array([r.features for r in sample])
         psi = min(PSI, max(2, len(x) // TREES))
         trees = grow(x)
-        low, middle, high = np.quantile(x, [0.1, 0.5, 0.9], axis=0)
+        spread = fair.agg(*(F.percentile_approx(F.col("features")[i], [0.1, 0.5, 0.9], 10_000).alias(f"q{i}") for i in range(FEATURES))).head()
+        low, middle, high = np.array(spread).T
         scored = materialize(stats.mapInArrow(_anomalies(trees, psi, middle, np.maximum(high - low, 1e-3)), schema), "anomalies")
         labels = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).where("doc_id is not null and quality in (0, 1)").distinct()
         failed = (F.col("n_words") < FEWEST_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_PERCENT * F.col("n_words"))

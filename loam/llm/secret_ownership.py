@@ -5,10 +5,11 @@ counted over the corpus: in how many documents (repositories) and how many sourc
 many owners share is a copied example; one that few own and that looks random is taken as live. Live tokens
 outside the base spans are added to the spans; base spans stay.
 
-Positions are code points, end exclusive. They come from splitting a text at the matches: lengths of pieces and matches add up.
+Positions are code points, end exclusive. They come from splitting a text at the matches: lengths of pieces and matches add up, CHUNK matches at a time, so a text
+full of matches costs no square of their number.
 
 Defined cases: a null or empty text has no spans; repeated rows give repeated results and count as one repository; a null source is an owner
-of its own; a null doc_id is passed on and its values count for one repository; other columns are ignored.
+of its own; a null doc_id is passed on and its values count for one repository; very long texts are scanned whole; a value that a third of all rows hold is joined in SALTS parts; other columns are ignored by the scan and kept by the mask, whatever their names.
 """
 from __future__ import annotations
 
@@ -25,6 +26,8 @@ TOKEN = r"(?<![A-Za-z0-9+_-])[A-Za-z0-9+_-]{24,}"
 PLACEHOLDER = r"(?i)example|sample|dummy|test|changeme|your|xxxx|0000|1234"
 #: A value of so many owners is a copied example.
 OWNERS = 3
+#: Matches of a text that are worked on together; parts of each value in the join with its owners.
+CHUNK, SALTS = 256, 16
 _SPAN = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
 
 
@@ -34,7 +37,11 @@ def _spans(text: Column, pattern: str, kind: str, rank: int, group: int = 0, lea
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else hits
     rows = F.arrays_zip(F.split(text, pattern, -1).alias("piece"), hits.alias("hit"), values.alias("value"))
     rows = F.filter(rows, lambda x: x["hit"].isNotNull())
-    start = F.struct(F.lit(0).alias("pos"), F.expr(f"cast(array() as {_SPAN})").alias("out"))
+    part = lambda k: F.slice(rows, k * CHUNK + 1, F.lit(CHUNK))
+    parts = F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / CHUNK).cast("int"))
+    length = lambda k: F.aggregate(part(k), F.lit(0), lambda a, x: a + F.length(x["piece"]) + F.length(x["hit"]))
+    begins = F.aggregate(F.transform(parts, length), F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+    none = F.expr(f"cast(array() as {_SPAN})")
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["pos"] + F.length(x["piece"])
@@ -43,7 +50,8 @@ def _spans(text: Column, pattern: str, kind: str, rank: int, group: int = 0, lea
         return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(span)).cast(_SPAN).alias("out"))
 
     # most texts have no match and skip the loop
-    found = F.when(F.size(hits) > 0, F.aggregate(rows, start, step, lambda acc: acc["out"])).otherwise(start["out"])
+    whole = lambda k: F.aggregate(part(k), F.struct(F.element_at(begins, k + 1).alias("pos"), none.alias("out")), step, lambda acc: acc["out"])
+    found = F.when(F.size(hits) > 0, F.flatten(F.transform(parts, whole))).otherwise(none)
     return F.filter(found, lambda x: F.length(x["value"]) >= least) if least else found
 
 
@@ -66,7 +74,14 @@ def scan(docs: DataFrame) -> DataFrame:
     rows = rows.select("doc_id", "source", F.xxhash64("text").alias("text_key"), _spans(t, ASSIGN, "assign", 0, 2, 6).alias("assign"), _spans(t, ACCESS, "access", 1).alias("access"), _spans(t, HEX, "hex", 2).alias("hex"),
                        F.filter(_spans(t, TOKEN, "token", 3), lambda x: live_looking(x["value"]) & x["value"].rlike("[A-Z]") & x["value"].rlike("[a-z]")).alias("tokens"))
     base = F.array_sort(F.concat("assign", "access", "hex"))
-    free = F.filter("tokens", lambda x: ~F.exists(base, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])))
+    rows = rows.withColumn("base", base)
+    # sorted by start: a chunk with its bounds is looked into only where a token may overlap it
+    chunk = lambda k: F.slice("base", k * CHUNK + 1, F.lit(CHUNK))
+    bounds = F.transform(F.sequence(F.lit(0), F.floor((F.size("base") - 1) / CHUNK).cast("int")), lambda k: F.struct(chunk(k)[0]["start"].alias("lo"), F.array_max(F.transform(chunk(k), lambda y: y["end"])).alias("hi"), chunk(k).alias("spans")))
+    rows = rows.withColumn("chunks", F.when((F.size("base") > 0) & (F.size("tokens") > 0), bounds))
+    inside = lambda x, y, lo, hi: (x["start"] < y[hi]) & (y[lo] < x["end"])
+    free = F.when(F.col("chunks").isNull(), F.col("tokens")).otherwise(F.filter("tokens", lambda x: ~F.exists("chunks", lambda c: inside(x, c, "lo", "hi") & F.exists(c["spans"], lambda y: inside(x, y, "start", "end")))))
+    base = F.col("base")
     return rows.select("doc_id", "source", "text_key", *(F.size(k).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")), base.alias("base"), free.alias("tokens"))
 
 
@@ -77,12 +92,18 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return owned.groupBy("value_key").agg(F.sum("n").alias("n_docs"), F.count("*").alias("n_owners"))
 
 
+def owned(each: DataFrame) -> DataFrame:
+    """each (value_key, doc_id, ...) with n_docs and n_owners of its value. Every value's counts are there once for each part, so rows of one value spread over SALTS tasks."""
+    counts = ownership(each).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return each.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(SALTS)).cast("int")).join(counts, ["value_key", "salt"]).drop("salt")
+
+
 def find_secrets(docs: DataFrame, owners: int = OWNERS) -> DataFrame:
     """One row per row of docs: doc_id, text_key, n_assign, n_access, n_hex, base, added, n_live, n_examples. base and added are spans."""
     found = materialize(scan(docs), "secrets")
     each = found.select("doc_id", "source", "text_key", F.explode(F.concat("base", "tokens")).alias("span"))
     each = each.select("doc_id", "source", "text_key", "span", F.md5(F.col("span.value").cast("binary")).alias("value_key"))
-    judged = each.join(ownership(each), "value_key")
+    judged = owned(each)
     live = live_looking(F.col("span.value")) & (F.col("n_owners") < owners)
     one = judged.select("doc_id", "text_key", "span", live.alias("live"), (F.col("n_owners") >= owners).alias("example")).distinct()
     added = F.collect_list(F.when(F.col("live") & (F.col("span.kind") == "token"), F.col("span")))
@@ -108,13 +129,14 @@ def mask(docs: DataFrame, owners: int = OWNERS) -> DataFrame:
     found = scan(docs)
     each = materialize(found.where((F.size("base") > 0) | (F.size("tokens") > 0)).select("doc_id", "source", "text_key", F.explode(F.concat("base", "tokens")).alias("span")), "secrets")
     each = each.withColumn("value_key", F.md5(F.col("span.value").cast("binary")))
-    judged = each.join(ownership(each), "value_key").where(F.col("n_owners") < owners)
+    judged = owned(each).where(F.col("n_owners") < owners)
     # every document with such spans, once
-    spans = judged.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("span")).alias("spans")).withColumnsRenamed({"doc_id": "d", "text_key": "k"})
-    key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    rows = docs.withColumn("k_", key)
-    rows = rows.join(spans, rows.doc_id.eqNullSafe(spans.d) & (rows.k_ == spans.k), "left")
-    return rows.withColumn("text", F.when(F.size("spans") > 0, redact(F.col("text"), F.col("spans"))).otherwise(F.col("text"))).select(*docs.columns)
+    spans = judged.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("span")).alias("spans"))
+    # the document's columns travel as one, so none of their names can clash
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("key"))
+    rows = rows.join(spans, F.col("row.doc_id").cast("long").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key")), "left")
+    text = F.when(F.size("spans") > 0, redact(F.col("row.text"), F.col("spans"))).otherwise(F.col("row.text")).alias("text")
+    return rows.select(*(text if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def op5_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:

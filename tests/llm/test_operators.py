@@ -357,6 +357,19 @@ def test_norm_buckets(spark):
     assert norm_buckets.top_k(df.limit(0), 5, 50).count() == 0
 
 
+def test_products_beyond_doubles_rank_by_their_whole_value(spark):
+    big = float(2 ** 60) / 256
+    rows = [(0, [3 / 256, 1 / 256, 1 / 256]), (1, [big, 1 / 256, 1 / 256]), (2, [big, 0.0, 0.0]), (3, [-big, 0.0, 0.0]), (50, [big, big, big]), (51, [1.0, 1.0, 1.0]), (51, [1.0, 1.0, 1.0])]
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in norm_buckets.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 5, 50).collect()}
+    v = [(i, [int(np.floor(256 * c)) for c in x]) for i, x in rows]
+    for q in (0, 50):
+        x = next(v for i, v in v if i == q)
+        best = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), i) for i, y in v if i != q)[:5]
+        assert [got[q, n + 1] for n in range(5)] == [(i, max(-2 ** 63, min(2 ** 63 - 1, -s))) for s, i in best]
+    # a vector that is there twice is a candidate twice
+    assert [got[0, n][0] for n in (3, 4)] == [51, 51] or [got[0, n][0] for n in (4, 5)] == [51, 51]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
