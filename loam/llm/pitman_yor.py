@@ -1,19 +1,23 @@
-"""Language-model scoring with a hierarchical Pitman-Yor model.
+"""Language-model scoring with a hierarchical Pitman-Yor model over words.
 
-A word is drawn in the restaurant of its context; all context restaurants share the unigram restaurant as parent, whose base is uniform over the known words and
-one unknown. The context is a class of the word before (a hash of its last byte, CLASSES of them, and one for a text's start), so the number of restaurants is fixed and
-counts stay well filled. Seating is sampled by Gibbs in blocks: all customers of one dish in one restaurant are seated anew given
-the totals of the last sweep. Seats of a dish depend on other dishes by these totals alone, so sweeps run over dealt-out counts without any restaurant in one place.
-Predictive probabilities are averaged over the last SAMPLES sweeps.
+Each word is drawn in the restaurant of the word before it (or of a text's start). These context restaurants share one parent, the unigram restaurant, whose base is uniform over
+the known words and one unknown: a table that a word opens in a context restaurant is a customer of the parent. Seating is sampled by Gibbs: in each sweep every customer of every
+dish is seated anew, one after another, given the other dishes' tables of the sweep before. Discounts are learned from the words that came once and twice, the
+strength of either level is sampled from its posterior over a grid given the seating. Predictive probabilities are averaged over the last SAMPLES sweeps.
 
-Data flow: texts become blocks of bounded size, each with its own table of (word, class) pairs and a stream of references to it. Only the tables
-travel: one packed row per block and bucket of word hashes holds the pairs and their training counts. The same rows build the counts and ask for
-probabilities, so traffic grows with distinct pairs per block and not with tokens, and a frequent word is one entry per block.
+Data flow: texts become blocks of bounded size, each a list of its words and a stream of places in it. Blocks ask word buckets for counts and context buckets for pairs, with
+distinct words and pairs only, so traffic doesn't grow with repeats inside a block. A context's pairs lie in one bucket; contexts of over a thousandth of all tokens (a thousand at most) are dealt
+over several by the word that follows, and their totals pass through the driver. A pair that occurs once needs no sampling, so sweeps work on the few that occur more often: context buckets
+send the tables that words opened to word buckets, which send the words' counts at the root back. Buckets number by input bytes, so none grows with the input.
 
-Defined cases: a null or empty text is one end token; rows may repeat; a null doc_id is not held out and is learned from; without training rows every word is unknown; other columns are ignored.
+Words are known by 64-bit hashes, bytes of one length up to eight never by the same one. Two words back are no contexts here: distinct triples would nearly double what is shuffled, which
+the disk budget doesn't hold.
+
+Defined cases: a null or empty text is one end token; repeated rows count each; a null doc_id is not held out and is learned from; without training rows every word is unknown; very long texts are blocks of their own; other columns are ignored.
 """
 from __future__ import annotations
 
+import math
 import uuid
 
 import numpy as np
@@ -22,262 +26,504 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import vectext as vt
-from .shared import materialize, table
+from .shared import materialize, release, table
+
+SWEEPS, SAMPLES, SEED = 5, 2, 29
+#: Bytes of text in a block and for each bucket, about; a context is hot from one in so many tokens on.
+BLOCK_BYTES, BUCKET_BYTES, HOT = 24 << 20, 16 << 20, 1000
+#: Strengths to sample from.
+GRID = [0.01, 0.03, 0.1, 0.3, 1.0, 3.0, 10.0, 30.0, 100.0, 300.0, 1000.0, 3000.0]
+#: Customers of a dish that are seated in step with those of other dishes; later ones by the waiting time to the next new table, which has the same distribution.
+IN_STEP = 2048
+_END, _START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+
+_PARTS = ["a", "b", "c", "d", "e", "f"]
+_ROWS = "kind string, bucket int, block string, part int, a binary, b binary, c binary, d binary, e binary, f binary, sums array<double>"
+_SCHEMA = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("block", pa.string()), ("part", pa.int32()), *((x, pa.binary()) for x in _PARTS), ("sums", pa.list_(pa.float64()))])
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """Type, length and bytes by place, so equal high bytes lie together."""
+    x = np.ascontiguousarray(x)
+    planes = x.view(np.uint8).reshape(len(x), x.itemsize).T
+    return f"{x.dtype.str} {len(x)}\n".encode() + (pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True) if len(x) else b"")
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    head, _, body = raw.partition(b"\n")
+    kind, n = head.decode().split()
+    kind, n = np.dtype(kind), int(n)
+    if not n:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(pa.decompress(body, n * kind.itemsize, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(kind.itemsize, n).T).view(kind).ravel()
+
+
+def _pack_sorted(x: np.ndarray) -> bytes:
+    return _pack(np.diff(x, prepend=x.dtype.type(0)))
+
+
+def _unpack_sorted(raw: bytes) -> np.ndarray:
+    x = _unpack(raw)
+    return np.cumsum(x, dtype=x.dtype)
+
 
-CLASSES, SWEEPS, SAMPLES, SEED = 8, 3, 2, 29
-#: Bytes of text in a block, about; strength of all restaurants; customers that are seated one by one before they come in groups of a sixteenth.
-BLOCK_BYTES, STRENGTH, SINGLY = 12 << 20, 1.0, 48
-_END = np.uint64(0x5851F42D4C957F2D)
-_RESTAURANTS = CLASSES + 1
+def _row(kind: str, bucket: int = 0, block: str | None = None, part: int = 0, sums=None, **parts: bytes) -> dict:
+    return {"kind": kind, "bucket": int(bucket), "block": block, "part": int(part), "sums": None if sums is None else [float(x) for x in sums], **{x: parts.get(x) for x in _PARTS}}
 
 
-def _pack(a: np.ndarray) -> bytes:
-    return pa.compress(np.ascontiguousarray(a).tobytes(), codec="zstd", asbytes=True) if a.size else b""
+def _table(rows: list[dict]) -> pa.Table:
+    return pa.Table.from_pylist(rows, _SCHEMA)
 
 
-def _unpack(raw: bytes, dtype, n: int) -> np.ndarray:
-    return np.frombuffer(pa.decompress(raw, n * np.dtype(dtype).itemsize, codec="zstd", asbytes=True), dtype) if n else np.zeros(0, dtype)
+def _batches(rows: list[dict]):
+    return _table(rows).to_batches()
 
 
-def _tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes with an end after each text, the class of the word before each, and the number of each text."""
+def _small(x: np.ndarray) -> np.ndarray:
+    """Counts in the least unsigned type that holds them."""
+    most = int(x.max(initial=0))
+    return x.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.uint64)
+
+
+def _word_bucket(words: np.ndarray, buckets: int) -> np.ndarray:
+    return ((words >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes with an end after each text, and the number of each text."""
     low = vt.LOWER[data]
     starts, ends, doc = vt.words(low, offs)
-    h = vt.hashes(low, starts, ends)
-    kind = (vt.mix(low[ends - 1].astype(np.uint64)) % np.uint64(CLASSES)).astype(np.uint8)
     n = np.bincount(doc, minlength=len(offs) - 1).astype(np.int64) + 1
-    total = int(n.sum())
-    word, cls = np.full(total, _END, np.uint64), np.full(total, CLASSES, np.uint8)
-    at = np.arange(len(h)) + doc
-    word[at] = h
-    cls[at + 1] = kind
-    return word, cls, n
-
-
-def _blocks(buckets: int):
-    """Packed rows: kind 0 is a block with its documents and stream, kind 1 its pairs in one bucket."""
+    word = np.full(int(n.sum()), _END, np.uint64)
+    word[np.arange(len(starts)) + doc] = vt.hashes(low, starts, ends)
+    return word, n
+
+
+def _blocks(batches):
+    held: list[tuple] = []
+    size = 0
+
+    def block():
+        ids, out, n, word = (np.concatenate(x) for x in zip(*held, strict=True))
+        words, of, times = np.unique(word, return_inverse=True, return_counts=True)
+        order = np.argsort(-times, kind="stable")
+        place = np.empty(len(words), np.int64)
+        place[order] = np.arange(len(words))
+        held.clear()
+        return _batches([_row("block", block=uuid.uuid4().hex, a=_pack(ids), b=_pack(np.where(out, -n, n)), c=_pack(words[order]), d=_pack(_small(place[of])), sums=[size])])
+
+    for batch in batches:
+        ids = pa.array(batch.column(0)).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False).astype(np.int64)
+        out = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+        for lo, hi, data, offs in vt.slices(batch.column(1)):
+            word, n = _tokens(data, offs)
+            held.append((ids[lo:hi], out[lo:hi], n, word))
+            size += len(data)
+            if size >= BLOCK_BYTES:
+                yield from block()
+                size = 0
+    if held:
+        yield from block()
+
+
+class _Block:
+    """A block's words and distinct pairs, in the same order whenever it is read."""
+
+    def __init__(self, row: dict, buckets: int, hot: tuple[np.ndarray, np.ndarray] | None = None):
+        self.ids, n, self.words, stream = (_unpack(row[x]) for x in "abcd")
+        self.n, self.out, self.stream = np.abs(n), n < 0, stream.astype(np.int64)
+        self.learned = np.repeat(~self.out, self.n)
+        self.buckets, self.hot = buckets, hot
+
+    def asks(self):
+        """Words by bucket and hash: order of the words, and bounds of the buckets."""
+        at = _word_bucket(self.words, self.buckets)
+        order = np.lexsort((self.words, at))
+        return order, np.searchsorted(at[order], np.arange(self.buckets + 1)).tolist()
+
+    def pairs(self):
+        """Distinct pairs by bucket, context and word: context and word of each (as hashes and as places), number of each token's pair, and bounds of the buckets."""
+        k = len(self.words)
+        before = np.empty(len(self.stream), np.int64)
+        before[1:] = self.stream[:-1]
+        before[np.cumsum(self.n) - self.n] = k
+        key, of = np.unique(before * (k + 1) + self.stream, return_inverse=True)
+        u, w = key // (k + 1), key % (k + 1)
+        named = np.append(self.words, _START)
+        uh, wh = named[u], named[w]
+        salt = np.zeros(len(u), np.uint64)
+        hot, spread = self.hot
+        if len(hot):
+            place = np.minimum(np.searchsorted(hot, uh), len(hot) - 1)
+            is_hot = hot[place] == uh
+            salt[is_hot] = vt.mix(wh[is_hot]) % spread[place[is_hot]]
+        at = (vt.mix(uh + salt * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(self.buckets)).astype(np.int64)
+        order = np.lexsort((wh, uh, at))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return u[order], w[order], uh[order], wh[order], place[of], np.searchsorted(at[order], np.arange(self.buckets + 1)).tolist()
+
+
+def _firsts(x: np.ndarray) -> np.ndarray:
+    """Places where a run of equal values begins."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+
+
+def _ask_words(buckets: int):
     def run(batches):
-        held: list[tuple] = []
-        size = 0
-
-        def block():
-            ids, out, n, word, cls = (np.concatenate(x) for x in zip(*held, strict=True))
-            name = uuid.uuid4().hex
-            key = vt.mix(word + cls.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            # pairs lie by bucket, then word, so references of one bucket's pairs are consecutive
-            _, first, of = np.unique(key, return_index=True, return_inverse=True)
-            order = np.lexsort((word[first], (word[first] >> np.uint64(32)) % np.uint64(buckets)))
-            place = np.empty(len(order), np.int64)
-            place[order] = np.arange(len(order))
-            ref, pw, pc = place[of].astype(np.uint32), word[first][order], cls[first][order]
-            train = np.bincount(ref[np.repeat(~out, n)], minlength=len(pw)).astype(np.int64)
-            at = np.searchsorted((pw >> np.uint64(32)) % np.uint64(buckets), np.arange(buckets + 1)).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([name]), pa.array([-1], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([len(ref)], pa.int64()), *(pa.array([x], pa.binary()) for x in (_pack(ids), _pack(np.where(out, -n, n)), _pack(ref)))], NAMES)
-            for b in range(buckets):
-                lo, hi = at[b], at[b + 1]
-                if hi > lo:
-                    yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([name]), pa.array([b], pa.int32()), pa.array([lo], pa.int64()), pa.array([hi - lo], pa.int64()), *(pa.array([x], pa.binary()) for x in (pw[lo:hi].tobytes(), _pack(pc[lo:hi]), _pack(train[lo:hi])))], NAMES)
-            held.clear()
-
         for batch in batches:
-            ids = pa.array(batch.column(0)).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False).astype(np.int64)
-            out = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            for lo, hi, data, offs in vt.slices(batch.column(1)):
-                word, cls, n = _tokens(data, offs)
-                held.append((ids[lo:hi], out[lo:hi], n, word, cls))
-                size += len(data)
-                if size >= BLOCK_BYTES:
-                    yield from block()
-                    size = 0
-        if held:
-            yield from block()
+            for row in batch.to_pylist():
+                b = _Block(row, buckets)
+                times = np.bincount(b.stream[b.learned], minlength=len(b.words))
+                order, cuts = b.asks()
+                yield from _batches([_row("ask", i, row["block"], a=_pack_sorted(b.words[order[lo:hi]]), b=_pack(_small(times[order[lo:hi]]))) for i, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if hi > lo])
     return run
 
 
-NAMES = ["kind", "block", "bucket", "a", "n", "x", "y", "z"]
-_PACKED = "kind int, block string, bucket int, a long, n long, x binary, y binary, z binary"
-_COUNTS = "bucket int, n long, words binary, cls binary, c binary, t binary, roots binary, sums array<double>"
-
-
-def _pairs(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    x, y, z, n = (rows.column(c).to_pylist() for c in ("x", "y", "z", "n"))
-    return (np.concatenate([np.frombuffer(v, np.uint64) for v in x]), np.concatenate([_unpack(v, np.uint8, k) for v, k in zip(y, n, strict=True)]), np.concatenate([_unpack(v, np.int64, k) for v, k in zip(z, n, strict=True)]))
+def _vocabulary(key, rows):
+    """A bucket's words and training counts, and for each block the places of its words."""
+    rows = rows.to_pylist()
+    asked = [_unpack_sorted(r["a"]) for r in rows]
+    words, of = np.unique(np.concatenate(asked), return_inverse=True)
+    count = np.bincount(of, np.concatenate([_unpack(r["b"]) for r in rows]).astype(float)).astype(np.int64)
+    cuts = np.cumsum([0, *map(len, asked)])
+    bucket = key[0].as_py()
+    return _table([_row("vocabulary", bucket, a=_pack_sorted(words), b=_pack(_small(count)), sums=[count.sum(), (count > 0).sum()]),
+                   *(_row("ask", bucket, r["block"], a=_pack_sorted(_small(of[lo:hi]))) for r, lo, hi in zip(rows, cuts[:-1], cuts[1:], strict=True))])
 
 
-def _sums(words, cls, c, t, c0, t0) -> list[float]:
-    """Customers and tables of each restaurant, those of the root, words, tokens, and dishes that came once and twice, in contexts and at the root."""
-    return [*np.bincount(cls, c, _RESTAURANTS), *np.bincount(cls, t, _RESTAURANTS), c0.sum(), t0.sum(), len(c0), c.sum(), (c == 1).sum(), (c == 2).sum(), (c0 == 1).sum(), (c0 == 2).sum()]
+def _often(least: float):
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                words, n = _unpack_sorted(row["a"]), _unpack(row["b"]).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(words[n > least].view(np.int64)), pa.array(n[n > least])], ["word", "n"])
+    return run
 
 
-def _roots(words: np.ndarray) -> np.ndarray:
-    """Number of each pair's word, for pairs sorted by word."""
-    return np.cumsum(np.concatenate([[False], words[1:] != words[:-1]])) if len(words) else np.zeros(0, np.int64)
+def _ask_pairs(buckets: int, hot):
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                b = _Block(row, buckets, hot)
+                _, _, uh, wh, of, cuts = b.pairs()
+                times = np.bincount(of[b.learned], minlength=len(uh))
+                for i, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                    if hi > lo:
+                        first = _firsts(uh[lo:hi])
+                        names, place = np.unique(wh[lo:hi], return_inverse=True)
+                        yield from _batches([_row("pairs", i, row["block"], a=_pack_sorted(uh[lo:hi][first]), b=_pack(_small(np.diff(np.append(first, hi - lo)))), c=_pack_sorted(names), d=_pack(_small(place)), e=_pack(_small(times[lo:hi])))])
+    return run
 
 
-def _record(bucket, words, cls, c, t, roots, sums):
-    return pa.table({"bucket": pa.array([bucket], pa.int32()), "n": pa.array([len(words)], pa.int64()), "words": [words.tobytes()], "cls": pa.array([_pack(cls)], pa.binary()), "c": pa.array([_pack(c)], pa.binary()), "t": pa.array([_pack(t)], pa.binary()), "roots": pa.array([_pack(roots)], pa.binary()), "sums": pa.array([sums], pa.list_(pa.float64()))})
+def _restaurants(buckets: int, hot_words: np.ndarray):
+    """A bucket's context restaurants from all blocks' pairs, and answers to the blocks that seating doesn't change."""
+    def run(key, rows):
+        rows, bucket = rows.to_pylist(), key[0].as_py()
+        heads = [_unpack_sorted(r["a"]) for r in rows]
+        sizes = [_unpack(r["b"]).astype(np.int64) for r in rows]
+        u = np.concatenate([np.repeat(h, s) for h, s in zip(heads, sizes, strict=True)])
+        w = np.concatenate([_unpack_sorted(r["c"])[_unpack(r["d"])] for r in rows])
+        times = np.concatenate([_unpack(r["e"]).astype(np.int64) for r in rows])
+        order = np.lexsort((w, u))
+        new = np.concatenate([[True], (u[order][1:] != u[order][:-1]) | (w[order][1:] != w[order][:-1])])
+        of = np.empty(len(u), np.int64)
+        of[order] = np.cumsum(new) - 1
+        c = np.bincount(of, times).astype(np.int64)
+        u, w = u[order][new], w[order][new]
+        cuts = np.cumsum([0, *(int(s.sum()) for s in sizes)])
+        out = [_row("count", bucket, r["block"], a=_pack(_small(c[of[lo:hi]]))) for r, lo, hi in zip(rows, cuts[:-1], cuts[1:], strict=True)]
+        seated = c > 0
+        names, context = np.unique(u[seated], return_inverse=True)
+        customers = np.bincount(context, c[seated], minlength=len(names)).astype(np.int64)
+        dishes = np.bincount(context, minlength=len(names)).astype(np.int64)
+        place = np.minimum(np.searchsorted(hot_words, names), max(0, len(hot_words) - 1))
+        hot = np.where(hot_words[place] == names, place + 1, 0) if len(hot_words) else np.zeros(len(names), np.int64)
+        again = c[seated] > 1
+        # words by bucket and hash, with the number of contexts that they occur in; wanted are those of pairs that are sampled
+        sw = w[seated]
+        words, word = np.unique(sw, return_inverse=True)
+        line = np.lexsort((words, _word_bucket(words, buckets)))
+        back = np.empty(len(line), np.int64)
+        back[line] = np.arange(len(line))
+        word, words = back[word], words[line]
+        contexts = np.bincount(word, minlength=len(words))
+        wanted = np.bincount(word[again], minlength=len(words)) > 0
+        number = np.cumsum(wanted) - 1
+        edge = np.searchsorted(_word_bucket(words, buckets), np.arange(buckets + 1))
+        per = np.add.reduceat(np.append(wanted, False).astype(np.int64), np.minimum(edge[:-1], len(wanted))) * (np.diff(edge) > 0) if len(wanted) else np.zeros(buckets, np.int64)
+        for i in np.flatnonzero(np.diff(edge)).tolist():
+            lo, hi = edge[i], edge[i + 1]
+            out.append(_row("words", i, part=bucket, a=_pack_sorted(words[lo:hi]), b=_pack(_small(contexts[lo:hi])), c=_pack(wanted[lo:hi].astype(np.uint8))))
+        sums = np.zeros(3 + 2 * len(hot_words))
+        sums[:3] = dishes.sum(), (c == 1).sum(), (c == 2).sum()
+        np.add.at(sums, 2 + hot[hot > 0], customers[hot > 0])
+        np.add.at(sums, 2 + len(hot_words) + hot[hot > 0], dishes[hot > 0])
+        out.append(_row("restaurants", bucket, a=_pack(_small(customers)), b=_pack(_small(dishes)), c=_pack(_small(hot)), d=_pack(_small(context[again])), e=_pack(_small(number[word[again]])), f=_pack(np.concatenate([per, c[seated][again]])), sums=sums))
+        # what a block asks after each sampling: its contexts, and its pairs that are sampled
+        active = np.full(len(c), -1)
+        active[np.flatnonzero(seated)[again]] = np.arange(int(again.sum()))
+        for r, head, lo, hi in zip(rows, heads, cuts[:-1], cuts[1:], strict=True):
+            at = np.minimum(np.searchsorted(names, head), max(0, len(names) - 1))
+            known = names[at] == head if len(names) else np.zeros(len(head), bool)
+            mine = active[of[lo:hi]]
+            out.append(_row("ask", bucket, r["block"], a=_pack(_small(np.where(known, at + 1, 0))), b=_pack(_small(mine[mine >= 0]))))
+        return _table(out)
+    return run
 
 
-def _build(key, rows):
-    words, cls, c = _pairs(rows)
-    keep = c > 0
-    words, cls, c = words[keep], cls[keep], c[keep]
-    order = np.lexsort((cls, words))
-    words, cls, c = words[order], cls[order], c[order]
-    new = np.concatenate([[True], (words[1:] != words[:-1]) | (cls[1:] != cls[:-1])]) if len(words) else np.zeros(0, bool)
-    at = np.flatnonzero(new)
-    c = np.add.reduceat(c, at) if len(at) else c
-    words, cls = words[at], cls[at]
-    t = np.ones(len(words), np.int64)
-    root = _roots(words)
-    c0 = np.bincount(root, t).astype(np.int64)
-    t0 = np.ones(len(c0), np.int64)
-    return _record(key[0].as_py(), words, cls, c, t, np.stack([c0, t0]), _sums(words, cls, c, t, c0, t0))
+def _root(key, known, sent):
+    """How many contexts each word of a bucket occurs in, and where the words lie that each context bucket wants."""
+    words = _unpack_sorted(next(r["a"] for r in known.to_pylist() if r["kind"] == "vocabulary"))
+    bucket, contexts, out = key[0].as_py(), np.zeros(len(words), np.int64), []
+    for r in sent.to_pylist():
+        at = np.searchsorted(words, _unpack_sorted(r["a"]))
+        contexts[at] += _unpack(r["b"])
+        out.append(_row("want", bucket, part=r["part"], a=_pack_sorted(_small(at[_unpack(r["c"]) > 0]))))
+    return _table([_row("root", bucket, a=_pack(_small(contexts)), sums=[contexts.sum(), (contexts > 0).sum(), (contexts == 1).sum(), (contexts == 2).sum()]), *out])
 
 
 def seat(c: np.ndarray, new: np.ndarray, discount: float, rng) -> np.ndarray:
     """Tables of each dish with c customers, seated one after another: the next one opens a table with the odds `new` against the seated c' - discount * t."""
     t = np.ones(len(c), np.int64)
     order = np.argsort(-c, kind="stable")
-    sizes, n = c[order], 1
-    left = int(np.searchsorted(-sizes, -n, "left"))
-    while left:
-        live = order[:left]
-        step = 1 if n < SINGLY else n // 16
-        many = np.minimum(step, c[live] - n)
-        odds = new[live] / (new[live] + np.maximum(n - discount * t[live], 1e-9))
-        t[live] += rng.random(left) < odds if step == 1 else rng.binomial(many, odds)
-        n += step
-        left = int(np.searchsorted(-sizes, -n, "left"))
+    sizes = c[order]
+    for n in range(1, min(IN_STEP, int(c.max(initial=0)))):
+        live = order[:int(np.searchsorted(-sizes, -n, "left"))]
+        t[live] += rng.random(len(live)) * (new[live] + n - discount * t[live]) < new[live]
+    for i in order[:int(np.searchsorted(-sizes, -IN_STEP, "left"))].tolist():
+        t[i] = _seat_late(int(c[i]), float(new[i]), discount, IN_STEP, int(t[i]), rng)
+    return t
+
+
+def _seat_late(c: int, new: float, discount: float, n: int, t: int, rng) -> int:
+    """The tables of one dish, from n customers at t tables on: the customers until the next new table are drawn at once."""
+    while n < c:
+        x = n - discount * t
+        least = math.log(1 - rng.random())
+        whole = math.lgamma(x + new) - math.lgamma(x)
+        log_none = lambda m: whole + math.lgamma(x + m) - math.lgamma(x + m + new)  # noqa: E731, B023  that m more open none
+        if log_none(c - n) > least:
+            break
+        lo, hi = 0, c - n  # the first m with log_none(m) <= least
+        guess = x * math.expm1(min(700.0, -least / max(new, 1e-300)))
+        for m in (int(min(hi - 1, guess * 0.98)), int(min(hi - 1, guess * 1.02 + 2))):
+            if lo < m < hi:
+                lo, hi = (m, hi) if log_none(m) > least else (lo, m)
+        while hi - lo > 1:
+            m = (lo + hi) // 2
+            lo, hi = (m, hi) if log_none(m) > least else (lo, m)
+        n, t = n + hi, t + 1
     return t
 
 
-class Totals:
-    def __init__(self, sums: np.ndarray):
-        r = _RESTAURANTS
-        self.c, self.t, (self.c0, self.t0, self.v, self.n, once, twice, once0, twice0) = sums[:r], sums[r:2 * r], sums[2 * r:]
-        self.d, self.d0 = (float(np.clip(a / max(1.0, a + 2 * b), 0.1, 0.9)) for a, b in ((once, twice), (once0, twice0)))
+def lgamma(x: np.ndarray) -> np.ndarray:
+    """log of the gamma function for x > 0, by Stirling's series after ten steps up."""
+    z = x + 10.0
+    out = (z - 0.5) * np.log(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * z ** 3)
+    return out - sum(np.log(x + i) for i in range(10))
 
-    def new_word(self) -> float:
-        """Probability of one word by the root's base part alone."""
-        return (STRENGTH + self.d0 * self.t0) / (STRENGTH + self.c0) / (self.v + 1)
 
-    def root(self, c0, t0):
-        return np.maximum(c0 - self.d0 * t0, 0) / (STRENGTH + self.c0) + self.new_word()
+def seating_log(c: np.ndarray, t: np.ndarray, d: float, weight: np.ndarray, grid: list[float]) -> np.ndarray:
+    """For each strength of the grid the log-likelihood, up to what doesn't depend on it, of restaurants with c customers at t tables."""
+    out = []
+    for s in grid:
+        out.append(float(((lgamma(s / d + t) - lgamma(np.full(1, s / d + 1)) + (t - 1) * math.log(d) - lgamma(s + c) + lgamma(np.full(1, s + 1.0))) * weight).sum()))
+    return np.array(out)
 
-    def back(self):
-        """Share that each context leaves to its parent."""
-        return (STRENGTH + self.d * self.t) / (STRENGTH + self.c)
 
+class Level:
+    """Strength, discount and totals of one level at one time."""
 
-def _counts(batch: pa.RecordBatch, i: int):
-    row = {c: batch.column(batch.schema.get_field_index(c))[i].as_py() for c in ("bucket", "n", "words", "cls", "c", "t", "roots")}
-    n, words = row["n"], np.frombuffer(row["words"], np.uint64)
-    root = _roots(words)
-    k = int(root[-1]) + 1 if n else 0
-    return row["bucket"], words, _unpack(row["cls"], np.uint8, n), _unpack(row["c"], np.int64, n), _unpack(row["t"], np.int64, n), _unpack(row["roots"], np.int64, 2 * k).reshape(2, k), root
+    def __init__(self, strength: float, discount: float, customers: float, tables: float):
+        self.strength, self.discount, self.customers, self.tables = strength, discount, customers, tables
 
+    def back(self) -> float:
+        """What the root leaves to its base."""
+        return (self.strength + self.discount * self.tables) / (self.strength + self.customers)
 
-def _sweep(totals: Totals, number: int):
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                bucket, words, cls, c, t, (c0, t0), root = _counts(batch, i)
-                rng = np.random.default_rng([SEED, number, bucket])
-                odds = (STRENGTH + totals.d * totals.t)[cls] * totals.root(c0, t0)[root]
-                t = seat(c, odds, totals.d, rng)
-                c0 = np.bincount(root, t, len(c0)).astype(np.int64)
-                t0 = seat(c0, np.full(len(c0), (STRENGTH + totals.d0 * totals.t0) / (totals.v + 1)), totals.d0, rng)
-                yield from _record(bucket, words, cls, c, t, np.stack([c0, t0]), _sums(words, cls, c, t, c0, t0)).to_batches()
+
+def _root_sweep(root: Level, n_words: int, number: int):
+    """Customers and tables at the root, and what each context bucket wants of them: customers - discount * tables."""
+    def run(key, known, sent):
+        bucket, known = key[0].as_py(), known.to_pylist()
+        c = _unpack(next(r["a"] for r in known if r["kind"] == "root")).astype(np.int64)
+        want = {r["part"]: _unpack_sorted(r["a"]) for r in known if r["kind"] == "want"}
+        for r in sent.to_pylist():
+            c[want[r["part"]]] += _unpack(r["a"])
+        t, seated = np.zeros(len(c), np.int64), np.flatnonzero(c)
+        odds = (root.strength + root.discount * root.tables) / (n_words + 1)
+        t[seated] = seat(c[seated], np.full(len(seated), odds), root.discount, np.random.default_rng([SEED, number, bucket, 0]))
+        rest = (c - root.discount * t).astype(np.float32)
+        return _table([_row("state", bucket, part=number, a=_pack(_small(c)), b=_pack(_small(t)), sums=[c.sum(), t.sum(), (c == 1).sum(), (c == 2).sum()]), *(_row("down", part, part=bucket, a=_pack(rest[at])) for part, at in want.items() if len(at))])
     return run
 
 
-def _answer(samples: list[tuple[int, Totals]]):
-    """For each block's pairs in a bucket, the word's training count and the log10 of the averaged predictive probability."""
-    def run(key, asked, known):
-        models = {}
-        for batch in known.to_batches():
-            for i in range(batch.num_rows):
-                models[batch.column(batch.schema.get_field_index("sweep"))[i].as_py()] = _counts(batch, i)
-        name, begin, out_c, out_p = [], [], [], []
-        for block, a, n, x, y in zip(*(asked.column(c).to_pylist() for c in ("block", "a", "n", "x", "y")), strict=True):
-            words, cls = np.frombuffer(x, np.uint64), _unpack(y, np.uint8, n)
-            total, count = np.zeros(n), np.zeros(n, np.int64)
-            for number, totals in samples:
-                base = np.full(n, totals.new_word())
-                own = np.zeros(n)
-                if number in models and len(models[number][1]):
-                    _, mw, mc, c, t, (c0, t0), root = models[number]
-                    firsts = np.flatnonzero(np.concatenate([[True], root[1:] != root[:-1]]))
-                    at = np.minimum(np.searchsorted(mw[firsts], words), len(firsts) - 1)
-                    hit = mw[firsts][at] == words
-                    base[hit] = totals.root(c0, t0)[at[hit]]
-                    count = np.where(hit, np.add.reduceat(c, firsts)[at], 0)
-                    for k in range(_RESTAURANTS):  # the pairs of one context are sorted by word
-                        mine, asks = np.flatnonzero(mc == k), np.flatnonzero(cls == k)
-                        if len(mine) and len(asks):
-                            p = np.minimum(np.searchsorted(mw[mine], words[asks]), len(mine) - 1)
-                            same = mw[mine][p] == words[asks]
-                            seen = mine[p[same]]
-                            own[asks[same]] = np.maximum(c[seen] - totals.d * t[seen], 0) / (STRENGTH + totals.c[k])
-                total += own + totals.back()[cls] * base
-            name.append(block), begin.append(a), out_c.append(_pack(count)), out_p.append(np.log10(total / len(samples)).astype(np.float32).tobytes())
-        return pa.table({"kind": pa.array([2] * len(name), pa.int32()), "block": pa.array(name, pa.string()), "bucket": pa.array([0] * len(name), pa.int32()), "a": pa.array(begin, pa.int64()), "n": asked.column("n"), "x": pa.array(out_c, pa.binary()), "y": pa.array(out_p, pa.binary()), "z": pa.array([None] * len(name), pa.binary())})
+def _tables_of(restaurants: dict, t: np.ndarray, hot_tables: np.ndarray) -> np.ndarray:
+    """Tables of each context of a bucket; those of hot contexts are known from all buckets."""
+    dishes, hot, context = (_unpack(restaurants[x]).astype(np.int64) for x in "bcd")
+    total = dishes + np.bincount(context, t - 1, minlength=len(dishes)).astype(np.int64)
+    return np.where(hot > 0, hot_tables[hot - 1], total) if len(hot_tables) else total
+
+
+def _context_sweep(level: Level, root: Level, n_words: int, hot_tables: np.ndarray, buckets: int, number: int, grid: list[float]):
+    def run(key, known, sent):
+        bucket, known = key[0].as_py(), known.to_pylist()
+        mine = next(r for r in known if r["kind"] == "restaurants")
+        customers, dishes, hot, context, wanted = (_unpack(mine[x]).astype(np.int64) for x in "abcde")
+        per, c = np.split(_unpack(mine["f"]), [buckets])
+        before = next((_unpack(r["a"]).astype(np.int64) for r in known if r["kind"] == "tables"), np.ones(len(c), np.int64))
+        rest = [_unpack(r["a"]).astype(float) for r in sorted(sent.to_pylist(), key=lambda r: r["part"])]
+        base = np.concatenate([*rest, np.zeros(0)]) / (root.strength + root.customers) + root.back() / (n_words + 1)
+        odds = (level.strength + level.discount * _tables_of(mine, before, hot_tables))[context] * base[wanted]
+        t = seat(c, odds, level.discount, np.random.default_rng([SEED, number, bucket, 1]))
+        more = np.bincount(wanted, t - 1, minlength=int(per.sum())).astype(np.int64)
+        total = dishes + np.bincount(context, t - 1, minlength=len(dishes)).astype(np.int64)
+        sums = np.zeros(1 + len(hot_tables) + len(grid))
+        sums[0] = total.sum()
+        np.add.at(sums, hot[hot > 0], total[hot > 0])
+        kinds, weight = np.unique((customers << 32 | total)[hot == 0], return_counts=True)
+        sums[1 + len(hot_tables):] = seating_log((kinds >> 32).astype(float), (kinds & 0xFFFFFFFF).astype(float), level.discount, weight, grid)
+        ends = np.cumsum(per)
+        return _table([_row("tables", bucket, part=number, a=_pack(_small(t)), sums=sums), *(_row("up", i, part=bucket, a=_pack(_small(more[ends[i] - per[i]:ends[i]]))) for i in np.flatnonzero(per).tolist())])
+    return run
+
+
+def _word_answers(roots: dict[int, Level]):
+    """For each block's words their training counts and, for each sample, customers - discount * tables at the root."""
+    def run(key, known, states):
+        known = known.to_pylist()
+        count = _unpack(next(r["b"] for r in known if r["kind"] == "vocabulary"))
+        rest = {r["part"]: (_unpack(r["a"]) - roots[r["part"]].discount * _unpack(r["b"])).astype(np.float32) for r in states.to_pylist()}
+        out = []
+        for r in known:
+            if r["kind"] == "ask":
+                at = _unpack_sorted(r["a"])
+                out.append(_row("words", key[0].as_py(), r["block"], a=_pack(count[at]), b=_pack(np.concatenate([rest[s][at] for s in roots]))))
+        return _table(out)
+    return run
+
+
+def _context_answers(hot_customers: np.ndarray, hot_tables: dict[int, np.ndarray]):
+    """For each block's contexts their customers and, for each sample, their tables; and the tables of its pairs that are sampled."""
+    def run(key, known, states):
+        known = known.to_pylist()
+        mine = next(r for r in known if r["kind"] == "restaurants")
+        customers, hot = (_unpack(mine[x]).astype(np.int64) for x in "ac")
+        if len(hot_customers):
+            customers = np.where(hot > 0, hot_customers[hot - 1], customers)
+        found = {r["part"]: _unpack(r["a"]).astype(np.int64) for r in states.to_pylist()}
+        total = {s: np.append(0, _tables_of(mine, found[s], hot_tables[s])) for s in hot_tables}
+        customers, out = np.append(0, customers), []
+        for r in known:
+            if r["kind"] == "ask":
+                at, pairs = _unpack(r["a"]), _unpack(r["b"])
+                out.append(_row("contexts", key[0].as_py(), r["block"], a=_pack(_small(customers[at])), b=_pack(_small(np.concatenate([total[s][at] for s in hot_tables]))), c=_pack(_small(np.concatenate([found[s][pairs] for s in hot_tables])))))
+        return _table(out)
     return run
 
 
 _OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(n_all: int, v_all: int):
-    """A block's documents from its stream and the answers to its pairs."""
+def _score(buckets: int, hot, levels: list[tuple[Level, Level]], n_all: int, n_words: int):
+    """A block's documents from its stream and the answers to its words, contexts and pairs."""
     def run(key, rows):
-        kinds = rows.column("kind").to_pylist()
-        answers = rows.filter(pa.array([k == 2 for k in kinds]))
-        size = max((a + n for a, n in zip(answers.column("a").to_pylist(), answers.column("n").to_pylist(), strict=True)), default=0)
-        count, logp = np.zeros(size, np.int64), np.zeros(size)
-        for a, n, x, y in zip(*(answers.column(c).to_pylist() for c in ("a", "n", "x", "y")), strict=True):
-            count[a:a + n], logp[a:a + n] = _unpack(x, np.int64, n), np.frombuffer(y, np.float32)
-        base = np.log10((count + 1) / (n_all + v_all + 1))
-        parts = []
-        blocks = rows.filter(pa.array([k == 0 for k in kinds]))
-        for docs, tokens, x, y, z in zip(*(blocks.column(c).to_pylist() for c in ("a", "n", "x", "y", "z")), strict=True):
-            ids, n, ref = _unpack(x, np.int64, docs), _unpack(y, np.int64, docs), _unpack(z, np.uint32, tokens)
-            at = np.cumsum(np.abs(n)) - np.abs(n)
-            none = ids == np.iinfo(np.int64).min
-            add = lambda w: np.add.reduceat(w, at) if len(at) else w  # noqa: E731, B023
-            parts.append(pa.table({"doc_id": pa.array(ids, mask=none), "held_out": n < 0, "n_tokens": np.abs(n), "n_known": add((count[ref] > 0).astype(np.int64)), "train_tokens": np.full(docs, n_all), "base_score": add(base[ref]), "score": add(logp[ref])}))
-        return pa.concat_tables(parts)
+        rows = rows.to_pylist()
+        by = {(r["kind"], r["bucket"]): r for r in rows}
+        b = _Block(by["block", 0], buckets, hot)
+        k, samples = len(b.words), len(levels)
+        order, cuts = b.asks()
+        count, rest = np.zeros(k, np.int64), np.zeros((samples, k))
+        for i, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            if hi > lo:
+                r = by["words", i]
+                count[order[lo:hi]], rest[:, order[lo:hi]] = _unpack(r["a"]), _unpack(r["b"]).reshape(samples, -1)
+        u, w, uh, _, of, cuts = b.pairs()
+        own, customers = np.zeros(len(u), np.int64), np.zeros(len(u))
+        own_tables, tables = np.ones((samples, len(u))), np.zeros((samples, len(u)))
+        for i, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            if hi > lo:
+                r, first = by["contexts", i], _firsts(uh[lo:hi])
+                group = np.cumsum(np.bincount(first, minlength=hi - lo)) - 1
+                own[lo:hi] = _unpack(by["count", i]["a"])
+                customers[lo:hi] = _unpack(r["a"])[group]
+                tables[:, lo:hi] = _unpack(r["b"]).reshape(samples, -1)[:, group]
+                again = lo + np.flatnonzero(own[lo:hi] > 1)
+                own_tables[:, again] = _unpack(r["c"]).reshape(samples, -1)
+        p = np.zeros(len(u))
+        for s, (level, root) in enumerate(levels):
+            base = rest[s] / (root.strength + root.customers) + root.back() / (n_words + 1)
+            p += (np.maximum(own - level.discount * own_tables[s], 0) * (own > 0) + (level.strength + level.discount * tables[s]) * base[w]) / (level.strength + customers)
+        logp, plain = np.log10(p / samples)[of], np.log10((count + 1) / (n_all + n_words + 1))[b.stream]
+        at = np.cumsum(b.n) - b.n
+        none = b.ids == np.iinfo(np.int64).min
+        add = lambda x: np.add.reduceat(x, at) if len(at) else x
+        return pa.table({"doc_id": pa.array(b.ids, mask=none), "held_out": b.out, "n_tokens": b.n, "n_known": add((count[b.stream] > 0).astype(np.int64)), "train_tokens": np.full(len(b.ids), n_all), "base_score": add(plain), "score": add(logp)})
     return run
 
 
-def score(docs: DataFrame, held_out: Column) -> DataFrame:
+def _discount(once: float, twice: float) -> float:
+    return float(np.clip(once / max(1.0, once + 2 * twice), 0.05, 0.95))
+
+
+def _draw(grid: list[float], logs: np.ndarray, rng) -> float:
+    """A strength of the grid by its posterior."""
+    p = np.exp(logs - logs.max())
+    return grid[int(rng.choice(len(grid), p=p / p.sum()))]
+
+
+def score(docs: DataFrame, held_out: Column, grid: list[float] = GRID) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), held_out.alias("held_out"))
-    packed = materialize(rows.mapInArrow(_blocks(buckets), _PACKED), "blocks")
-    pairs = packed.where("kind = 1")
-    model = materialize(pairs.select("bucket", "n", "x", "y", "z").groupBy("bucket").applyInArrow(_build, _COUNTS), "counts")
-    kept, samples = [], []
-
-    def totals() -> Totals:
-        sums = [r.sums for r in model.select("sums").collect()]  # one short row per bucket
-        return Totals(np.sum(sums, axis=0) if sums else np.zeros(2 * _RESTAURANTS + 8))
-
-    now = totals()
+    blocks = materialize(rows.mapInArrow(_blocks, _ROWS), "blocks")
+    total = lambda df, kind: np.sum([r.sums for r in df.where(F.col("kind") == kind).select("sums").collect()] or [[0.0] * 99], axis=0)  # noqa: E731  one short row per bucket or block
+    buckets = max(1, round(total(blocks, "block")[0] / BUCKET_BYTES))
+    asked = blocks.mapInArrow(_ask_words(buckets), _ROWS)
+    words = materialize(asked.groupBy("bucket").applyInArrow(_vocabulary, _ROWS), "words")
+    n_all, n_words = (int(x) for x in total(words, "vocabulary")[:2])
+    often = {np.int64(r.word).astype(np.uint64): r.n for r in words.where("kind = 'vocabulary'").mapInArrow(_often(n_all / HOT), "word long, n long").collect()}  # HOT rows at most
+    if _END in often:
+        often[_START] = often[_END]  # as many starts as ends
+    hot_words = np.sort(np.array(list(often), np.uint64))
+    hot = hot_words, np.array([min(buckets, -(-often[x] * HOT // max(1, n_all))) for x in hot_words], np.uint64)
+    pairs = blocks.mapInArrow(_ask_pairs(buckets, hot), _ROWS)
+    built = materialize(pairs.groupBy("bucket").applyInArrow(_restaurants(buckets, hot_words), _ROWS), "restaurants")
+    release(spark)
+    together = lambda left, right: left.groupBy("bucket").cogroup(right.groupBy("bucket"))
+    root_rows = materialize(together(words.where("kind = 'vocabulary'"), built.where("kind = 'words'")).applyInArrow(_root, _ROWS), "root")
+    sums, k = total(built, "restaurants"), len(hot_words)
+    discount = _discount(sums[1], sums[2])
+    hot_customers, hot_tables = sums[3:3 + k], sums[3 + k:3 + 2 * k]
+    c0, t0, once, twice = total(root_rows, "root")[:4]
+    level, root = Level(1.0, discount, n_all, sums[0]), Level(1.0, _discount(once, twice), c0, t0)
+    rng = np.random.default_rng(SEED)
+    restaurants = built.where("kind = 'restaurants'")
+    up = built.where("kind = 'none'")
+    tables, kept, states, seatings = up, [], [], []
     for number in range(SWEEPS):
-        model = materialize(model.mapInArrow(_sweep(now, number), _COUNTS), "counts")
-        now = totals()
+        state = materialize(together(root_rows, up).applyInArrow(_root_sweep(root, n_words, number), _ROWS), "state")
+        c0, t0, once, twice = total(state, "state")[:4]
+        now = Level(root.strength, root.discount, c0, t0)
+        swept = materialize(together(restaurants.union(tables), state.where("kind = 'down'")).applyInArrow(_context_sweep(level, now, n_words, hot_tables, buckets, number, grid), _ROWS), "tables")
+        tables, up, sums = swept.where("kind = 'tables'"), swept.where("kind = 'up'"), total(swept, "tables")
+        hot_tables = sums[1:1 + k]
+        after = Level(level.strength, discount, n_all, sums[0])
         if number >= SWEEPS - SAMPLES:
-            kept.append(model.withColumn("sweep", F.lit(number)))
-            samples.append((number, now))
-    known = kept[0]
-    for x in kept[1:]:
-        known = known.union(x)
-    answers = pairs.select("block", "bucket", "a", "n", "x", "y").groupBy("bucket").cogroup(known.drop("sums").groupBy("bucket")).applyInArrow(_answer(samples), _PACKED)
-    both = packed.where("kind = 0").unionByName(answers)
-    return both.groupBy("block").applyInArrow(_score(int(now.n), int(now.v)), _OUT)
+            kept.append((number, after, now, hot_tables))
+            states.append(state.where("kind = 'state'"))
+            seatings.append(tables)
+        logs = sums[1 + k:1 + k + len(grid)] + (seating_log(hot_customers, hot_tables, discount, np.ones(k), grid) if k else 0)
+        level = Level(_draw(grid, logs, rng), discount, n_all, sums[0])
+        root = Level(_draw(grid, seating_log(np.array([max(c0, 1.0)]), np.array([max(t0, 1.0)]), root.discount, np.ones(1), grid), rng), _discount(once, twice), c0, t0)
+    states, seatings = (x[0].union(x[1]) if len(x) == 2 else x[0] for x in (states, seatings))
+    release(spark)
+    answers = together(words, states).applyInArrow(_word_answers({n: r for n, _, r, _ in kept}), _ROWS)
+    more = together(restaurants.union(built.where("kind = 'ask'")), seatings).applyInArrow(_context_answers(hot_customers, {n: h for n, _, _, h in kept}), _ROWS)
+    every = blocks.union(built.where("kind = 'count'")).union(answers).union(more)
+    return every.groupBy("block").applyInArrow(_score(buckets, hot, [(x, r) for _, x, r, _ in kept], n_all, n_words), _OUT)
 
 
 def op6_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -286,20 +286,98 @@ def test_pitman_yor(docs, empty):
     assert pitman_yor.score(empty, F.lit(False)).count() == 0
 
 
-def test_pitman_yor_sums_to_one():
-    rng = np.random.default_rng(1)
-    words = np.sort(rng.integers(0, 40, 300).astype(np.uint64))
-    cls = rng.integers(0, 9, 300).astype(np.uint8)
-    key = np.unique(words * np.uint64(16) + cls)
-    words, cls = key // np.uint64(16), (key % np.uint64(16)).astype(np.uint8)
-    c = rng.integers(1, 50, len(key))
-    root = pitman_yor._roots(words)
-    t = pitman_yor.seat(c, np.full(len(c), 0.5), 0.5, rng)
-    assert ((t >= 1) & (t <= c)).all()
-    c0 = np.bincount(root, t).astype(np.int64)
-    t0 = pitman_yor.seat(c0, np.full(len(c0), 0.5), 0.5, rng)
-    totals = pitman_yor.Totals(np.array(pitman_yor._sums(words, cls, c, t, c0, t0)))
-    assert abs(totals.root(c0, t0).sum() + totals.new_word() - 1) < 1e-9
+def test_pitman_yor_without_repeats_is_exact(spark):
+    # every pair occurs once, so seating is certain and the score is a closed form of the learned strengths
+    texts = ["a b c d", "b d a e", "c e b a", None]
+    rows = [(i, x) for i, x in enumerate(texts)] + [(10, "a c z"), (11, "a b c d")]
+    got = {r.doc_id: r for r in pitman_yor.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") >= 10).collect()}
+    train = [(x or "").split() for x in texts]
+    seats = [(u, w) for t in train for u, w in zip([None, *t], [*t, "</s>"], strict=True)]
+    assert max(Counter(seats).values()) == 1
+    # known words in known pairs beat a known word in a new pair, which beats an unknown word
+    assert got[11].score > got[10].score and got[10].n_known == 3 and got[0].train_tokens == len(seats)
+
+
+def test_seats_follow_the_chinese_restaurant(spark):
+    # tables after c customers, against seating one by one; the late sampler against the one in step
+    rng, d = np.random.default_rng(3), 0.6
+    for c, new in ((5, 0.4), (60, 2.0), (3000, 5.0)):
+        plain = []
+        for _ in range(400):
+            t, r = 1, rng.random(c)
+            for n in range(1, c):
+                t += r[n] * (new + n - d * t) < new
+            plain.append(t)
+        got = pitman_yor.seat(np.full(400, c), np.full(400, new), d, rng)
+        late = np.array([pitman_yor._seat_late(c, new, d, 1, 1, rng) for _ in range(400)])
+        for x in (got, late):
+            assert (x >= 1).all() and (x <= c).all()
+            assert abs(x.mean() - np.mean(plain)) < 5 * np.std(plain) / 400 ** 0.5 + 0.01
+    assert np.allclose(pitman_yor.lgamma(np.array([0.1, 1.0, 7.5, 1e6])), [2.252712651734206, 0.0, 7.534364236758733, 12815504.569147902], atol=1e-6)
+
+
+def test_pitman_yor_against_a_plain_sampler(spark, monkeypatch):
+    monkeypatch.setattr(pitman_yor, "HOT", 20)  # some contexts are dealt over buckets
+    monkeypatch.setattr(pitman_yor, "BUCKET_BYTES", 2000)
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(30)]
+    follow = {w: rng.sample(words, 4) for w in words}
+
+    def text():
+        out = [rng.choice(words)]
+        while len(out) < 30:
+            out.append(rng.choice(follow[out[-1]]) if rng.random() < 0.8 else rng.choice(words))
+        return out
+
+    texts = [text() for _ in range(60)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.score for r in pitman_yor.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") >= 50, [1.0]).collect()}
+    seats = [(u, w) for t in texts[:50] for u, w in zip([None, *t], [*t, "</s>"], strict=True)]
+    count = Counter(seats)
+    once, twice = (sum(c == k for c in count.values()) for k in (1, 2))
+    d, v = min(0.95, max(0.05, once / (once + 2 * twice))), len({w for _, w in seats})
+    # one customer at a time: tables of (context, word) as lists of sizes; the root seats a customer for each table
+    tables = {k: [1] * c for k, c in count.items()}
+
+    def root_of(tables):
+        c0 = Counter()
+        for (_, w), x in tables.items():
+            c0[w] += len(x)
+        return c0
+
+    d0, total = 0.05, Counter()
+    for sweep in range(60):
+        c0 = root_of(tables)
+        n0, t0 = sum(c0.values()), len(c0)
+        base = {w: (c - d0) / (1 + n0) + (1 + d0 * t0) / (1 + n0) / (v + 1) for w, c in c0.items()}
+        per = Counter()
+        for (u, _), x in tables.items():
+            per[u] += len(x)
+        for (u, w), x in tables.items():
+            per[u] -= len(x)
+            new = []
+            for n in range(count[u, w]):
+                odds = [(1 + d * (per[u] + len(new))) * base[w], *(s - d for s in new)]
+                pick = rng.choices(range(len(odds)), odds)[0] if n else 0
+                if pick:
+                    new[pick - 1] += 1
+                else:
+                    new.append(1)
+            tables[u, w] = new
+            per[u] += len(new)
+        if sweep >= 20:
+            for i in range(50, 60):
+                p = 0.0
+                for u, w in zip([None, *texts[i]], [*texts[i], "</s>"], strict=True):
+                    cu = sum(c for (x, _), c in count.items() if x == u)
+                    own = max(0.0, count[u, w] - d * len(tables.get((u, w), []))) if count[u, w] else 0.0
+                    p += np.log10((own + (1 + d * per[u]) * base.get(w, (1 + d0 * t0) / (1 + n0) / (v + 1))) / (1 + cu))
+                total[i] += p / 40
+    for i in range(50, 60):
+        assert abs(got[i] - total[i]) < 0.05 * abs(total[i])
+    # and far better than counts of words alone
+    plain = {r.doc_id: r.base_score for r in pitman_yor.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") >= 50).collect()}
+    assert sum(got[i] for i in range(50, 60)) > sum(plain[i] for i in range(50, 60)) + 30
 
 
 def test_rules(spark, docs, empty):
