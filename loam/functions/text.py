@@ -1,22 +1,55 @@
 """Text expressions: cleaning, tokens, identifiers, HTML and prompt-injection rules. Column in, Column out."""
 from __future__ import annotations
 
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Identifier patterns.
-CVE = r"CVE-\d{4}-\d{4,}"
-ALIASES = [r"GHSA(?:-[0-9a-z]{4}){3}", r"PYSEC-\d{4}-\d+", r"OSV-\d{4}-\d+", r"CNVD-\d{4}-\d+", r"CWE-\d+"]
+CVE = r"\bCVE-\d{4}-\d{4,}\b"
+ALIASES = [r"\bGHSA(?:-[23456789cfghjmpqrvwx]{4}){3}\b", r"\bPYSEC-\d{4}-\d+\b", r"\bOSV-\d{4}-\d+\b", r"\bCNVD-\d{4}-\d+\b", r"\bCWE-\d+\b"]
 #: Block tags that go with their content.
-BLOCK_TAGS = ["script", "style", "iframe", "noscript", "svg", "template", "object", "embed"]
+BLOCK_TAGS = ["embed", "iframe", "noscript", "object", "script", "style", "svg", "template"]
+#: Marks of chat templates and roles, zero-width and control characters.
+CHAT_TEMPLATE = r"(?i)<\|(?:im_start|im_end|system|user|assistant|endoftext|start_header_id|end_header_id|begin_of_text)(?:\|[^>]*)?\|>|\[/?INST\]|<<\s*/?SYS\s*>>|</?s>"
+ROLE_LINE = r"(?im)^[ \t]*(?:#{2,4}[ \t]*)?(?:system|assistant|developer|系统|助手)[ \t]*[:：]"
+ROLE_HEADER = r"(?im)^[ \t]*#{2,4}[ \t]*(?:system|instruction|override)\b"
+ZERO_WIDTH = r"[\x{200b}-\x{200f}\x{2060}-\x{2064}\x{feff}\x{202a}-\x{202e}]"
+CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 #: Injection rules, name and pattern.
 INJECTION = [
-    ("ignore_previous", r"(?i)ignore\s+(all\s+)?(previous|prior|above)\s+(instructions|prompts)"),
-    ("role_override", r"(?i)you\s+are\s+now\s+"),
-    ("system_prompt", r"(?i)system\s+prompt"),
-    ("chat_marker", r"<\|[a-z_]+\|>"),
-    ("act_as", r"(?i)\bact\s+as\b"),
-    ("reveal", r"(?i)(reveal|print|show)\s+(your\s+)?(instructions|rules|prompt)"),
+    ("instruction_override_en", r"(?i)\b(?:ignore|disregard|forget|skip|override|bypass)\b[^.\n]{0,40}\b(?:previous|prior|above|earlier|all|any)\b[^.\n]{0,24}\b(?:instruction|prompt|rule|direction|message|constraint)s?\b"),
+    ("instruction_override_zh", r"(?:忽略|无视|忘记|跳过|覆盖|摆脱)[^。\n]{0,24}(?:以上|之前|先前|上面|所有|全部|任何)?[^。\n]{0,12}(?:指令|提示|规则|要求|设定|限制)"),
+    ("new_instructions", r"(?i)\bnew\s+(?:instructions?|rules?|task)\s*[:：]|\bupdated\s+instructions?\b|(?:新的|以下是新的|重新设定)(?:指令|规则|任务)"),
+    ("chat_template_token", CHAT_TEMPLATE),
+    ("llama_inst_tag", r"(?i)\[/?INST\]|<<\s*/?SYS\s*>>"),
+    ("role_line_marker", ROLE_LINE),
+    ("role_header_markdown", ROLE_HEADER),
+    ("prompt_boundary_spoof", r"(?im)^[ \t]*(?:end|beginning|start)\s+of\s+(?:system|user|assistant)\s+(?:prompt|message|input|turn)"),
+    ("persona_jailbreak", r"(?i)\b(?:dan\s*mode|do anything now|jailbreak|developer mode|unrestricted mode|no restrictions|no filters)\b"),
+    ("jailbreak_zh", r"(?:越狱|开发者模式|无限制模式|不受(?:任何)?限制|解除(?:所有)?限制|跳出(?:你的)?限制)"),
+    ("you_are_now", r"(?i)\b(?:you are now|from now on[, ]+you (?:are|will|must)|act as if you (?:are|were)|pretend (?:that )?you(?:'re| are))\b"),
+    ("role_play_hijack", r"(?i)\b(?:pretend|imagine|simulate)\b[^.\n]{0,20}\b(?:you|to be)\b"),
+    ("prompt_leak_en", r"(?i)\b(?:reveal|show|print|repeat|echo|dump|disclose|tell me)\b[^.\n]{0,30}\b(?:system prompt|system message|initial instruction|your instructions?|the prompt above|words above|everything above)\b"),
+    ("prompt_leak_zh", r"(?:泄露|透露|输出|展示|打印|重复|复述)[^。\n]{0,12}(?:系统提示词|系统提示|系统指令|初始指令|上面的指令|之前的指令)"),
+    ("repeat_words_above", r"(?i)\b(?:repeat|echo|copy)\b[^.\n]{0,20}\b(?:the\s+)?(?:words|text|content|everything|prompt)\b[^.\n]{0,20}\babove\b"),
+    ("bypass_safety", r"(?i)\b(?:bypass|disable|turn off|evade|ignore)\b[^.\n]{0,25}\b(?:safety|guardrail|guard rails?|filter|filtering|restriction|policy|moderation|alignment)\b"),
+    ("bypass_safety_zh", r"(?:绕过|关闭|禁用|无视)[^。\n]{0,12}(?:审查|安全|过滤|限制|策略|风控)"),
+    ("unfiltered_output", r"(?i)\b(?:respond|answer|reply|write)\b[^.\n]{0,20}\b(?:without|ignoring|regardless of)\b[^.\n]{0,20}\b(?:restriction|filter|policy|ethic|rule)s?\b"),
+    ("do_not_mention", r"(?i)\b(?:do not|don't)\b[^.\n]{0,15}\b(?:mention|tell|reveal|disclose)\b[^.\n]{0,25}\b(?:instruction|prompt|rule|user)s?\b|(?:不要|不得)(?:提及|告诉|透露)[^。\n]{0,15}(?:指令|提示|用户)"),
+    ("encoding_evasion", r"(?i)\b(?:base64|rot13|hex(?:adecimal)?|base32|url[- ]?encoded?)\b[^.\n]{0,30}\b(?:decode|decoding|解码)\b[^.\n]{0,30}\b(?:then|and|并|然后)\b[^.\n]{0,20}\b(?:run|execute|follow|obey|执行|运行|遵守)\b"),
+    ("template_variable_smuggling", r"\{\{[^}]{0,30}(?:system|prompt|instruction)[^}]{0,30}\}\}|\$\{[^}]{0,30}(?:system|prompt|instruction)[^}]{0,30}\}"),
+    ("json_field_injection", r"""["'](?:tool_calls?|function_call|system_prompt|role)["']\s*:"""),
+    ("zero_width_obfuscation", ZERO_WIDTH),
+    ("shell_payload", r"(?i)\brm\s+-rf\b|\bcurl\b[^|\n]{0,80}\|\s*(?:ba|z|k)?sh\b|\bsubprocess\.(?:run|call|Popen)\b|\bos\.system\s*\("),
+    ("sql_payload", r"(?i)\b(?:drop\s+table|truncate\s+table|delete\s+from|insert\s+into|update\s+\w+\s+set)\b"),
+    ("cypher_payload", r"(?i)\b(?:detach\s+delete|drop\s+constraint|create\s+\(|merge\s+\()"),
+    ("tool_abuse", r"(?i)\b(?:call|invoke|execute|use)\b[^.\n]{0,20}\b(?:the\s+)?(?:tool|function)\b[^.\n]{0,30}\b(?:delete|drop|truncate|exfiltrate|leak|write)\b"),
+    ("delimiter_override", r"(?m)^[ \t]*(?:-{3,}|={3,}|<{3,}|>{3,})[ \t]*(?:end|begin|new|system|user|context|输入结束|系统提示)"),
 ]
 
 
@@ -61,11 +94,19 @@ def is_cve(c: Column) -> Column:
     return F.regexp_like(F.upper(F.trim(c)), F.lit(f"^{CVE}$"))
 
 
-def vuln_key(c: Column, prefix: str = "SRC") -> Column:
-    """CVE ids in upper case; other identifiers of up to 32 characters as they are; else a slug with ten digits of the hash."""
+def vuln_key(c: Column, source: Column | str = "", most: int = 32) -> Column:
+    """CVE ids in upper case; identifiers without blanks, colons and slashes that are short enough as they are; else PREFIX-slug-ten digits of the hash, where the slug comes from a link's path."""
     c = F.trim(c)
-    slug = F.substring(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), 1, 12)
-    return F.when(c.isNull() | (c == ""), F.lit(None).cast("string")).when(is_cve(c), F.upper(c)).when((F.length(c) <= 32) & F.regexp_like(c, F.lit(r"^[A-Za-z0-9._:-]+$")), c).otherwise(F.substring(F.concat_ws("-", F.lit(prefix), slug, F.substring(F.sha2(c, 256), 1, 10)), 1, 32))
+    squeeze = lambda x, by: F.regexp_replace(F.regexp_replace(F.regexp_replace(x, "[^A-Za-z0-9]+", by), f"{by}{{2,}}", by), f"^{by}+|{by}+$", "")
+    prefix = F.nullif(squeeze(F.upper(F.trim(F.lit(source) if isinstance(source, str) else source)), "_"), F.lit(""))
+    prefix = F.coalesce(prefix, F.lit("SRC"))
+    path = F.regexp_replace(F.regexp_extract(c, r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/?#]*)?([^?#]*)", 1), "/+$", "")
+    slug = squeeze(F.when(path != "", path).otherwise(c), "-")
+    digest = F.upper(F.substring(F.sha2(c, 256), 1, 10))
+    room = F.greatest(F.lit(1), F.lit(most) - F.length(prefix) - 12)
+    head = F.regexp_replace(F.substring(slug, F.lit(1), room), "^-+|-+$", "")
+    folded = F.substring(F.concat_ws("-", prefix, head, digest), 1, most)
+    return F.when(c.isNull() | (c == ""), F.lit(None).cast("string")).when(is_cve(c), F.upper(c)).when((F.length(c) <= most) & ~F.regexp_like(c, F.lit(r"[:/? ]")), c).otherwise(folded)
 
 
 def html_text(c: Column, most: int = 2000) -> Column:
@@ -79,20 +120,41 @@ def html_text(c: Column, most: int = 2000) -> Column:
 
 
 def strip_controls(c: Column) -> Column:
-    """Without zero-width and control characters, but for tab and line feed."""
-    return F.regexp_replace(c, "[\\u200b-\\u200f\\u2060\\ufeff\\x00-\\x08\\x0b-\\x1f\\x7f]", "")
+    """Without zero-width and control characters, but for tab, line feed and carriage return."""
+    return F.regexp_replace(F.regexp_replace(c, ZERO_WIDTH, ""), CONTROL, "")
+
+
+def strip_chat_markup(c: Column) -> Column:
+    """Marks of chat templates, role lines and role headers become blanks."""
+    for pattern in (CHAT_TEMPLATE, ROLE_LINE, ROLE_HEADER):
+        c = F.regexp_replace(c, pattern, " ")
+    return c
+
+
+@F.pandas_udf(StringType())
+def nfkc(texts: pd.Series) -> pd.Series:
+    """Unicode compatibility composition, for which Spark has no function. Only texts beyond ASCII are worked on."""
+    return texts.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
+
+
+def normalize_prompt(c: Column, most: int | None = None) -> Column:
+    """Compatibility form without hidden characters; runs of blanks become one, of line feeds two; ends are trimmed and the rest cut at `most`."""
+    c = strip_controls(nfkc(F.coalesce(c, F.lit(""))))
+    c = F.regexp_replace(F.regexp_replace(c, r"[ \t\x{3000}]{2,}", " "), r"\n{3,}", "\n\n")
+    c = F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.substring(c, 1, most) if most else c
 
 
 def injection_flags(c: Column) -> Column:
-    """Names of the rules that match the text or the text without control characters."""
-    bare = strip_controls(c)
+    """Names of the rules that match the text or the text without chat marks, in the rules' order."""
+    bare = strip_chat_markup(c)
     return F.filter(F.array(*(F.when(F.regexp_like(c, F.lit(p)) | F.regexp_like(bare, F.lit(p)), F.lit(n)) for n, p in INJECTION)), lambda x: x.isNotNull())
 
 
 def fulltext_score(text: Column, keywords: list[str]) -> Column:
-    """Share of keywords that are part of some token, in ten-thousandths."""
-    found = F.array_distinct(tokens(text))
-    part_of = lambda k: F.exists(found, lambda t: F.contains(t, F.lit(k)))
+    """Share of keywords that are part of some token, in ten-thousandths. Tokens are runs of a-z and 0-9, so a keyword of these is part of one where it is part of the text; no other keyword is."""
+    low = F.lower(text)
+    part_of = lambda k: F.contains(low, F.lit(k)) if re.fullmatch("[a-z0-9]+", k) else F.lit(False)
     hits = sum((F.when(part_of(k), 1).otherwise(0) for k in keywords), F.lit(0))
     return F.floor(hits * 10000 / len(keywords) + 0.5).cast("long")
 

@@ -3,9 +3,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import records
 from .queries import ORACLE, QUERIES, rrf_fusion
 
-__all__ = ["ORACLE", "QUERIES", "entry"]
+__all__ = ["ORACLE", "QUERIES", "entry", "records"]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
