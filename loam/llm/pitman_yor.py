@@ -30,7 +30,7 @@ from .shared import materialize, release, table
 
 SWEEPS, SAMPLES, SEED = 5, 2, 29
 #: Bytes of text in a block and for each bucket, about; a context is hot from one in so many tokens on.
-BLOCK_BYTES, BUCKET_BYTES, HOT = 24 << 20, 16 << 20, 1000
+BLOCK_BYTES, BUCKET_BYTES, HOT = 10 << 20, 16 << 20, 1000
 #: Strengths to sample from.
 GRID = [0.01, 0.03, 0.1, 0.3, 1.0, 3.0, 10.0, 30.0, 100.0, 300.0, 1000.0, 3000.0]
 #: Customers of a dish that are seated in step with those of other dishes; later ones by the waiting time to the next new table, which has the same distribution.
@@ -132,7 +132,7 @@ class _Block:
 
     def __init__(self, row: dict, buckets: int, hot: tuple[np.ndarray, np.ndarray] | None = None):
         self.ids, n, self.words, stream = (_unpack(row[x]) for x in "abcd")
-        self.n, self.out, self.stream = np.abs(n), n < 0, stream.astype(np.int64)
+        self.n, self.out, self.stream = np.abs(n), n < 0, stream.astype(np.int32)
         self.learned = np.repeat(~self.out, self.n)
         self.buckets, self.hot = buckets, hot
 
@@ -145,10 +145,12 @@ class _Block:
     def pairs(self):
         """Distinct pairs by bucket, context and word: context and word of each (as hashes and as places), number of each token's pair, and bounds of the buckets."""
         k = len(self.words)
-        before = np.empty(len(self.stream), np.int64)
-        before[1:] = self.stream[:-1]
-        before[np.cumsum(self.n) - self.n] = k
-        key, of = np.unique(before * (k + 1) + self.stream, return_inverse=True)
+        key = np.empty(len(self.stream), np.int64)
+        key[1:] = self.stream[:-1]
+        key[np.cumsum(self.n) - self.n] = k
+        key *= k + 1
+        key += self.stream
+        key, of = np.unique(key, return_inverse=True)
         u, w = key // (k + 1), key % (k + 1)
         named = np.append(self.words, _START)
         uh, wh = named[u], named[w]
@@ -160,7 +162,7 @@ class _Block:
             salt[is_hot] = vt.mix(wh[is_hot]) % spread[place[is_hot]]
         at = (vt.mix(uh + salt * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(self.buckets)).astype(np.int64)
         order = np.lexsort((wh, uh, at))
-        place = np.empty(len(order), np.int64)
+        place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order))
         return u[order], w[order], uh[order], wh[order], place[of], np.searchsorted(at[order], np.arange(self.buckets + 1)).tolist()
 
@@ -442,7 +444,7 @@ def _score(buckets: int, hot, levels: list[tuple[Level, Level]], n_all: int, n_w
                 count[order[lo:hi]], rest[:, order[lo:hi]] = _unpack(r["a"]), _unpack(r["b"]).reshape(samples, -1)
         u, w, uh, _, of, cuts = b.pairs()
         own, customers = np.zeros(len(u), np.int64), np.zeros(len(u))
-        own_tables, tables = np.ones((samples, len(u))), np.zeros((samples, len(u)))
+        own_tables, tables = np.ones((samples, len(u)), np.float32), np.zeros((samples, len(u)), np.float32)
         for i, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
             if hi > lo:
                 r, first = by["contexts", i], _firsts(uh[lo:hi])
