@@ -376,8 +376,8 @@ def merged(found: DataFrame, more: DataFrame) -> DataFrame:
     return materialize(every.select(F.coalesce("id", "component").alias("id"), F.coalesce("whole", "component").alias("component")).distinct(), "components")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept."""
+def grouped(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """One row per row of docs (doc_id, text): doc_id, text_key, n_shingles, whole (the number of its component; null without shingles or doc_id), component_id."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("text_key", F.xxhash64("text"))
     signed = materialize(docs.select("doc_id", "text", "text_key").mapInArrow(_sign(width), "doc_id long, text_key long, n_shingles long, k1 long, k2 long, sig binary"), "signed")
     some = signed.where("n_shingles > 0 and doc_id is not null")
@@ -412,10 +412,30 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     found = merged(found, materialize(links_of_sets(sets, percent), "links"))
     named = materialize(placed_by(classes, found).select("doc_id", "k1", "k2", F.col("component").alias("whole")), "named")
     named = named.join(named.groupBy("whole").agg(F.min("doc_id").alias("least")), "whole")
-    out = signed.join(named.select("k1", "k2", "least"), ["k1", "k2"], "left")
+    out = signed.join(named.select("k1", "k2", "whole", "least"), ["k1", "k2"], "left")
+    own = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     component = F.when(F.col("n_shingles") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return out.select("doc_id", "text_key", "n_shingles", F.when(own, F.col("whole")).alias("whole"), component.alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept."""
+    return grouped(docs, width, percent).select("doc_id", "n_shingles", "component_id").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """docs (doc_id, text and others) with one row of each group of near-duplicates: of its least doc_id, the text with the least hash. Rows without doc_id or words all stay."""
+    rows = grouped(docs, width, percent)
+    texts = materialize(rows.where("whole is not null").groupBy("whole", "doc_id", "text_key").agg(F.count("*").alias("rows")), "texts")
+    stays = texts.groupBy("whole").agg(F.min(F.struct("doc_id", "text_key")).alias("one"))
+    # only what goes, and what stays but is there more than once, meets the documents
+    odd = texts.join(stays, "whole").withColumn("goes", F.struct("doc_id", "text_key") != F.col("one")).where("goes or rows > 1").select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), "goes")
+    every = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_d"), F.xxhash64(F.col("text").cast("string")).alias("_k"))
+    met = every.join(odd, (F.col("_d") == F.col("_doc")) & (F.col("_k") == F.col("_key")), "left").where("goes is null or not goes")
+    # rows that are there once have a number of their own
+    met = met.withColumn("_n", F.when(F.col("goes").isNull(), F.monotonically_increasing_id())).dropDuplicates(["_d", "_k", "_n"])
+    return met.select(*(F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def op4_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -456,7 +456,8 @@ def test_pipeline(spark):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     clean = {r.doc_id for r in mil_toxicity.score(docs, mil_toxicity.fit(docs, labels), F.lit(False)).where("predicted = 0").collect()}
     one = corpus_pipeline.drop_toxic(spark, docs, sf).cache()
-    assert one.columns == docs.columns and {r.doc_id for r in one.select("doc_id").collect()} == clean
+    marked = {r.doc_id for r in labels.where("toxic = 1").collect()}
+    assert one.columns == docs.columns and {r.doc_id for r in one.select("doc_id").collect()} == clean - marked
     two = corpus_pipeline.drop_near_duplicates(spark, one, sf).cache()
     kept = {r.doc_id for r in minhash_forest.near_duplicates(one).where("kept").collect()}
     assert {r.doc_id for r in two.collect()} == kept and two.columns == docs.columns
@@ -491,3 +492,16 @@ def test_forest_names_every_row_of_a_large_run():
             for r in b.to_pylist():
                 met.add((r["a"], r["b"], r["sure"])) if r["b"] is not None else runs.setdefault(r["run"], set()).add(r["a"])
     assert set(range(120)) in runs.values() and (901, 902, True) in met and (3, 4, False) in met
+
+
+def test_keep_one_of_each_group(spark):
+    other = " ".join(f"other{i}" for i in range(30))
+    rows = [(1, BASE, "a"), (2, BASE + " more", "b"), (3, other, "c"), (3, other, "d"), (3, BASE, "e"), (5, None, "f"), (5, None, "g"), (None, BASE, "h"), (None, BASE, "i"), (7, other, "j")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, whole string")
+    got = minhash_forest.keep_one(docs)
+    assert got.columns == docs.columns
+    kept = Counter((r.doc_id, r.text) for r in got.collect())
+    assert kept == Counter([(1, BASE), (3, other), (5, None), (5, None), (None, BASE), (None, BASE)])
+    # two linked texts under the least doc_id: one stays
+    assert minhash_forest.keep_one(spark.createDataFrame([(1, BASE), (1, BASE + " more")], "doc_id long, text string")).count() == 1
+    assert minhash_forest.keep_one(docs.limit(0)).count() == 0
