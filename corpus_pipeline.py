@@ -20,10 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the least doc_id. Rows without doc_id stay."""
-    verdict = minhash_forest.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    rows = docs.join(verdict, "doc_id", "left_anti").withColumn("n_", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
-    return rows.dropDuplicates(["doc_id", "n_"]).select(*COLUMNS)
+    """One document of each group of near-duplicates (five words, 0.8): the one with the least doc_id, and of several texts of that doc_id one. Rows without doc_id stay."""
+    return minhash_forest.keep_one(docs).select(*COLUMNS)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
