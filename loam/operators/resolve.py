@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import tempfile
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,8 @@ def pick(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 def merge_groups(df: DataFrame, key: str, order: list[str], longest: str, firsts: list[str], lists: list[str], lows: list[str], highs: list[str]) -> DataFrame:
     """One row per key: longest text, first non-null values, sorted distinct lists, least and greatest values. Every aggregate is combined before the shuffle."""
     rank = F.struct(*order)
-    out = [F.max_by(longest, F.struct(F.length(longest), *(F.col(o) * -1 for o in order))).alias(longest)]
+    # the first of the longest: the least negative length, then the order itself
+    out = [F.min_by(longest, F.when(F.col(longest).isNotNull(), F.struct((-F.length(longest)).alias("_l"), *(F.col(o) for o in order)))).alias(longest)]
     out += [F.min_by(c, F.when(F.col(c).isNotNull(), rank)).alias(c) for c in firsts]
     out += [F.array_join(F.array_sort(F.collect_set(c)), ",").alias(f"{c}s") for c in lists]
     out += [F.min(c).alias(f"min_{c}") for c in lows] + [F.max(c).alias(f"max_{c}") for c in highs] + [F.count("*").alias("n")]
@@ -33,6 +35,21 @@ def upsert(old: DataFrame, new: DataFrame, key: str, rules: dict[str, str]) -> D
     return both.groupBy(key).agg(*(how[r](c).alias(c) for c, r in rules.items()), (F.max("_new") * 2 + F.lit(1) - F.min("_new")).alias("_state"))
 
 
+def sync_registry(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """(key, n, meta, action) of two registries: new counts win, maps are merged key by key with the new value first. Repeated names in one registry are an error of the caller."""
+    both = old.select(key, F.col("n").alias("n_old"), F.col("meta").alias("m_old")).join(new.select(key, F.col("n").alias("n_new"), F.col("meta").alias("m_new")), key, "full")
+    none = F.expr("cast(map() as map<string,string>)")
+    m_old, m_new = F.coalesce("m_old", none), F.coalesce("m_new", none)
+    meta = F.map_concat(F.map_filter(m_old, lambda k, _: ~F.map_contains_key(m_new, k)), m_new)
+    action = F.when(F.col("n_old").isNull(), "inserted").when(F.col("n_new").isNull(), "kept").otherwise("updated")
+    return both.select(key, F.coalesce("n_new", "n_old").alias("n"), meta.alias("meta"), action.alias("action"))
+
+
+def keyed_refresh(df: DataFrame, key: str, order: Column, firsts: list[str], refreshed: dict[str, Column]) -> DataFrame:
+    """One row per key: of the first row by order what stays, and aggregates that are refreshed."""
+    return df.groupBy(key).agg(*(F.min_by(c, order).alias(c) for c in firsts), *(v.alias(k) for k, v in refreshed.items()))
+
+
 def insert_if_absent(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Rows of new whose content key isn't stored, once each."""
     return new.join(stored.select(key), key, "left_anti").dropDuplicates([key])
@@ -47,13 +64,22 @@ def simhash60(df: DataFrame, key: str, body: str) -> DataFrame:
     return sums.select(key, F.aggregate(bits, F.lit(0).cast("long"), lambda a, x: a + x).alias("fingerprint"))
 
 
-def near_pairs(prints: DataFrame, key: str, most: int, bands: int) -> DataFrame:
-    """Pairs of fingerprints that differ in at most `most` bits, found by equal bands: with bands > most one band is always equal, so none is missed."""
-    width = 60 // bands
-    rows = prints.select(key, "fingerprint", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.shiftright("fingerprint", i * width).bitwiseAND((1 << width) - 1).alias("v")) for i in range(bands)))).alias("band"))
+def print_classes(prints: DataFrame, key: str) -> DataFrame:
+    """(key, fingerprint): each fingerprint once, with the least key that has it."""
+    return prints.groupBy("fingerprint").agg(F.min(key).alias(key)).select(key, "fingerprint")
+
+
+def near_pairs(prints: DataFrame, key: str, most: int, bits: int = 60) -> DataFrame:
+    """Pairs (a, b, distance) of distinct fingerprints that differ in at most `most` bits. The bits are cut in most + 3 bands, of which three at least are equal then, so a pair shares the
+    values of some three bands; they are half the bits, so few others meet."""
+    bands = most + 3
+    cuts = [round(i * bits / bands) for i in range(bands + 1)]
+    band = [F.shiftright("fingerprint", lo).bitwiseAND((1 << (hi - lo)) - 1) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+    keys = F.array(*(F.struct(F.lit(n).alias("n"), *(band[i].alias(f"v{j}") for j, i in enumerate(three))) for n, three in enumerate(combinations(range(bands), 3))))
+    rows = prints.select(key, "fingerprint", F.explode(keys).alias("band"))
     a, b = rows.select(F.col(key).alias("a"), F.col("fingerprint").alias("fa"), "band"), rows.select(F.col(key).alias("b"), F.col("fingerprint").alias("fb"), "band")
-    pairs = a.join(b, "band").where(F.col("a") < F.col("b")).select("a", "b", hashing.hamming(F.col("fa"), F.col("fb")).alias("distance"))
-    return pairs.where(F.col("distance") <= most).distinct()
+    pairs = a.join(b, "band").where((F.col("a") < F.col("b")) & (hashing.hamming(F.col("fa"), F.col("fb")) <= most))
+    return pairs.select("a", "b", hashing.hamming(F.col("fa"), F.col("fb")).alias("distance")).distinct()
 
 
 def leader_clusters(prints: DataFrame, group: str, key: str, threshold: int) -> DataFrame:

@@ -19,11 +19,12 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def vector_top(df: DataFrame, key: str, vector: str, query: list[float], k: int, where: Column | None = None) -> DataFrame:
-    """(key, score): the k vectors with the highest cosine, scores clamped to 0..1, in ten-thousandths."""
-    rows = df.where(where) if where is not None else df
-    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine(F.col(vector), F.array(*map(F.lit, query)))))
-    return rows.select(key, F.floor(score * 10000 + 0.5).cast("long").alias("score")).orderBy(F.desc("score"), key).limit(k)
+def vector_top(df: DataFrame, key: str, vector: str, query: DataFrame, k: int, where: Column | None = None) -> DataFrame:
+    """(key, score): the k vectors with the highest cosine to the one row of query (its first column), scores clamped to 0..1, in ten-thousandths. Without a query there is no row."""
+    rows = (df.where(where) if where is not None else df).select(key, vector)
+    asked = query.limit(1).select(F.col(query.columns[0]).alias("_q"))
+    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine(F.col(vector), F.col("_q"))))
+    return rows.crossJoin(F.broadcast(asked)).select(key, F.floor(score * 10000 + 0.5).cast("long").alias("score")).orderBy(F.desc("score"), key).limit(k)  # one row is broadcast
 
 
 def rrf(routes: list[tuple[DataFrame, float]], key: str, k: int = 60, top: int = 10) -> DataFrame:

@@ -219,8 +219,8 @@ def hash_tokens(spark, d):
     return t(spark, d, "documents").select("doc_id", F.array_join(F.slice(text.hash_tokens(F.col("text")), 1, 20), " ").alias("hash_tokens"))
 
 
-@query("""with w as (select doc_id, unnest(string_split_regex(lower(text), '[^0-9a-z一-龥]+')) as x from documents), g as (select distinct doc_id, case when length(regexp_replace(x, '[0-9]+$', '')) >= 3 then regexp_replace(x, '[0-9]+$', '') else x end as x from w where length(x) >= 2 and not regexp_full_match(x, '[0-9]+'))
-select d.doc_id, coalesce(n, 0) as n, coalesce(least_, '') as least from documents d left join (select doc_id, count(*) as n, min(x) as least_ from g where x not in ('the', 'and') group by 1) k on k.doc_id = d.doc_id""")
+@query("""with w as (select doc_id, unnest(string_split_regex(lower(text), '[^0-9a-z一-龥]+')) as x from documents), g as (select distinct doc_id, case when length(regexp_replace(x, '[0-9]+$', '')) >= 3 then regexp_replace(x, '[0-9]+$', '') else x end as x from w where length(x) >= 2 and not regexp_full_match(x, '[0-9]+') and x not in ('the', 'and'))
+select d.doc_id, coalesce(n, 0) as n, coalesce(least_, '') as least from documents d left join (select doc_id, count(*) as n, min(x) as least_ from g group by 1) k on k.doc_id = d.doc_id""")
 def graph_tokens(spark, d):
     found = text.graph_tokens(F.col("text"), ["the", "and"])
     return t(spark, d, "documents").select("doc_id", found.alias("f")).select("doc_id", F.size("f").cast("long").alias("n"), F.coalesce(F.array_min("f"), F.lit("")).alias("least"))
