@@ -3,10 +3,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lists, records
+from . import graphs, lists, records
 from .queries import ORACLE, QUERIES, rrf_fusion
 
-__all__ = ["ORACLE", "QUERIES", "entry", "lists", "records"]
+__all__ = ["ORACLE", "QUERIES", "entry", "graphs", "lists", "records"]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
