@@ -121,16 +121,18 @@ def parse(vector: Column, given: Column | None = None) -> Column:
 def collect(payload: Column) -> Column:
     """All vectors of a payload: its metric lists from the newest version on, a single cvss object (whose score 0 counts as none), and a list of severities; distinct, by version. Broken ones go."""
     metric_list = "array<struct<cvssData:struct<vectorString:string,baseScore:double>>>"
+    pair = lambda vector, given: F.struct(vector.alias("v"), given.cast("double").alias("g"))
+    no_pairs = F.expr("cast(array() as array<struct<v:string,g:double>>)")
     parts = []
     for key in ("cvssMetricV40", "cvssMetricV4", "cvssMetricV31", "cvssMetricV30", "cvssMetricV2"):
-        rows = F.coalesce(F.from_json(F.get_json_object(payload, f"$.cve.metrics.{key}"), metric_list), F.from_json(F.get_json_object(payload, f"$.metrics.{key}"), metric_list))
-        parts.append(F.transform(rows, lambda x: parse(x["cvssData"]["vectorString"], x["cvssData"]["baseScore"])))
+        rows = F.from_json(F.coalesce(F.get_json_object(payload, f"$.cve.metrics.{key}"), F.get_json_object(payload, f"$.metrics.{key}")), metric_list)
+        parts.append(F.transform(rows, lambda x: pair(x["cvssData"]["vectorString"], x["cvssData"]["baseScore"])))
     single = F.get_json_object(payload, "$.cvss.vectorString")
-    parts.append(F.when(single.isNotNull(), F.array(parse(single, F.nullif(F.get_json_object(payload, "$.cvss.score").cast("double"), F.lit(0.0))))))
+    parts.append(F.when(single.isNotNull(), F.array(pair(single, F.nullif(F.get_json_object(payload, "$.cvss.score").cast("double"), F.lit(0.0))))))
     listed = F.from_json(F.get_json_object(payload, "$.severity"), "array<struct<type:string,score:string>>")
-    parts.append(F.transform(listed, lambda x: parse(x["score"])))
+    parts.append(F.transform(listed, lambda x: pair(x["score"], F.lit(None))))
     none = F.expr(f"cast(array() as array<{VECTOR}>)")
-    every = F.filter(F.flatten(F.array(*(F.coalesce(x, none) for x in parts))), lambda x: x.isNotNull())
+    every = F.filter(F.transform(F.flatten(F.array(*(F.coalesce(x, no_pairs) for x in parts))), lambda x: parse(x["v"], x["g"])), lambda x: x.isNotNull())
     once = F.aggregate(every, none, lambda acc, x: F.when(F.exists(acc, lambda y: (y["version"] == x["version"]) & (y["vector"] == x["vector"])), acc).otherwise(F.concat(acc, F.array(x))))
     return F.array_sort(once, lambda a, b: F.when(a["version"] < b["version"], -1).when(a["version"] > b["version"], 1).otherwise(0))
 

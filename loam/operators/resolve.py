@@ -143,3 +143,9 @@ def leader_clusters_over_all(prints: DataFrame, key: str, threshold: int, step:
     if done is None:
         return rows.select(F.col("k").alias(key), F.col("k").alias("leader"))
     return rows.join(done, "fingerprint").select(F.col("k").alias(key), F.nullif("leader", F.lit((1 << 63) - 1)).alias("leader"))
+
+
+def mapped_assets(products: DataFrame, inventory: DataFrame, key: str, most: int = 10) -> DataFrame:
+    """(key, asset, confidence): up to `most` assets of each product from an inventory (key, asset), at 0.9; a product that it doesn't know gets a placeholder at 0.35."""
+    rows = products.join(inventory, key, "left").withColumn("_nth", F.row_number().over(Window.partitionBy(key).orderBy("asset"))).where(F.col("_nth") <= most)
+    return rows.select(key, F.coalesce("asset", F.concat(F.lit("unknown:"), F.col(key).cast("string"))).alias("asset"), F.when(F.col("asset").isNull(), 0.35).otherwise(0.9).alias("confidence"))

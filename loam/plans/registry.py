@@ -3,10 +3,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import answers, graphs, lists, records
+from . import answers, graphs, ingest, lists, records
 from .queries import ORACLE, QUERIES, rrf_fusion
 
-__all__ = ["ORACLE", "QUERIES", "answers", "entry", "graphs", "lists", "records"]
+__all__ = ["ORACLE", "QUERIES", "answers", "entry", "graphs", "ingest", "lists", "records"]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..functions import text, times, urls
+from ..functions import cvss, packages, text, times, urls
 
 BRONZE = "sha256 string, source string, source_id string, url string, title string, raw_text string, published_at timestamp, fetched_at timestamp"
 _g = F.get_json_object
@@ -16,54 +16,232 @@ _g = F.get_json_object
 def read_bronze(spark: SparkSession, path: str, source: str) -> DataFrame:
     """Lines of JSON as bronze rows, keyed by the hash of their text; broken lines are dropped."""
     rows = spark.read.text(path).where(F.try_parse_json("value").isNotNull())
-    return rows.select(F.sha2("value", 256).alias("sha256"), F.lit(source).alias("source"), F.col("value").alias("raw_text"))
+    return bronze_rows(rows.select(F.col("value").alias("raw_text")), source)
+
+
+def bronze_rows(df: DataFrame, source: str, fetched_at: Column | None = None) -> DataFrame:
+    """raw_text (and what else df has) with its content hash, its source, a trace id that follows from both, and when it was fetched."""
+    digest = F.sha2("raw_text", 256)
+    return df.withColumns({"sha256": digest, "source": F.lit(source), "trace_id": F.substring(F.sha2(F.concat_ws(":", F.lit(source), digest), 256), 1, 32), "fetched_at": F.current_timestamp() if fetched_at is None else fetched_at})
 
 
 def write_bronze(df: DataFrame, path: str) -> None:
     df.write.mode("append").partitionBy("source").parquet(path)
 
 
+def canonical_json(c: Column) -> Column:
+    """The same JSON with sorted keys and no blanks between; null where it is broken."""
+    return F.to_json(F.try_parse_json(c))
+
+
 def detect_source(raw: Column) -> Column:
     """The kind of a payload by the keys that it has."""
     has = lambda p: _g(raw, p).isNotNull()
-    return (F.when(has("$.ghsaId"), "ghsa").when(has("$.cveID"), "kev").when(has("$.epss"), "epss").when(has("$.affected") | has("$.aliases"), "osv")
-            .when(has("$.cve.id") | has("$.id"), "nvd"))
-
-
-def fields(raw: Column) -> dict[str, Column]:
-    """Common fields of the five payload kinds."""
-    kind = detect_source(raw)
-    by = lambda **paths: F.coalesce(*(F.when(kind == k, F.coalesce(*(_g(raw, p) for p in ps))) for k, ps in paths.items()))
-    number = lambda c: c.try_cast("double")
-    ident = by(nvd=["$.cve.id", "$.id"], osv=["$.id"], ghsa=["$.ghsaId"], kev=["$.cveID"], epss=["$.cve"])
-    described = by(nvd=["$.cve.descriptions[0].value", "$.descriptions[0].value"], osv=["$.details", "$.summary"], ghsa=["$.description"], kev=["$.shortDescription"])
-    published = by(nvd=["$.cve.published", "$.published"], osv=["$.published"], ghsa=["$.publishedAt"], kev=["$.dateAdded"])
-    modified = by(nvd=["$.cve.lastModified", "$.lastModified"], osv=["$.modified"], ghsa=["$.updatedAt"], epss=["$.date"])
-    return {
-        "source": kind, "vuln_id": text.vuln_key(ident), "description": text.clean_text(described), "lang": text.ascii_lang(described),
-        "title": by(osv=["$.summary"], ghsa=["$.summary"], kev=["$.vulnerabilityName"]), "aliases": F.array_except(text.cve_ids(raw), F.array(F.upper(ident))),
-        "kev": kind == "kev", "epss_score": number(by(epss=["$.epss"])), "epss_percentile": number(by(epss=["$.percentile"])),
-        "severity": F.upper(by(ghsa=["$.severity"], nvd=["$.cve.metrics.cvssMetricV31[0].cvssData.baseSeverity"])),
-        "cvss_vector": by(nvd=["$.cve.metrics.cvssMetricV31[0].cvssData.vectorString", "$.cve.metrics.cvssMetricV2[0].cvssData.vectorString"], ghsa=["$.cvss.vectorString"], osv=["$.severity[0].score"]),
-        "reference": urls.normalize_url(by(nvd=["$.cve.references[0].url"], osv=["$.references[0].url"], ghsa=["$.references[0].url"], kev=["$.notes"])),
-        "published_at": times.parse_time(published), "modified_at": times.parse_time(modified),
-    }
+    return (F.when(has("$.ghsaId"), "ghsa").when(has("$.cveID") | has("$.vulnerabilityName"), "kev").when(has("$.epss") & has("$.cve"), "epss").when(has("$.aliases") | has("$.details"), "osv")
+            .when(has("$.cve") | has("$.lastModified"), "nvd"))
+
+
+def _texts(raw: Column, path: str) -> Column:
+    return F.coalesce(F.from_json(_g(raw, path), "array<string>"), _NO_TEXTS())
+
+
+def _NO_TEXTS() -> Column:
+    return F.expr("cast(array() as array<string>)")
+
+
+def _each(raw: Column, paths: list[str], field: str) -> Column:
+    """field of each object of the first list that is there."""
+    lists = F.coalesce(*(F.from_json(_g(raw, p), f"array<struct<{field}:string>>") for p in paths))
+    return F.filter(F.coalesce(F.transform(lists, lambda x: x[field]), _NO_TEXTS()), lambda x: F.coalesce(F.trim(x), F.lit("")) != "")
+
+
+def published_at(raw: Column, kind: Column, given: Column | None = None) -> Column:
+    """When the source published it: paths of the source, then general ones, then what the row was given; never the date of a model, and null rather than a guess."""
+    own = {"nvd": ["$.cve.published", "$.published"], "osv": ["$.published"], "ghsa": ["$.publishedAt"], "vendor_github": ["$.advisory.publishedAt", "$.publishedAt"], "kev": ["$.dateAdded"], "rss_blog": ["$.published", "$.pubDate", "$.updated"]}
+    general = ["published", "publishedAt", "published_at", "publication_date", "datePublished", "pubDate", "dateAdded", "advisory.publishedAt"]
+    first = F.coalesce(*(F.when(kind == k, times.parse_time(_g(raw, p))) for k, ps in own.items() for p in ps))
+    found = F.coalesce(first, *(times.parse_time(_g(raw, f"$.{p}")) for p in general), *([] if given is None else [given]))
+    return F.when(kind != "epss", found)
+
+
+def staged(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with columns that are worked out right here: filters and projections above don't put their expressions in again, as they would for a plain projection."""
+    return df.select(*(c for c in df.columns if c not in columns), F.inline(F.array(F.struct(*(v.alias(k) for k, v in columns.items())))))
+
+
+def parsed(bronze: DataFrame, raw: str = "raw_text") -> DataFrame:
+    """bronze with the common fields of the five payload kinds; vuln_id is null where a payload has none. What a payload lacks comes from the row's source_id and url, if there are such columns.
+    Each step is a projection of its own, so nothing is read from the JSON twice."""
+    text_ = lambda c: F.nullif(F.trim(c), F.lit(""))
+    none, r = F.lit(None).cast("string"), F.col(raw)
+    own = lambda c: F.col(c) if c in bronze.columns else none
+    kind = F.col("_kind")
+    by = lambda **paths: F.coalesce(*(F.when(kind == k, F.coalesce(*(text_(_g(r, p)) for p in ps))) for k, ps in paths.items()))
+    listed = lambda **lists: F.coalesce(*(F.when(kind == k, c) for k, c in lists.items()), _NO_TEXTS())
+    said = F.from_json(F.coalesce(_g(r, "$.cve.descriptions"), _g(r, "$.descriptions")), "array<struct<lang:string,value:string>>")
+    weak = F.from_json(F.coalesce(_g(r, "$.cve.weaknesses"), _g(r, "$.weaknesses")), "array<struct<description:array<struct<value:string>>>>")
+    rows = staged(bronze, {"_kind": F.coalesce(own("source"), detect_source(r))})
+    rows = staged(rows, {"_id": text_(own("source_id")), "_url": text_(own("url")), "_said": F.filter(said, lambda x: F.coalesce(F.trim(x["value"]), F.lit("")) != ""), "_identifiers": _each(r, ["$.identifiers"], "value")})
+    english = F.get(F.filter("_said", lambda x: x["lang"] == "en"), F.lit(0))["value"]
+    rows = staged(rows, {
+        "_ident": F.coalesce(by(nvd=["$.cve.id", "$.id"], osv=["$.id"], ghsa=["$.ghsaId"], kev=["$.cveID"], epss=["$.cve"]), F.when(kind == "ghsa", F.get("_identifiers", F.lit(0))), F.col("_id")),
+        "_described": F.coalesce(F.when(kind == "nvd", F.coalesce(english, F.get("_said", F.lit(0))["value"])), by(osv=["$.details", "$.summary"], ghsa=["$.description", "$.summary"], kev=["$.shortDescription"]), F.when(kind.isNull(), r)),
+        "_title": by(osv=["$.summary"], ghsa=["$.summary"], kev=["$.vulnerabilityName"]), "_published": published_at(r, kind),
+        "_modified": by(nvd=["$.cve.lastModified", "$.lastModified"], osv=["$.modified"], ghsa=["$.updatedAt"], kev=["$.dateAdded"], epss=["$.date"]),
+        "_weak": listed(nvd=F.flatten(F.transform(weak, lambda w: F.transform(w["description"], lambda x: x["value"]))), ghsa=_each(r, ["$.cwes.nodes"], "cweId"), kev=_texts(r, "$.cwes")),
+        "_links": listed(nvd=_each(r, ["$.cve.references", "$.references"], "url"), osv=_each(r, ["$.references"], "url"), ghsa=_each(r, ["$.references"], "url"), kev=F.filter(F.array(by(kev=["$.notes"])), lambda x: x.isNotNull())),
+        "_aliases": listed(osv=_texts(r, "$.aliases"), ghsa=F.col("_identifiers")),
+    })
+    rows = staged(rows, {"vuln_id": text.vuln_key(F.col("_ident"), F.coalesce(kind, F.lit(""))), "_text": text_(text.clean_text(F.col("_described"))), "title": text_(text.clean_text(F.col("_title")))})
+    upper = lambda xs: F.array_distinct(F.transform(xs, lambda x: F.upper(F.trim(x))))
+    named = (F.col("vuln_id"), F.col("_text"), F.col("title"))
+    aliases = F.concat(text.cve_ids(*named), F.col("_aliases"), text.aliases(*named, r), F.filter(F.array("_id"), lambda x: x.isNotNull()))
+    number = lambda path: F.when(kind == "epss", _g(r, path)).try_cast("double")
+    rows = rows.withColumns({
+        "source": kind, "description": F.coalesce("_text", "title", "_id"), "lang": F.when(F.col("_text").isNotNull(), text.ascii_lang(F.col("_text"))), "aliases": F.filter(upper(aliases), lambda x: x.isNotNull() & (x != "")),
+        "cwe_ids": F.filter(upper(F.col("_weak")), lambda x: F.startswith(x, F.lit("CWE-"))), "kev": F.coalesce(kind == "kev", F.lit(False)), "epss_score": number("$.epss"), "epss_percentile": number("$.percentile"),
+        "cvss": cvss.collect(r), "cpe_matches": packages.cpe_matches(r), "ecosystem_packages": packages.packages(r), "references": F.array_distinct(F.concat("_links", F.filter(F.array("_url"), lambda x: x.isNotNull()))),
+        "published_at": F.col("_published"), "modified_at": F.coalesce(times.parse_time(F.col("_modified")), "_published"),
+    })
+    rows = rows.withColumns({"aliases": F.array_remove("aliases", F.upper("vuln_id")), "severity": cvss.set_severity(F.col("cvss")), "affected_versions": packages.affected_versions(F.col("cpe_matches"))})
+    return rows.drop(*(c for c in rows.columns if c.startswith("_") and c not in bronze.columns))
+
+
+SILVER = ["vuln_id", "source", "title", "description", "lang", "aliases", "cwe_ids", "kev", "epss_score", "epss_percentile", "cvss", "cpe_matches", "ecosystem_packages", "references", "published_at", "modified_at", "severity", "affected_versions"]
 
 
 def normalize(bronze: DataFrame, raw: str = "raw_text") -> DataFrame:
-    """Silver rows of bronze payloads; rows without an id are dropped. A missing publish time stays null."""
-    named = fields(F.col(raw))
-    return bronze.select(*(c.alias(k) for k, c in named.items())).where("vuln_id is not null")
+    """Silver rows of bronze payloads; rows without an id are dropped (see `rejects`). A missing publish time stays null."""
+    return parsed(bronze, raw).where("vuln_id is not null").select(*SILVER)
+
+
+def rejects(bronze: DataFrame, raw: str = "raw_text") -> DataFrame:
+    """The bronze rows that give no silver row."""
+    return parsed(bronze, raw).where("vuln_id is null").select(*bronze.columns)
+
+
+def primary_key(vuln_id: Column, aliases: Column) -> Column:
+    """The CVE id of a record: its own, else the first among its aliases, else its id in upper case."""
+    other = F.get(F.filter(aliases, lambda a: text.is_cve(a)), F.lit(0))
+    return F.when(text.is_cve(vuln_id), F.upper(F.trim(vuln_id))).otherwise(F.coalesce(F.upper(F.trim(other)), F.upper(F.trim(vuln_id))))
+
+
+def merge_sources(silver: DataFrame) -> DataFrame:
+    """One row per primary key over all sources, whatever the order of rows. Records count by (published missing, published, id): the longest description (the first of equals), the first title, lists
+    in order without repeats (links by their normal form), the highest severity, any kev, the highest scores, the first published and last modified time."""
+    order = F.struct(F.col("published_at").isNull().alias("n"), F.col("published_at").alias("p"), F.col("vuln_id").alias("v"), F.col("source").alias("s"))
+    rows = silver.withColumns({"key": primary_key(F.col("vuln_id"), F.col("aliases")), "o": order})
+    ordered = lambda c: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("o", F.col(c).alias("x")))), lambda r: r["x"]))  # noqa: E731  a key has few records
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("o")))
+    longest = F.min_by("description", F.when(F.col("description").isNotNull(), F.struct((-F.length("description")).alias("l"), "o")))
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("o", "vuln_id"))), lambda r: F.upper(r["vuln_id"]))
+    once = lambda xs: F.array_distinct(F.transform(xs, lambda x: F.upper(x)))
+    out = rows.groupBy("key").agg(
+        first("title").alias("title"), longest.alias("description"), F.array_remove(once(F.concat(ordered("aliases"), ids)), F.first("key")).alias("aliases"), once(ordered("cwe_ids")).alias("cwe_ids"),
+        ordered("cvss").alias("cvss"), ordered("cpe_matches").alias("cpe_matches"), F.array_distinct(ordered("ecosystem_packages")).alias("ecosystem_packages"), ordered("references").alias("references"),
+        F.max(cvss.rank(F.col("severity"))).alias("rank"), F.bool_or("kev").alias("kev"), F.max("epss_score").alias("epss_score"), F.max("epss_percentile").alias("epss_percentile"),
+        F.min("published_at").alias("published_at"), F.max("modified_at").alias("modified_at"), F.array_sort(F.collect_set("source")).alias("sources")).withColumnRenamed("key", "vuln_id")
+    by_version = lambda a, b: F.when(a["version"] < b["version"], -1).when(a["version"] > b["version"], 1).otherwise(0)
+    vectors = F.array_sort(packages.distinct_by(F.col("cvss"), cvss.VECTOR, "version", "vector"), by_version)
+    matches = packages.distinct_by(F.col("cpe_matches"), packages.MATCH, "vendor", "product", "version_end_excl", "version_start_incl")
+    links = F.transform(packages.distinct_by(F.transform("references", lambda u: F.struct(urls.normalize_url(u).alias("k"), u.alias("u"))), "struct<k:string,u:string>", "k"), lambda x: x["u"])
+    out = out.withColumns({"cvss": vectors, "cpe_matches": matches, "references": links})
+    rank = F.greatest("rank", cvss.rank(cvss.set_severity(F.col("cvss"))))
+    return out.withColumns({"severity": F.element_at(F.array(*map(F.lit, cvss.SEVERITIES)), rank + 1), "affected_versions": packages.affected_versions(F.col("cpe_matches"))}).drop("rank")
 
 
 def normalized_silver_merge(silver: DataFrame) -> DataFrame:
-    """One row per vuln_id from all sources, whatever their order: longest description, first published, last modified, any kev."""
-    order = F.struct(F.col("published_at").isNull(), "published_at", "source")
-    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), order)).alias(c)
-    return silver.groupBy("vuln_id").agg(
-        F.max_by("description", F.struct(F.length("description"), "source")).alias("description"), first("title"), first("severity"), first("cvss_vector"),
-        F.bool_or("kev").alias("kev"), F.max("epss_score").alias("epss_score"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("aliases")))).alias("aliases"),
-        F.array_sort(F.collect_set("source")).alias("sources"), F.array_sort(F.collect_set("reference")).alias("references"), F.min("published_at").alias("published_at"), F.max("modified_at").alias("modified_at"))
+    return merge_sources(silver)
+
+
+# scans: pages of a feed as they come, with what an incremental fetch keeps
+
+
+def nvd_scan(pages: DataFrame, raw: str = "raw_text") -> DataFrame:
+    """(id, published, payload) of pages with a list of vulnerabilities: one row per id, the latest published first."""
+    item = F.explode(F.from_json(_g(F.col(raw), "$.vulnerabilities"), "array<string>")).alias("payload")
+    rows = pages.select(item).select(_g(F.col("payload"), "$.cve.id").alias("id"), _g(F.col("payload"), "$.cve.published").alias("published"), "payload").where("id is not null")
+    return rows.groupBy("id").agg(F.min("published").alias("published"), F.min("payload").alias("payload")).orderBy(F.desc_nulls_last("published"), "id")
+
+
+def since_scan(rows: DataFrame, key: Column, stamps: list[Column], since: Column, keep_undated: bool = False) -> DataFrame:
+    """Rows whose first readable time isn't before since, once per key; rows without one go, or stay if asked."""
+    at = F.coalesce(*(times.parse_time(s) for s in stamps))
+    kept = rows.withColumns({"_key": key, "_at": at}).where((F.col("_at") >= since) | (F.col("_at").isNull() if keep_undated else F.lit(False)))
+    return kept.dropDuplicates(["_key"]).drop("_key", "_at")
+
+
+def catalogue_scan(raw: Column, since: Column) -> Column:
+    """Entries of a whole catalogue that were added on or after since; those without a date go."""
+    return F.filter(F.from_json(_g(raw, "$.vulnerabilities"), "array<string>"), lambda x: F.coalesce(times.parse_time(_g(x, "$.dateAdded")) >= since, F.lit(False)))
+
+
+def matches_filters(payload: Column, ecosystems: list[str], keywords: list[str]) -> Column:
+    """Whether a package is of one of the ecosystems and a keyword occurs in summary, description or package names."""
+    rows = F.coalesce(F.from_json(_g(payload, "$.vulnerabilities.nodes"), "array<struct<package:struct<ecosystem:string,name:string>>>"), F.expr("cast(array() as array<struct<package:struct<ecosystem:string,name:string>>>)"))
+    known = F.exists(rows, lambda x: F.coalesce(F.upper(x["package"]["ecosystem"]).isin(*(e.upper() for e in ecosystems)), F.lit(False)))
+    said = F.lower(F.concat_ws(" ", _g(payload, "$.summary"), _g(payload, "$.description"), F.array_join(F.transform(rows, lambda x: x["package"]["name"]), " ")))
+    return known & F.exists(F.array(*map(F.lit, keywords)), lambda k: F.contains(said, k))
+
+
+def assigned(advisories: DataFrame, package: str, repos: DataFrame) -> DataFrame:
+    """Advisories with the monitored repository of their package; others go. repos: (package, repo)."""
+    return advisories.join(repos.select(F.col("package").alias("_p"), "repo"), F.lower(F.col(package)) == F.lower("_p")).drop("_p")
+
+
+def arxiv_id(c: Column) -> Column:
+    """(base, version) of an id or link; the version is null where there is none."""
+    bare = F.trim(F.regexp_replace(F.trim(c), "^.*/abs/", ""))
+    return F.struct(F.regexp_replace(bare, r"(?<=[0-9])v[0-9]+$", "").alias("base"), F.nullif(F.regexp_extract(bare, r"[0-9](v[0-9]+)$", 1), F.lit("")).alias("version"))
+
+
+def abstract(index: Column) -> Column:
+    """The text of an inverted index, a map from word to places."""
+    words = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
+    return F.array_join(F.transform(F.array_sort(words), lambda x: x["w"]), " ")
+
+
+def stable_id(feed: str, identifier: Column, most: int = 64) -> Column:
+    """feed:identifier, or feed and twenty digits of its hash where that is too long."""
+    whole = F.concat(F.lit(f"{feed}:"), F.trim(identifier))
+    return F.when(F.length(whole) <= most, whole).otherwise(F.concat(F.lit(f"{feed}:"), F.substring(F.sha2(F.trim(identifier), 256), 1, 20)))
+
+
+def feed_date(c: Column) -> Column:
+    """A time as feeds write it: RFC 822, else ISO."""
+    bare = F.regexp_replace(F.trim(c), r"^[A-Za-z]{3},\s*", "")
+    zoned = F.regexp_replace(bare, r"\s(?:GMT|UT|UTC|Z)$", " +0000")
+    return F.coalesce(F.try_to_timestamp(zoned, F.lit("d MMM yyyy HH:mm:ss Z")), times.parse_time(c))
+
+
+def feed_entries(xml: Column) -> Column:
+    """(id, title, link, published, summary) of each entry of an Atom or RSS document."""
+    squash = lambda c: F.nullif(F.trim(F.regexp_replace(c, r"\s+", " ")), F.lit(""))
+    atom = F.regexp_like(xml, F.lit(r"(?s)^\s*(?:<\?[^>]*>\s*)?(?:<!--.*?-->\s*)?<feed\b"))
+    # one entry at a time, so that an element that one entry lacks doesn't shift those of others; prefixes of names go
+    bare = F.regexp_replace(F.regexp_replace(xml, r"<(/?)[A-Za-z]+:", "<$1"), r"\sxmlns(?::[A-Za-z]+)?=\"[^\"]*\"", "")
+    entries = F.regexp_extract_all(bare, F.lit(r"(?s)<(?:entry|item)\b.*?</(?:entry|item)>"), F.lit(0))
+
+    def one(x: Column) -> Column:
+        get = lambda *paths: F.coalesce(*(squash(F.xpath_string(x, F.lit(p))) for p in paths))
+        link = F.when(atom, get("/entry/link/@href")).otherwise(get("/item/link"))
+        return F.struct(F.coalesce(get("/entry/id", "/item/guid"), link).alias("id"), get("/*/title").alias("title"), link.alias("link"), feed_date(get("/entry/published", "/entry/updated", "/item/pubDate", "/item/date")).alias("published"), get("/entry/summary", "/entry/content", "/item/description").alias("summary"))
+    return F.transform(entries, one)
+
+
+def papers(bronze: DataFrame, raw: str = "raw_text") -> DataFrame:
+    """Papers as a view over bronze rows of paper sources: (paper_id, title, abstract, published, url)."""
+    r = F.col(raw)
+    ident = arxiv_id(F.coalesce(_g(r, "$.id"), F.col("source_id")))
+    return bronze.where(F.col("source").isin("arxiv", "openalex")).select(ident["base"].alias("paper_id"), F.coalesce(_g(r, "$.title"), _g(r, "$.display_name")).alias("title"), F.coalesce(_g(r, "$.summary"), abstract(F.from_json(_g(r, "$.abstract_inverted_index"), "map<string,array<int>>"))).alias("abstract"), times.parse_time(F.coalesce(_g(r, "$.published"), _g(r, "$.publication_date"))).alias("published"), F.coalesce(_g(r, "$.link"), _g(r, "$.id")).alias("url"))
+
+
+def resolve_since(explicit: str | None = None, full: bool = False, days: int | None = None, last_success: str | None = None, default_days: int = 7, now: str = "2024-12-31", first: str = "2024-01-01") -> str:
+    """Where an incremental run begins: what is asked for, else all, else so many days, else the last success, else the default days."""
+    import datetime as dt
+
+    back = lambda n: (dt.date.fromisoformat(now[:10]) - dt.timedelta(days=n)).isoformat()
+    return explicit or (first if full else back(days) if days is not None else last_success or back(default_days))
 
 
 class FeedWindow(InputPartition):
