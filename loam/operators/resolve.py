@@ -1,7 +1,6 @@
 """Entity resolution: keys, merges, first and last by key, near duplicates."""
 from __future__ import annotations
 
-import tempfile
 from itertools import combinations
 
 import numpy as np
@@ -10,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing, text
+from ..session import scratch
 
 
 def pick(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -98,11 +98,10 @@ def leader_clusters(prints: DataFrame, group: str, key: str, threshold: int) ->
 
 
 def _written(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder and read back."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+    """df written to the shared folder and read back."""
+    path = scratch(df.sparkSession, "leaders")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _first_leader(prints: np.ndarray, leaders: np.ndarray, threshold: int) -> np.ndarray:

@@ -455,16 +455,3 @@ def evidence_conflicts(spark, d):
 def evidence_scores(spark, d):
     score = scoring.evidence_score(F.col("l_quantity") / 50, F.col("l_returnflag") == "R", F.col("l_linestatus") == "F", F.col("l_linenumber") == 7, F.col("l_linenumber") == 6)
     return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", score.alias("score"))
-
-
-@query("""select date_trunc('day', ts)::date as day, count(*) as n from events group by 1""")
-def stream_daily_counts(spark, d):
-    """The trend as a stream over the events file, run to its end."""
-    import uuid
-
-    from ..streaming import incremental
-
-    name = f"daily_{uuid.uuid4().hex}"
-    rows = incremental.read_files(spark, f"{d}/events.parquet*", f"{d}/events.parquet")
-    incremental.daily_counts(rows, "ts").writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)

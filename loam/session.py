@@ -4,12 +4,27 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path for intermediate tables in the folder of spark.checkpoint.dir, which driver and executors share; where it is unset, in a temporary one if they are one process, else an error. It goes when the application ends."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    path = f"{found.rstrip('/')}/loam-{uuid.uuid4().hex}/{name}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop.getParent())
+    return path
+
+
 def session(app: str = "loam", master: str | None = None) -> SparkSession:
     """A session with what the operators assume: UTC, AQE and small-side thresholds of Spark."""
     builder = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
