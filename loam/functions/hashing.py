@@ -2,9 +2,10 @@
 from __future__ import annotations
 
 import hashlib
-import math
 import re
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,39 +25,61 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-@F.pandas_udf(LongType())
-def simhash64(texts: pd.Series) -> pd.Series:
-    """64-bit SimHash over BLAKE2b of each token occurrence, as a signed integer; 0 without tokens."""
-    def one(value: str | None) -> int:
-        bits = [0] * 64
-        for t in re.findall("[a-z0-9]+", (value or "").lower()):
-            h = int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "big")
-            for i in range(64):
-                bits[i] += 1 if h >> i & 1 else -1
-        out = sum(1 << i for i in range(64) if bits[i] > 0)
-        return out - (1 << 64) if out >> 63 else out
-    return texts.map(one)
+ASCII_TOKEN, CJK_RUN = re.compile("[a-z0-9]+"), re.compile("[\u4e00-\u9fff]+")
+#: Token occurrences that are worked on at once.
+AT_ONCE = 100_000
+
+
+def plain_tokens(value: str | None) -> list[str]:
+    return ASCII_TOKEN.findall((value or "").lower())
 
 
 def python_hash_tokens(value: str | None) -> list[str]:
     """The tokens of text.hash_tokens, for use inside a task."""
     low = (value or "").lower()
-    out = [x for x in re.findall("[a-z0-9]+", low) if len(x) > 1]
-    for run in re.findall("[\u4e00-\u9fff]+", low):
+    out = [x for x in ASCII_TOKEN.findall(low) if len(x) > 1]
+    for run in CJK_RUN.findall(low):
         out += [run] if len(run) == 1 else [run[i:i + 2] for i in range(len(run) - 1)]
     return out
 
 
+def _hashed(texts: pd.Series, tokens) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of texts of bounded size: first and end row, the hash of each distinct token, and of each occurrence the token's number and its row within the run."""
+    lo, held, size = 0, [], 0
+    every = texts.tolist()
+    for i, value in enumerate(every):
+        held.append(tokens(value))
+        size += len(held[-1])
+        if size >= AT_ONCE or i + 1 == len(every):
+            codes, names = pd.factorize(np.array([t for row in held for t in row], object))
+            h = np.array([int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "big") for t in names], np.uint64)
+            yield lo, i + 1, h, codes, np.repeat(np.arange(len(held)), [len(row) for row in held])
+            lo, held, size = i + 1, [], 0
+
+
+@F.pandas_udf(LongType())
+def simhash64(texts: pd.Series) -> pd.Series:
+    """64-bit SimHash over BLAKE2b of each token occurrence, as a signed integer; 0 without tokens."""
+    out = np.zeros(len(texts), np.uint64)
+    places = np.arange(64, dtype=np.uint64)
+    for lo, hi, h, codes, rows in _hashed(texts, plain_tokens):
+        if len(codes):
+            bits = (((h[:, None] >> places) & np.uint64(1)).astype(np.int32) * 2 - 1)[codes]
+            first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+            sums = np.add.reduceat(bits, first)
+            out[lo + rows[first]] = ((sums > 0).astype(np.uint64) << places).sum(1, dtype=np.uint64)
+    return pd.Series(out.view(np.int64))
+
+
 def hash_embedding(c: Column, dim: int = 512) -> Column:
     """Signed token counts in dim places, by BLAKE2b, at unit length; zeros without tokens."""
     @F.pandas_udf(ArrayType(FloatType()))
     def embed(texts: pd.Series) -> pd.Series:
-        def one(value) -> list[float]:
-            v = [0.0] * dim
-            for t in python_hash_tokens(value):
-                h = int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "big")
-                v[h % dim] += 1.0 if h & 1 else -1.0
-            n = math.sqrt(sum(x * x for x in v))
-            return [x / n for x in v] if n else v
-        return texts.map(one)
+        out: list[np.ndarray] = []
+        for lo, hi, h, codes, rows in _hashed(texts, python_hash_tokens):
+            n = hi - lo
+            sign = np.where(h & np.uint64(1), 1.0, -1.0)
+            v = np.bincount(rows * dim + (h % np.uint64(dim)).astype(np.int64)[codes], sign[codes], minlength=n * dim).reshape(n, dim) if len(codes) else np.zeros((n, dim))
+            out.extend((v / np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-300)).astype(np.float32))
+        return pd.Series(out)
     return embed(c)

@@ -4,7 +4,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .resolve import pick
 
 
 def nodes(parts: list[tuple[str, DataFrame, Column]]) -> DataFrame:
@@ -34,16 +33,8 @@ def two_hops(first: DataFrame, second: DataFrame) -> DataFrame:
     return first.select("src", F.col("dst").alias("mid")).join(second.select(F.col("src").alias("mid"), F.col("dst")), "mid", "left").select("src", "mid", "dst")
 
 
-def siblings(df: DataFrame, key: str, shared: str, most: int) -> DataFrame:
-    """(shared, a, b): pairs of keys that share a value; values with more than `most` keys are left to `heavy`, so a value never pairs without bound."""
-    once = df.select(key, shared).distinct()
-    light = once.groupBy(shared).agg(F.count("*").alias("n")).where(F.col("n") <= most)
-    kept = once.join(light.select(shared), shared)
-    return kept.select(shared, F.col(key).alias("a")).join(kept.select(shared, F.col(key).alias("b")), shared).where(F.col("a") != F.col("b"))
-
-
 def heavy(df: DataFrame, key: str, shared: str, most: int) -> DataFrame:
-    """(shared, key, n): the members of each value with more than `most` keys and their number, a row per key; any two of a value are siblings. With `siblings`, no link is lost."""
+    """(shared, key, n): the members of each value with more than `most` keys and their number, a row per key; any two of a value are siblings."""
     once = df.select(key, shared).distinct()
     large = once.groupBy(shared).agg(F.count("*").alias("n")).where(F.col("n") > most)
     return once.join(large, shared).select(shared, key, "n")
@@ -149,7 +140,3 @@ def prune(edge_rows: DataFrame, confidence: Column, least: float) -> DataFrame:
 def orphans(node_rows: DataFrame, edge_rows: DataFrame, key: str, dst: str) -> DataFrame:
     """Nodes without an incoming edge."""
     return node_rows.join(edge_rows.select(F.col(dst).alias(key)), key, "left_anti")
-
-
-def best_by_confidence(df: DataFrame, keys: list[str], confidence: str) -> DataFrame:
-    return pick(df, keys, [F.desc(confidence)])

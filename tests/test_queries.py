@@ -51,11 +51,70 @@ def test_leader_clusters_walk_all_rows(spark):
     assert {r.doc_id: r.leader for r in got.collect()} == want
 
 
-def test_siblings_and_heavy_lose_no_link(spark):
+def test_membership_loses_no_link(spark):
     rows = [(i, 1) for i in range(5)] + [(i, 2) for i in range(3, 6)] + [(0, 1), (9, 3), (7, None)]
     df = spark.createDataFrame(rows, "k long, v long")
-    got = {(r.v, r.a, r.b) for r in graph.siblings(df, "k", "v", 3).collect()}
-    members = [tuple(r) for r in graph.heavy(df, "k", "v", 3).collect()]
-    assert sorted(members) == [(1, i, 5) for i in range(5)]
-    got |= {(v, a, b) for v, a, _ in members for w, b, _ in members if v == w and a != b}
+    members = [tuple(r) for r in graph.members(df, "k", "v").collect()]
+    got = {(v, a, b) for v, a, *_ in members for w, b, *_ in members if v == w and a != b}
     assert got == {(v, a, b) for a, v in rows for b, w in rows if v is not None and v == w and a != b}
+    assert all((first, n) == (min(a for w, a, *_ in members if w == v), sum(w == v for w, *_ in members)) for v, _, first, n in members)
+    assert sorted(tuple(r) for r in graph.heavy(df, "k", "v", 3).collect()) == [(1, i, 5) for i in range(5)]
+
+
+def test_near_pairs_miss_none(spark):
+    import random
+
+    rng = random.Random(2)
+    prints = [rng.getrandbits(60) for _ in range(60)]
+    prints += [p ^ sum(1 << b for b in rng.sample(range(60), rng.randint(0, 5))) for p in prints for _ in range(3)]
+    rows = list({p: i for i, p in enumerate(prints)}.items())
+    got = {(r.a, r.b): r.distance for r in resolve.near_pairs(spark.createDataFrame([(i, p) for p, i in rows], "k long, fingerprint long"), "k", 3).collect()}
+    want = {(min(i, j), max(i, j)): (p ^ q).bit_count() for p, i in rows for q, j in rows if i < j and (p ^ q).bit_count() <= 3}
+    assert got == want
+
+
+def test_hashes_against_plain_ones(spark):
+    import hashlib
+    import math
+
+    from pyspark.sql import functions as F
+
+    from loam.functions import hashing
+
+    texts = ["the cat the dog", "", None, "漏洞库 a1 b", "x " * 500, "ab cd ef " * 40000]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, s string").select("i", hashing.simhash64("s").alias("h"), hashing.hash_embedding(F.col("s"), 16).alias("e"))
+    number = lambda t: int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "big")
+    for r in df.collect():
+        bits = [sum(1 if number(t) >> b & 1 else -1 for t in hashing.plain_tokens(texts[r.i])) for b in range(64)]
+        assert r.h % (1 << 64) == sum(1 << b for b in range(64) if bits[b] > 0)
+        v = [0.0] * 16
+        for t in hashing.python_hash_tokens(texts[r.i]):
+            v[number(t) % 16] += 1 if number(t) & 1 else -1
+        n = math.sqrt(sum(x * x for x in v))
+        assert all(abs(x - (y / n if n else 0)) < 1e-5 for x, y in zip(r.e, v, strict=True))
+
+
+def test_feed_rows_that_are_refused(spark):
+    from loam.sources import feeds
+
+    rows = [('{"nothing": 1}', "nvd", None), ("not json", "nvd", "x1"), ('{"cve": {"id": "CVE-2024-1234"}}', "nvd", None)]
+    bronze = spark.createDataFrame(rows, "raw_text string, source string, source_id string")
+    assert [r.raw_text for r in feeds.rejects(bronze).collect()] == ['{"nothing": 1}']
+    assert sorted(r.vuln_id for r in feeds.normalize(bronze).collect()) == ["CVE-2024-1234", "x1"]
+
+
+def test_hybrid_isolates_failures(spark):
+    from loam.operators import retrieve
+
+    def broken():
+        raise OSError("down")
+    found, failed = retrieve.hybrid({"vector": broken, "fulltext": lambda: spark.range(2), "graph": broken}, ["vector", "graph"], {"vector": "fulltext"})
+    assert [f.count() for f in found] == [2] and failed == ["vector", "graph"]
+
+
+def test_api_refuses_what_it_does_not_know(spark):
+    from loam import api
+
+    for bad in ({"severity": ["urgent"]}, {"limit": 101}):
+        with pytest.raises(ValueError):
+            api.vulnerabilities(None, **bad)
