@@ -22,6 +22,11 @@ def vuln_text(vuln_id: Column, title: Column, weaknesses: Column, severity: Colu
     return clip(F.concat_ws("\n", blank(F.concat_ws(" ", vuln_id, blank(title))), blank(facts), blank(description)))
 
 
+def labelled(lines: list[tuple[str, Column]]) -> Column:
+    """A line for each label that has a text, cut at MOST_CHARS."""
+    return clip(F.concat_ws("\n", *(F.concat(F.lit(f"{label}: "), F.nullif(F.trim(c), F.lit(""))) for label, c in lines)))
+
+
 def index_metadata(vuln_id: Column, sources: Column, published: Column, severity: Column, kev: Column) -> Column:
     """Map of flat texts; a missing value has no key."""
     entries = F.create_map(F.lit("cve_id"), vuln_id, F.lit("source"), F.when(F.size(sources) > 0, F.array_join(F.array_sort(sources), ",")), F.lit("published_at"), iso(published), F.lit("severity"), F.nullif(severity, F.lit("")), F.lit("kev"), F.when(kev, F.lit("true")))

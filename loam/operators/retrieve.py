@@ -176,3 +176,16 @@ def keyword_papers(df: DataFrame, key: str, body: str, published: str, words: li
     """keyword_sum in the order of a result list: score, then the latest, then key."""
     rows = keyword_sum(df, key, body, words).join(df.select(key, published), key)
     return rows.orderBy(F.desc("score"), F.desc_nulls_last(published), key).limit(k)
+
+
+def graph_route(df: DataFrame, key: str, name: Column, technique: Column, ids: list | None = None, components: list[str] | None = None, techniques: list | None = None, most: int = 3) -> DataFrame:
+    """Distinct keys by the first kind of entity that a question names: ids, else parts of component names, else techniques; `most` of them."""
+    if ids:
+        rows = df.where(F.col(key).isin(*ids[:most]))
+    elif components:
+        rows = df.where(reduce(lambda a, b: a | b, (F.contains(F.lower(name), F.lit(c.strip().lower())) for c in components[:most])))
+    elif techniques:
+        rows = df.where(technique.isin(*techniques[:most]))
+    else:
+        rows = df.limit(0)
+    return rows.select(key).distinct()

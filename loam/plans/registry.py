@@ -3,10 +3,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import answers, graphs, ingest, lists, records, served, streams
+from . import answers, enriched, graphs, ingest, lists, records, served, streams
 from .queries import ORACLE, QUERIES, rrf_fusion
 
-__all__ = ["ORACLE", "QUERIES", "answers", "entry", "graphs", "ingest", "lists", "records", "served", "streams"]
+__all__ = ["ORACLE", "QUERIES", "answers", "enriched", "entry", "graphs", "ingest", "lists", "records", "served", "streams"]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
