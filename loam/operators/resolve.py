@@ -116,32 +116,35 @@ def _first_leader(prints: np.ndarray, leaders: np.ndarray, threshold: int) -> np
 
 
 def leader_clusters_over_all(prints: DataFrame, key: str, threshold: int, step: int = 4096) -> DataFrame:
-    """(key, leader): in order of key, a row joins the first leader within threshold bits, else leads. Equal fingerprints share their first row's leader, so each is walked once.
+    """(key, leader): in order of key, a row joins the first leader within threshold bits, else leads. Equal fingerprints share their first row's leader, so each is walked once; keys are of any type that can be ordered, null ones come last.
     A round walks the first `step` open fingerprints on the driver, then every other open one is held against the leaders that were found, in tasks of even size."""
-    rows = prints.select(F.col(key).cast("long").alias("k"), "fingerprint")
-    open_ = _written(rows.groupBy("fingerprint").agg(F.coalesce(F.min("k"), F.lit((1 << 63) - 1)).alias("at")))
+    kind = dict(prints.dtypes)[key]
+    rows = prints.select(F.col(key).alias("k"), "fingerprint")
+    open_ = _written(rows.groupBy("fingerprint").agg(F.min("k").alias("at")))
     done = None
-    while first := open_.orderBy("at", "fingerprint").limit(step).collect():  # at most step rows
-        found: list[tuple[int, int]] = []
+    while first := open_.orderBy(F.col("at").isNull(), "at", "fingerprint").limit(step).collect():  # at most step rows
+        found: list[tuple[int, object]] = []
         values = np.zeros(len(first), np.uint64)
         for r in first:
-            if not len(found) or not (np.bitwise_count(values[:len(found)] ^ np.uint64(r.fingerprint)) <= threshold).any():
-                values[len(found)] = r.fingerprint
+            own = np.uint64(r.fingerprint % (1 << 64))
+            if not len(found) or not (np.bitwise_count(values[:len(found)] ^ own) <= threshold).any():
+                values[len(found)] = own
                 found.append((r.fingerprint, r.at))
-        leaders, ats = values[:len(found)].copy(), np.array([at for _, at in found], np.int64)
+        leaders, ats = values[:len(found)].copy(), [at for _, at in found]
 
         def settle(batches, leaders=leaders, ats=ats):
             for batch in batches:
-                hit = _first_leader(batch.column(0).to_numpy().astype(np.uint64), leaders, threshold)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ats[np.maximum(hit, 0)], mask=hit < 0)], ["fingerprint", "at", "leader"])
+                hit = _first_leader(batch.column(0).to_numpy().view(np.uint64), leaders, threshold)
+                leader = pa.array([ats[i] if i >= 0 else None for i in hit.tolist()], batch.schema.field(1).type)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), leader, pa.array(hit >= 0)], ["fingerprint", "at", "leader", "settled"])
 
-        round_ = _written(open_.select("fingerprint", "at").mapInArrow(settle, "fingerprint long, at long, leader long"))
-        settled = round_.where("leader is not null").select("fingerprint", "leader")
+        round_ = _written(open_.select("fingerprint", "at").mapInArrow(settle, f"fingerprint long, at {kind}, leader {kind}, settled boolean"))
+        settled = round_.where("settled").select("fingerprint", "leader")
         done = settled if done is None else done.union(settled)
-        open_ = round_.where("leader is null").select("fingerprint", "at")
+        open_ = round_.where("not settled").select("fingerprint", "at")
     if done is None:
         return rows.select(F.col("k").alias(key), F.col("k").alias("leader"))
-    return rows.join(done, "fingerprint").select(F.col("k").alias(key), F.nullif("leader", F.lit((1 << 63) - 1)).alias("leader"))
+    return rows.join(done, "fingerprint").select(F.col("k").alias(key), "leader")
 
 
 def mapped_assets(products: DataFrame, inventory: DataFrame, key: str, most: int = 10) -> DataFrame:

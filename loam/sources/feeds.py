@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..functions import cvss, packages, text, times, urls
+from ..functions import cvss, hashing, packages, text, times, urls
+from ..operators import resolve
 
 BRONZE = "sha256 string, source string, source_id string, url string, title string, raw_text string, published_at timestamp, fetched_at timestamp"
 _g = F.get_json_object
@@ -126,11 +127,23 @@ def primary_key(vuln_id: Column, aliases: Column) -> Column:
     return F.when(text.is_cve(vuln_id), F.upper(F.trim(vuln_id))).otherwise(F.coalesce(F.upper(F.trim(other)), F.upper(F.trim(vuln_id))))
 
 
-def merge_sources(silver: DataFrame) -> DataFrame:
-    """One row per primary key over all sources, whatever the order of rows. Records count by (published missing, published, id): the longest description (the first of equals), the first title, lists
-    in order without repeats (links by their normal form), the highest severity, any kev, the highest scores, the first published and last modified time."""
+def cluster_keys(silver: DataFrame, threshold: int = 15) -> DataFrame:
+    """(id, key): records that no CVE id names, by near-duplicate descriptions: in order of id, a record takes the key of the first leader whose SimHash is within threshold bits, else its own."""
+    key = primary_key(F.col("vuln_id"), F.col("aliases"))
+    rows = silver.select(key.alias("id"), "description").where(~text.is_cve(F.col("id")))
+    longest = rows.groupBy("id").agg(F.max_by("description", F.struct(F.length("description"), "description")).alias("description"))
+    return resolve.leader_clusters_over_all(longest.select("id", hashing.simhash64("description").alias("fingerprint")), "id", threshold).select("id", F.col("leader").alias("key"))
+
+
+def merge_sources(silver: DataFrame, similar: bool = False) -> DataFrame:
+    """One row per primary key over all sources, whatever the order of rows; with similar, records without a CVE id also merge where their descriptions are near-duplicates. Records count by
+    (published missing, published, id): the longest description (the first of equals), the first title, lists in order without repeats (links by their normal form), the highest severity, any kev,
+    the highest scores, the first published and last modified time."""
     order = F.struct(F.col("published_at").isNull().alias("n"), F.col("published_at").alias("p"), F.col("vuln_id").alias("v"), F.col("source").alias("s"))
     rows = silver.withColumns({"key": primary_key(F.col("vuln_id"), F.col("aliases")), "o": order})
+    if similar:
+        other = cluster_keys(silver).select(F.col("id").alias("_id"), F.col("key").alias("_key"))
+        rows = rows.join(other, F.col("key") == F.col("_id"), "left").withColumn("key", F.coalesce("_key", "key")).drop("_id", "_key")
     ordered = lambda c: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("o", F.col(c).alias("x")))), lambda r: r["x"]))  # noqa: E731  a key has few records
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("o")))
     longest = F.min_by("description", F.when(F.col("description").isNotNull(), F.struct((-F.length("description")).alias("l"), "o")))

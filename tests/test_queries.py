@@ -118,3 +118,15 @@ def test_api_refuses_what_it_does_not_know(spark):
     for bad in ({"severity": ["urgent"]}, {"limit": 101}):
         with pytest.raises(ValueError):
             api.vulnerabilities(None, **bad)
+
+
+def test_similar_records_without_an_id_merge(spark):
+    from loam.sources import feeds
+
+    words = " ".join(f"word{i}" for i in range(60))
+    osv = lambda i, said: f'{{"id": "PYSEC-2024-{i}", "details": "{said}", "aliases": []}}'
+    rows = [(osv(1, words),), (osv(2, words + " more"),), (osv(3, "something else " + "entirely different here " * 9),), ('{"cve": {"id": "CVE-2024-1111", "descriptions": [{"lang": "en", "value": "' + words + '"}]}}',)]
+    silver = feeds.normalize(spark.createDataFrame(rows, "raw_text string"))
+    got = {r.vuln_id: sorted(r.aliases) for r in feeds.merge_sources(silver, similar=True).collect()}
+    assert got == {"CVE-2024-1111": [], "PYSEC-2024-1": ["PYSEC-2024-2"], "PYSEC-2024-3": []}
+    assert feeds.merge_sources(silver).count() == 4
