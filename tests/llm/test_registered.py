@@ -337,3 +337,61 @@ def test_word_hash_lanes(spark):
     both = {(int(x), int(y)) for x, y in zip(vt.hashes(data, ends - [len(w) for w in words], ends), vt.hashes(data, ends - [len(w) for w in words], ends, 1), strict=True)}
     assert len(both) == len(words) and all(x != y for x, y in both)
     assert pa.array([1]).type == pa.int64()
+
+
+def test_pipeline_against_plain_stages(spark):
+    import base64
+
+    import corpus_pipeline
+    import public_tokenizers
+    import tiktoken
+
+    from tests.llm.test_operators import plain_components
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = mil_toxicity.fit(docs, labels)
+    rows = {r.doc_id: r for r in docs.collect()}
+    marked = {r.doc_id for r in labels.where("toxic = 1").collect()}
+    one = corpus_pipeline.drop_toxic(spark, docs, SF).cache()
+    clean = {i for i, r in rows.items() if plain_toxicity(model, r.text) < 0.7} - marked
+    assert {r.doc_id for r in one.collect()} == clean
+    two = corpus_pipeline.drop_near_duplicates(spark, one, SF).cache()
+    ordered = sorted(clean)
+    parent = plain_components([rows[i].text for i in ordered], 5)
+    assert sorted(r.doc_id for r in two.collect()) == [ordered[n] for n, p in enumerate(parent) if n == p]
+    left = {r.doc_id: r for r in two.collect()}
+    three = corpus_pipeline.mask_secrets(spark, two, SF).cache()
+    owners, spans = defaultdict(set), {}
+    for i, r in left.items():
+        text = r.text or ""
+        base = plain_spans(text)
+        free = [(m.start(), 3, m.end(), "token", m[0]) for m in re.finditer(secret_ownership.TOKEN, text) if plain_live(m[0]) and re.search("[A-Z]", m[0]) and re.search("[a-z]", m[0]) and not any(m.start() < y[2] and y[0] < m.end() for y in base)]
+        spans[i] = sorted(base + free)
+        for x in spans[i]:
+            owners[x[4]].add(r.source)
+    masked = {r.doc_id: r.text for r in three.collect()}
+    for i, r in left.items():
+        out, at = "", 0
+        for a, _, b, _, value in spans[i]:
+            if len(owners[value]) < secret_ownership.OWNERS:
+                if a >= at:
+                    out += (r.text or "")[at:a] + "[SECRET]"
+                at = max(at, b)
+        assert masked[i] == (r.text if r.text is None else out + r.text[at:])
+    four = corpus_pipeline.mix_sources(spark, three, SF).cache()
+    size = {i: len(WORD.findall(x or "")) for i, x in masked.items()}
+    total, taken = Counter(), Counter()
+    for i in left:
+        total[left[i].source] += size[i]
+    times = Counter(r.doc_id for r in four.collect())
+    for i, n in times.items():
+        taken[left[i].source] += n * size[i]
+    # whole documents only: off by half a document each at most
+    for s, want in plain_targets(dict(total)).items():
+        assert abs(taken[s] - want) <= 32 + sum(size[i] for i in left if left[i].source == s) / 2 and max(times.values()) <= 3
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
+    enc = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = Counter((r.doc_id, tuple(enc.encode_ordinary(r.text or ""))) for r in four.collect())
+    assert Counter((r.doc_id, tuple(r.ids)) for r in corpus_pipeline.encode(spark, four, SF).collect()) == want
