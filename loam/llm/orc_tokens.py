@@ -5,7 +5,7 @@ min/max statistics, and the row index and a Bloom filter on doc_id answer point
 encoded by the ORC writer. Offsets need no pass over the whole order: each file carries running sums of
 its own, and one row per file gives the base.
 
-The tokenizer drops white space, so words between ASCII white space are encoded one by one and remembered per worker by 128 bits of hash.
+The tokenizer drops white space, so words between ASCII white space are encoded one by one and remembered per worker by hash, with a second one for long words and the length for others.
 
 Defined cases: a null text is empty and gets the end id alone; rows with equal doc_id follow each other by a hash of their
 text, then the text, and may lie in several files; a null doc_id sorts first; an empty table gives no rows; other columns are ignored.
@@ -82,7 +82,7 @@ class Memory:
         if sum(len(x[0]) for x in self.parts) > REMEMBERED:
             self.clear()
         starts, ends, doc = vt.words(data, offs)
-        second = vt.hashes(data, starts, ends, 1)
+        second = vt.second_hashes(data, starts, ends)
         keys, first, of = np.unique(vt.hashes(data, starts, ends), return_index=True, return_inverse=True)
         place, _, odd = self._find(keys, second[first])
         if odd or (second[first][of] != second).any():

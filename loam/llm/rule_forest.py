@@ -57,7 +57,7 @@ def _stats(batches):
                 window = vt.mix(h[:-2] * _STEP[0] + h[1:-1] * _STEP[1] + h[2:] * _STEP[2])
                 inside = np.flatnonzero(doc[:-2] == doc[2:])
                 key = vt.mix(window[inside] + doc[inside].astype(np.uint64) * _STEP[0])
-                h2 = vt.hashes(data, starts, ends, 1)
+                h2 = vt.mix(vt.second_hashes(data, starts, ends))
                 check = vt.mix(h2[:-2] * _STEP[0] + h2[1:-1] * _STEP[1] + h2[2:] * _STEP[2])[inside]
                 order = np.lexsort((check, key))
                 same = (key[order][1:] == key[order][:-1]) & (check[order][1:] == check[order][:-1])

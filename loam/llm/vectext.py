@@ -98,6 +98,15 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0
     return h
 
 
+def second_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """What tells words of equal hash apart: the length of those up to eight bytes, where the hash can't be shared by two of a length, and the other lane's hash of longer ones."""
+    n = ends - starts
+    out = n.astype(np.uint64)
+    long = np.flatnonzero(n > 8)
+    out[long] = hashes(data, starts[long], ends[long], 1)
+    return out
+
+
 def text_spans(texts_of: np.ndarray, n: int) -> np.ndarray:
     """Offsets into a list of items sorted by text number."""
     return np.searchsorted(texts_of, np.arange(n + 1))
