@@ -1,11 +1,13 @@
 """Feed payloads: file readers, per-source field expressions, and a data source for paged feeds with an injected fetcher."""
 from __future__ import annotations
 
+import datetime as dt
+import importlib
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..functions import cvss, hashing, packages, text, times, urls
 from ..operators import resolve
@@ -43,17 +45,17 @@ def detect_source(raw: Column) -> Column:
 
 
 def _texts(raw: Column, path: str) -> Column:
-    return F.coalesce(F.from_json(_g(raw, path), "array<string>"), _NO_TEXTS())
+    return F.coalesce(F.from_json(_g(raw, path), "array<string>"), _no_texts())
 
 
-def _NO_TEXTS() -> Column:
+def _no_texts() -> Column:
     return F.expr("cast(array() as array<string>)")
 
 
 def _each(raw: Column, paths: list[str], field: str) -> Column:
     """field of each object of the first list that is there."""
     lists = F.coalesce(*(F.from_json(_g(raw, p), f"array<struct<{field}:string>>") for p in paths))
-    return F.filter(F.coalesce(F.transform(lists, lambda x: x[field]), _NO_TEXTS()), lambda x: F.coalesce(F.trim(x), F.lit("")) != "")
+    return F.filter(F.coalesce(F.transform(lists, lambda x: x[field]), _no_texts()), lambda x: F.coalesce(F.trim(x), F.lit("")) != "")
 
 
 def published_at(raw: Column, kind: Column, given: Column | None = None) -> Column:
@@ -78,7 +80,7 @@ def parsed(bronze: DataFrame, raw: str = "raw_text") -> DataFrame:
     own = lambda c: F.col(c) if c in bronze.columns else none
     kind = F.col("_kind")
     by = lambda **paths: F.coalesce(*(F.when(kind == k, F.coalesce(*(text_(_g(r, p)) for p in ps))) for k, ps in paths.items()))
-    listed = lambda **lists: F.coalesce(*(F.when(kind == k, c) for k, c in lists.items()), _NO_TEXTS())
+    listed = lambda **lists: F.coalesce(*(F.when(kind == k, c) for k, c in lists.items()), _no_texts())
     said = F.from_json(F.coalesce(_g(r, "$.cve.descriptions"), _g(r, "$.descriptions")), "array<struct<lang:string,value:string>>")
     weak = F.from_json(F.coalesce(_g(r, "$.cve.weaknesses"), _g(r, "$.weaknesses")), "array<struct<description:array<struct<value:string>>>>")
     rows = staged(bronze, {"_kind": F.coalesce(own("source"), detect_source(r))})
@@ -251,8 +253,6 @@ def papers(bronze: DataFrame, raw: str = "raw_text") -> DataFrame:
 
 def resolve_since(explicit: str | None = None, full: bool = False, days: int | None = None, last_success: str | None = None, default_days: int = 7, now: str = "2024-12-31", first: str = "2024-01-01") -> str:
     """Where an incremental run begins: what is asked for, else all, else so many days, else the last success, else the default days."""
-    import datetime as dt
-
     back = lambda n: (dt.date.fromisoformat(now[:10]) - dt.timedelta(days=n)).isoformat()
     return explicit or (first if full else back(days) if days is not None else last_success or back(default_days))
 
@@ -278,26 +278,50 @@ class FeedSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return FeedReader(self.options)
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return FeedStream(self.options)
+
+
+def feed_windows(start: str, end: str, days: int) -> list[FeedWindow]:
+    at, end_, step, out = dt.date.fromisoformat(start), dt.date.fromisoformat(end), dt.timedelta(days=days), []
+    while at < end_:
+        out.append(FeedWindow(at.isoformat(), min(at + step, end_).isoformat()))
+        at += step
+    return out
+
+
+def fetched_rows(options: dict[str, str], window: FeedWindow) -> Iterator[tuple[str, str]]:
+    module, _, name = options["fetcher"].partition(":")
+    fetch: Callable = getattr(importlib.import_module(module), name)
+    for row in fetch(window.start, window.end):
+        yield options.get("source", ""), row
+
 
 class FeedReader(DataSourceReader):
     def __init__(self, options):
         self.options = dict(options)
 
     def partitions(self) -> list[FeedWindow]:
-        import datetime as dt
-
-        start, end = (dt.date.fromisoformat(self.options[k]) for k in ("since", "until"))
-        step = dt.timedelta(days=int(self.options.get("days", 120)))
-        out = []
-        while start < end:
-            out.append(FeedWindow(start.isoformat(), min(start + step, end).isoformat()))
-            start += step
-        return out
+        return feed_windows(self.options["since"], self.options["until"], int(self.options.get("days", 120)))
 
     def read(self, partition: FeedWindow) -> Iterator[tuple[str, str]]:
-        import importlib
+        return fetched_rows(self.options, partition)
+
 
-        module, _, name = self.options["fetcher"].partition(":")
-        fetch: Callable = getattr(importlib.import_module(module), name)
-        for row in fetch(partition.start, partition.end):
-            yield self.options.get("source", ""), row
+class FeedStream(DataSourceStreamReader):
+    """The same windows as a stream: the offset is the day that is fetched up to (`until`, or today), so a checkpoint is the cursor of an incremental run, and a batch that failed is fetched again."""
+
+    def __init__(self, options):
+        self.options = dict(options)
+
+    def initialOffset(self) -> dict:
+        return {"at": self.options["since"]}
+
+    def latestOffset(self) -> dict:
+        return {"at": self.options.get("until") or dt.date.today().isoformat()}
+
+    def partitions(self, start: dict, end: dict) -> list[FeedWindow]:
+        return feed_windows(start["at"], end["at"], int(self.options.get("days", 120)))
+
+    def read(self, partition: FeedWindow) -> Iterator[tuple[str, str]]:
+        return fetched_rows(self.options, partition)

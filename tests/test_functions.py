@@ -60,3 +60,22 @@ def test_feed_source(spark):
     spark.dataSource.register(feeds.FeedSource)
     rows = spark.read.format("feed").options(since="2024-01-01", until="2024-09-01", fetcher="tests.feed_fixture:fetch", source="x").load().collect()
     assert [json.loads(r.raw_text)["start"] for r in rows] == ["2024-01-01", "2024-04-30", "2024-08-28"]
+
+
+def test_feed_stream_moves_its_cursor(spark, tmp_path):
+    spark.dataSource.register(feeds.FeedSource)
+    stream = spark.readStream.format("feed").options(since="2024-01-01", until="2024-09-01", fetcher="tests.feed_fixture:fetch", source="x").load()
+    seen = []
+    run = stream.writeStream.foreachBatch(lambda b, n: seen.extend(r.raw_text for r in b.collect())).option("checkpointLocation", f"{tmp_path}/c").trigger(processingTime="1 second").start()
+    for _ in range(60):
+        if len(seen) >= 3:
+            break
+        run.awaitTermination(1)
+    run.stop()
+    assert sorted(json.loads(x)["start"] for x in seen) == ["2024-01-01", "2024-04-30", "2024-08-28"]
+
+
+def test_times_of_feeds(spark):
+    for given in ("Tue, 02 Apr 2024 10:00:00 +0200", "Tue, 02 Apr 2024 08:00:00 GMT", "2024-04-02T08:00:00Z"):
+        assert one(spark, F.date_format(feeds.feed_date(F.lit(given)), "yyyy-MM-dd HH:mm:ss")) == "2024-04-02 08:00:00"
+    assert one(spark, feeds.feed_date(F.lit("some day"))) is None
