@@ -331,10 +331,12 @@ def prefixes(sets: DataFrame, percent: int, in_memory: int = FREQUENT) -> DataFr
 
 def meet_by_rare(entries: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of rows of different components that share an early shingle and may be alike enough by size and place.
-    In each shingle's group the rows outside its largest component look for partners among all."""
+    In each shingle's group the rows outside its largest component look for partners among all. What is joined on a shingle is written first, so that Spark can split the rows of a frequent one."""
     count = entries.groupBy("token", "component").agg(F.count("*").alias("k"))
     largest = count.groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("largest"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    largest = materialize(largest, "largest")
     x = entries.join(largest, "token").where("component <> largest").select("token", *(F.col(c).alias(f"x_{c}") for c in ("place", "short", "id", "component", "n")), "largest")
+    x = materialize(x, "apart")
     before = (F.col("x_n") < F.col("n")) | ((F.col("x_n") == F.col("n")) & (F.col("x_id") < F.col("id")))
     once = (F.col("component") == F.col("largest")) | (F.col("x_id") < F.col("id"))
     sizes = 100 * F.least("x_n", "n") >= percent * F.greatest("x_n", "n")
@@ -400,7 +402,7 @@ def grouped(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     # what the first round left: pairs of two components. Sure pairs inside mixed runs are left to the completion, neighbours join most of what belongs together before it
     placed = placed_by(classes, found)
     runs = dense.join(placed.select("id", "component"), "id")
-    mixed = runs.groupBy("run").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("run")
+    mixed = materialize(runs.groupBy("run").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("run"), "mixed_runs")
     inside = materialize(runs.join(mixed, "run").select("id").distinct(), "mixed")
     placed = placed.join(inside.withColumn("mixed", F.lit(True)), "id", "left").select("id", "n", "sig", "component", F.coalesce("mixed", F.lit(False)).alias("mixed"))
     side = lambda s: placed.select(*(F.col(c).alias(c + s) for c in placed.columns))
@@ -411,7 +413,7 @@ def grouped(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     sets = materialize(sets.mapInArrow(_sets(width), "id long, component long, n long, set binary"), "sets")
     found = merged(found, materialize(links_of_sets(sets, percent), "links"))
     named = materialize(placed_by(classes, found).select("doc_id", "k1", "k2", F.col("component").alias("whole")), "named")
-    named = named.join(named.groupBy("whole").agg(F.min("doc_id").alias("least")), "whole")
+    named = named.join(materialize(named.groupBy("whole").agg(F.min("doc_id").alias("least")), "least"), "whole")
     out = signed.join(named.select("k1", "k2", "whole", "least"), ["k1", "k2"], "left")
     own = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     component = F.when(F.col("n_shingles") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id"))
@@ -428,7 +430,7 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """docs (doc_id, text and others) with one row of each group of near-duplicates: of its least doc_id, the text with the least hash. Rows without doc_id or words all stay."""
     rows = grouped(docs, width, percent)
     texts = materialize(rows.where("whole is not null").groupBy("whole", "doc_id", "text_key").agg(F.count("*").alias("rows")), "texts")
-    stays = texts.groupBy("whole").agg(F.min(F.struct("doc_id", "text_key")).alias("one"))
+    stays = materialize(texts.groupBy("whole").agg(F.min(F.struct("doc_id", "text_key")).alias("one")), "stays")
     # only what goes, and what stays but is there more than once, meets the documents
     odd = texts.join(stays, "whole").withColumn("goes", F.struct("doc_id", "text_key") != F.col("one")).where("goes or rows > 1").select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), "goes")
     every = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_d"), F.xxhash64(F.col("text").cast("string")).alias("_k"))
