@@ -81,9 +81,12 @@ def answer_confidence(spark, d):
     return t(spark, d, "conversations").select("conv_id", "turn", c.alias("confidence"))
 
 
-@query("select vec_id, label from embeddings where label in (1, 2) and vec_id >= 40 and (label = 2 or label = 1) and vec_id in (41, 44, 45, 48, 52, 61)")
+_SOME = [v for v in range(30, 400) if v % 3]
+
+
+@query(f"select vec_id, label from embeddings where label in (0, 2, 5) and vec_id >= 40 and vec_id in ({','.join(map(str, _SOME))})")
 def metadata_filter(spark, d):
-    filters = retrieve.with_ids({"label": {"$in": [1, 2]}, "vec_id": {"$gte": 40}}, "vec_id", [41, 44, 45, 48, 52, 61])
+    filters = retrieve.with_ids({"label": {"$in": [0, 2, 5]}, "vec_id": {"$gte": 40}}, "vec_id", _SOME)
     return t(spark, d, "embeddings").where(retrieve.where(filters)).select("vec_id", "label")
 
 
