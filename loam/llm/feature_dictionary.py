@@ -51,7 +51,7 @@ def runs(words: pa.Array, doc: np.ndarray, most: int) -> tuple[pa.Array, np.ndar
     for n in range(2, most + 1):
         if len(words) < n:
             break
-        longer = pc.binary_join_element_wise(longer[:-1], words[n - 1:], " ")
+        longer = pc.binary_join_element_wise(longer[:-1], words[n - 1:], pa.scalar(" ", pa.large_string()))
         whole = doc[n - 1:] == doc[:len(doc) - n + 1]
         found.append(longer.filter(pa.array(whole)))
         of.append(doc[:len(doc) - n + 1][whole])
