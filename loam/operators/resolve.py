@@ -3,13 +3,10 @@ from __future__ import annotations
 
 from itertools import combinations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing, text
-from ..session import scratch
 
 
 def pick(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -82,71 +79,6 @@ def near_pairs(prints: DataFrame, key: str, most: int, bits: int = 60) -> DataFr
     return pairs.select("a", "b", hashing.hamming(F.col("fa"), F.col("fb")).alias("distance")).distinct()
 
 
-def leader_clusters(prints: DataFrame, group: str, key: str, threshold: int) -> DataFrame:
-    """(key, leader) within each group: in order of key, a row joins the first leader within threshold bits, else leads. Order decides, so a group is walked in one task; groups must be bounded."""
-    def walk(rows):
-        rows = rows.sort_values(key)
-        leaders: list[tuple[int, int]] = []
-        out = []
-        for k, f in zip(rows[key], rows["fingerprint"], strict=True):
-            hit = next((x for x, g in leaders if (int(f) ^ g).bit_count() <= threshold), None)
-            if hit is None:
-                leaders.append((k, int(f)))
-            out.append(k if hit is None else hit)
-        return rows[[key]].assign(leader=out)
-    return prints.groupBy(group).applyInPandas(walk, f"{key} long, leader long")
-
-
-def _written(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back."""
-    path = scratch(df.sparkSession, "leaders")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def _first_leader(prints: np.ndarray, leaders: np.ndarray, threshold: int) -> np.ndarray:
-    """For each fingerprint the number of the first leader within threshold bits, or -1."""
-    out, left = np.full(len(prints), -1, np.int64), np.arange(len(prints))
-    for lo in range(0, len(leaders), 64):
-        near = np.bitwise_count(prints[left, None] ^ leaders[None, lo:lo + 64]) <= threshold
-        hit = near.any(1)
-        out[left[hit]] = lo + near[hit].argmax(1)
-        left = left[~hit]
-    return out
-
-
-def leader_clusters_over_all(prints: DataFrame, key: str, threshold: int, step: int = 4096) -> DataFrame:
-    """(key, leader): in order of key, a row joins the first leader within threshold bits, else leads. Equal fingerprints share their first row's leader, so each is walked once; keys are of any type that can be ordered, null ones come last.
-    A round walks the first `step` open fingerprints on the driver, then every other open one is held against the leaders that were found, in tasks of even size."""
-    kind = dict(prints.dtypes)[key]
-    rows = prints.select(F.col(key).alias("k"), "fingerprint")
-    open_ = _written(rows.groupBy("fingerprint").agg(F.min("k").alias("at")))
-    done = None
-    while first := open_.orderBy(F.col("at").isNull(), "at", "fingerprint").limit(step).collect():  # at most step rows
-        found: list[tuple[int, object]] = []
-        values = np.zeros(len(first), np.uint64)
-        for r in first:
-            own = np.uint64(r.fingerprint % (1 << 64))
-            if not len(found) or not (np.bitwise_count(values[:len(found)] ^ own) <= threshold).any():
-                values[len(found)] = own
-                found.append((r.fingerprint, r.at))
-        leaders, ats = values[:len(found)].copy(), [at for _, at in found]
-
-        def settle(batches, leaders=leaders, ats=ats):
-            for batch in batches:
-                hit = _first_leader(batch.column(0).to_numpy().view(np.uint64), leaders, threshold)
-                leader = pa.array([ats[i] if i >= 0 else None for i in hit.tolist()], batch.schema.field(1).type)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), leader, pa.array(hit >= 0)], ["fingerprint", "at", "leader", "settled"])
-
-        round_ = _written(open_.select("fingerprint", "at").mapInArrow(settle, f"fingerprint long, at {kind}, leader {kind}, settled boolean"))
-        settled = round_.where("settled").select("fingerprint", "leader")
-        done = settled if done is None else done.union(settled)
-        open_ = round_.where("not settled").select("fingerprint", "at")
-    if done is None:
-        return rows.select(F.col("k").alias(key), F.col("k").alias("leader"))
-    return rows.join(done, "fingerprint").select(F.col("k").alias(key), "leader")
-
-
 def mapped_assets(products: DataFrame, inventory: DataFrame, key: str, most: int = 10) -> DataFrame:
     """(key, asset, confidence): up to `most` assets of each product from an inventory (key, asset), at 0.9; a product that it doesn't know gets a placeholder at 0.35."""
     rows = products.join(inventory, key, "left").withColumn("_nth", F.row_number().over(Window.partitionBy(key).orderBy("asset"))).where(F.col("_nth") <= most)

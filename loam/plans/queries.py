@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import cvss, hashing, scoring, text, times, urls
-from ..operators import graph, resolve, retrieve, stats
+from ..operators import graph, leaders, resolve, retrieve, stats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -240,9 +240,13 @@ def near_dup_members(spark, d):
     return prints.join(resolve.print_classes(prints, "doc_id").withColumnRenamed("doc_id", "representative"), "fingerprint").select("doc_id", "representative")
 
 
-@query()
+@query(f"""with recursive {_PRINTS}, r as (select doc_id, fingerprint, row_number() over (order by doc_id) as i from p),
+walk as (select i, [{{'k': doc_id, 'f': fingerprint}}] as ls, doc_id, doc_id as leader from r where i = 1
+union all select i, case when hit is null then list_append(ls, {{'k': doc_id, 'f': fingerprint}}) else ls end, doc_id, coalesce(hit, doc_id)
+from (select r.i, ls, r.doc_id, fingerprint, list_filter(ls, lambda x: bit_count(xor(x.f, fingerprint)) <= 15)[1].k as hit from walk join r on r.i = walk.i + 1))
+select doc_id, leader from walk""")
 def leader_clusters(spark, d):
-    return resolve.leader_clusters_over_all(resolve.simhash60(t(spark, d, "documents"), "doc_id", "text"), "doc_id", 15)
+    return leaders.leader_clusters(resolve.simhash60(t(spark, d, "documents"), "doc_id", "text"), "doc_id", 15)
 
 
 _WORDS = ["tion", "the", "quell", "ment"]

@@ -6,7 +6,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -25,6 +25,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def written(df: DataFrame, name: str, *partitions: str) -> DataFrame:
+    """df written to the shared folder and read back, which cuts its lineage; in folders by partitions, if there are any."""
+    path = scratch(df.sparkSession, name)
+    df.write.partitionBy(*partitions).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def session(app: str = "loam", master: str | None = None) -> SparkSession:
     """A session with what the operators assume: UTC, AQE and small-side thresholds of Spark."""
     builder = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")

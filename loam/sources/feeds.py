@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..functions import cvss, hashing, packages, text, times, urls
-from ..operators import resolve
+from ..operators import leaders, resolve
 
 BRONZE = "sha256 string, source string, source_id string, url string, title string, raw_text string, published_at timestamp, fetched_at timestamp"
 _g = F.get_json_object
@@ -134,7 +134,7 @@ def cluster_keys(silver: DataFrame, threshold: int = 15) -> DataFrame:
     key = primary_key(F.col("vuln_id"), F.col("aliases"))
     rows = silver.select(key.alias("id"), "description").where(~text.is_cve(F.col("id")))
     longest = rows.groupBy("id").agg(F.max_by("description", F.struct(F.length("description"), "description")).alias("description"))
-    return resolve.leader_clusters_over_all(longest.select("id", hashing.simhash64("description").alias("fingerprint")), "id", threshold).select("id", F.col("leader").alias("key"))
+    return leaders.leader_clusters(longest.select("id", hashing.simhash64("description").alias("fingerprint")), "id", threshold).select("id", F.col("leader").alias("key"))
 
 
 def merge_sources(silver: DataFrame, similar: bool = False) -> DataFrame:
@@ -165,10 +165,6 @@ def merge_sources(silver: DataFrame, similar: bool = False) -> DataFrame:
     return out.withColumns({"severity": F.element_at(F.array(*map(F.lit, cvss.SEVERITIES)), rank + 1), "affected_versions": packages.affected_versions(F.col("cpe_matches"))}).drop("rank")
 
 
-def normalized_silver_merge(silver: DataFrame) -> DataFrame:
-    return merge_sources(silver)
-
-
 # scans: pages of a feed as they come, with what an incremental fetch keeps
 
 

@@ -43,19 +43,13 @@ def test_feeds_merge_in_any_order(spark):
     for order in (rows, rows[::-1]):
         silver = feeds.normalize(spark.createDataFrame([(r,) for r in order], "raw_text string"))
         assert silver.count() == 3
-        (got,) = feeds.normalized_silver_merge(silver).collect()
+        (got,) = feeds.merge_sources(silver).collect()
         assert (got.vuln_id, got.description, got.title, got.kev, got.epss_score) == ("CVE-2024-1111", "Long text of the flaw", "Flaw", True, 0.5)
         assert got.sources == ["epss", "kev", "nvd"]
         assert str(got.published_at.date()) == "2024-04-12"
         assert str(got.modified_at.date()) == "2024-06-01"
 
 
-def test_leader_clusters_depend_on_order(spark):
-    prints = spark.createDataFrame([("g", 1, 0b0), ("g", 2, 0b11), ("g", 3, 0b1111)], "group string, doc_id long, fingerprint long")
-    got = {r.doc_id: r.leader for r in resolve.leader_clusters(prints, "group", "doc_id", 2).collect()}
-    assert got == {1: 1, 2: 1, 3: 3}
-
-
 def test_feed_source(spark):
     spark.dataSource.register(feeds.FeedSource)
     rows = spark.read.format("feed").options(since="2024-01-01", until="2024-09-01", fetcher="tests.feed_fixture:fetch", source="x").load().collect()

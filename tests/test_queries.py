@@ -2,7 +2,7 @@
 import duckdb
 import pytest
 
-from loam.operators import graph, resolve
+from loam.operators import graph, leaders, resolve
 from loam.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -38,19 +38,42 @@ def test_entry_module(spark):
     assert e.entry(spark).count() > 0
 
 
+def plain_leaders(rows, threshold):
+    want, found = {}, []
+    for k, f in rows:
+        hit = next((x for x, g in found if f is not None and ((f ^ g) % (1 << 64)).bit_count() <= threshold), None)
+        want[k] = k if hit is None else hit
+        if hit is None and f is not None:
+            found.append((k, f))
+    return want
+
+
 def test_leader_clusters_walk_all_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = sorted((r.doc_id, r.fingerprint) for r in resolve.simhash60(docs, "doc_id", "text").collect())
-    want, leaders = {}, []
-    for k, f in rows:
-        want[k] = next((x for x, g in leaders if (f ^ g).bit_count() <= 15), k)
-        if want[k] == k:
-            leaders.append((k, f))
+    want = plain_leaders(rows, 15)
     assert {r.doc_id: r.leader for r in registry.QUERIES["leader_clusters"](spark, SF).collect()} == want
-    got = resolve.leader_clusters_over_all(spark.createDataFrame(rows, "doc_id long, fingerprint long"), "doc_id", 15, step=3)
+    got = leaders.leader_clusters(spark.createDataFrame(rows, "doc_id long, fingerprint long"), "doc_id", 15, first=20, block=16)
     assert {r.doc_id: r.leader for r in got.collect()} == want
 
 
+def test_leaders_depend_on_order(spark):
+    # a chain in order, where a round settles a few; repeated and null fingerprints; keys that are texts
+    import random
+
+    rng = random.Random(6)
+    prints, at = [], 0
+    for _ in range(40):
+        at ^= 1 << rng.randrange(64)
+        prints.append(at - (1 << 64) if at >> 63 else at)
+    prints += prints[:7] + [rng.getrandbits(63) for _ in range(30)] + [None, None]
+    rows = [(f"k{i:03}", p) for i, p in enumerate(prints)]
+    df = spark.createDataFrame(rows, "key string, fingerprint long").repartition(3)
+    for first in (9, 1000):
+        assert {r.key: r.leader for r in leaders.leader_clusters(df, "key", 3, first=first, block=16).collect()} == plain_leaders(rows, 3)
+    assert leaders.leader_clusters(df.where("false"), "key", 3).collect() == []
+
+
 def test_membership_loses_no_link(spark):
     rows = [(i, 1) for i in range(5)] + [(i, 2) for i in range(3, 6)] + [(0, 1), (9, 3), (7, None)]
     df = spark.createDataFrame(rows, "k long, v long")
