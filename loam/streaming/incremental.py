@@ -1,12 +1,8 @@
 """Incremental ingest and event-time windows with Structured Streaming."""
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..session import scratch
 
@@ -33,22 +29,6 @@ def dedupe(stream: DataFrame, key: str, ts: str, late: str = "2 days") -> DataFr
     return stream.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", late).dropDuplicatesWithinWatermark([key]).drop("_ts")
 
 
-def streaks(stream: DataFrame, key: str, ts: str, failed: str) -> DataFrame:
-    """(key, longest): the longest run of failures so far, as often as rows of a key come. State holds two numbers a key; rows of one batch count by time, batches as they come."""
-    def step(k, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now, longest = state.get if state.exists else (0, 0)
-        rows = pd.concat(list(frames)).sort_values(["_ts", "_order"])
-        for bad in rows["_failed"]:
-            now = now + 1 if bad else 0
-            longest = max(longest, now)
-        state.update((now, longest))
-        yield pd.DataFrame({key: [k[0]], "longest": [longest]})
-
-    rows = stream.select(key, F.col(ts).alias("_ts"), F.col("event_id").alias("_order"), F.expr(failed).alias("_failed"))
-    kind = dict(stream.dtypes)[key]
-    return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, longest long", "now long, longest long", "update", GroupStateTimeout.NoTimeout)
-
-
 def to_the_end(stream: DataFrame, mode: str) -> DataFrame:
     """Runs a stream over all there is and gives what its batches put out, with the number of each batch: an updated row is there once for each update. A batch that is repeated writes the same folder again."""
     spark = stream.sparkSession
@@ -60,21 +40,3 @@ def to_the_end(stream: DataFrame, mode: str) -> DataFrame:
     stream.writeStream.foreachBatch(step).outputMode(mode).option("checkpointLocation", f"{target}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in stream.schema)}, _batch int").parquet(f"{target}/out/*")
 
-
-def merge_batches(stream: DataFrame, merge: Callable[[DataFrame | None, DataFrame], DataFrame], target: str, checkpoint: str, keep: int = 2):
-    """Runs a keyed merge for each micro-batch: merge(old or None, batch) -> rows, written to a version of its own, so a repeated batch gives the same table. Only the last `keep` versions stay."""
-    def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        old = spark.read.parquet(f"{target}/v{number - 1}") if number else None
-        merge(old, batch).write.mode("overwrite").parquet(f"{target}/v{number}")
-        if number >= keep:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/v{number - keep}")
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def latest_version(spark: SparkSession, target: str) -> DataFrame:
-    """The table that merge_batches has written last."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
-    names = [x.getPath().getName() for x in path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)]
-    return spark.read.parquet(f"{target}/v{max(int(n[1:]) for n in names if n[1:].isdigit())}")
