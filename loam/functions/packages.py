@@ -89,6 +89,18 @@ def osv_bounds(payload: Column) -> Column:
     return F.coalesce(F.array_distinct(F.flatten(said)), F.expr("cast(array() as array<string>)"))
 
 
+def osv_intervals(payload: Column) -> Column:
+    """(low, high, high_in) as texts of each affected interval of a payload's ranges: from an introduced version to the fixed one (not in it) or last affected one (in it) that comes next, or without an end; introduced 0 is an open beginning."""
+    kind = "array<struct<ranges:array<struct<events:array<struct<introduced:string,fixed:string,last_affected:string>>>>>>"
+    ranges = F.flatten(F.transform(F.from_json(F.get_json_object(payload, "$.affected"), kind), lambda a: a["ranges"]))
+
+    def of_range(r: Column) -> Column:
+        events = r["events"]
+        at = F.filter(F.transform(events, lambda e, i: F.struct(e["introduced"].alias("low"), F.get(events, i + 1).alias("next"))), lambda x: x["low"].isNotNull())
+        return F.transform(at, lambda x: F.struct(F.when(F.trim(x["low"]) != "0", F.trim(x["low"])).alias("low"), F.trim(F.coalesce(x["next"]["fixed"], x["next"]["last_affected"])).alias("high"), x["next"]["fixed"].isNull().alias("high_in")))
+    return F.coalesce(F.flatten(F.transform(ranges, of_range)), F.expr("cast(array() as array<struct<low:string,high:string,high_in:boolean>>)"))
+
+
 def component_matches(needle: Column, matches: Column, names: Column) -> Column:
     """Whether a needle is part of a product, a vendor or a package name."""
     low = F.lower(F.trim(needle))

@@ -3,8 +3,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import resolve
-from ..sources import feeds
+from ..functions import packages, text
+from ..operators import ranges, resolve
+from ..session import scratch
+from ..sources import feeds, paged, sink
 from .queries import query, t
 
 
@@ -180,3 +182,62 @@ def asset_mapping(spark, d):
     p = t(spark, d, "part").select(F.col("p_partkey").alias("product"), "p_brand")
     out = resolve.mapped_assets(p.select("product"), p.where("product % 2 = 0").select("product", F.col("p_brand").alias("asset")), "product")
     return out.select(F.col("product").alias("p_partkey"), "asset", F.rint(F.col("confidence") * 100).cast("int").alias("confidence"))
+
+
+@query("select cast(o_orderkey as varchar) as id, strftime(o_orderdate, '%Y-%m-%d') as day from orders")
+def paged_scan(spark, d):
+    """All orders from a feed that serves them in pages by windows of their time."""
+    span = t(spark, d, "orders").agg(F.min("o_orderdate").cast("date").alias("a"), F.date_add(F.max("o_orderdate").cast("date"), 1).alias("b")).head()
+    rows = paged.scan(spark, fetcher="loam.sources.paged:from_table", path=f"{d}/orders.parquet", key="o_orderkey", time="o_orderdate", since=str(span.a), until=str(span.b), size="1000")
+    return paged.entries(rows).select("id", F.substring("at", 1, 10).alias("day"))
+
+
+@query("select cast(o_orderkey as varchar) as id, strftime(o_orderdate, '%Y-%m-%d') as day from orders where o_orderkey in (7, 70, 700)")
+def paged_point_lookup(spark, d):
+    """Asked ids go to the feed."""
+    rows = paged.scan(spark, fetcher="loam.sources.paged:from_table", path=f"{d}/orders.parquet", key="o_orderkey", time="o_orderdate", since="1990-01-01", until="2000-01-01")
+    return paged.entries(rows.where(F.col("id").isin("7", "70", "700"))).select("id", F.substring("at", 1, 10).alias("day"))
+
+
+@query("select sha256(text) as sha256, min(doc_id) as doc_id from documents where text is not null group by 1")
+def content_sink_once(spark, d):
+    """Documents by content hash in a sink: those with an even id, then all; what is stored stays."""
+    path = scratch(spark, "sink")
+    rows = t(spark, d, "documents").where("text is not null").select(F.sha2("text", 256).alias("sha256"), "doc_id")
+    first = rows.groupBy("sha256").agg(F.min("doc_id").alias("doc_id"))
+    sink.insert(first.where("doc_id % 2 = 0"), path)
+    sink.insert(first, path)
+    return sink.stored(spark, path, "sha256 string, doc_id long")
+
+
+@query("""with v as (select distinct p_brand, l_linenumber || '.' || cast(l_quantity as int) || case when l_linenumber % 3 = 0 then '.1' else '' end as version from lineitem join part on p_partkey = l_partkey),
+k as (select *, list_transform(string_split(version, '.'), lambda x: x::bigint) as vk from v),
+r as (select p_partkey as id, p_brand, case when p_partkey % 4 > 0 then [p_size::bigint] end as low, case p_partkey % 3 when 0 then [p_size + 1::bigint, 20] when 1 then [p_size + 1::bigint, 5, 1] end as high, p_partkey % 3 = 0 as high_in from part
+union all select p_partkey, p_brand, [6::bigint, p_size], null, true from part)
+select id, version, count(*) as n from k join r using (p_brand) where coalesce(vk >= low, true) and coalesce(vk < high or (high_in and vk = high), true) group by all""")
+def version_membership(spark, d):
+    """Versions that a package has been seen in, in the affected ranges of advisories on it."""
+    seen = F.concat(F.col("l_linenumber").cast("string"), F.lit("."), F.col("l_quantity").cast("int").cast("string"), F.when(F.col("l_linenumber") % 3 == 0, ".1").otherwise(""))
+    p = t(spark, d, "part")
+    versions = t(spark, d, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey")).select("p_brand", seen.alias("version")).distinct()
+    n = lambda k, end: F.concat((F.col("p_size") + k).cast("string"), F.lit(end))
+    event = lambda **e: F.struct(*(e.get(k, F.lit(None).cast("string")).alias(k) for k in ("introduced", "fixed", "last_affected")))
+    third = F.col("p_partkey") % 3
+    first = F.array(event(introduced=F.when(F.col("p_partkey") % 4 > 0, n(0, "")).otherwise("0")), event(fixed=F.when(third == 1, n(1, ".5.1")), last_affected=F.when(third == 0, n(1, ".20"))))
+    second = F.array(event(introduced=F.concat(F.lit("6."), F.col("p_size").cast("string"))))
+    ranges_ = F.array(F.struct(first.alias("events")), F.struct(second.alias("events")))
+    payload = F.to_json(F.struct(F.array(F.struct(ranges_.alias("ranges"))).alias("affected")))
+    key = lambda c: F.when(F.col(c).isNotNull(), packages.version_key(F.col(c))).alias(c)
+    affected = p.select(F.col("p_partkey").alias("id"), "p_brand", F.explode(packages.osv_intervals(payload)).alias("r")).select("id", "p_brand", "r.*")
+    affected = affected.select("id", "p_brand", key("low"), key("high"), F.lit(True).alias("low_in"), "high_in")
+    found = ranges.within(versions.withColumn("at", packages.version_key(F.col("version"))), affected, "p_brand", "at", "low", "high", "low_in", "high_in")
+    return found.groupBy("id", "version").agg(F.count("*").alias("n"))
+
+
+@query("""with v as (select distinct unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as vendor from benchmark), c as (select distinct unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as component from documents)
+select vendor, count(*) as n, min(component) as first, max(component) as last from v join c on contains(component, vendor) or contains(vendor, component) group by 1""")
+def fuzzy_vendor_join(spark, d):
+    """Every name of one table beside all names of another that it fits: equal, or one part of the other."""
+    own = lambda table, to: t(spark, d, table).select(F.explode(text.tokens(F.col("text"))).alias(to))
+    pairs, _ = ranges.fuzzy_join(own("benchmark", "vendor"), own("documents", "component"), "vendor", "component")
+    return pairs.groupBy("vendor").agg(F.count("*").alias("n"), F.min("component").alias("first"), F.max("component").alias("last"))
