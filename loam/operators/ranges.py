@@ -51,7 +51,7 @@ def within(points: DataFrame, intervals: DataFrame, key: str, at: str, low: str,
     return p.join(i, [key, "_node"]).drop("_node")
 
 
-def _grams(c: Column, n: int) -> Column:
+def grams(c: Column, n: int) -> Column:
     """The distinct runs of n characters."""
     return F.when(F.length(c) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n))))).otherwise(F.expr("cast(array() as array<string>)"))
 
@@ -62,9 +62,9 @@ def parts_of(needles: DataFrame, texts: DataFrame) -> DataFrame:
     Texts stand in an inverted table under their runs of one, two and three characters. A needle is looked up under one run of its own alone, of three characters or as many as it has: the one that the fewest texts
     have, so frequent runs are hardly used; what is found is verified. A needle with a run that no text has meets nothing."""
     c = F.col("text")
-    table = written(texts.select("text", F.explode(F.concat(_grams(c, 1), _grams(c, 2), _grams(c, 3))).alias("gram")), "grams")
+    table = written(texts.select("text", F.explode(F.concat(grams(c, 1), grams(c, 2), grams(c, 3))).alias("gram")), "grams")
     n = F.col("needle")
-    asked = needles.select("needle", F.explode(F.when(F.length(n) >= 3, _grams(n, 3)).otherwise(F.array(n))).alias("gram"))
+    asked = needles.select("needle", F.explode(F.when(F.length(n) >= 3, grams(n, 3)).otherwise(F.array(n))).alias("gram"))
     known = asked.join(table.groupBy("gram").agg(F.count("*").alias("n")), "gram", "left")
     rarest = known.groupBy("needle").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.bool_or(F.col("n").isNull()).alias("nowhere")).where("not nowhere")
     return rarest.join(table, "gram").where(F.contains("text", F.col("needle"))).select("needle", "text")

@@ -4,8 +4,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import questions as q
-from ..functions import text
-from ..operators import retrieve
+from ..functions import hashing, text
+from ..operators import cells, postings, retrieve
+from ..session import scratch
 from .queries import _WORDS, ORACLE, query, t
 
 _ASKED = [
@@ -224,3 +225,37 @@ def trust_confidence_review(spark, d):
     k = F.col("l_linenumber") % 3
     c = scoring.confidence([(0.4, (F.col("l_quantity").cast("int") % 11) / 10.0), (0.25, F.when(F.col("l_returnflag") == "R", 0.5))], k)
     return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", trust.alias("trust"), scoring.review_status(c, k).alias("status"), c.alias("confidence"))
+
+
+_QUESTIONS = """q as (select conv_id, (list_sort(list_distinct(list_transform(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: {'l': -length(x), 't': x})))[1:3]) as w from (select conv_id, arg_min(text, turn) as text from conversations where role = 'user' group by 1)),
+a as (select conv_id, unnest(list_transform(w, lambda x: x.t)) as word, len(w) as n from q)"""
+
+
+@query(f"""with {_QUESTIONS}, t as (select distinct doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as token from documents), p as (select word, token from (select distinct word from a) join (select distinct token from t) on contains(token, word)),
+h as (select distinct word, doc_id from p join t using (token)), s as (select conv_id, doc_id, cast(floor(count(*) / any_value(n)::double * 10000 + 0.5) as bigint) as score from a join h using (word) group by 1, 2)
+select conv_id, doc_id, score from s qualify row_number() over (partition by conv_id order by score desc, doc_id) <= 10""")
+def fulltext_batch(spark, d):
+    """The first question of every conversation, by its three longest words, in one plan over an index of the documents that was added to in two batches."""
+    docs = t(spark, d, "documents").select("doc_id", "text")
+    index = postings.Postings(spark, scratch(spark, "postings"), "doc_id")
+    for n in (0, 1):
+        index.add(docs.where(F.col("doc_id") % 2 == n), "text", ("documents", n))
+    first = t(spark, d, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
+    longest = F.slice(F.array_sort(F.array_distinct(F.transform(text.tokens(F.col("text")), lambda x: F.struct((-F.length(x)).alias("l"), x.alias("t"))))), 1, 3)
+    return index.search(first.select("conv_id", F.transform(longest, lambda x: x["t"]).alias("words")), "conv_id", "words", 10)
+
+
+@query("""with p as (select q.vec_id as question, v.vec_id, cast(floor(greatest(0, least(1, list_cosine_similarity(cast(v.embedding as double[]), cast(q.embedding as double[])))) * 10000 + 0.5) as bigint) as score from embeddings q, embeddings v where q.vec_id % 20 = 0)
+select question, vec_id, score from p qualify row_number() over (partition by question order by score desc, vec_id) <= 10""")
+def vector_batch(spark, d):
+    """The ten nearest vectors of every twentieth one, all at once."""
+    e = t(spark, d, "embeddings")
+    return cells.Cells(e, "vec_id", "embedding").search(e.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "question"), "question", "embedding", 10)
+
+
+@query()
+def vector_questions(spark, d):
+    """Every turn of the conversations beside the five nearest documents, by hashed embeddings."""
+    docs = t(spark, d, "documents").select("doc_id", hashing.hash_embedding(F.col("text"), 64).alias("v"))
+    asked = t(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("asked"), hashing.hash_embedding(F.col("text"), 64).alias("v"))
+    return cells.Cells(docs, "doc_id", "v").search(asked, "asked", "v", 5)

@@ -80,11 +80,22 @@ class KeyedTable:
         of = {str(r.b) for r in asked.select(self._bucket(m["buckets"]).alias("b")).distinct().collect()}
         return self._folders((f for b in sorted(of) for f in m["folders"].get(b, [])), m["schema"]).where(F.col(self.key).isin(*keys))
 
+    def read_for(self, keys: DataFrame) -> DataFrame:
+        """The rows of the keys in a table of one column, from their buckets alone."""
+        m = self.manifest()
+        if m["schema"] is None:
+            raise ValueError(f"nothing has been written to {self.path}")
+        asked = keys.select(F.col(keys.columns[0]).alias(self.key)).where(F.col(self.key).isNotNull()).distinct()
+        return self._folders((f for b in self._touched(asked, m["buckets"]) for f in m["folders"].get(b, [])), m["schema"]).join(asked, self.key, "left_semi")
+
     def _write(self, rows: DataFrame, buckets: int, touched: int) -> dict[str, str]:
         """Writes rows by bucket below a new name: the folder of each bucket that got rows."""
         name = uuid.uuid4().hex
         dealt = rows.withColumn("_bucket", self._bucket(buckets)).repartition(max(1, touched), "_bucket")
         dealt.write.partitionBy("_bucket").parquet(f"{self.path}/data/{name}")
+        return self._made(name)
+
+    def _made(self, name: str) -> dict[str, str]:
         found = (x.getPath().getName() for x in self._fs.listStatus(self._hadoop(f"{self.path}/data/{name}")) if x.isDirectory())
         return {n.partition("=")[2]: f"{name}/{n}" for n in found if n.startswith("_bucket=")}
 
@@ -174,6 +185,17 @@ class KeyedTable:
         folders = {b: [*m["folders"].get(b, []), *([made[b]] if b in made else [])] for b in {*m["folders"], *made}}
         return self._switch(m, folders, StructType.fromJson(m["schema"]) if m["schema"] else new.schema, token, m["buckets"])
 
+    def append(self, batch: DataFrame, token: tuple[str, int] | None = None) -> int | None:
+        """Adds all rows of the batch, for tables with many rows of a key. A bucket that has many of them is written by several tasks."""
+        m = self.manifest()
+        if self._known(m, token):
+            return None
+        name = uuid.uuid4().hex
+        batch.withColumn("_bucket", self._bucket(m["buckets"])).hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/data/{name}")
+        made = self._made(name)
+        folders = {b: [*m["folders"].get(b, []), *([made[b]] if b in made else [])] for b in {*m["folders"], *made}}
+        return self._switch(m, folders, batch.schema, token, m["buckets"])
+
     def split(self, times: int = 2) -> int | None:
         """Deals every bucket into `times` ones, and each into one folder: for a table that has outgrown its buckets, or has many small files."""
         m = self.manifest()
