@@ -71,15 +71,20 @@ def simhash64(texts: pd.Series) -> pd.Series:
     return pd.Series(out.view(np.int64))
 
 
+def hashed_vectors(texts: pd.Series, dim: int) -> np.ndarray:
+    """Signed token counts in dim places, by BLAKE2b, at unit length; zeros without tokens. For use inside a task."""
+    out: list[np.ndarray] = [np.zeros((0, dim), np.float32)]
+    for lo, hi, h, codes, rows in _hashed(texts, python_hash_tokens):
+        n = hi - lo
+        sign = np.where(h & np.uint64(1), 1.0, -1.0)
+        v = np.bincount(rows * dim + (h % np.uint64(dim)).astype(np.int64)[codes], sign[codes], minlength=n * dim).reshape(n, dim) if len(codes) else np.zeros((n, dim))
+        out.append((v / np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-300)).astype(np.float32))
+    return np.concatenate(out)
+
+
 def hash_embedding(c: Column, dim: int = 512) -> Column:
-    """Signed token counts in dim places, by BLAKE2b, at unit length; zeros without tokens."""
+    """The vectors of hashed_vectors."""
     @F.pandas_udf(ArrayType(FloatType()))
     def embed(texts: pd.Series) -> pd.Series:
-        out: list[np.ndarray] = []
-        for lo, hi, h, codes, rows in _hashed(texts, python_hash_tokens):
-            n = hi - lo
-            sign = np.where(h & np.uint64(1), 1.0, -1.0)
-            v = np.bincount(rows * dim + (h % np.uint64(dim)).astype(np.int64)[codes], sign[codes], minlength=n * dim).reshape(n, dim) if len(codes) else np.zeros((n, dim))
-            out.extend((v / np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-300)).astype(np.float32))
-        return pd.Series(out)
+        return pd.Series(list(hashed_vectors(texts, dim)))
     return embed(c)

@@ -10,7 +10,7 @@ from .text import cve_ids
 
 #: Words that tell an intent, in order of priority.
 INTENTS = {
-    "remediation": ["修复", "怎么修", "补丁", "缓解", "处置", "升级到", "remediat", "patch", "mitigat", "workaround", "fix"],
+    "remediation": ["修复建议", "如何修复", "怎么修", "补丁", "缓解", "处置", "升级到", "remediat", "patch", "mitigat", "workaround", "fix"],
     "attack_chain": ["攻击链", "攻击路径", "利用链", "利用步骤", "如何利用", "横向移动", "attack chain", "kill chain", "exploit chain"],
     "asset_lookup": ["资产", "哪些系统", "哪些设备", "安装在", "装了", "影响面", "asset", "installed", "inventory", "affected systems"],
     "vuln_lookup": ["漏洞", "影响版本", "严重", "cvss", "cve-", "vulnerab", "severity", "risk score"],

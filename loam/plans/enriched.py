@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import enrich, packages
+from ..functions import embed, enrich, outputs, packages
 from ..operators import graph, retrieve, stats
 from .queries import _BOUNDS, query, t
 
@@ -128,3 +128,37 @@ def remediation_index_text(spark, d):
     m = packages.parse_cpe(F.concat(F.lit("cpe:2.3:a:"), F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))), F.lit(":"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(":"), F.col("p_size").cast("string"), F.lit(":*:*:*:*:*:*:*")))
     body = render.labelled([("Brand", F.col("p_brand")), ("Fixed", F.lit(None).cast("string")), ("Affected", F.array_join(packages.affected_versions(F.array(m)), "; ")), ("Links", F.lit("")), ("Risk", F.col("p_type"))])
     return t(spark, d, "part").select("p_partkey", body.alias("body"))
+
+
+@query(f"""select doc_id, {" || ' ' || ".join(f"cast(length(text) - length(replace(text, '{v}', '')) as varchar)" for v in "aeiou")} as counts, 0 as fell_back from documents""")
+def semantic_embedding(spark, d):
+    """Documents through a model that each worker makes once, in batches."""
+    e = embed.embedder("semantic", 5, embed.vowels, 128)(F.col("text"))
+    rows = t(spark, d, "documents").select("doc_id", e.alias("e"))
+    return rows.select("doc_id", F.array_join(F.transform("e.embedding", lambda x: x.cast("long").cast("string")), " ").alias("counts"), "e.fell_back")
+
+
+_CASES = """case o_orderkey % 9 when 0 then 1 when 1 then 2 when 2 then 3 when 3 then 4 when 4 then 2 when 7 then 3 when 8 then 1 end"""
+
+
+@query(f"""with a as (select o_orderkey, o_orderkey % 9 as kind, {_CASES} as attempts from orders)
+select o_orderkey, 'V-' || o_orderkey as vuln_id, case when attempts < 3 then 'revised' else 'needs_human' end as review_status, case when attempts < 3 then 5 else 0 end as tenths, case when kind = 0 then '{{"confidence":0.5,"summary":"s"}}' end as remediation, attempts, attempts - 1 as notes
+from a where kind not in (5, 6)""")
+def output_ladder(spark, d):
+    """Outputs of nine kinds: whole, with a broken remediation, without a confidence, with an unknown field, with a broken snapshot, cut off, without an id, with an unknown status, without a remediation."""
+    k = F.col("o_orderkey") % 9
+    body = lambda rest: F.concat(F.lit('{"vuln_id": "V-'), F.col("o_orderkey").cast("string"), F.lit('", '), F.lit(rest))
+    good = '"review_status": "revised", "confidence": 0.5'
+    raw = (F.when(k == 0, body(good + ', "remediation": {"summary": "s", "confidence": 0.5}}')).when(k == 1, body(good + ', "remediation": {"summary": "", "confidence": 3}}')).when(k == 2, body('"review_status": "revised", "errors": []}'))
+           .when(k == 3, body(good + ', "made_up": 1}')).when(k == 4, body(good + ', "remediation_json": "{broken"}')).when(k == 5, body(good)).when(k == 6, F.lit("{" + good + "}")).when(k == 7, body('"review_status": "sure", "confidence": "0.5"}')).otherwise(body('"review_status": "revised", "confidence": "0.5"}')))
+    used, _ = outputs.repaired_outputs(t(spark, d, "orders").select("o_orderkey", raw.alias("raw")), "raw")
+    return used.select("o_orderkey", "vuln_id", "review_status", F.rint(F.col("confidence") * 10).cast("int").alias("tenths"), "remediation", "attempts", F.size("notes").alias("notes"))
+
+
+@query("""select o_orderkey, case when o_orderkey % 9 = 5 then 'not JSON' else 'vuln_id: missing' end as notes from orders where o_orderkey % 9 in (5, 6)""")
+def output_refused(spark, d):
+    """The side output: texts that are no JSON, or name no record."""
+    k = F.col("o_orderkey") % 9
+    raw = F.when(k == 5, '{"vuln_id": "V", "confidence": 0.5').when(k == 6, '{"confidence": 0.5}').otherwise('{"vuln_id": "V", "confidence": 0.5}')
+    _, refused = outputs.repaired_outputs(t(spark, d, "orders").select("o_orderkey", raw.alias("raw")), "raw")
+    return refused.select("o_orderkey", F.array_join("notes", "; ").alias("notes"))

@@ -87,9 +87,10 @@ def edge_orientation(spark, d):
     return graph.oriented(rows, {"affects": "vulnerability"})
 
 
-@query("""with r as (select l_orderkey as src, 'holds' as relation, l_partkey as dst from lineitem where l_orderkey < 20) select distinct src, relation, dst, (select count(*) >= 50 from r) as truncated from r""")
+@query("""with r as (select l_orderkey as src, 'holds' as relation, l_partkey as dst from lineitem where l_orderkey = 7) select distinct src, relation, dst, (select count(*) >= 50 from r) as truncated from r""")
 def subgraph_mapping(spark, d):
-    rows = t(spark, d, "lineitem").where("l_orderkey < 20").select(F.col("l_orderkey").alias("src"), F.lit("holds").alias("relation"), F.col("l_partkey").alias("dst"))
+    """What is around one centre."""
+    rows = t(spark, d, "lineitem").where("l_orderkey = 7").select(F.col("l_orderkey").alias("src"), F.lit("holds").alias("relation"), F.col("l_partkey").alias("dst"))
     return graph.mapped_subgraph(rows, 50)
 
 
@@ -135,9 +136,9 @@ def exploit_dedupe(spark, d):
     return t(spark, d, "orders").join(l, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_custkey", "o_orderkey").agg(F.max_by("l_suppkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")).alias("verified"))
 
 
-@query("""select row_number() over (order by label, key)::int as n, label, key from (select distinct l_returnflag as label, l_partkey as key from lineitem where l_partkey < 50) qualify n <= 40""")
+@query("""select row_number() over (order by label, key)::int as n, label, key from (select distinct l_returnflag as label, l_partkey as key from lineitem) qualify n <= 40""")
 def nodes_in_order(spark, d):
     from pyspark.sql import Window
 
-    rows = t(spark, d, "lineitem").where("l_partkey < 50").select(F.col("l_returnflag").alias("label"), F.col("l_partkey").alias("key")).distinct().orderBy("label", "key").limit(40)
+    rows = t(spark, d, "lineitem").select(F.col("l_returnflag").alias("label"), F.col("l_partkey").alias("key")).distinct().orderBy("label", "key").limit(40)
     return rows.withColumn("n", F.row_number().over(Window.orderBy("label", "key")))  # 40 rows

@@ -168,12 +168,12 @@ def node_counts(spark, d):
     return labels.join(g, "label", "left").select("label", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("""with old as (select o_orderkey % 50 as name, count(*) as n, max(o_orderpriority) as owner from orders where o_orderkey % 2 = 0 group by 1), new as (select o_orderkey % 50 as name, count(*) as n, max(o_orderstatus) as state from orders where o_orderkey % 3 = 0 group by 1)
+@query("""with old as (select o_orderkey // 2 % 50 as name, count(*) as n, max(o_orderpriority) as owner from orders where o_orderkey % 2 = 0 group by 1), new as (select o_orderkey // 2 % 60 + 10 as name, count(*) as n, max(o_orderstatus) as state from orders where o_orderkey % 2 = 1 group by 1)
 select coalesce(old.name, new.name) as name, coalesce(new.n, old.n) as n, concat_ws(';', 'owner=' || old.owner, 'state=' || new.state) as meta, case when old.name is null then 'inserted' when new.name is null then 'kept' else 'updated' end as action from old full join new on old.name = new.name""")
 def source_registry_sync(spark, d):
-    o = t(spark, d, "orders").withColumn("name", F.col("o_orderkey") % 50)
-    old = o.where("o_orderkey % 2 = 0").groupBy("name").agg(F.count("*").alias("n"), F.create_map(F.lit("owner"), F.max("o_orderpriority")).alias("meta"))
-    new = o.where("o_orderkey % 3 = 0").groupBy("name").agg(F.count("*").alias("n"), F.create_map(F.lit("state"), F.max("o_orderstatus")).alias("meta"))
+    o = t(spark, d, "orders").withColumn("half", F.expr("o_orderkey div 2"))
+    old = o.where("o_orderkey % 2 = 0").groupBy((F.col("half") % 50).alias("name")).agg(F.count("*").alias("n"), F.create_map(F.lit("owner"), F.max("o_orderpriority")).alias("meta"))
+    new = o.where("o_orderkey % 2 = 1").groupBy((F.col("half") % 60 + 10).alias("name")).agg(F.count("*").alias("n"), F.create_map(F.lit("state"), F.max("o_orderstatus")).alias("meta"))
     return resolve.sync_registry(old, new, "name").select("name", "n", render.flat_text(F.col("meta")).alias("meta"), "action")
 
 
@@ -184,8 +184,7 @@ def metadata_flatten(spark, d):
     return t(spark, d, "orders").select("o_orderkey", render.flat_text(F.map_filter(m, lambda _, v: v.isNotNull())).alias("metadata"))
 
 
-@query("""with b as (select l_partkey, l_suppkey, l_orderkey, l_linenumber, l_quantity, row_number() over (partition by l_partkey order by l_orderkey, l_linenumber, l_suppkey, l_quantity) as first, row_number() over (partition by l_partkey order by l_orderkey desc, l_linenumber desc, l_suppkey desc, l_quantity desc) as last from lineitem)
-select l.l_partkey, l.l_suppkey as last_supplier, f.l_orderkey as first_order from b l join b f using (l_partkey) where l.last = 1 and f.first = 1""")
+@query("select l_partkey, arg_max(l_suppkey, (l_orderkey, l_linenumber, l_suppkey, l_quantity)) as last_supplier, min(l_orderkey) as first_order from lineitem group by 1")
 def vector_sink_last_at_first_place(spark, d):
     order = F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity")
     return t(spark, d, "lineitem").groupBy("l_partkey").agg(F.max_by("l_suppkey", order).alias("last_supplier"), F.min("l_orderkey").alias("first_order"))

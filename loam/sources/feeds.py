@@ -169,10 +169,11 @@ def merge_sources(silver: DataFrame, similar: bool = False) -> DataFrame:
 
 
 def nvd_scan(pages: DataFrame, raw: str = "raw_text") -> DataFrame:
-    """(id, published, payload) of pages with a list of vulnerabilities: one row per id, the latest published first."""
+    """(id, published, payload) of pages with a list of vulnerabilities: of each id the row published first, date and payload of one row; the latest published come first."""
     item = F.explode(F.from_json(_g(F.col(raw), "$.vulnerabilities"), "array<string>")).alias("payload")
     rows = pages.select(item).select(_g(F.col("payload"), "$.cve.id").alias("id"), _g(F.col("payload"), "$.cve.published").alias("published"), "payload").where("id is not null")
-    return rows.groupBy("id").agg(F.min("published").alias("published"), F.min("payload").alias("payload")).orderBy(F.desc_nulls_last("published"), "id")
+    first = F.min(F.struct(F.col("published").isNull().alias("undated"), "published", "payload")).alias("first")
+    return rows.groupBy("id").agg(first).select("id", "first.published", "first.payload").orderBy(F.desc_nulls_last("published"), "id")
 
 
 def since_scan(rows: DataFrame, key: Column, stamps: list[Column], since: Column, keep_undated: bool = False) -> DataFrame:

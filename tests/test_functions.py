@@ -73,3 +73,21 @@ def test_times_of_feeds(spark):
     for given in ("Tue, 02 Apr 2024 10:00:00 +0200", "Tue, 02 Apr 2024 08:00:00 GMT", "2024-04-02T08:00:00Z"):
         assert one(spark, F.date_format(feeds.feed_date(F.lit(given)), "yyyy-MM-dd HH:mm:ss")) == "2024-04-02 08:00:00"
     assert one(spark, feeds.feed_date(F.lit("some day"))) is None
+
+
+def test_intents_of_questions(spark):
+    from loam.functions import questions
+
+    want = {
+        "CVE-2024-4577 的修复建议，只看 NVD 和 KEV 来源": "remediation", "如何修复 log4j": "remediation", "怎么修 这个": "remediation", "is there a Patch": "remediation", "CVE-2024-3400 的攻击链是什么": "attack_chain", "how does the kill chain go": "attack_chain",
+        "CVE-2024-3400 影响了哪些资产和设备？": "asset_lookup", "where is it installed": "asset_lookup", "CVE-2024-3400 是否已修复": "vuln_lookup", "该问题是否已修复，装了哪些": "asset_lookup", "risk score": "vuln_lookup", "你好": "general", "是否已修复": "general",
+    }
+    rows = spark.createDataFrame([(q,) for q in want], "q string").select("q", questions.intent(F.col("q")).alias("i")).collect()
+    assert {r.q: r.i for r in rows} == want
+
+
+def test_a_scan_keeps_date_and_payload_together(spark):
+    page = lambda *rows: json.dumps({"vulnerabilities": [{"cve": {"id": i, "published": p, "n": n}} for i, p, n in rows]})
+    pages = spark.createDataFrame([(page(("A", "2024-05-01", 1), ("B", None, 4)),), (page(("A", "2024-01-01", 9), ("B", "2024-02-01", 5)),)], "raw_text string")
+    got = [(r.id, r.published, json.loads(r.payload)["cve"]["n"]) for r in feeds.nvd_scan(pages).collect()]
+    assert got == [("B", "2024-02-01", 5), ("A", "2024-01-01", 9)]
