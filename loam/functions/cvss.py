@@ -18,6 +18,8 @@ SEVERITIES = ["NONE", "LOW", "MEDIUM", "HIGH", "CRITICAL"]
 
 
 NAMES = ["AV", "AC", "PR", "UI", "S", "C", "I", "A", "AU"]
+#: The metric lists of a payload, from the newest version on.
+METRICS = ["cvssMetricV40", "cvssMetricV4", "cvssMetricV31", "cvssMetricV30", "cvssMetricV2"]
 
 
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -118,18 +120,18 @@ def parse(vector: Column, given: Column | None = None) -> Column:
     return let(F.struct(version(text).alias("v"), text.alias("t"), given.alias("g")), with_version)
 
 
-def collect(payload: Column) -> Column:
+def collect(payload: Column, get: Callable[[Column, str], Column] = F.get_json_object) -> Column:
     """All vectors of a payload: its metric lists from the newest version on, a single cvss object (whose score 0 counts as none), and a list of severities; distinct, by version. Broken ones go."""
     metric_list = "array<struct<cvssData:struct<vectorString:string,baseScore:double>>>"
     pair = lambda vector, given: F.struct(vector.alias("v"), given.cast("double").alias("g"))
     no_pairs = F.expr("cast(array() as array<struct<v:string,g:double>>)")
     parts = []
-    for key in ("cvssMetricV40", "cvssMetricV4", "cvssMetricV31", "cvssMetricV30", "cvssMetricV2"):
-        rows = F.from_json(F.coalesce(F.get_json_object(payload, f"$.cve.metrics.{key}"), F.get_json_object(payload, f"$.metrics.{key}")), metric_list)
+    for key in METRICS:
+        rows = F.from_json(F.coalesce(get(payload, f"$.cve.metrics.{key}"), get(payload, f"$.metrics.{key}")), metric_list)
         parts.append(F.transform(rows, lambda x: pair(x["cvssData"]["vectorString"], x["cvssData"]["baseScore"])))
-    single = F.get_json_object(payload, "$.cvss.vectorString")
-    parts.append(F.when(single.isNotNull(), F.array(pair(single, F.nullif(F.get_json_object(payload, "$.cvss.score").cast("double"), F.lit(0.0))))))
-    listed = F.from_json(F.get_json_object(payload, "$.severity"), "array<struct<type:string,score:string>>")
+    single = get(payload, "$.cvss.vectorString")
+    parts.append(F.when(single.isNotNull(), F.array(pair(single, F.nullif(get(payload, "$.cvss.score").cast("double"), F.lit(0.0))))))
+    listed = F.from_json(get(payload, "$.severity"), "array<struct<type:string,score:string>>")
     parts.append(F.transform(listed, lambda x: pair(x["score"], F.lit(None))))
     none = F.expr(f"cast(array() as array<{VECTOR}>)")
     every = F.filter(F.transform(F.flatten(F.array(*(F.coalesce(x, no_pairs) for x in parts))), lambda x: parse(x["v"], x["g"])), lambda x: x.isNotNull())

@@ -1,6 +1,8 @@
 """Affected products: CPE names, version ranges, packages and their ecosystems."""
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,10 +38,10 @@ def _all(conditions) -> Column:
     return out
 
 
-def cpe_matches(payload: Column) -> Column:
+def cpe_matches(payload: Column, get: Callable[[Column, str], Column] = F.get_json_object) -> Column:
     """The matches of a payload's configurations, the last node first, one for each vendor, product and first fixed version; those marked as not vulnerable go."""
     nodes = "array<struct<nodes:array<struct<cpeMatch:array<struct<vulnerable:boolean,criteria:string,versionEndExcluding:string>>>>>>"
-    config = F.from_json(F.coalesce(F.get_json_object(payload, "$.cve.configurations"), F.get_json_object(payload, "$.configurations")), nodes)
+    config = F.from_json(F.coalesce(get(payload, "$.cve.configurations"), get(payload, "$.configurations")), nodes)
     every = F.flatten(F.reverse(F.flatten(F.transform(config, lambda c: F.transform(c["nodes"], lambda n: n["cpeMatch"])))))
     parsed = F.transform(F.filter(every, lambda m: F.coalesce(m["vulnerable"], F.lit(True))), lambda m: parse_cpe(m["criteria"], m["versionEndExcluding"]).cast(MATCH))
     return F.coalesce(distinct_by(F.filter(parsed, lambda m: m.isNotNull()), MATCH, "vendor", "product", "version_end_excl"), F.expr(f"cast(array() as array<{MATCH}>)"))
@@ -62,10 +64,10 @@ def ecosystem(c: Column) -> Column:
     return F.coalesce(F.try_element_at(table, F.upper(F.trim(c))), F.trim(c))
 
 
-def packages(payload: Column) -> Column:
+def packages(payload: Column, get: Callable[[Column, str], Column] = F.get_json_object) -> Column:
     """Ecosystem:name of all packages that a payload lists, in either of two shapes, once each."""
-    affected = F.from_json(F.get_json_object(payload, "$.affected"), "array<struct<package:struct<ecosystem:string,name:string>>>")
-    nodes = F.from_json(F.get_json_object(payload, "$.vulnerabilities.nodes"), "array<struct<package:struct<ecosystem:string,name:string>>>")
+    affected = F.from_json(get(payload, "$.affected"), "array<struct<package:struct<ecosystem:string,name:string>>>")
+    nodes = F.from_json(get(payload, "$.vulnerabilities.nodes"), "array<struct<package:struct<ecosystem:string,name:string>>>")
     none = F.expr("cast(array() as array<struct<package:struct<ecosystem:string,name:string>>>)")
     every = F.filter(F.concat(F.coalesce(affected, none), F.coalesce(nodes, none)), lambda x: F.trim(F.coalesce(x["package"]["name"], F.lit(""))) != "")
     name = lambda p: F.concat_ws(":", F.nullif(ecosystem(p["ecosystem"]), F.lit("")), F.trim(p["name"]))

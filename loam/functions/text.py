@@ -148,7 +148,12 @@ def normalize_prompt(c: Column, most: int | None = None) -> Column:
 def injection_flags(c: Column) -> Column:
     """Names of the rules that match the text or the text without chat marks, in the rules' order."""
     bare = strip_chat_markup(c)
-    return F.filter(F.array(*(F.when(F.regexp_like(c, F.lit(p)) | F.regexp_like(bare, F.lit(p)), F.lit(n)) for n, p in INJECTION)), lambda x: x.isNotNull())
+    hits = lambda x: F.filter(F.array(*(F.when(F.regexp_like(x, F.lit(p)), F.lit(n)) for n, p in INJECTION)), lambda y: y.isNotNull())
+    # few texts have chat marks; the others are matched once
+    found = hits(c)
+    both = F.array_union(found, hits(bare))
+    order = F.array(*(F.lit(n) for n, _ in INJECTION))
+    return F.when(c == bare, found).otherwise(F.array_intersect(order, both))
 
 
 def fulltext_score(text: Column, keywords: list[str]) -> Column:

@@ -5,14 +5,14 @@ from pyspark.sql import functions as F
 
 from ..functions import packages, text
 from ..operators import ranges, resolve
-from ..session import scratch
+from ..session import scratch, spread
 from ..sources import feeds, paged, sink
 from .queries import query, t
 
 
 def _payloads(spark, d):
     """A payload of one of five kinds for each order."""
-    o = t(spark, d, "orders").withColumns({"k": F.col("o_orderkey"), "day": F.date_format("o_orderdate", "yyyy-MM-dd")})
+    o = spread(t(spark, d, "orders")).withColumns({"k": F.col("o_orderkey"), "day": F.date_format("o_orderdate", "yyyy-MM-dd")})
     cve, n = F.concat(F.lit("CVE-2024-"), (F.floor(F.col("k") / 5) + 10000).cast("string")), F.col("k").cast("string")
     said = F.concat(F.lit("Flaw <b>in</b>  "), F.col("o_orderpriority"))
     obj = lambda **c: F.struct(*(v.alias(k) for k, v in c.items()))
@@ -24,7 +24,9 @@ def _payloads(spark, d):
     kev = obj(cveID=cve, vulnerabilityName=lit("Known one"), dateAdded=F.col("day"), shortDescription=said, notes=F.concat(lit("https://k.org/"), n), cwes=F.array(lit("CWE-78"), lit("CWE-78")))
     epss = obj(cve=cve, epss=F.concat(lit("0."), (F.col("k") % 10).cast("string")), percentile=lit("0.5"), date=F.col("day"))
     raw = F.when(F.col("k") % 5 == 0, F.to_json(nvd)).when(F.col("k") % 5 == 1, F.to_json(osv)).when(F.col("k") % 5 == 2, F.to_json(ghsa)).when(F.col("k") % 5 == 3, F.to_json(kev)).otherwise(F.to_json(epss))
-    return o.select("k", raw.alias("raw_text"), F.when(F.col("k") % 7 == 0, F.concat(lit("https://row.org/"), n)).alias("url"))
+    # a payload is made once, not again wherever it is read
+    rows = feeds.staged(o, {"raw_text": raw})
+    return rows.select("k", "raw_text", F.when(F.col("k") % 7 == 0, F.concat(lit("https://row.org/"), n)).alias("url"))
 
 
 _P = """p as (select o_orderkey as k, o_orderkey % 5 as kind, 'CVE-2024-' || (o_orderkey // 5 + 10000) as cve, strftime(o_orderdate, '%Y-%m-%d') as day, 'Flaw in ' || o_orderpriority as said, case when o_orderkey % 7 = 0 then ' https://row.org/' || o_orderkey else '' end as own, 'GHSA-23CH-MPQ4-R' || (o_orderkey % 8 + 2) || 'VW' as g from orders),
@@ -241,3 +243,11 @@ def fuzzy_vendor_join(spark, d):
     own = lambda table, to: t(spark, d, table).select(F.explode(text.tokens(F.col("text"))).alias(to))
     pairs, _ = ranges.fuzzy_join(own("benchmark", "vendor"), own("documents", "component"), "vendor", "component")
     return pairs.groupBy("vendor").agg(F.count("*").alias("n"), F.min("component").alias("first"), F.max("component").alias("last"))
+
+
+@query()
+def similar_merge(spark, d):
+    """Documents as records that no CVE id names: those with near-duplicate texts merge into the first of them, whose aliases are the others."""
+    payload = F.to_json(F.struct(F.concat(F.lit("PYSEC-2024-"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("id"), F.col("text").alias("details"), F.array().cast("array<string>").alias("aliases")))
+    silver = feeds.normalize(feeds.staged(t(spark, d, "documents").where("text is not null"), {"raw_text": payload}).select("raw_text"))
+    return feeds.merge_sources(silver, similar=True).select("vuln_id", F.size("aliases").alias("n_aliases"))

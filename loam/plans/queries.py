@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cvss, hashing, scoring, text, times, urls
 from ..operators import graph, leaders, resolve, retrieve, stats
+from ..session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -107,7 +108,7 @@ def risk_score(spark, d):
 def _vectors(spark, d) -> DataFrame:
     """All combinations of base metrics, spread over the line items."""
     at = lambda options, step: F.element_at(F.array(*map(F.lit, options)), ((F.col("k") / step).cast("long") % len(options) + 1).cast("int"))
-    rows = t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("k"))
+    rows = spread(t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("k")))
     v3 = F.concat(F.lit("CVSS:3.1/AV:"), at("NALP", 1), F.lit("/AC:"), at("LH", 4), F.lit("/PR:"), at("NLH", 8), F.lit("/UI:"), at("NR", 24), F.lit("/S:"), at("UC", 48), F.lit("/C:"), at("HLN", 96), F.lit("/I:"), at("HLN", 288), F.lit("/A:"), at("HLN", 864))
     v2 = F.concat(F.lit("AV:"), at("LAN", 1), F.lit("/AC:"), at("HML", 3), F.lit("/Au:"), at("MSN", 9), F.lit("/C:"), at("NPC", 27), F.lit("/I:"), at("NPC", 81), F.lit("/A:"), at("NPC", 243))
     return rows.select("id", v3.alias("v3"), v2.alias("v2"))
@@ -303,7 +304,7 @@ _BARE = "regexp_replace(regexp_replace(regexp_replace(s, $a${0}$a$, ' ', 'g'), $
 select conv_id, turn, array_to_string(list_filter([{', '.join(f"case when regexp_matches(s, $a${p}$a$) or regexp_matches(b, $a${p}$a$) then '{n}' end" for n, p in text.INJECTION)}], lambda x: x is not null), ',') as flags from y""")
 def injection_flags(spark, d):
     s = F.concat_ws(" ", "text", F.element_at(F.array(*map(F.lit, _ATTACKS)), ((F.col("conv_id") * 7 + F.col("turn")) % len(_ATTACKS) + 1).cast("int")))
-    return t(spark, d, "conversations").select("conv_id", "turn", F.array_join(text.injection_flags(s), ",").alias("flags"))
+    return spread(t(spark, d, "conversations")).select("conv_id", "turn", F.array_join(text.injection_flags(s), ",").alias("flags"))
 
 
 @query(f"""with x as (select conv_id, turn, text || chr(8203) || '  ' || chr(7) || chr(10) || chr(10) || chr(10) || chr(10) || 'end  ' as s from conversations)

@@ -32,6 +32,12 @@ def written(df: DataFrame, name: str, *partitions: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores, if it has fewer: work of a millisecond a row shouldn't wait for the one task of a small file. Larger inputs stay as they are, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def session(app: str = "loam", master: str | None = None) -> SparkSession:
     """A session with what the operators assume: UTC, AQE and small-side thresholds of Spark."""
     builder = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")

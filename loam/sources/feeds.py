@@ -37,15 +37,31 @@ def canonical_json(c: Column) -> Column:
     return F.to_json(F.try_parse_json(c))
 
 
-def detect_source(raw: Column) -> Column:
+#: The fields that normalization reads: of a payload, of its parts, and of a part's metrics.
+_FIELDS = ["advisory", "affected", "aliases", "configurations", "cve", "cveID", "cvss", "cwes", "date", "dateAdded", "datePublished", "description", "descriptions", "details", "epss", "ghsaId", "id", "identifiers", "lastModified", "metrics", "modified", "notes", "percentile", "pubDate",
+           "publication_date", "published", "publishedAt", "published_at", "references", "severity", "shortDescription", "summary", "updated", "updatedAt", "vulnerabilities", "vulnerabilityName", "weaknesses"]
+_PARTS = {"advisory": ["publishedAt"], "cve": ["configurations", "descriptions", "id", "lastModified", "metrics", "published", "references", "weaknesses"], "cvss": ["score", "vectorString"], "cwes": ["nodes"], "metrics": cvss.METRICS, "vulnerabilities": ["nodes"]}
+
+
+def _struct(text_: Column, names: list[str]) -> Column:
+    return F.from_json(text_, ", ".join(f"`{n}` string" for n in names))
+
+
+def _read(_: Column, path: str) -> Column:
+    """A path of the payload that `parsed` has read: the text of what is there."""
+    keys = path[2:].split(".")
+    return F.col("_json")[keys[0]] if len(keys) == 1 else F.col(f"_{keys[0]}")[keys[1]] if len(keys) == 2 else F.col("_cve_metrics")[keys[2]]
+
+
+def detect_source(raw: Column, get: Callable[[Column, str], Column] = F.get_json_object) -> Column:
     """The kind of a payload by the keys that it has."""
-    has = lambda p: _g(raw, p).isNotNull()
+    has = lambda p: get(raw, p).isNotNull()
     return (F.when(has("$.ghsaId"), "ghsa").when(has("$.cveID") | has("$.vulnerabilityName"), "kev").when(has("$.epss") & has("$.cve"), "epss").when(has("$.aliases") | has("$.details"), "osv")
             .when(has("$.cve") | has("$.lastModified"), "nvd"))
 
 
 def _texts(raw: Column, path: str) -> Column:
-    return F.coalesce(F.from_json(_g(raw, path), "array<string>"), _no_texts())
+    return F.coalesce(F.from_json(_read(raw, path), "array<string>"), _no_texts())
 
 
 def _no_texts() -> Column:
@@ -54,16 +70,16 @@ def _no_texts() -> Column:
 
 def _each(raw: Column, paths: list[str], field: str) -> Column:
     """field of each object of the first list that is there."""
-    lists = F.coalesce(*(F.from_json(_g(raw, p), f"array<struct<{field}:string>>") for p in paths))
+    lists = F.coalesce(*(F.from_json(_read(raw, p), f"array<struct<{field}:string>>") for p in paths))
     return F.filter(F.coalesce(F.transform(lists, lambda x: x[field]), _no_texts()), lambda x: F.coalesce(F.trim(x), F.lit("")) != "")
 
 
-def published_at(raw: Column, kind: Column, given: Column | None = None) -> Column:
+def published_at(raw: Column, kind: Column, given: Column | None = None, get: Callable[[Column, str], Column] = F.get_json_object) -> Column:
     """When the source published it: paths of the source, then general ones, then what the row was given; never the date of a model, and null rather than a guess."""
     own = {"nvd": ["$.cve.published", "$.published"], "osv": ["$.published"], "ghsa": ["$.publishedAt"], "vendor_github": ["$.advisory.publishedAt", "$.publishedAt"], "kev": ["$.dateAdded"], "rss_blog": ["$.published", "$.pubDate", "$.updated"]}
     general = ["published", "publishedAt", "published_at", "publication_date", "datePublished", "pubDate", "dateAdded", "advisory.publishedAt"]
-    first = F.coalesce(*(F.when(kind == k, times.parse_time(_g(raw, p))) for k, ps in own.items() for p in ps))
-    found = F.coalesce(first, *(times.parse_time(_g(raw, f"$.{p}")) for p in general), *([] if given is None else [given]))
+    first = F.coalesce(*(F.when(kind == k, times.parse_time(get(raw, p))) for k, ps in own.items() for p in ps))
+    found = F.coalesce(first, *(times.parse_time(get(raw, f"$.{p}")) for p in general), *([] if given is None else [given]))
     return F.when(kind != "epss", found)
 
 
@@ -74,22 +90,25 @@ def staged(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
 def parsed(bronze: DataFrame, raw: str = "raw_text") -> DataFrame:
     """bronze with the common fields of the five payload kinds; vuln_id is null where a payload has none. What a payload lacks comes from the row's source_id and url, if there are such columns.
-    Each step is a projection of its own, so nothing is read from the JSON twice."""
+    The JSON is read once into one struct of texts, and its parts once each; each step is a projection of its own."""
     text_ = lambda c: F.nullif(F.trim(c), F.lit(""))
     none, r = F.lit(None).cast("string"), F.col(raw)
     own = lambda c: F.col(c) if c in bronze.columns else none
     kind = F.col("_kind")
-    by = lambda **paths: F.coalesce(*(F.when(kind == k, F.coalesce(*(text_(_g(r, p)) for p in ps))) for k, ps in paths.items()))
+    by = lambda **paths: F.coalesce(*(F.when(kind == k, F.coalesce(*(text_(_read(r, p)) for p in ps))) for k, ps in paths.items()))
     listed = lambda **lists: F.coalesce(*(F.when(kind == k, c) for k, c in lists.items()), _no_texts())
-    said = F.from_json(F.coalesce(_g(r, "$.cve.descriptions"), _g(r, "$.descriptions")), "array<struct<lang:string,value:string>>")
-    weak = F.from_json(F.coalesce(_g(r, "$.cve.weaknesses"), _g(r, "$.weaknesses")), "array<struct<description:array<struct<value:string>>>>")
-    rows = staged(bronze, {"_kind": F.coalesce(own("source"), detect_source(r))})
+    said = F.from_json(F.coalesce(_read(r, "$.cve.descriptions"), _read(r, "$.descriptions")), "array<struct<lang:string,value:string>>")
+    weak = F.from_json(F.coalesce(_read(r, "$.cve.weaknesses"), _read(r, "$.weaknesses")), "array<struct<description:array<struct<value:string>>>>")
+    rows = staged(bronze, {"_json": _struct(r, _FIELDS)})
+    rows = staged(rows, {f"_{part}": _struct(F.col("_json")[part], names) for part, names in _PARTS.items()})
+    rows = staged(rows, {"_cve_metrics": _struct(F.col("_cve")["metrics"], cvss.METRICS)})
+    rows = staged(rows, {"_kind": F.coalesce(own("source"), detect_source(r, _read))})
     rows = staged(rows, {"_id": text_(own("source_id")), "_url": text_(own("url")), "_said": F.filter(said, lambda x: F.coalesce(F.trim(x["value"]), F.lit("")) != ""), "_identifiers": _each(r, ["$.identifiers"], "value")})
     english = F.get(F.filter("_said", lambda x: x["lang"] == "en"), F.lit(0))["value"]
     rows = staged(rows, {
         "_ident": F.coalesce(by(nvd=["$.cve.id", "$.id"], osv=["$.id"], ghsa=["$.ghsaId"], kev=["$.cveID"], epss=["$.cve"]), F.when(kind == "ghsa", F.get("_identifiers", F.lit(0))), F.col("_id")),
         "_described": F.coalesce(F.when(kind == "nvd", F.coalesce(english, F.get("_said", F.lit(0))["value"])), by(osv=["$.details", "$.summary"], ghsa=["$.description", "$.summary"], kev=["$.shortDescription"]), F.when(kind.isNull(), r)),
-        "_title": by(osv=["$.summary"], ghsa=["$.summary"], kev=["$.vulnerabilityName"]), "_published": published_at(r, kind),
+        "_title": by(osv=["$.summary"], ghsa=["$.summary"], kev=["$.vulnerabilityName"]), "_published": published_at(r, kind, get=_read),
         "_modified": by(nvd=["$.cve.lastModified", "$.lastModified"], osv=["$.modified"], ghsa=["$.updatedAt"], kev=["$.dateAdded"], epss=["$.date"]),
         "_weak": listed(nvd=F.flatten(F.transform(weak, lambda w: F.transform(w["description"], lambda x: x["value"]))), ghsa=_each(r, ["$.cwes.nodes"], "cweId"), kev=_texts(r, "$.cwes")),
         "_links": listed(nvd=_each(r, ["$.cve.references", "$.references"], "url"), osv=_each(r, ["$.references"], "url"), ghsa=_each(r, ["$.references"], "url"), kev=F.filter(F.array(by(kev=["$.notes"])), lambda x: x.isNotNull())),
@@ -99,11 +118,11 @@ def parsed(bronze: DataFrame, raw: str = "raw_text") -> DataFrame:
     upper = lambda xs: F.array_distinct(F.transform(xs, lambda x: F.upper(F.trim(x))))
     named = (F.col("vuln_id"), F.col("_text"), F.col("title"))
     aliases = F.concat(text.cve_ids(*named), F.col("_aliases"), text.aliases(*named, r), F.filter(F.array("_id"), lambda x: x.isNotNull()))
-    number = lambda path: F.when(kind == "epss", _g(r, path)).try_cast("double")
+    number = lambda path: F.when(kind == "epss", _read(r, path)).try_cast("double")
     rows = rows.withColumns({
         "source": kind, "description": F.coalesce("_text", "title", "_id"), "lang": F.when(F.col("_text").isNotNull(), text.ascii_lang(F.col("_text"))), "aliases": F.filter(upper(aliases), lambda x: x.isNotNull() & (x != "")),
         "cwe_ids": F.filter(upper(F.col("_weak")), lambda x: F.startswith(x, F.lit("CWE-"))), "kev": F.coalesce(kind == "kev", F.lit(False)), "epss_score": number("$.epss"), "epss_percentile": number("$.percentile"),
-        "cvss": cvss.collect(r), "cpe_matches": packages.cpe_matches(r), "ecosystem_packages": packages.packages(r), "references": F.array_distinct(F.concat("_links", F.filter(F.array("_url"), lambda x: x.isNotNull()))),
+        "cvss": cvss.collect(r, _read), "cpe_matches": packages.cpe_matches(r, _read), "ecosystem_packages": packages.packages(r, _read), "references": F.array_distinct(F.concat("_links", F.filter(F.array("_url"), lambda x: x.isNotNull()))),
         "published_at": F.col("_published"), "modified_at": F.coalesce(times.parse_time(F.col("_modified")), "_published"),
     })
     rows = rows.withColumns({"aliases": F.array_remove("aliases", F.upper("vuln_id")), "severity": cvss.set_severity(F.col("cvss")), "affected_versions": packages.affected_versions(F.col("cpe_matches"))})

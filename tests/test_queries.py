@@ -74,6 +74,19 @@ def test_leaders_depend_on_order(spark):
     assert leaders.leader_clusters(df.where("false"), "key", 3).collect() == []
 
 
+def test_similar_merge_against_a_plain_walk(spark):
+    from loam.functions import hashing, text
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("text is not null")
+    said = F.coalesce(F.nullif(F.trim(text.clean_text(F.col("text"))), F.lit("")), F.concat(F.lit("PYSEC-2024-"), F.lpad(F.col("doc_id").cast("string"), 12, "0")))
+    rows = sorted((r.doc_id, r.f) for r in docs.select("doc_id", hashing.simhash64(said).alias("f")).collect())
+    want = plain_leaders(rows, 15)
+    got = {r.vuln_id: r.n_aliases for r in registry.QUERIES["similar_merge"](spark, SF).collect()}
+    assert set(got) == {f"PYSEC-2024-{k:012}" for k in want.values()}
+    assert sum(got.values()) >= len(rows) - len(got)  # texts may name other ids as well
+
+
 def test_membership_loses_no_link(spark):
     rows = [(i, 1) for i in range(5)] + [(i, 2) for i in range(3, 6)] + [(0, 1), (9, 3), (7, None)]
     df = spark.createDataFrame(rows, "k long, v long")
