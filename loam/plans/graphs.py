@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import packages, render, text
-from ..operators import graph
+from ..operators import extract, graph
 from .queries import ORACLE, graph_edges, graph_nodes, query, t
 
 _EDGES = ORACLE["graph_edges"]
@@ -142,3 +142,40 @@ def nodes_in_order(spark, d):
 
     rows = t(spark, d, "lineitem").select(F.col("l_returnflag").alias("label"), F.col("l_partkey").alias("key")).distinct().orderBy("label", "key").limit(40)
     return rows.withColumn("n", F.row_number().over(Window.orderBy("label", "key")))  # 40 rows
+
+
+def _enriched(spark, d):
+    """A record for each part, with all kinds of what enrichment adds."""
+    n, lit = F.col("p_size").cast("string"), F.lit
+    obj = lambda **c: F.struct(*((v if isinstance(v, F.Column) else lit(v)).alias(k) for k, v in c.items()))
+    none = lit(None).cast("string")
+    brand, name = F.replace(F.lower("p_brand"), lit("#"), lit("")), F.replace("p_name", lit(" "), lit("_"))
+    empty = F.array().cast("array<string>")
+    return t(spark, d, "part").select(
+        F.concat(lit("CVE-"), F.col("p_partkey").cast("string")).alias("vuln_id"), F.col("p_name").alias("title"), F.col("p_type").alias("description"),
+        F.array(obj(vendor=brand, product=name, version_start_incl=none, version_start_excl=none, version_end_incl=none, version_end_excl=n)).alias("cpe_matches"),
+        F.array(obj(name=F.col("p_type"), asset_type="product", vendor=F.col("p_brand"), version_range=none, ecosystem=none, confidence=0.9)).alias("affected_assets"),
+        F.array(obj(paper_id=F.concat(lit("paper"), n), relation="method", confidence=0.5, evidence_refs=empty)).alias("related_papers"),
+        F.array(obj(order=1, technique_id=F.concat(lit(" t"), (F.col("p_size") + 1000).cast("string")), tactic="t", stage="s", description="d", preconditions=empty)).alias("attack_steps"),
+        F.array(obj(url=F.concat(F.when(F.col("p_partkey") % 2 == 0, "https://x/patches/").otherwise("https://x/news/"), F.col("p_partkey").cast("string")), source="nvd", tags=empty)).alias("references"))
+
+
+_RECORDS = "p as (select 'CVE-' || p_partkey as v, *, replace(lower(p_brand), '#', '') as b, replace(p_name, ' ', '_') as m, replace(lower(p_brand), '#', '') || ':' || replace(p_name, ' ', '_') as k from part)"
+
+
+@query(f"""with {_RECORDS} select 'Vulnerability' as label, v as key, 'cve_id=' || v || ';description=' || p_type || ';title=' || p_name as props from p
+union all select 'Component', k, arg_min('confidence=1.0;effective_confidence=1.0;key=' || k || ';name=' || m || ';relevance=text;vendor=' || b || ';version_range=<' || p_size || ';vulnerable=true', v) from p group by k
+union all select 'Asset', 'product:' || p_type, arg_min('asset_type=product;confidence=0.9;key=product:' || p_type || ';name=' || p_type || ';vendor=' || p_brand, v) from p group by p_type
+union all select distinct 'Paper', 'paper' || p_size, 'paper_id=paper' || p_size || ';relation=method' from p union all select distinct 'AttackTechnique', 'T' || (p_size + 1000), 'description=d;order=1;stage=s;tactic=t;technique_id=T' || (p_size + 1000) from p
+union all select 'Patch', 'https://x/patches/' || p_partkey, 'source=nvd;url=https://x/patches/' || p_partkey from p where p_partkey % 2 = 0""")
+def graph_extract_nodes(spark, d):
+    nodes, _ = extract.graph(_enriched(spark, d))
+    return nodes.select("label", "key", render.flat_text(F.col("properties")).alias("props"))
+
+
+@query(f"""with {_RECORDS} select 'AFFECTS' as relation, v as start_key, k as end_key, 'version_range=<' || p_size as props from p
+union all select distinct 'INSTALLED_ON', k, 'product:' || p_type, 'confidence=0.9;derived_from=cve-cooccurrence' from p union all select 'RELATED_TO', v, 'paper' || p_size, 'confidence=0.5;relation=method' from p
+union all select 'EXPLOITS', v, 'T' || (p_size + 1000), 'order=1;stage=s;tactic=t' from p union all select 'FIXED_BY', v, 'https://x/patches/' || p_partkey, 'source=nvd' from p where p_partkey % 2 = 0""")
+def graph_extract_edges(spark, d):
+    _, edges = extract.graph(_enriched(spark, d))
+    return edges.select("relation", "start_key", "end_key", render.flat_text(F.col("properties")).alias("props"))
