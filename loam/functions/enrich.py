@@ -72,8 +72,10 @@ def bounded_loop(df: DataFrame, better: Callable[[DataFrame, int], DataFrame], c
     return rest if done is None else done.unionByName(rest)
 
 
-def fetched(df: DataFrame, key: str, fetch: Callable[[str], list[dict]], schema: str) -> DataFrame:
-    """Rows that an injected function finds for each key, such as exploits, papers or assets: the only place that may leave the cluster. A key that fails gives no row."""
+def fetched(df: DataFrame, key: str, fetch: Callable[[str], list[dict]], schema: str, error: str | None = None) -> DataFrame:
+    """Rows that an injected function finds for each key, such as exploits, papers or assets: the only place that may leave the cluster. A key that fails gives no row, or with a name for a column of errors one that tells why;
+    write such rows before both parts are taken, else everything is fetched twice."""
+    schema = f"{schema}, {error} string" if error else schema
     names = [c.split()[0] for c in schema.split(",")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -82,8 +84,8 @@ def fetched(df: DataFrame, key: str, fetch: Callable[[str], list[dict]], schema:
             for k in frame[key]:
                 try:
                     rows += [{key: k, **r} for r in fetch(k)]
-                except Exception:  # noqa: BLE001  whatever the source fails by, other keys go on
-                    continue
+                except Exception as e:  # noqa: BLE001  whatever the source fails by, other keys go on
+                    rows += [{key: k, error: f"{type(e).__name__}: {e}"}] if error else []
             yield pd.DataFrame(rows, columns=[key, *names])
 
     kind = dict(df.dtypes)[key]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..session import written
 
 
 def fulltext(df: DataFrame, key: str, body: str, query: list[str], k: int) -> DataFrame:
@@ -28,9 +29,17 @@ def vector_top(df: DataFrame, key: str, vector: str, query: DataFrame, k: int, w
     return rows.crossJoin(F.broadcast(asked)).select(key, F.floor(score * 10000 + 0.5).cast("long").alias("score")).orderBy(F.desc("score"), key).limit(k)  # one row is broadcast
 
 
-def rrf(routes: list[tuple[DataFrame, float]], key: str, k: int = 60, top: int = 10) -> DataFrame:
-    """Reciprocal rank fusion of routes (key, score), in millionths. Routes are top-k lists, so a rank over one of them is bounded."""
-    ranked = [df.select(key, (F.lit(w) / (k + F.row_number().over(Window.orderBy(F.desc("score"), key)))).alias("part"), F.lit(i).alias("route")) for i, (df, w) in enumerate(routes)]
+#: Rows of a route that count in a fusion: what is ranked in one task has this bound.
+DEPTH = 1000
+
+
+def best_of(route: DataFrame, key: str, depth: int = DEPTH) -> DataFrame:
+    return route.orderBy(F.desc("score"), key).limit(depth)
+
+
+def rrf(routes: list[tuple[DataFrame, float]], key: str, k: int = 60, top: int = 10, depth: int = DEPTH) -> DataFrame:
+    """Reciprocal rank fusion of routes (key, score), in millionths. A route counts to its first `depth` rows."""
+    ranked = [best_of(df, key, depth).select(key, (F.lit(w) / (k + F.row_number().over(Window.orderBy(F.desc("score"), key)))).alias("part"), F.lit(i).alias("route")) for i, (df, w) in enumerate(routes)]
     both = reduce(DataFrame.unionByName, ranked)
     score = F.floor(F.sum(F.col("part").cast("decimal(20,12)")).cast("double") * 1000000 + 0.5).cast("long")
     return both.groupBy(key).agg(score.alias("rrf"), F.count("*").alias("routes")).orderBy(F.desc("rrf"), key).limit(top)
@@ -91,12 +100,12 @@ def entity_key(cve: Column, paper: Column, doc: Column) -> Column:
     return F.coalesce(F.concat(F.lit("cve:"), F.upper(cve)), F.concat(F.lit("paper:"), paper), doc)
 
 
-def fuse(routes: list[tuple[DataFrame, float]], k: int = 60, top: int = 10) -> DataFrame:
+def fuse(routes: list[tuple[DataFrame, float]], k: int = 60, top: int = 10, depth: int = DEPTH) -> DataFrame:
     """(entity, rrf, routes, source, doc_id): fusion of routes (entity, doc_id, content, source, score) by rank, in millionths. An entity is represented by its longest content, then the first doc_id.
-    Within a route only an entity's best rank counts."""
+    Within a route only an entity's best rank counts, and a route counts to its first `depth` rows."""
     ranked = []
     for i, (df, weight) in enumerate(routes):
-        rows = df.withColumn("_rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")))  # a route is a top-k list
+        rows = best_of(df, "doc_id", depth).withColumn("_rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")))  # `depth` rows
         ranked.append(rows.select("entity", "doc_id", "content", "source", "_rank", F.lit(weight).alias("_w"), F.lit(i).alias("_route")))
     rows = reduce(DataFrame.unionByName, ranked)
     best = rows.groupBy("entity", "_route").agg((F.first("_w") / (max(1, k) + F.min("_rank"))).cast("decimal(20,12)").alias("part"), F.min(F.struct((-F.length("content")).alias("l"), "doc_id", "source")).alias("r"))
@@ -105,7 +114,7 @@ def fuse(routes: list[tuple[DataFrame, float]], k: int = 60, top: int = 10) -> D
 
 
 def hybrid(routes: dict[str, Callable[[], DataFrame]], plan: list[str], fallback: dict[str, str] | None = None) -> tuple[list[DataFrame], list[str]]:
-    """The routes of a plan, each built on its own: one that fails is left out and named, and its fallback joins if it isn't in the plan already."""
+    """The routes of a plan, each run on its own to a written table of its results: one that fails, in its making or in a task, is left out and named, and its fallback joins if it isn't in the plan already."""
     found, failed = {}, []
     todo = list(plan)
     while todo:
@@ -113,7 +122,7 @@ def hybrid(routes: dict[str, Callable[[], DataFrame]], plan: list[str], fallback
         if name in found:
             continue
         try:
-            found[name] = routes[name]()
+            found[name] = written(routes[name](), name)
         except Exception:  # noqa: BLE001  whatever a route fails by, the others go on
             failed.append(name)
             other = (fallback or {}).get(name)

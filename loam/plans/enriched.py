@@ -105,6 +105,13 @@ def injected_search(spark, d):
     return enrich.fetched(t(spark, d, "part"), "p_partkey", _pocs, "url string")
 
 
+@query("select p_partkey, 'OSError: no answer' as error from part where p_partkey % 5 = 4")
+def injected_failures(spark, d):
+    """The side output: keys that couldn't be fetched, and why."""
+    rows = enrich.fetched(t(spark, d, "part"), "p_partkey", _pocs, "url string", "error")
+    return rows.where("error is not null").select("p_partkey", "error")
+
+
 @query("""select l_partkey, case when l_partkey % 2 = 0 then 'stored' else 'new' end as value, case when l_partkey % 2 = 0 then count(*) + 1 else 0 end as hits from lineitem group by 1""")
 def answer_cache(spark, d):
     asked = t(spark, d, "lineitem").select("l_partkey")

@@ -5,6 +5,8 @@ import pytest
 from loam.operators import graph, leaders, resolve
 from loam.plans import registry
 
+from pyspark.sql import functions as F
+
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -146,6 +148,18 @@ def test_hybrid_isolates_failures(spark):
         raise OSError("down")
     found, failed = retrieve.hybrid({"vector": broken, "fulltext": lambda: spark.range(2), "graph": broken}, ["vector", "graph"], {"vector": "fulltext"})
     assert [f.count() for f in found] == [2] and failed == ["vector", "graph"]
+    # a route may also fail in a task
+    late = lambda: spark.range(3).withColumn("id", F.when(F.col("id") == 1, F.raise_error(F.lit("down")).cast("long")).otherwise(F.col("id")))
+    found, failed = retrieve.hybrid({"vector": late, "fulltext": lambda: spark.range(2), "graph": lambda: spark.range(5)}, ["vector", "graph"], {"vector": "fulltext"})
+    assert sorted(f.count() for f in found) == [2, 5] and failed == ["vector"]
+
+
+def test_fusion_ranks_a_bounded_part_of_a_route(spark):
+    from loam.operators import retrieve
+
+    long = spark.range(50).select("id", (100 - F.col("id")).alias("score"))
+    got = retrieve.rrf([(long, 1.0)], "id", k=60, top=100, depth=7).collect()
+    assert [r.id for r in got] == list(range(7)) and got[0].rrf == 16393
 
 
 def test_api_refuses_what_it_does_not_know(spark):
