@@ -83,3 +83,20 @@ def mapped_assets(products: DataFrame, inventory: DataFrame, key: str, most: int
     """(key, asset, confidence): up to `most` assets of each product from an inventory (key, asset), at 0.9; a product that it doesn't know gets a placeholder at 0.35."""
     rows = products.join(inventory, key, "left").withColumn("_nth", F.row_number().over(Window.partitionBy(key).orderBy("asset"))).where(F.col("_nth") <= most)
     return rows.select(key, F.coalesce("asset", F.concat(F.lit("unknown:"), F.col(key).cast("string"))).alias("asset"), F.when(F.col("asset").isNull(), 0.35).otherwise(0.9).alias("confidence"))
+
+
+def vendor_fits(asset: Column, product: Column) -> Column:
+    """Whether two vendors are one: equal or part of one another, whatever case and blanks; one that isn't given speaks against nothing."""
+    low = lambda c: F.replace(F.lower(F.trim(F.coalesce(c, F.lit("")))), F.lit(" "), F.lit(""))
+    a, b = low(asset), low(product)
+    return (a == "") | (b == "") | F.contains(a, b) | F.contains(b, a)
+
+
+def selected_assets(candidates: DataFrame, record: str, asset: str, vendor: str, confidence: str, product: str, product_vendor: str, most: int = 10) -> DataFrame:
+    """candidates with a rank: up to `most` assets of each record whose vendor fits the product's, or whose name and the product's are part of one another; by confidence, those with the product in their name first, then by name."""
+    name, needle = F.lower(F.trim(asset)), F.lower(F.trim(F.coalesce(product, F.lit(""))))
+    named = (needle != "") & (F.contains(name, needle) | F.contains(needle, name))
+    kept = candidates.where(vendor_fits(F.col(vendor), F.col(product_vendor)) | named)
+    hit = (needle != "") & F.contains(name, needle)
+    nth = F.row_number().over(Window.partitionBy(record).orderBy(F.desc(confidence), F.desc(hit), name, F.asc_nulls_last(vendor), F.asc_nulls_last(asset)))
+    return kept.withColumn("rank", nth).where(F.col("rank") <= most)

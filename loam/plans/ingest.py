@@ -251,3 +251,15 @@ def similar_merge(spark, d):
     payload = F.to_json(F.struct(F.concat(F.lit("PYSEC-2024-"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("id"), F.col("text").alias("details"), F.array().cast("array<string>").alias("aliases")))
     silver = feeds.normalize(feeds.staged(t(spark, d, "documents").where("text is not null"), {"raw_text": payload}).select("raw_text"))
     return feeds.merge_sources(silver, similar=True).select("vuln_id", F.size("aliases").alias("n_aliases"))
+
+
+@query("""with c as (select l_orderkey, l_linenumber, p_name || ' ' || l_suppkey as asset, case l_linenumber % 3 when 0 then p_brand when 1 then 'Brand #1' end as vendor, cast(l_quantity as int) % 5 as confidence, case when l_partkey % 2 = 0 then 'Ring' else 'widget' end as product, case when l_suppkey % 4 > 0 then 'brand#1' || (l_suppkey % 3) end as product_vendor from lineitem join part on p_partkey = l_partkey),
+n as (select *, lower(asset) as a, lower(product) as p, replace(lower(coalesce(vendor, '')), ' ', '') as v, replace(lower(coalesce(product_vendor, '')), ' ', '') as w from c),
+k as (select * from n where v = '' or w = '' or contains(v, w) or contains(w, v) or contains(a, p) or contains(p, a))
+select l_orderkey, asset, vendor, confidence, rank from (select *, cast(row_number() over (partition by l_orderkey order by confidence desc, contains(a, p) desc, a, vendor nulls last, asset) as integer) as rank from k) where rank <= 3""")
+def asset_admission(spark, d):
+    """Assets of an inventory that are let in for a record's product, the most relevant first."""
+    rows = t(spark, d, "lineitem").join(t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    c = rows.select("l_orderkey", F.concat_ws(" ", "p_name", F.col("l_suppkey").cast("string")).alias("asset"), F.when(F.col("l_linenumber") % 3 == 0, F.col("p_brand")).when(F.col("l_linenumber") % 3 == 1, "Brand #1").alias("vendor"), (F.col("l_quantity").cast("int") % 5).alias("confidence"),
+                    F.when(F.col("l_partkey") % 2 == 0, "Ring").otherwise("widget").alias("product"), F.when(F.col("l_suppkey") % 4 > 0, F.concat(F.lit("brand#1"), (F.col("l_suppkey") % 3).cast("string"))).alias("product_vendor"))
+    return resolve.selected_assets(c, "l_orderkey", "asset", "vendor", "confidence", "product", "product_vendor", 3).select("l_orderkey", "asset", "vendor", "confidence", "rank")
