@@ -156,6 +156,24 @@ def injection_flags(c: Column) -> Column:
     return F.when(c == bare, found).otherwise(F.array_intersect(order, both))
 
 
+#: Rules of medium severity; all others are high. And how long a question may be.
+MEDIUM = ["you_are_now", "role_play_hijack", "unfiltered_output", "do_not_mention", "encoding_evasion", "template_variable_smuggling", "json_field_injection", "sql_payload", "cypher_payload", "delimiter_override"]
+MOST_QUERY_CHARS = 500
+
+
+def guard(c: Column, most: int = MOST_QUERY_CHARS, strict: bool = True) -> Column:
+    """(allowed, text, flags, severity, truncated) of a question: its normal form without chat marks, cut at `most`, the rules that the question or that form match, the highest severity among them, and whether it was cut.
+    It is allowed if something is left and no rule of high severity matches, nor one of medium severity if strict."""
+    whole = normalize_prompt(c)
+    clean = strip_chat_markup(F.substring(whole, 1, most))
+    both = F.array_union(injection_flags(F.coalesce(c, F.lit(""))), injection_flags(clean))
+    flags = F.array_intersect(F.array(*(F.lit(n) for n, _ in INJECTION)), both)
+    high = F.size(F.array_except(flags, F.array(*map(F.lit, MEDIUM)))) > 0
+    severity = F.when(high, "high").when(F.size(flags) > 0, "medium")
+    blocked = severity.isNotNull() if strict else high
+    return F.struct(((F.trim(F.regexp_replace(clean, r"\s+", " ")) != "") & ~blocked).alias("allowed"), clean.alias("text"), flags.alias("flags"), severity.alias("severity"), (F.length(whole) > most).alias("truncated"))
+
+
 def fulltext_score(text: Column, keywords: list[str]) -> Column:
     """Share of keywords that are part of some token, in ten-thousandths. Tokens are runs of a-z and 0-9, so a keyword of these is part of one where it is part of the text; no other keyword is."""
     low = F.lower(text)
