@@ -1,10 +1,13 @@
 """Exact cosine search of many questions at once over vectors in cells.
 
 Cells are the nearest of some centres, found by spherical k-means on a bounded sample. Within a cell vectors are ordered by their angle to the centre and cut into blocks, so a block is a ring with a least and a greatest angle.
-No vector of a ring is nearer to a question than the question's own angle to the centre differs from the ring's (angles obey the triangle inequality). Questions go in batches: each first meets the
-two rings that can be nearest, which gives the score to beat, then every ring that can still hold a better one or an equal one; so the answer is that of brute force, whatever the centres are.
+No vector of a ring is nearer to a question than the question's own angle to the centre differs from the ring's (angles obey the triangle inequality). Questions are put into rings of their own, batches.
 
-The sample is SAMPLE vectors at most and the centres CELLS: both are bounded, whatever the input. Rings and batches are rows of bounded size, and a cell that holds a third of all vectors is many rows.
+Batches and rings are dealt into groups, and each group of batches meets each group of rings in one place of a grid: a task holds the batches there, sees the rings one by one and keeps the best of each question, which are
+what to beat; a ring that can't hold better ones or equal ones is passed over. So the answer is that of brute force, whatever the centres are, and what travels is the rings once for each group of batches and the
+batches once for each group of rings, not a ring for each batch.
+
+The sample is SAMPLE vectors at most and the centres CELLS: both are bounded, whatever the input. Rings and batches are rows of bounded size, a cell that holds a third of all vectors is many rows, and a group of batches holds about HELD bytes.
 
 Vectors and questions that are null, of length 0, or hold null or no number take no part, nor do vectors of another length than the centres.
 """
@@ -20,9 +23,10 @@ from ..session import written
 
 #: Vectors that the centres are fitted to at most, centres at most, rounds of k-means, vectors in a ring, questions in a batch.
 SAMPLE, CELLS, ROUNDS, RING, BATCH = 20_000, 64, 8, 2048, 256
+#: Bytes of vectors in a group of batches, about, and places of the grid for each core.
+HELD, PLACES = 1 << 26, 3
 #: What angles and scores may be off by.
 EPS = 1e-9
-_FIRST = 2
 
 
 def _valid(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -109,98 +113,97 @@ class Cells:
     """An index of vectors by a column key of whole numbers."""
 
     def __init__(self, vectors: DataFrame, key: str, vector: str, cells: int = CELLS, ring: int = RING):
-        rows = _valid(vectors, key, vector)
+        rows = written(_valid(vectors, key, vector), "vectors")
         self.key, self.spark, self.centres = key, vectors.sparkSession, centres(rows, cells)
+        self.rings = self._in_rings(rows, ring, "rings")
+
+    def _in_rings(self, rows: DataFrame, size: int, name: str) -> DataFrame:
+        """Rows (key, v) in rings of at most `size`, written. Equal vectors come in order of key."""
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         placed = rows.mapInArrow(_angles(self.centres), "cell int, angle double, key long, v array<double>") if len(self.centres) else rows.where("false").select(F.lit(0).alias("cell"), F.lit(0.0).alias("angle"), "key", "v")
-        self.rings = written(placed.repartitionByRange(parts, "cell", "angle", "key").sortWithinPartitions("cell", "angle").mapInArrow(_rings(ring), _RING), "rings")
+        return written(placed.repartitionByRange(parts, "cell", "angle", "key").sortWithinPartitions("cell", "angle", "key").mapInArrow(_rings(size), _RING), name)
 
-    def search(self, questions: DataFrame, question: str, vector: str, k: int, batch: int = BATCH) -> DataFrame:
+    def search(self, questions: DataFrame, question: str, vector: str, k: int, batch: int = BATCH, held: int = HELD) -> DataFrame:
         """(question, key, score): the k vectors of highest cosine for each question, clamped to 0..1, in ten-thousandths, equal ones by key."""
         schema = f"{question} long, {self.key} long, score long"
         if not len(self.centres):
             return self.spark.createDataFrame([], schema)
-        asked = written(_valid(questions, question, vector).mapInArrow(_batches(self.centres, batch), "batch long, ids binary, vectors binary, angles binary"), "questions")
-        own = written(asked.select("batch", "angles").mapInArrow(_per_cell(len(self.centres)), "batch long, cell int, own binary"), "angles")
-        met = own.join(self.rings.select("cell", "ring", "low", "high"), "cell")
-        first = written(met.mapInArrow(_nearest, "batch long, ring long").distinct(), "first")
-        found = written(self._meet(asked, first, k), "found")
-        beat = found.withColumn("nth", F.row_number().over(Window.partitionBy("batch", "at").orderBy(F.desc("score"), "key"))).where(F.col("nth") == k).groupBy("batch").agg(F.map_from_entries(F.collect_list(F.struct("at", "score"))).alias("beat"))
-        rest = met.join(first, ["batch", "ring"], "left_anti").join(beat, "batch", "left").mapInArrow(_still, "batch long, ring long")
-        every = found.unionByName(self._meet(asked, rest, k))
+        asked = self._in_rings(written(_valid(questions, question, vector), "questions"), batch, "batches")
+        best = self._dealt(asked, held).mapInArrow(_best(k, self.centres), "batch long, at int, id long, key long, score long")
         nth = F.row_number().over(Window.partitionBy("batch", "at").orderBy(F.desc("score"), "key"))
-        return every.withColumn("nth", nth).where(F.col("nth") <= k).select(F.col("id").alias(question), F.col("key").alias(self.key), "score")
-
-    def _meet(self, asked: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-        rows = pairs.join(self.rings.select("ring", "keys", F.col("vectors").alias("others")), "ring").join(asked.select("batch", "ids", "vectors"), "batch")
-        return rows.select("batch", "ids", "vectors", "keys", "others").mapInArrow(_top(k, self.centres.shape[1]), "batch long, at int, id long, key long, score long")
-
-
-def _batches(c: np.ndarray, size: int):
-    """Questions in batches, with the angle of each to every centre."""
-    def run(batches):
-        made = TaskContext.get().partitionId() << 33
-        for rows in batches:
-            x, at = _matrix(rows.column(1), c.shape[1])
-            ids = rows.column(0).to_numpy()[at]
-            for lo in range(0, len(at), size):
-                part = x[lo:lo + size]
-                yield pa.RecordBatch.from_arrays([pa.array([made]), pa.array([ids[lo:lo + size].tobytes()]), pa.array([part.tobytes()]), pa.array([np.arccos(np.clip(part @ c.T, -1, 1)).tobytes()])], ["batch", "ids", "vectors", "angles"])
-                made += 1
-    return run
+        return best.withColumn("nth", nth).where(F.col("nth") <= k).select(F.col("id").alias(question), F.col("key").alias(self.key), "score")
+
+    def _dealt(self, asked: DataFrame, held: int) -> DataFrame:
+        """Batches (kind 0) and rings (kind 1) dealt to the places of the grid, in order."""
+        size = asked.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("vectors")), F.lit(0)).alias("bytes")).head()
+        places = PLACES * self.spark.sparkContext.defaultParallelism
+        across = max(1, -(-size.bytes // held), min(size.n, round(places**0.5)))
+        down = max(1, min(self.rings.count(), -(-places // across)))
+        group = lambda n: F.pmod(F.xxhash64("ring"), F.lit(n))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        a = asked.select("*", F.lit(0).alias("kind"), group(across).alias("q"), every(down).alias("r"))
+        b = self.rings.select("*", F.lit(1).alias("kind"), every(across).alias("q"), group(down).alias("r"))
+        grid = a.unionByName(b).withColumn("place", F.col("q") * down + F.col("r")).drop("q", "r")
+        return grid.repartitionByRange(across * down, "place").sortWithinPartitions("place", "kind", "ring")
+
+
+class _Batch:
+    """Questions and the k best of each so far; a score of -1 stands for none."""
+
+    def __init__(self, number: int, ids: np.ndarray, x: np.ndarray, k: int, c: np.ndarray):
+        self.number, self.ids, self.x, self.k = number, ids, x, k
+        angles = np.arccos(np.clip(x @ c.T, -1, 1))
+        self.near, self.far = angles.min(0), angles.max(0)
+        self.scores, self.keys = np.full((len(ids), k), -1, np.int64), np.full((len(ids), k), np.iinfo(np.int64).max)
+        self.least = np.full(len(ids), -np.inf)
+
+    def meet(self, cell: int, low: float, high: float, keys: np.ndarray, others: np.ndarray, rank: np.ndarray) -> None:
+        """rank: the places of the keys in descending order, so that of equal scores the least key is the highest number."""
+        miss = max(0.0, self.near[cell] - high, low - self.far[cell])
+        if np.cos(max(0.0, miss - EPS)) < self.least.min() - EPS:
+            return
+        cos = self.x @ others.T
+        at = np.flatnonzero(cos.max(1) >= self.least - EPS)
+        if not len(at):
+            return
+        score = np.floor(np.clip(cos[at], 0, 1) * 10000 + 0.5).astype(np.int64)
+        n = len(keys)
+        top = np.argpartition(score * n + rank, n - self.k, 1)[:, n - self.k:] if n > self.k else np.broadcast_to(np.arange(n), score.shape)
+        scores = np.concatenate([self.scores[at], np.take_along_axis(score, top, 1)], 1)
+        found = np.concatenate([self.keys[at], keys[top]], 1)
+        order = np.lexsort((found, -scores), axis=-1)[:, :self.k]
+        self.scores[at], self.keys[at] = np.take_along_axis(scores, order, 1), np.take_along_axis(found, order, 1)
+        # a score of 0 holds all angles from a right one on
+        last = self.scores[at, -1]
+        self.least[at] = np.where(last <= 0, -np.inf, (last - 0.5) / 10000)
+
+    def rows(self) -> pa.RecordBatch:
+        row, nth = np.nonzero(self.scores >= 0)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(row), self.number)), pa.array(row.astype(np.int32)), pa.array(self.ids[row]), pa.array(self.keys[row, nth]), pa.array(self.scores[row, nth])], ["batch", "at", "id", "key", "score"])
 
 
 def _columns(batch: pa.RecordBatch, *names: str):
-    return zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names), strict=True)
-
-
-def _per_cell(cells: int):
-    def run(batches):
-        for batch in batches:
-            for b, angles in _columns(batch, "batch", "angles"):
-                own = np.ascontiguousarray(np.frombuffer(angles).reshape(-1, cells).T)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(cells, b)), pa.array(np.arange(cells, dtype=np.int32)), pa.array([x.tobytes() for x in own])], ["batch", "cell", "own"])
-    return run
-
-
-def _miss(own: bytes, low: float, high: float) -> np.ndarray:
-    """By how much each question's angle to the centre misses a ring."""
-    angles = np.frombuffer(own)
-    return np.maximum(0, np.maximum(angles - high, low - angles))
-
-
-def _nearest(batches):
-    """The rings of a batch that are among the _FIRST of some question, as far as a task sees."""
-    for batch in batches:
-        seen: dict[int, list[tuple[int, np.ndarray]]] = {}
-        for b, ring, own, low, high in _columns(batch, "batch", "ring", "own", "low", "high"):
-            seen.setdefault(b, []).append((ring, _miss(own, low, high)))
-        for b, rows in seen.items():
-            best = np.unique(np.argsort(np.stack([m for _, m in rows]), 0, kind="stable")[:_FIRST])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), b)), pa.array([rows[i][0] for i in best.tolist()])], ["batch", "ring"])
-
+    return zip(*(batch.column(batch.schema.get_field_index(n)) for n in names), strict=True)
 
-def _still(batches):
-    """The pairs of which the ring can hold what some question of the batch doesn't have yet."""
-    for batch in batches:
-        for b, ring, own, low, high, beat in _columns(batch, "batch", "ring", "own", "low", "high", "beat"):
-            miss = _miss(own, low, high)
-            least = np.full(len(miss), -1.0)
-            for at, score in (beat or []):
-                least[at] = (score - 0.5) / 10000
-            # a score of 0 holds all angles from a right one on
-            if (np.cos(np.maximum(0, miss - EPS)) >= np.where(least <= 0, -1.0, least) - EPS).any():
-                yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([ring])], ["batch", "ring"])
 
+def _best(k: int, c: np.ndarray):
+    """Rows of a place after another, its batches before its rings."""
+    dims = c.shape[1]
 
-def _top(k: int, dims: int):
     def run(batches):
+        place, held = None, []
         for batch in batches:
-            for b, ids, vectors, keys, others in _columns(batch, "batch", "ids", "vectors", "keys", "others"):
-                ids, keys = np.frombuffer(ids, np.int64), np.frombuffer(keys, np.int64)
-                cos = np.frombuffer(vectors).reshape(-1, dims) @ np.frombuffer(others).reshape(-1, dims).T
-                score = np.floor(np.clip(cos, 0, 1) * 10000 + 0.5).astype(np.int64)
-                for at in range(len(ids)):
-                    best = np.lexsort((keys, -score[at]))[:k]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), b)), pa.array(np.full(len(best), at, np.int32)), pa.array(np.full(len(best), ids[at])), pa.array(keys[best]), pa.array(score[at][best])], ["batch", "at", "id", "key", "score"])
+            for p, kind, ring, cell, low, high, keys, vectors in _columns(batch, "place", "kind", "ring", "cell", "low", "high", "keys", "vectors"):
+                if p.as_py() != place:
+                    yield from (b.rows() for b in held)
+                    place, held = p.as_py(), []
+                keys, x = np.frombuffer(keys.as_buffer(), np.int64), np.frombuffer(vectors.as_buffer()).reshape(-1, dims)
+                if kind.as_py() == 0:
+                    held.append(_Batch(ring.as_py(), keys.copy(), x.copy(), k, c))
+                    continue
+                rank = np.empty(len(keys), np.int64)
+                rank[np.argsort(keys, kind="stable")[::-1]] = np.arange(len(keys))
+                for b in held:
+                    b.meet(cell.as_py(), low.as_py(), high.as_py(), keys, x, rank)
+        yield from (b.rows() for b in held)
     return run

@@ -40,6 +40,16 @@ def test_cells_are_exact(spark, n, ring, batch):
     assert cells.Cells(v.where("false"), "i", "v").search(q, "q", "v", 3).collect() == []
 
 
+def test_rings_travel_for_groups_of_batches(spark):
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(i, rng.normal(size=3).tolist()) for i in range(900)], "i long, v array<double>").repartition(4)
+    index = cells.Cells(rows, "i", "v", cells=4, ring=10)
+    asked = index._in_rings(cells._valid(rows, "i", "v"), 10, "batches")
+    places = cells.PLACES * spark.sparkContext.defaultParallelism
+    # every ring beside every batch would be 8100 rows at least
+    assert index._dealt(asked, cells.HELD).count() <= (asked.count() + index.rings.count()) * (places**0.5 + 2) < 8100
+
+
 def test_questions_of_conversations(spark):
     from loam.functions import hashing
 
