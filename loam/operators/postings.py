@@ -2,9 +2,15 @@
 
 Four keyed tables, added to batch by batch: the documents that are indexed, the distinct tokens, the runs of one to three characters of each token, and the postings (token, document). A keyword finds its tokens through its rarest run,
 the tokens their documents; of each table only the buckets of what is asked are read. Frequent tokens and runs are spread over files by size.
+
+Documents of the words are dealt into shards that a task holds, and every shard answers every question with its own k best; so a row for each question and each document that holds one of its words is never made.
 """
 from __future__ import annotations
 
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +19,9 @@ from ..session import written
 from ..sources.keyed import KeyedTable
 from .ranges import grams
 
+#: Rows (word, document) in a shard, about, and shards for each core.
+SHARD, SHARDS = 2_000_000, 3
+
 
 class Postings:
     """An index below `path` of texts by the column `key`."""
@@ -51,8 +60,92 @@ class Postings:
         """(question, key, score): for each question (question, words) the k documents that hold most of its distinct words as parts of tokens, in ten-thousandths, equal ones by key."""
         asked = questions.select(question, F.array_distinct(F.filter(words, lambda w: F.coalesce(w, F.lit("")) != "")).alias("w"))
         each = written(asked.select(question, F.size("w").alias("of"), F.explode("w").alias("word")).distinct(), "words")
-        held = written(self.tokens_of(each.select("word").distinct()), "held")
-        rows = self.postings.read_for(held.select("token")).join(held, "token").select("word", self.key).distinct()
-        hits = rows.join(each, "word").groupBy(question, self.key).agg(F.floor(F.count("*") / F.first("of") * 10000 + 0.5).cast("long").alias("score"))
-        nth = F.row_number().over(Window.partitionBy(question).orderBy(F.desc("score"), self.key))
-        return hits.withColumn("nth", nth).where(F.col("nth") <= k).drop("nth")
+        numbers = written(each.select("word").distinct().withColumn("w", F.monotonically_increasing_id()), "numbers")
+        held = written(self.tokens_of(numbers.select("word")).join(numbers, "word").select("token", "w"), "held")
+        rows = written(self.postings.read_near(held.select("token")).join(held, "token").select("w", self.key), "rows")
+        shards = max(SHARDS * self.spark.sparkContext.defaultParallelism, -(-rows.count() // SHARD))
+        kinds = dict(questions.dtypes)[question], dict(rows.dtypes)[self.key]
+        null = lambda kind: F.lit(None).cast(kind)
+        once = rows.withColumn("shard", F.pmod(F.xxhash64(self.key), F.lit(shards))).repartition(shards, "shard").distinct()
+        listed = once.groupBy("shard", "w").agg(F.collect_list(self.key).alias("docs"))  # a shard's documents at most
+        a = listed.select((F.col("shard") * 2).alias("at"), "w", "docs", null(kinds[0]).alias("asks"), null("int").alias("of"), null("array<bigint>").alias("ws"))
+        per = each.join(numbers, "word").groupBy(question).agg(F.first("of").alias("of"), F.collect_list("w").alias("ws"))
+        b = per.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select((F.col("shard") * 2 + 1).cast("long").alias("at"), null("bigint").alias("w"), null(f"array<{kinds[1]}>").alias("docs"), F.col(question).alias("asks"), "of", "ws")
+        dealt = a.unionByName(b).withColumn("shard", F.shiftright("at", 1)).repartitionByRange(shards, "shard").sortWithinPartitions("at")
+        best = dealt.mapInArrow(_best(k), f"asks {kinds[0]}, doc {kinds[1]}, score long")
+        nth = F.row_number().over(Window.partitionBy("asks").orderBy(F.desc("score"), "doc"))
+        return best.withColumn("nth", nth).where(F.col("nth") <= k).select(F.col("asks").alias(question), F.col("doc").alias(self.key), "score")
+
+
+class _Shard:
+    """The documents of each word, as places in the order of their keys."""
+
+    def __init__(self, ws: list[np.ndarray], docs: list[np.ndarray]):
+        self.docs, place = np.unique(np.concatenate(docs), return_inverse=True)
+        words, word = np.unique(np.concatenate(ws), return_inverse=True)
+        pairs = np.unique(word * len(self.docs) + place)
+        word, self.places = np.divmod(pairs, len(self.docs))
+        self.ends = np.searchsorted(word, np.arange(len(words) + 1))
+        self.number = {w: i for i, w in enumerate(words.tolist())}
+        self.counts = np.zeros(len(self.docs), np.uint16)
+
+    def best(self, ws: list[int], of: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and scores of the k documents that hold most of the words, those of equal scores in order."""
+        numbers = [self.number[w] for w in ws if w in self.number]
+        lists = [self.places[self.ends[i]:self.ends[i + 1]] for i in numbers]
+        if not lists:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        score = np.floor(np.arange(len(lists) + 1) / of * 10000 + 0.5).astype(np.int64)
+        if len(lists) == 1:
+            at = lists[0][:k]
+            return at, np.full(len(at), score[1])
+        if sum(map(len, lists)) * 8 < len(self.docs):
+            at, n = np.unique(np.concatenate(lists), return_counts=True)
+        else:
+            self.counts[:] = 0
+            for x in lists:
+                self.counts[x] += 1
+            at, c = [], len(lists)
+            # equal scores together, the highest first, until there are k
+            while c > 0 and sum(map(len, at)) < k:
+                low = int(np.searchsorted(score, score[c]))
+                at.append(np.flatnonzero((self.counts >= max(1, low)) & (self.counts <= c))[:k])
+                c = low - 1
+            at = np.concatenate(at)
+            n = self.counts[at]
+        order = np.lexsort((at, -score[n]))[:k]
+        return at[order], score[n[order]]
+
+
+def _best(k: int):
+    """Shards after another, each one's documents before its questions."""
+    def run(batches):
+        shard, at, ws, docs, schema = None, None, [], [], None
+        for batch in batches:
+            column = lambda name, b=batch: b.column(b.schema.get_field_index(name))
+            schema = schema or pa.schema([("asks", column("asks").type), ("doc", column("docs").type.value_type), ("score", pa.int64())])
+            ats = column("at").to_numpy()
+            for lo, hi in pairwise([0, *(np.flatnonzero(np.diff(ats)) + 1).tolist(), len(ats)]):
+                here, part = int(ats[lo]), batch.slice(lo, hi - lo)
+                if at is None or here // 2 != at // 2:
+                    shard, ws, docs = None, [], []
+                at = here
+                take = lambda name, b=part: b.column(b.schema.get_field_index(name))
+                if here % 2 == 0:
+                    ws.append(np.repeat(take("w").to_numpy(), np.asarray(take("docs").value_lengths())))
+                    docs.append(take("docs").flatten().to_numpy(zero_copy_only=False))
+                    continue
+                if not ws and shard is None:
+                    continue  # a shard without documents
+                if shard is None:
+                    shard, ws, docs = _Shard(ws, docs), [], []
+                rows, places, scores = [], [], []
+                for i, (of, words) in enumerate(zip(take("of").to_pylist(), take("ws").to_pylist(), strict=True)):
+                    place, score = shard.best(words, of, k)
+                    if len(place):
+                        rows.append(np.full(len(place), i))
+                        places.append(place)
+                        scores.append(score)
+                if rows:
+                    yield pa.RecordBatch.from_arrays([take("asks").take(pa.array(np.concatenate(rows))), pa.array(shard.docs[np.concatenate(places)], schema.field("doc").type), pa.array(np.concatenate(scores))], schema=schema)
+    return run

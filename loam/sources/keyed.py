@@ -82,11 +82,17 @@ class KeyedTable:
 
     def read_for(self, keys: DataFrame) -> DataFrame:
         """The rows of the keys in a table of one column, from their buckets alone."""
+        return self.read_near(keys).join(self._asked(keys), self.key, "left_semi")
+
+    def read_near(self, keys: DataFrame) -> DataFrame:
+        """All rows of the buckets that the keys in a table of one column fall into, for a join that picks the keys' own."""
         m = self.manifest()
         if m["schema"] is None:
             raise ValueError(f"nothing has been written to {self.path}")
-        asked = keys.select(F.col(keys.columns[0]).alias(self.key)).where(F.col(self.key).isNotNull()).distinct()
-        return self._folders((f for b in self._touched(asked, m["buckets"]) for f in m["folders"].get(b, [])), m["schema"]).join(asked, self.key, "left_semi")
+        return self._folders((f for b in self._touched(self._asked(keys), m["buckets"]) for f in m["folders"].get(b, [])), m["schema"])
+
+    def _asked(self, keys: DataFrame) -> DataFrame:
+        return keys.select(F.col(keys.columns[0]).alias(self.key)).where(F.col(self.key).isNotNull()).distinct()
 
     def _write(self, rows: DataFrame, buckets: int, touched: int) -> dict[str, str]:
         """Writes rows by bucket below a new name: the folder of each bucket that got rows."""

@@ -88,3 +88,25 @@ def test_postings_finish_a_batch_that_failed(spark, tmp_path, monkeypatch):
     got = index.search(spark.createDataFrame([(1, ["bet", "gam"])], "q int, words array<string>"), "q", "words", 5).collect()
     assert sorted((r.doc_id, r.score) for r in got) == [(1, 5000), (2, 10000)]
     assert index.postings.read().count() == 4 and len(index.postings.read_for(spark.createDataFrame([("alpha",)], "w string")).inputFiles()) == 1
+
+
+def test_postings_of_frequent_words(spark, tmp_path):
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("the and "), F.when(F.col("id") % 3 == 0, "for ").otherwise(""), F.col("id").cast("string")).alias("text"))
+    index = postings.Postings(spark, str(tmp_path / "i"), "doc_id", buckets=4)
+    index.add(docs, "text")
+    asked = spark.range(300).select(F.col("id").alias("q"), F.array(F.lit("the"), F.lit("for"), F.lit("an")).alias("words"))
+    out = index.search(asked, "q", "words", 5)
+    assert sorted(map(tuple, out.collect())) == [(q, d, 10000) for q in range(300) for d in (0, 3, 6, 9, 12)]
+
+
+@pytest.mark.parametrize("k", [1, 3, 50])
+def test_shards_count_as_a_scan_does(k):
+    rng = np.random.default_rng(k)
+    ws, docs = rng.integers(0, 9, 900), rng.integers(0, 80, 900) * 7
+    shard = postings._Shard([ws[:500], ws[500:]], [docs[:500], docs[500:]])
+    for of in (3, 30000):
+        for asked in ([1], [1, 2, 5], [0, 99, 3, 4], [77]):
+            n = {d: len({w for w, x in zip(ws, docs, strict=True) if x == d and w in asked}) for d in set(docs.tolist())}
+            want = sorted(((-int(np.floor(c / of * 10000 + 0.5)), d) for d, c in n.items() if c))[:k]
+            place, score = shard.best(asked, of, k)
+            assert list(zip((-score).tolist(), shard.docs[place].tolist(), strict=True)) == want
