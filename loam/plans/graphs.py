@@ -87,10 +87,10 @@ def edge_orientation(spark, d):
     return graph.oriented(rows, {"affects": "vulnerability"})
 
 
-@query("""with r as (select l_orderkey as src, 'holds' as relation, l_partkey as dst from lineitem where l_orderkey = 7) select distinct src, relation, dst, (select count(*) >= 50 from r) as truncated from r""")
+@query("""with r as (select l_orderkey as src, 'holds' as relation, l_partkey as dst from lineitem) select distinct src, relation, dst, (select count(*) >= 50 from r) as truncated from r""")
 def subgraph_mapping(spark, d):
-    """What is around one centre."""
-    rows = t(spark, d, "lineitem").where("l_orderkey = 7").select(F.col("l_orderkey").alias("src"), F.lit("holds").alias("relation"), F.col("l_partkey").alias("dst"))
+    """What is around all orders, as the rows of one answer."""
+    rows = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("src"), F.lit("holds").alias("relation"), F.col("l_partkey").alias("dst"))
     return graph.mapped_subgraph(rows, 50)
 
 

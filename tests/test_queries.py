@@ -180,3 +180,9 @@ def test_similar_records_without_an_id_merge(spark):
     got = {r.vuln_id: sorted(r.aliases) for r in feeds.merge_sources(silver, similar=True).collect()}
     assert got == {"CVE-2024-1111": [], "PYSEC-2024-1": ["PYSEC-2024-2"], "PYSEC-2024-3": []}
     assert feeds.merge_sources(silver).count() == 4
+
+
+def test_subgraph_of_all_orders(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select("l_orderkey", "l_partkey").distinct()
+    got = registry.QUERIES["subgraph_mapping"](spark, "/root/testdata/sf0.001")
+    assert got.select("src", "dst").exceptAll(rows).isEmpty() and rows.exceptAll(got.select("src", "dst")).isEmpty()
