@@ -53,10 +53,9 @@ def insert_if_absent(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def simhash60(df: DataFrame, key: str, body: str) -> DataFrame:
-    """(key, fingerprint): 60-bit SimHash on md5 tokens. Token counts are combined before the bits are summed."""
-    rows = df.select(key, F.explode(text.tokens(F.col(body))).alias("t")).groupBy(key, "t").agg(F.count("*").alias("n"))
-    rows = rows.select(key, "n", hashing.token_weight(F.col("t")).alias("h"))
-    sums = rows.groupBy(key).agg(*(F.sum(F.when(F.col("h").bitwiseAND(1 << i) != 0, F.col("n")).otherwise(-F.col("n"))).alias(f"b{i}") for i in range(60)))
+    """(key, fingerprint): 60-bit SimHash on md5 tokens. A text's tokens lie in one task, so they are summed there and one row of sums travels, never a token."""
+    rows = df.select(key, F.explode(text.tokens(F.col(body))).alias("t")).select(key, hashing.token_weight(F.col("t")).alias("h"))
+    sums = rows.groupBy(key).agg(*(F.sum(F.shiftright("h", i).bitwiseAND(1) * 2 - 1).alias(f"b{i}") for i in range(60)))
     bits = F.transform(F.array(*(f"b{i}" for i in range(60))), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
     return sums.select(key, F.aggregate(bits, F.lit(0).cast("long"), lambda a, x: a + x).alias("fingerprint"))
 

@@ -186,3 +186,9 @@ def test_subgraph_of_all_orders(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select("l_orderkey", "l_partkey").distinct()
     got = registry.QUERIES["subgraph_mapping"](spark, "/root/testdata/sf0.001")
     assert got.select("src", "dst").exceptAll(rows).isEmpty() and rows.exceptAll(got.select("src", "dst")).isEmpty()
+
+
+def test_simhash_moves_no_tokens(spark):
+    docs = spark.range(40).select("id", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(300)), lambda i: (i * F.col("id")).cast("string")), " ").alias("text"))
+    plan = resolve.simhash60(docs, "id", "text")._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("HashAggregate") == 2  # sums within a task, then one row of sums a task and text
