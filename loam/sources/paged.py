@@ -135,23 +135,57 @@ def failures(rows: DataFrame) -> DataFrame:
     return rows.where("error is not null").groupBy("query", "error").agg(F.count("*").alias("n"))
 
 
-@functools.lru_cache(4)
-def _kept(path: str, key: str, at: str, start: str | None, end: str | None) -> list[tuple[str, str, str]]:
+def _tuples(table, key: str, at: str) -> list[tuple[str, str, str]]:
+    return [(str(r[key]), r[at].isoformat(), json.dumps({k: v.isoformat() if isinstance(v, dt.datetime) else v for k, v in r.items()}, sort_keys=True)) for r in table.to_pylist()]
+
+
+def _dataset(path: str):
+    import pyarrow.dataset as ds
+
+    # columns aren't read ahead, which would hold the whole file
+    return ds.dataset(path, format=ds.ParquetFileFormat(default_fragment_scan_options=ds.ParquetFragmentScanOptions(pre_buffer=False)))
+
+
+#: How pyarrow scans: few batches at a time.
+_SCAN = {"batch_readahead": 2, "fragment_readahead": 1, "use_threads": False}
+
+
+@functools.lru_cache(1)
+def _window(path: str, key: str, at: str, start: str, end: str):
+    """The rows of a window by time and id, as an Arrow table; pages of it become rows."""
+    import pyarrow as pa
     import pyarrow.compute as pc
     import pyarrow.dataset as ds
 
-    day = pc.strftime(ds.field(at), format="%Y-%m-%d")
-    table = ds.dataset(path).to_table(filter=(day >= start) & (day < end) if start else None)
-    out = []
-    for r in table.to_pylist():
-        out.append((str(r[key]), r[at].isoformat(), json.dumps({k: v.isoformat() if isinstance(v, dt.datetime) else v for k, v in r.items()}, sort_keys=True)))
-    return sorted(out, key=lambda r: (r[1], r[0]))
+    data = _dataset(path)
+    kind = data.schema.field(at).type
+    if pa.types.is_timestamp(kind) and kind.tz is None or pa.types.is_date(kind):
+        low, high = (pa.scalar(dt.datetime.fromisoformat(d)).cast(kind) for d in (start, end))
+        kept = (ds.field(at) >= low) & (ds.field(at) < high)
+    else:
+        day = pc.strftime(ds.field(at), format="%Y-%m-%d")
+        kept = (day >= start) & (day < end)
+    table = data.to_table(filter=kept, **_SCAN)
+    order = pc.sort_indices(pa.table({"at": table[at], "id": table[key].cast(pa.string())}), sort_keys=[("at", "ascending"), ("id", "ascending")])
+    return table.take(order).combine_chunks()
+
+
+def _asked(path: str, key: str, at: str, ids: list[str]) -> list[tuple[str, str, str]]:
+    """The rows of some ids, found batch by batch."""
+    import pyarrow as pa
+    import pyarrow.dataset as ds
+
+    data, wanted = _dataset(path), set(ids)
+    kind = data.schema.field(key).type
+    plain = pa.types.is_integer(kind) or pa.types.is_string(kind) or pa.types.is_large_string(kind)
+    batches = data.to_batches(filter=ds.field(key).cast(pa.string()).isin(ids) if plain else None, **_SCAN)
+    return sorted((r for b in batches for r in _tuples(b, key, at) if r[0] in wanted), key=lambda r: (r[1], r[0]))
 
 
 def from_table(request: dict, options: dict) -> dict:
-    """A fetcher over a parquet table in a store that pyarrow opens: options path, key and time. It serves a window's rows by time in pages, and asked ids."""
+    """A fetcher over a parquet table in a store that pyarrow opens: options path, key and time. It serves a window's rows by time in pages, and asked ids. A worker holds one window as an Arrow table, and of asked ids only their rows."""
+    where = options["path"], options["key"], options["time"]
     if "ids" in request:
-        rows = _kept(options["path"], options["key"], options["time"], None, None)
-        return {"rows": [r for r in rows if r[0] in set(request["ids"])]}
-    rows = _kept(options["path"], options["key"], options["time"], request["start"], request["end"])
-    return {"rows": rows[request["offset"]:request["offset"] + request["size"]], "total": len(rows)}
+        return {"rows": _asked(*where, request["ids"])}
+    table = _window(*where, request["start"], request["end"])
+    return {"rows": _tuples(table.slice(request["offset"], request["size"]), *where[1:]), "total": table.num_rows}

@@ -101,3 +101,21 @@ def test_a_repeated_batch_leaves_no_row(spark, tmp_path):
     # the checkpoint is lost: batches come again under the same numbers
     sink.insert_stream(stream(), path, f"{tmp_path}/c2", "s").awaitTermination()
     assert sorted(map(tuple, sink.stored(spark, path, "sha256 string, n long").collect())) == first and sink.manifest(path)["version"] == 3
+
+
+def test_a_table_feed_makes_rows_of_what_is_asked_alone(monkeypatch):
+    from loam.sources import paged
+
+    made, tuples = [], paged._tuples
+
+    def counted(table, *args):
+        made.append(table.num_rows)
+        return tuples(table, *args)
+    monkeypatch.setattr(paged, "_tuples", counted)
+    options = {"path": "/root/testdata/sf0.001/orders.parquet", "key": "o_orderkey", "time": "o_orderdate"}
+    found = paged.from_table({"ids": ["7", "70", "none"]}, options)["rows"]
+    assert sorted(r[0] for r in found) == ["7", "70"] and sum(made) == 2
+    made.clear()
+    whole = paged.from_table({"start": "1990-01-01", "end": "2030-01-01", "offset": 0, "size": 10**6}, options)
+    page = paged.from_table({"start": "1990-01-01", "end": "2030-01-01", "offset": 20, "size": 10}, options)
+    assert page["rows"] == whole["rows"][20:30] == sorted(whole["rows"], key=lambda r: (r[1], r[0]))[20:30] and made == [whole["total"], 10] and whole["total"] > 1000
