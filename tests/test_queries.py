@@ -192,3 +192,9 @@ def test_simhash_moves_no_tokens(spark):
     docs = spark.range(40).select("id", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(300)), lambda i: (i * F.col("id")).cast("string")), " ").alias("text"))
     plan = resolve.simhash60(docs, "id", "text")._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("HashAggregate") == 2  # sums within a task, then one row of sums a task and text
+
+
+def test_facts_are_distinct_within_an_order(spark):
+    out = registry.QUERIES["facts_only_subgraph"](spark, SF)
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert out.count() == out.distinct().count() and "HashAggregate" not in plan.replace("ObjectHashAggregate", "")
