@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import packages, render, text
 from ..operators import extract, graph
+from ..session import spread
 from .queries import ORACLE, graph_edges, graph_nodes, query, t
 
 _EDGES = ORACLE["graph_edges"]
@@ -145,6 +146,10 @@ def nodes_in_order(spark, d):
     return rows.withColumn("n", F.row_number().over(Window.orderBy("label", "key")))  # 40 rows
 
 
+#: Records that a task makes nodes and edges of: about 200 MB of sorted rows at most.
+_RECORDS_A_TASK = 50_000
+
+
 def _enriched(spark, d):
     """A record for each part, with all kinds of what enrichment adds."""
     n, lit = F.col("p_size").cast("string"), F.lit
@@ -152,7 +157,7 @@ def _enriched(spark, d):
     none = lit(None).cast("string")
     brand, name = F.replace(F.lower("p_brand"), lit("#"), lit("")), F.replace("p_name", lit(" "), lit("_"))
     empty = F.array().cast("array<string>")
-    return t(spark, d, "part").select(
+    return spread(t(spark, d, "part"), "p_partkey", each=_RECORDS_A_TASK).select(
         F.concat(lit("CVE-"), F.col("p_partkey").cast("string")).alias("vuln_id"), F.col("p_name").alias("title"), F.col("p_type").alias("description"),
         F.array(obj(vendor=brand, product=name, version_start_incl=none, version_start_excl=none, version_end_incl=none, version_end_excl=n)).alias("cpe_matches"),
         F.array(obj(name=F.col("p_type"), asset_type="product", vendor=F.col("p_brand"), version_range=none, ecosystem=none, confidence=0.9)).alias("affected_assets"),
