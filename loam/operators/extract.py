@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import packages, text
+from ..functions.cvss import let
 
 #: Components of a record, assets that each of them is linked to, and characters of a description that are kept.
 COMPONENTS, ASSETS, DESCRIBED = 5, 50, 600
@@ -83,21 +84,23 @@ def components(matches: Column, identifiers: Column, title: Column, description:
         return own(i, F.when(split, F.substring(F.trim(i), at + 1, F.length(F.trim(i)))).otherwise(F.trim(i)), null, F.when(split, F.substring(F.trim(i), F.lit(1), at - 1)), null, BY_PACKAGE)
     named = F.filter(F.transform(identifiers, by_package), lambda c: c["name"] != "")
     every = packages.distinct_by(F.concat(F.coalesce(by_cpe, F.array().cast(f"array<{kind}>")), F.coalesce(named, F.array().cast(f"array<{kind}>"))), kind, "key")
-    said = _tokens(F.concat_ws(" ", title, description))
-    table = F.create_map(*(x for k, ws in HINTS.items() for x in (F.lit(k), _tokens(F.lit(" ".join(ws))))))
-    hinted = F.flatten(F.filter(F.transform(weaknesses, lambda w: F.try_element_at(table, F.upper(F.trim(w)))), lambda x: x.isNotNull()))
-    low_vendors = F.transform(vendors, lambda v: F.lower(F.trim(v)))
+    table = F.create_map(*(x for k, ws in HINTS.items() for x in (F.lit(k), F.array(*(F.lit(w) for w in ws if w not in GENERIC)))))
+    # each value that several expressions use is worked out once
+    facts = F.struct(_tokens(F.concat_ws(" ", title, description)).alias("said"), F.flatten(F.filter(F.transform(weaknesses, lambda w: F.try_element_at(table, F.upper(F.trim(w)))), lambda x: x.isNotNull())).alias("hinted"),
+                     F.transform(vendors, lambda v: F.lower(F.trim(v))).alias("vendors"))
 
-    def judged(c: Column) -> Column:
-        words = _tokens(F.concat_ws(" ", c["name"], c["vendor"], F.replace(c["key"], F.lit(":"), F.lit(" "))))
-        why = F.when(F.arrays_overlap(words, said), "text").when(F.coalesce(F.arrays_overlap(words, hinted), F.lit(False)), "cwe").otherwise("none")
+    def judged(c: Column, known: Column) -> Column:
         vendor = F.lower(F.trim(F.coalesce(c["vendor"], F.lit(""))))
-        fits = (vendor != "") & F.coalesce(F.exists(low_vendors, lambda v: (v != "") & (F.contains(v, vendor) | F.contains(vendor, v))), F.lit(False))
-        effective = F.when(why == "none", c["confidence"] * UNRELATED).otherwise(c["confidence"])
-        return F.struct((-effective).alias("first"), (~fits).alias("other"), c["key"].alias("key"), why.alias("relevance"), c.alias("c"))
-    ranked = F.array_sort(F.transform(every, judged))
-    related = F.filter(ranked, lambda r: r["relevance"] != "none")
-    return F.slice(F.when(F.size(related) > 0, related).otherwise(ranked), 1, most)
+        fits = let(vendor, lambda own_: (own_ != "") & F.coalesce(F.exists(known["vendors"], lambda v: (v != "") & (F.contains(v, own_) | F.contains(own_, v))), F.lit(False)))
+        words = _tokens(F.concat_ws(" ", c["name"], c["vendor"], F.replace(c["key"], F.lit(":"), F.lit(" "))))
+        why = let(words, lambda w: F.when(F.arrays_overlap(w, known["said"]), "text").when(F.coalesce(F.arrays_overlap(w, known["hinted"]), F.lit(False)), "cwe").otherwise("none"))
+
+        def ranked(y: Column) -> Column:
+            effective = F.when(y == "none", c["confidence"] * UNRELATED).otherwise(c["confidence"])
+            return F.struct((-effective).alias("first"), (~fits).alias("other"), c["key"].alias("key"), y.alias("relevance"), c.alias("c"))
+        return let(why, ranked)
+    related = lambda rows: let(F.filter(rows, lambda r: r["relevance"] != "none"), lambda found: F.when(F.size(found) > 0, found).otherwise(rows))
+    return F.slice(let(F.array_sort(let(facts, lambda known: F.transform(every, lambda c: judged(c, known)))), related), 1, most)
 
 
 def graph(records: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -1,7 +1,13 @@
 """What a query needs as its tables grow: tasks, expressions and state that stay small."""
+import re
+
+from loam.functions import text
+from loam.operators import extract
 from loam.plans import graphs
 from loam.session import spread
 
+from pyspark.sql import functions as F
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -10,3 +16,22 @@ def test_records_of_a_graph_are_dealt_by_number(spark, monkeypatch):
     assert spread(spark.range(100, numPartitions=1), each=1000).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     monkeypatch.setattr(graphs, "_RECORDS_A_TASK", 10)
     assert graphs._enriched(spark, SF).rdd.getNumPartitions() == 20
+
+
+def test_a_record_s_words_are_worked_out_once(spark):
+    column = extract.components(F.array().cast("array<" + extract.packages.MATCH + ">"), F.array(F.col("id").cast("string")), F.lit("a title"), F.col("id").cast("string"), F.array(F.lit("CWE-20")), F.array(F.lit("v")))
+    plan = spark.range(3).select(column.alias("c"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("arrays_overlap") == 2
+    # the words of weaknesses are the tokens that records have
+    for words in extract.HINTS.values():
+        found = spark.range(1).select(text.graph_tokens(F.lit(" ".join(words)), extract.GENERIC).alias("t")).head().t
+        assert found == [w for w in words if w not in extract.GENERIC]
+
+
+def test_graph_tokens_are_those_of_a_plain_version(spark):
+    def plain(value):
+        parts = dict.fromkeys(p for p in re.split("[^0-9a-z一-龥]+", value.lower()) if len(p) >= 2 and not re.fullmatch("[0-9]+", p) and p not in ("the", "log42"))
+        return list(dict.fromkeys(re.sub("[0-9]+$", "", p) if len(re.sub("[0-9]+$", "", p)) >= 3 else p for p in parts))
+    values = ["Log4j2 ab12 abc12 a1 the 123 abc34 abc", "", "x", "漏洞12 漏洞组件7 漏", "a1b2c33 1abc 12a34 log42 " + "y" * 90 + "77", "é12 abc-9 _z9"]
+    rows = spark.createDataFrame([(v,) for v in values], "v string").select("v", text.graph_tokens(F.col("v"), ["the", "log42"]).alias("t")).collect()
+    assert all(r.t == plain(r.v) for r in rows)
