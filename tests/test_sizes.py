@@ -1,10 +1,13 @@
 """What a query needs as its tables grow: tasks, expressions and state that stay small."""
 import re
+from types import SimpleNamespace
 
+import pandas as pd
 from loam.functions import text
 from loam.operators import extract
 from loam.plans import graphs
 from loam.session import spread
+from loam.streaming import state
 
 from pyspark.sql import functions as F
 
@@ -35,3 +38,54 @@ def test_graph_tokens_are_those_of_a_plain_version(spark):
     values = ["Log4j2 ab12 abc12 a1 the 123 abc34 abc", "", "x", "漏洞12 漏洞组件7 漏", "a1b2c33 1abc 12a34 log42 " + "y" * 90 + "77", "é12 abc-9 _z9"]
     rows = spark.createDataFrame([(v,) for v in values], "v string").select("v", text.graph_tokens(F.col("v"), ["the", "log42"]).alias("t")).collect()
     assert all(r.t == plain(r.v) for r in rows)
+
+
+class _Held:
+    """One key's state variable that counts its calls."""
+
+    def __init__(self):
+        self.rows, self.calls = [], 0
+
+    def get(self):
+        self.calls += 1
+        return iter(self.rows)
+
+    def appendValue(self, row):
+        self.calls += 1
+        self.rows.append(row)
+
+    def put(self, rows):
+        self.calls += 1
+        self.rows = list(rows)
+
+    def clear(self):
+        self.put([])
+
+
+class _Value(_Held):
+    def get(self):
+        return self.rows[0] if self.rows else None
+
+    def update(self, row):
+        self.rows = [row]
+
+
+def test_a_key_of_a_stream_is_read_and_written_once_a_batch():
+    waiting, settled, timers = _Held(), _Value(), []
+    handle = SimpleNamespace(getListState=lambda *a: waiting, getValueState=lambda *a: settled, registerTimer=timers.append)
+    p = state._InOrder("k", ["failed"], "", "now long, longest long", (0, 0), state._streak)
+    p.init(handle)
+    frame = lambda rows: pd.DataFrame(rows, columns=["event_at", "event_nth", "failed"])
+    many = [(1000 * i, i, i % 10 > 0) for i in range(500)]
+    out = list(p.handleInputRows((1,), iter([frame(many[::2]), frame(many[1::2])]), None))
+    assert waiting.calls == 2 and out[0].values.tolist() == [[1, 9, 9]] and timers == [499]
+    # rows that come again are neither kept nor counted again; one that has changed replaces the old one
+    list(p.handleInputRows((1,), iter([frame(many)]), None))
+    assert waiting.calls == 3 and len(waiting.rows) == 1
+    out = list(p.handleInputRows((1,), iter([frame([(0, 0, True)])]), None))
+    assert out[0].values.tolist() == [[1, 9, 10]]
+    # a timer settles what is not after it
+    list(p.handleExpiredTimer((1,), None, SimpleNamespace(getExpiryTimeInMs=lambda: 99)))
+    assert settled.rows == [(9, 10)] and sorted(p._waiting())[0] == (100_000, 100) and len(p._waiting()) == 400
+    list(p.handleExpiredTimer((1,), None, SimpleNamespace(getExpiryTimeInMs=lambda: 499)))
+    assert settled.rows == [(9, 10)] and waiting.rows == []
