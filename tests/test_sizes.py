@@ -4,8 +4,8 @@ from types import SimpleNamespace
 
 import pandas as pd
 from loam.functions import text
-from loam.operators import extract
-from loam.plans import graphs
+from loam.operators import extract, ranges
+from loam.plans import graphs, ingest
 from loam.session import spread
 from loam.streaming import state
 
@@ -89,3 +89,22 @@ def test_a_key_of_a_stream_is_read_and_written_once_a_batch():
     assert settled.rows == [(9, 10)] and sorted(p._waiting())[0] == (100_000, 100) and len(p._waiting()) == 400
     list(p.handleExpiredTimer((1,), None, SimpleNamespace(getExpiryTimeInMs=lambda: 499)))
     assert settled.rows == [(9, 10)] and waiting.rows == []
+
+
+def test_advisories_with_the_same_ranges_are_looked_up_once(spark, monkeypatch):
+    held, real = [], ranges.within
+
+    def within(points, intervals, *names):
+        held.append(intervals.count())
+        return real(points, intervals, *names)
+    monkeypatch.setattr(ranges, "within", within)
+    rows = ingest.version_membership(spark, SF)
+    parts = spark.read.parquet(f"{SF}/part.parquet")
+    # two ranges for each kind of advisory, however many advisories there are
+    assert held == [2 * parts.select("p_brand", "p_size", F.col("p_partkey") % 3, F.col("p_partkey") % 4 > 0).distinct().count()] and held[0] < 2 * parts.count()
+    assert rows.groupBy("id", "version").count().where("count > 1").isEmpty()
+
+
+def test_payloads_are_dealt_by_number(spark, monkeypatch):
+    monkeypatch.setattr(ingest, "_PAYLOADS_A_TASK", 100)
+    assert ingest._payloads(spark, SF).rdd.getNumPartitions() == -(-spark.read.parquet(f"{SF}/orders.parquet").count() // 100)
