@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 def parse_time(c: Column) -> Column:
     """ISO forms with - or /, Z or an offset, and epoch seconds; null where nothing fits."""
-    c = F.regexp_replace(F.trim(c), "/", "-")
-    epoch = F.when(F.regexp_like(c, F.lit(r"^\d{9,11}$")), c).cast("long")
+    c = F.replace(F.trim(c), F.lit("/"), F.lit("-"))
+    # most times are longer than that, and need no pattern (which a line end may follow)
+    epoch = F.when((F.length(c) <= 13) & F.regexp_like(c, F.lit(r"^\d{9,11}$")), c).cast("long")
     return F.coalesce(F.timestamp_seconds(epoch), F.try_to_timestamp(c))
 
 

