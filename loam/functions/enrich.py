@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
+
 MATURITY = ["none", "poc", "functional", "high"]
 MOST_KEYWORDS, LONG_WORD = 6, 6
 
@@ -93,12 +95,14 @@ def fetched(df: DataFrame, key: str, fetch: Callable[[str], list[dict]], schema:
 
 
 def cached(asked: DataFrame, cache: DataFrame, key: str, answer: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """Answers by key from a cache (key, value, hits) and from answer(rows) for the others; and the cache with its counts raised."""
+    """Answers by key from a cache (key, value, hits) and from answer(rows) for the others; and the cache with its counts raised.
+    Keys meet the cache in one join, whose rows are written, and so are new answers: both results are read from these tables, so nothing is joined or answered twice."""
     wanted = asked.groupBy(key).agg(F.count("*").alias("_n"))
-    known = cache.join(wanted, key, "left")
-    new = answer(wanted.select(key).join(cache.select(key), key, "left_anti"))
+    met = written(wanted.join(cache.select(key, "value", "hits", F.lit(True).alias("_known")), key, "full"), "met")
+    known = met.where("_known")
+    new = written(answer(met.where("_known is null").select(key)).select(key, "value"), "answered")
     hits = known.select(key, "value", (F.col("hits") + F.coalesce("_n", F.lit(0))).alias("hits"))
-    return known.where("_n is not null").select(key, "value").unionByName(new.select(key, "value")), hits.unionByName(new.select(key, "value", F.lit(0).cast("long").alias("hits")))
+    return known.where("_n is not null").select(key, "value").unionByName(new), hits.unionByName(new.select(key, "value", F.lit(0).cast("long").alias("hits")))
 
 
 def embedded(df: DataFrame, body: str, embed: Callable[[Column], Column] | None = None, fallback: Callable[[Column], Column] | None = None) -> DataFrame:

@@ -1,9 +1,10 @@
 """What a query needs as its tables grow: tasks, expressions and state that stay small."""
 import re
+import uuid
 from types import SimpleNamespace
 
 import pandas as pd
-from loam.functions import text
+from loam.functions import enrich, text
 from loam.operators import extract, ranges
 from loam.plans import graphs, ingest
 from loam.session import spread
@@ -119,3 +120,17 @@ def test_identifiers_keep_their_order_by_pattern(spark):
 def test_payloads_are_dealt_by_number(spark, monkeypatch):
     monkeypatch.setattr(ingest, "_PAYLOADS_A_TASK", 100)
     assert ingest._payloads(spark, SF).rdd.getNumPartitions() == 16 and spark.read.parquet(f"{SF}/orders.parquet").count() == 1500
+
+
+def test_a_new_answer_is_made_once_for_both_results(spark):
+    asked = spark.createDataFrame([(1,), (1,), (2,), (3,), (3,), (None,)], "k long")
+    cache = spark.createDataFrame([(1, "one", 4), (9, "nine", 2), (None, "none", 1)], "k long, value string, hits long")
+    fresh = F.udf(lambda k: uuid.uuid4().hex).asNondeterministic()
+    answers, after = enrich.cached(asked, cache, "k", lambda rows: rows.withColumn("value", fresh("k")))
+    found, kept = [(r.k, r.value) for r in answers.collect()], {(r.k, r.value): r.hits for r in after.collect()}
+    assert sorted(k or 0 for k, _ in found) == [0, 1, 2, 3] and (1, "one") in found
+    # what is answered is what is kept
+    assert all(x in kept for x in found) and len(kept) == 6
+    assert kept[1, "one"] == 6 and kept[9, "nine"] == 2 and kept[None, "none"] == 1 and sum(kept.values()) == 9
+    # a result reads what was written: keys don't meet again
+    assert not any("Join" in x._jdf.queryExecution().optimizedPlan().toString() for x in (answers, after))
