@@ -1,6 +1,7 @@
 """Content hashes, SimHash and hashed embeddings."""
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections.abc import Iterator
@@ -43,6 +44,11 @@ def python_hash_tokens(value: str | None) -> list[str]:
     return out
 
 
+@functools.lru_cache(1 << 17)
+def _blake64(token: str) -> int:
+    return int.from_bytes(hashlib.blake2b(token.encode(), digest_size=8).digest(), "big")
+
+
 def _hashed(texts: pd.Series, tokens) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """Runs of texts of bounded size: first and end row, the hash of each distinct token, and of each occurrence the token's number and its row within the run."""
     lo, held, size = 0, [], 0
@@ -52,7 +58,7 @@ def _hashed(texts: pd.Series, tokens) -> Iterator[tuple[int, int, np.ndarray, np
         size += len(held[-1])
         if size >= AT_ONCE or i + 1 == len(every):
             codes, names = pd.factorize(np.array([t for row in held for t in row], object))
-            h = np.array([int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "big") for t in names], np.uint64)
+            h = np.fromiter(map(_blake64, names), np.uint64, len(names))
             yield lo, i + 1, h, codes, np.repeat(np.arange(len(held)), [len(row) for row in held])
             lo, held, size = i + 1, [], 0
 
@@ -61,13 +67,17 @@ def _hashed(texts: pd.Series, tokens) -> Iterator[tuple[int, int, np.ndarray, np
 def simhash64(texts: pd.Series) -> pd.Series:
     """64-bit SimHash over BLAKE2b of each token occurrence, as a signed integer; 0 without tokens."""
     out = np.zeros(len(texts), np.uint64)
-    places = np.arange(64, dtype=np.uint64)
     for lo, hi, h, codes, rows in _hashed(texts, plain_tokens):
         if len(codes):
-            bits = (((h[:, None] >> places) & np.uint64(1)).astype(np.int32) * 2 - 1)[codes]
+            # a byte a bit, eight of them in a word: words are added for 255 occurrences at most, so no byte overflows
+            bits = np.unpackbits(h.astype("<u8")[:, None].view(np.uint8), axis=1, bitorder="little").view(np.uint64)
             first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-            sums = np.add.reduceat(bits, first)
-            out[lo + rows[first]] = ((sums > 0).astype(np.uint64) << places).sum(1, dtype=np.uint64)
+            size = np.diff(np.append(first, len(rows)))
+            runs = -(-size // 255)
+            of = np.cumsum(runs) - runs
+            starts = np.repeat(first, runs) + 255 * (np.arange(runs.sum()) - np.repeat(of, runs))
+            ones = np.add.reduceat(np.add.reduceat(bits[codes], starts).view(np.uint8), of, dtype=np.int64)
+            out[lo + rows[first]] = np.packbits(2 * ones > size[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
     return pd.Series(out.view(np.int64))
 
 

@@ -121,7 +121,7 @@ def independent(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 def leader_clusters(prints: DataFrame, key: str, threshold: int, first: int = FIRST, block: int = BLOCK) -> DataFrame:
     """(key, leader) of prints (key, fingerprint), one row for each row. Keys are of any type that can be ordered, null ones come last; equal fingerprints share their first row's leader.
     A null fingerprint is near to nothing: its row leads itself."""
-    rows = prints.select(F.col(key).alias("k"), "fingerprint")
+    rows = written(prints.select(F.col(key).alias("k"), "fingerprint"), "prints")  # they are read twice, and are dear to make
     distinct = rows.where("fingerprint is not null").groupBy("fingerprint").agg(F.min("k").alias("at"))
     ranked = numbered(distinct, [F.asc_nulls_last("at"), F.asc("fingerprint")])
     # the prefix of a row is known by its number: 0 below first, then doubling

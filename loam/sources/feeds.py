@@ -11,6 +11,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 from ..functions import cvss, hashing, packages, text, times, urls
 from ..operators import leaders, resolve
+from ..session import written
 
 BRONZE = "sha256 string, source string, source_id string, url string, title string, raw_text string, published_at timestamp, fetched_at timestamp"
 _g = F.get_json_object
@@ -160,6 +161,8 @@ def merge_sources(silver: DataFrame, similar: bool = False) -> DataFrame:
     """One row per primary key over all sources, whatever the order of rows; with similar, records without a CVE id also merge where their descriptions are near-duplicates. Records count by
     (published missing, published, id): the longest description (the first of equals), the first title, lists in order without repeats (links by their normal form), the highest severity, any kev,
     the highest scores, the first published and last modified time."""
+    if similar:
+        silver = written(silver, "silver")  # it is read for the clusters and for the merge
     order = F.struct(F.col("published_at").isNull().alias("n"), F.col("published_at").alias("p"), F.col("vuln_id").alias("v"), F.col("source").alias("s"))
     rows = silver.withColumns({"key": primary_key(F.col("vuln_id"), F.col("aliases")), "o": order})
     if similar:

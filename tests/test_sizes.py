@@ -1,13 +1,15 @@
 """What a query needs as its tables grow: tasks, expressions and state that stay small."""
+import hashlib
 import re
 import uuid
 from types import SimpleNamespace
 
 import pandas as pd
-from loam.functions import enrich, text
-from loam.operators import extract, ranges
+from loam.functions import enrich, hashing, text
+from loam.operators import extract, leaders, ranges
 from loam.plans import graphs, ingest
 from loam.session import spread
+from loam.sources import feeds
 from loam.streaming import state
 
 from pyspark.sql import functions as F
@@ -157,3 +159,34 @@ def test_a_question_is_normalized_and_matched_once(spark):
     plan = guarded._jdf.queryExecution().optimizedPlan().toString()
     # two texts, each as it is or beside its bare form, and once more where both are one
     assert 0 < plan.count("do anything now") <= 9 and plan.count("nfkc(") == 1
+
+
+def test_records_and_fingerprints_are_made_once_for_a_similar_merge(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def said(n):
+        made.add(1)
+        return " ".join(f"w{(n // 3) * 50 + i}" for i in range(40)) + f" x{n}"
+
+    payload = F.to_json(F.struct(F.format_string("PYSEC-2024-%04d", "id").alias("id"), said("id").alias("details"), F.array().cast("array<string>").alias("aliases")))
+    silver = feeds.normalize(feeds.staged(spark.range(30), {"raw_text": payload}).select("raw_text"))
+    got = {r.vuln_id: len(r.aliases) for r in feeds.merge_sources(silver, similar=True).collect()}
+    assert got == {f"PYSEC-2024-{n:04}": 2 for n in range(0, 30, 3)} and made.value == 30
+    made.value = 0
+
+    @F.udf("long")
+    def fingerprint(n):
+        made.add(1)
+        return (n // 2) * 0x0FF1_F00F_3355_1234 % (1 << 60)
+
+    assert leaders.leader_clusters(spark.range(40).select("id", fingerprint("id").alias("fingerprint")), "id", 3).count() == 40 and made.value == 40
+
+
+def test_words_of_eight_bytes_add_bits_without_overflow():
+    def plain(value):
+        hs = [int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "big") for t in hashing.plain_tokens(value)]
+        found = sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in hs) > len(hs))
+        return found - (found >> 63 << 64)
+    values = ["", None, "x", "x " * 255, "x " * 256, "x y " * 300, " ".join(f"w{i % 97}" for i in range(2000)), "漏洞", "a b c"]
+    assert hashing.simhash64.func(pd.Series(values, dtype=object)).tolist() == [plain(v) for v in values]
