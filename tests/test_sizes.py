@@ -6,7 +6,7 @@ from types import SimpleNamespace
 
 import pandas as pd
 from loam.functions import enrich, hashing, text
-from loam.operators import extract, leaders, ranges
+from loam.operators import extract, leaders, ranges, stats
 from loam.plans import graphs, ingest
 from loam.session import spread
 from loam.sources import feeds
@@ -190,3 +190,22 @@ def test_words_of_eight_bytes_add_bits_without_overflow():
         return found - (found >> 63 << 64)
     values = ["", None, "x", "x " * 255, "x " * 256, "x y " * 300, " ".join(f"w{i % 97}" for i in range(2000)), "漏洞", "a b c"]
     assert hashing.simhash64.func(pd.Series(values, dtype=object)).tolist() == [plain(v) for v in values]
+
+
+def test_runs_and_pairs_of_names_are_counted_without_sorting(spark, monkeypatch):
+    import random
+
+    rng = random.Random(7)
+    left, right = (["".join(rng.choice("ab1é") for _ in range(rng.randint(0, 12))) for _ in range(n)] + [None, " Ab ", "aaaaaaaaab"] for n in (40, 150))
+    frame = lambda xs, to: spark.createDataFrame([(x,) for x in xs], f"{to} string")
+    made, real = [], ranges.written
+    monkeypatch.setattr(ranges, "written", lambda df, name, *by: made.append(df) or real(df, name, *by))
+    pairs, rest = ranges.fuzzy_join(frame(left, "v"), frame(right, "c"), "v", "c")
+    low = lambda xs: {x.strip().lower() for x in xs if x and x.strip()}
+    want = sorted((a, b) for a in low(left) for b in low(right) if a in b or b in a)
+    assert sorted((r.v, r.c) for r in pairs.collect()) == want
+    assert {r.side: r.n for r in rest.collect()} == {"left": sum(not (x or "").strip() for x in left), "right": sum(not (x or "").strip() for x in right)}
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and len(made) == 4
+    ends = {r.v: (r.n, r.first, r.last) for r in stats.counted_ends(pairs, "v", "c").collect()}
+    assert ends == {v: (len(xs), min(xs), max(xs)) for v in {a for a, _ in want} for xs in [[b for a, b in want if a == v]]}
