@@ -20,9 +20,9 @@ IDS = 100
 
 
 class PagedSource(DataSource):
-    """Options: fetcher, since and until (days), days (of a window, 120), size (of a page, 100), pages (at most in a window and query, 10000), queries (a JSON list), order ("desc" where a feed has the latest first and knows no windows).
+    """Options: fetcher, since and until (days), days (of a window, 120), size (of a page, 100), pages (at most in a window and query, 10000), queries (a JSON list), order ("desc" where a feed has the latest first and knows no windows), errors ("raise" where a request that fails should end the read).
 
-    Columns: query, id, at, raw_text, error. A row with an error stands for a query whose request failed; the other queries go on."""
+    Columns: query, id, at, raw_text, error. A row with an error stands for a query whose request failed, or whose pages end before all that the feed says it has; the other queries go on."""
 
     @classmethod
     def name(cls) -> str:
@@ -84,7 +84,7 @@ class PagedReader(DataSourceReader):
                 found = {row[0]: row for row in fetch({"ids": partition.ids})["rows"] if row[0] in wanted}
                 yield from ((None, *row, None) for row in found.values())
             except Exception as e:  # noqa: BLE001  told in its row
-                yield None, None, None, None, f"{type(e).__name__}: {e}"
+                yield None, None, None, None, self._told(e)
             return
         seen: set[str] = set()
         for query in json.loads(self.options.get("queries") or "[null]"):
@@ -94,11 +94,17 @@ class PagedReader(DataSourceReader):
                         seen.add(row[0])
                         yield query, *row, None
             except Exception as e:  # noqa: BLE001  one query that fails doesn't end the others
-                yield query, None, None, None, f"{type(e).__name__}: {e}"
+                yield query, None, None, None, self._told(e)
+
+    def _told(self, e: Exception) -> str:
+        if self.options.get("errors") == "raise":
+            raise e
+        return f"{type(e).__name__}: {e}"
 
     def _rows(self, fetch, window: Pages, query: str | None) -> Iterator[tuple[str, str, str]]:
         size, offset, cursor, latest_first = int(self.options.get("size", 100)), 0, None, self.options.get("order") == "desc"
-        for _ in range(int(self.options.get("pages", 10_000))):
+        most = int(self.options.get("pages", 10_000))
+        for _ in range(most):
             page = fetch({"query": query, "start": window.start, "end": window.end, "offset": offset, "cursor": cursor, "size": size})
             rows = page["rows"]
             for row in rows:
@@ -107,14 +113,18 @@ class PagedReader(DataSourceReader):
                 if not latest_first or row[1] is None or _day(row[1]) < window.end:
                     yield tuple(row)
             offset += len(rows)
-            if not rows:
-                return
             if "next" in page:
                 cursor = page["next"]
-                if not cursor:
+                if not cursor or not rows:
+                    return
+            elif "total" in page:
+                if offset >= page["total"]:
                     return
-            elif len(rows) < size or offset >= page.get("total", offset + 1):
+                if not rows:
+                    raise EOFError(f"{offset} rows of {page['total']} from {window.start} to {window.end}")
+            elif len(rows) < size:
                 return
+        raise EOFError(f"more than {most} pages from {window.start} to {window.end}")
 
 
 def scan(spark: SparkSession, **options: str) -> DataFrame:
