@@ -26,7 +26,7 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-ASCII_TOKEN, CJK_RUN = re.compile("[a-z0-9]+"), re.compile("[\u4e00-\u9fff]+")
+ASCII_TOKEN, LONG_TOKEN, CJK_RUN = re.compile("[a-z0-9]+"), re.compile("[a-z0-9]{2,}"), re.compile("[\u4e00-\u9fff]+")
 #: Token occurrences that are worked on at once.
 AT_ONCE = 100_000
 
@@ -38,8 +38,8 @@ def plain_tokens(value: str | None) -> list[str]:
 def python_hash_tokens(value: str | None) -> list[str]:
     """The tokens of text.hash_tokens, for use inside a task."""
     low = (value or "").lower()
-    out = [x for x in ASCII_TOKEN.findall(low) if len(x) > 1]
-    for run in CJK_RUN.findall(low):
+    out = LONG_TOKEN.findall(low)
+    for run in () if low.isascii() else CJK_RUN.findall(low):
         out += [run] if len(run) == 1 else [run[i:i + 2] for i in range(len(run) - 1)]
     return out
 
